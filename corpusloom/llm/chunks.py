@@ -17,10 +17,10 @@ class Table:
     """parts(text) gives what make(list of parts) gave for each part of the text, in order; make([text]) where it can't be cut.
 
     The first part stands as it is; each later one has the space or newline that it starts with. At most
-    `most` parts are kept; a full table is emptied, which costs time and changes nothing.
+    `most` parts are kept; of a full table only what the texts at hand need stays, which costs time and changes nothing.
     """
 
-    def __init__(self, make: Callable[[list[str]], list], whole: str | None = None, most: int = 300_000):
+    def __init__(self, make: Callable[[list[str]], list], whole: str | None = None, most: int = 800_000):
         self.make, self.whole, self.most = make, whole, most
         self.first: dict = {}
         self.later: dict = {}
@@ -33,7 +33,8 @@ class Table:
         heads = {c[0] for c in cut if c}
         tails: set[str] = set().union(*[c[1:] for c in cut if c])
         if len(self.first) + len(self.later) + len(heads) + len(tails) > self.most:
-            self.first, self.later = {}, {}
+            self.first = {h: self.first[h] for h in heads if h in self.first}
+            self.later = {t: self.later[t] for t in tails if t in self.later}
         new = [h for h in heads if h not in self.first]
         if new:
             self.first.update(zip(new, self.make(new), strict=True))
