@@ -24,8 +24,8 @@ from . import common
 from .chunks import Table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-LEAF = 6
-_CACHE = 300_000
+LEAF = 8
+_CACHE = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,18 +46,18 @@ class Codec:
 
     def leaf(self, data: bytes) -> list[int]:
         """Merges the lowest-ranked adjacent pair, leftmost first, until none has a rank."""
-        ranks = self.ranks
+        get, none = self.ranks.get, len(self.bytes)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+        return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
         known = self.seams.get((a, b))

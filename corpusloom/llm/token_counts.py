@@ -22,7 +22,7 @@ from .chunks import Table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-_CACHE = 300_000
+_CACHE = 400_000
 
 
 def byte_symbols() -> list[str]:
