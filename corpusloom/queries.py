@@ -1,6 +1,813 @@
-"""The registered queries of the engine's own operators, and their DuckDB counterparts."""
+"""The registered queries of the engine's own operators, and their DuckDB counterparts.
+
+Each is a thin use of one or a few operators on the driver tables, or on small inline tables where those
+have no such data. Both sides are cast to the same column types.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.functions import ids
+from corpusloom.functions import text as T
+from corpusloom.operators import chunking, documents, evaluate, fusion, graph, history, investigate, lexical, vectors
+from corpusloom.plans import search, store
+from corpusloom.sources import catalog
+from corpusloom.streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, columns: str, sql: str | None):
+    """columns: `name:type …`, the result's columns on both sides."""
+    spec = [c.split(":") for c in columns.split()]
+
+    def wrap(f: Callable[[SparkSession, str], DataFrame]):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).select(*[F.col(c).cast(t).alias(c) for c, t in spec])
+
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE_SQL[name] = f"select {', '.join(f'cast({c} as {_duck(t)}) as {c}' for c, t in spec)} from ({sql}) as q"
+        return f
+
+    return wrap
+
+
+def _duck(kind: str) -> str:
+    return {"string": "VARCHAR", "timestamp": "TIMESTAMP"}.get(kind, kind.upper())
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, table: tuple[str, str]) -> DataFrame:
+    return spark.sql(f"select * from values {table[1]} as v({table[0]})")
+
+
+def duck(table: tuple[str, str]) -> str:
+    return f"(select * from (values {table[1]}) as v({table[0]}))"
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's documents as normalised ones."""
+    d = read(spark, sf_dir, "documents")
+    first = F.substring_index("text", "\n", 1)
+    path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return documents.document(d.select("doc_id", "lang", "source", F.col("text")), first, F.col("source"), F.lit("v1"), path, F.col("text"))
+
+
+_CORPUS = """(select doc_id, lang, source as repository, 'v1' as revision, lang || '/' || doc_id || '.txt' as path, text as content,
+ 'sha256:' || sha256(text) as content_digest from documents)"""
+_LP = "unhex(lpad(to_hex(strlen({0})), 16, '0')) || encode({0})"
+
+
+def _doc_id(r: str, v: str, p: str, d: str) -> str:
+    return f"'doc-' || sha256(encode('corpusloom/document/v1') || {' || '.join(_LP.format(x) for x in (r, v, p, d))})"
+
+
+_TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+# --- lexical ----------------------------------------------------------------
+
+TERMS = ["this", "with", "that"]
+
+
+def bm25_sql(terms: list[str], where: str = "true") -> str:
+    """Scores of all matching documents; where: a condition on documents, before statistics."""
+    n = range(len(terms))
+    counts = ", ".join(f"len(list_filter(toks, lambda t: t = '{t}')) as t{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) filter (t{i} > 0) as d{i}" for i in n)
+    part = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in n)
+    cover = " + ".join(f"(t{i} > 0)::INT" for i in n)
+    return f"""(with w as (select doc_id, {_TOKENS.format('text')} as toks from documents where {where}),
+ l as (select doc_id, len(toks) as len, {counts} from w), s as (select count(*) as n, avg(len) as mean, {df} from l)
+ select doc_id, {cover} as coverage, round({part}, 6) as score from l, s where {cover} > 0)"""
+
+
+@register("lexical_search_topk", "doc_id:bigint coverage:bigint score:double", f"select * from {bm25_sql(TERMS)} order by coverage desc, score desc, doc_id limit 10")
+def _(spark, sf_dir):
+    rows = lexical.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TERMS).where("coverage > 0")
+    return rows.orderBy(F.desc("coverage"), F.desc("score"), "doc_id").limit(10)
+
+
+@register("postings_build", "term:string doc_id:bigint tf:bigint length:bigint", f"""select term, doc_id, count(*) as tf, any_value(n) as length from
+ (select doc_id, len(toks) as n, unnest(toks) as term from (select doc_id, {_TOKENS.format('text')} as toks from documents)) group by term, doc_id""")
+def _(spark, sf_dir):
+    return lexical.postings(read(spark, sf_dir, "documents"), "doc_id", ["text"])
+
+
+@register("term_dictionary", "term:string documents:bigint occurrences:bigint", f"""select term, count(distinct doc_id) as documents, count(*) as occurrences from
+ (select doc_id, unnest({_TOKENS.format('text')}) as term from documents) group by term""")
+def _(spark, sf_dir):
+    return lexical.postings(read(spark, sf_dir, "documents"), "doc_id", ["text"]).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+
+
+@register("term_coverage", "doc_id:bigint coverage:bigint", f"select doc_id, coverage from {bm25_sql(TERMS)}")
+def _(spark, sf_dir):
+    return lexical.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TERMS).where("coverage > 0")
+
+
+@register("filtered_search", "doc_id:bigint score:double", f"""select * from {bm25_sql(TERMS, "lang = 'en' and source in ('src0', 'src1')")} order by score desc, doc_id limit 20""")
+def _(spark, sf_dir):
+    pool = read(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("source").isin("src0", "src1"))
+    return lexical.scored(pool.select("doc_id", "text"), "doc_id", "text", TERMS).where("coverage > 0").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@register("boolean_must_search", "doc_id:bigint score:double", f"select doc_id, score from {bm25_sql(['this', 'with'])} where coverage = 2 order by score desc, doc_id limit 100")
+def _(spark, sf_dir):
+    return lexical.candidates(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "This with", 10)
+
+
+@register("candidate_union", "doc_id:bigint score:double", f"""with s as {bm25_sql(TERMS)}
+ select doc_id, score from (select doc_id, score from s order by score desc, doc_id limit 20) union
+ select doc_id, score from (select doc_id, score from s where doc_id % 3 <> 0 order by score desc, doc_id limit 20) union
+ select doc_id, score from (select doc_id, score from s where coverage = 3 order by score desc, doc_id limit 20)""")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.candidates(rows, "doc_id", "text", "this with that", 2, commits=F.col("doc_id") % 3 == 0)
+
+
+QUERY_TABLE = ("query_id, query", "(1, 'this with'), (2, 'for the reason'), (3, 'und der die'), (4, 'les des pour')")
+
+
+@register("multi_query_topk", "query_id:bigint doc_id:bigint rank:bigint score:double", f"""with p as (select doc_id, len(toks) as n, unnest(toks) as term from (select doc_id, {_TOKENS.format('text')} as toks from documents)),
+ q as (select distinct query_id, unnest({_TOKENS.format('query')}) as term from {duck(QUERY_TABLE)}),
+ f as (select query_id, q.term, doc_id, any_value(n) as len, count(*) as tf from p join q on p.term = q.term group by all),
+ d as (select query_id, term, count(*) as df from f group by all),
+ s as (select (select count(*) from documents) as docs, (select avg(len({_TOKENS.format('text')})) from documents) as mean),
+ e as (select query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score, count(*) as coverage from f join d using (query_id, term), s group by all)
+ select query_id, doc_id, row_number() over (partition by query_id order by coverage desc, round(score, 6) desc, doc_id) as rank, round(score, 6) as score from e qualify rank <= 5""")
+def _(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    rows = lexical.postings(docs, "doc_id", ["text"])
+    terms = values(spark, QUERY_TABLE).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    fields = docs.agg(F.count("*").alias("documents"), F.avg(F.size(T.tokens(F.col("text")))).alias("mean")).withColumn("field", F.lit("text"))
+    return lexical.ranked_postings(rows.join(F.broadcast(terms), "term"), fields, 5).withColumn("score", F.round("score", 6))
+
+
+NAMES = ("chunk_id, identifiers, body", "('c1', 'write_nvm', 'persist data'), ('c2', 'other_write', 'write nvm data'), ('c3', 'Write_NVM', 'none'), ('c4', 'persistent', 'persistent package lifecycle')")
+
+
+@register("exact_identifier_rank", "chunk_id:string exact_identifier:boolean", f"select chunk_id, lower(identifiers) = 'write_nvm' as exact_identifier from {duck(NAMES)} order by exact_identifier desc, chunk_id limit 4")
+def _(spark, sf_dir):
+    rows = values(spark, NAMES).select("chunk_id", F.array("identifiers").alias("names"), F.lit(0).alias("coverage"), F.lit(0.0).alias("score"))
+    return lexical.final_order(rows, "chunk_id", 4, "write_nvm", identifiers="names")
+
+
+@register("prose_is_no_symbol", "chunk_id:string exact_identifier:boolean", f"select chunk_id, false as exact_identifier from {duck(NAMES)}")
+def _(spark, sf_dir):
+    rows = values(spark, NAMES).select("chunk_id", F.array("identifiers").alias("names"), F.lit(0).alias("coverage"), F.lit(0.0).alias("score"))
+    return lexical.final_order(rows, "chunk_id", 4, "persistent package lifecycle", identifiers="names")
+
+
+TEXTS = ("id, q", "(1, 'Write_NVM and read-only data 42'), (2, '  __ -- '), (3, 'Persistence of évidence Évi'), (4, 'a_b-c CamelCase x1'), (5, 'transport_layer source')")
+
+
+@register("query_analysis", "id:bigint raw:string symbols:string expanded:bigint", rf"""select id, array_to_string(raw, '|') as raw, array_to_string(sym, '|') as symbols,
+ len(raw) + 0 * len(sym) as expanded from (select id, list_transform(list_filter(parts, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')), lambda t: lower(t)) as raw,
+ list_transform(list_filter(parts, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]') and regexp_matches(t, '[_0-9\p{{Lu}}]')), lambda t: lower(t)) as sym
+ from (select id, string_split_regex(q, '[^\p{{L}}\p{{N}}_-]+') as parts from {duck(TEXTS)}))""")
+def _(spark, sf_dir):
+    q = F.col("q")
+    return values(spark, TEXTS).select("id", F.array_join(T.raw_terms(q), "|").alias("raw"), F.array_join(T.symbol_terms(q), "|").alias("symbols"), F.size(T.raw_terms(q)).alias("expanded"))
+
+
+@register("query_expansion", "id:bigint terms:string", None)
+def _(spark, sf_dir):
+    return values(spark, TEXTS).select("id", F.array_join(T.expanded_terms(F.col("q")), "|").alias("terms"))
+
+
+@register("identifier_extraction", "doc_id:bigint names:string", r"""select doc_id, array_to_string(list_sort(list_slice(list_distinct_ordered, 1, 32)), '|') as names from (
+ select doc_id, list_filter(allv, lambda x, i: list_position(allv, x) = i) as list_distinct_ordered from (
+ select doc_id, list_concat([lang || '/' || doc_id || '.txt', doc_id::VARCHAR], list_filter(f, lambda t: regexp_matches(t, '[_0-9A-Z]')), f) as allv from (
+ select doc_id, lang, list_filter(string_split_regex(left(text, 2000), '[^A-Za-z0-9_]'), lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9_]{2,127}$')) as f from documents)))""")
+def _(spark, sf_dir):
+    d = corpus(spark, sf_dir).select("doc_id", "path", F.left("content", F.lit(2000)).alias("content"))
+    return d.select("doc_id", F.array_join(T.identifiers(F.col("path"), F.col("content")), "|").alias("names"))
+
+
+@register("morphology_aliases", "doc_id:bigint stems:bigint", "select doc_id, len(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^.{4,}ence$'))) as stems from documents")
+def _(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.morphology(F.col("text"))).alias("stems"))
+
+
+@register("normalised_passages", "doc_id:bigint digest:string", r"select doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) as digest from documents")
+def _(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalised_space(F.col("text")), 256).alias("digest"))
+
+
+# --- identity and corpus ----------------------------------------------------
+
+
+@register("document_identity", "doc_id:bigint content_digest:string document_id:string", f"select doc_id, content_digest, {_doc_id('repository', 'revision', 'path', 'content_digest')} as document_id from {_CORPUS}")
+def _(spark, sf_dir):
+    return corpus(spark, sf_dir)
+
+
+@register("corpus_inventory", "documents:bigint digests:bigint bytes:bigint", "select count(*) as documents, count(distinct sha256(text)) as digests, sum(strlen(text)) as bytes from documents")
+def _(spark, sf_dir):
+    return corpus(spark, sf_dir).agg(F.count("*").alias("documents"), F.countDistinct("content_digest").alias("digests"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@register("exact_duplicate_groups", "content_digest:string first_id:bigint copies:bigint", "select 'sha256:' || sha256(text) as content_digest, min(doc_id) as first_id, count(*) as copies from documents group by 1 having count(*) > 1")
+def _(spark, sf_dir):
+    return corpus(spark, sf_dir).groupBy("content_digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+
+
+@register("content_keys", "doc_id:bigint content_key:string", "select doc_id, sha256(encode(source) || unhex('00') || encode(lang || '/' || doc_id || '.txt') || unhex('00') || encode('sha256:' || sha256(text))) as content_key from documents")
+def _(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", ids.content_key(F.col("repository"), F.col("path"), F.col("content")).alias("content_key"))
+
+
+@register("source_census", "source:string lang:string documents:bigint bytes:bigint oversized:bigint", "select source, lang, count(*) as documents, sum(strlen(text)) as bytes, count(*) filter (strlen(text) > 8192) as oversized from documents group by all")
+def _(spark, sf_dir):
+    size = F.octet_length("text")
+    return read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("documents"), F.sum(size).alias("bytes"), F.count_if(size > 8192).alias("oversized"))
+
+
+BUDGET = documents.Budget(8192, 20, 40_000)
+
+
+@register("budget_admission", "grp:string path:string size:bigint verdict:string", """with recursive r as (
+ select source as grp, lang || '/' || doc_id || '.txt' as path, strlen(text) as size from documents),
+ o as (select *, row_number() over (partition by grp order by path) as rn from r where size <= 8192),
+ w as (select grp, path, size, rn, 'ok' as verdict, 1::BIGINT as n, size::BIGINT as b from o where rn = 1 union all
+ select o.grp, o.path, o.size, o.rn, case when n >= 20 then 'file_limit' when b + o.size > 40000 then 'total_bytes' else 'ok' end,
+ n + (n < 20 and b + o.size <= 40000)::INT, b + case when n < 20 and b + o.size <= 40000 then o.size else 0 end from w join o on o.grp = w.grp and o.rn = w.rn + 1)
+ select grp, path, size, verdict from w union all select grp, path, size, 'oversized' from r where size > 8192""")
+def _(spark, sf_dir):
+    rows = corpus(spark, sf_dir).select(F.col("repository").alias("grp"), "path", F.octet_length("content").alias("size"))
+    return documents.admitted(rows, "grp", BUDGET)
+
+
+@register("rejection_sample", "source:string doc_id:bigint place:bigint total:bigint", "select source, doc_id, row_number() over (partition by source order by doc_id) as place, count(*) over (partition by source) as total from documents where strlen(text) > 4096 qualify place <= 3")
+def _(spark, sf_dir):
+    rejected = read(spark, sf_dir, "documents").where(F.octet_length("text") > 4096)
+    return documents.rejection_report(rejected, ["source"], ["doc_id"], 3)
+
+
+PATHS = ("path", "('src/main.CPP'), ('docs/a.md'), ('docs/old/b.md'), ('Makefile'), ('x/y.qml'), ('x/.hidden'), ('a/b/c.yaml'), ('docs/deep/er/z.txt'), ('lib/native.h')")
+
+
+@register("path_policy", "path:string media_type:string selected:boolean", f"""select path, case when regexp_matches(lower(path), '\\.(c|h)$') then 'text/x-c' when lower(path) like '%.cpp' then 'text/x-c++' when path like '%.md' then 'text/markdown'
+ when path like '%.qml' then 'text/x-qml' when path like '%.yaml' then 'application/yaml' else 'text/plain' end as media_type,
+ regexp_matches(lower(path), '\\.(c|h|cpp)$') or (not regexp_matches(path, '^docs/old(/|$)') and (regexp_matches(path, '^docs/(?:[^/]*/)*[^/]*\\.md$') or regexp_matches(path, '^x/[^/]*\\.qml$') or path like 'a/b/%')) as selected from {duck(PATHS)}""")
+def _(spark, sf_dir):
+    policy = documents.PathPolicy(include_prefixes=("a/b",), exclude_prefixes=("docs/old",), include_patterns=("docs/**/*.md", "x/*.qml"))
+    return values(spark, PATHS).select("path", documents.media_type(F.col("path")).alias("media_type"), documents.selected(F.col("path"), policy).alias("selected"))
+
+
+COMMITS = ("commit_id, message", "('c1', 'Fix bug\\n\\nLonger text'), ('c2', '   '), ('c3', '  padded title  '), ('c4', '')")
+_COMMITS_DUCK = "(select * from (values ('c1', 'Fix bug' || chr(10) || chr(10) || 'Longer text'), ('c2', '   '), ('c3', '  padded title  '), ('c4', '')) as v(commit_id, message))"
+
+
+@register("commit_documents", "path:string title:string content:string", f"select 'commits/' || commit_id as path, trim(string_split(trim(message), chr(10))[1]) as title, trim(message) || chr(10) as content from {_COMMITS_DUCK} where trim(message) <> ''")
+def _(spark, sf_dir):
+    return documents.commit_messages(values(spark, COMMITS), 1000)
+
+
+@register("blob_verdicts", "id:bigint rejection:string content:string", "select * from (values (1, null, 'a' || chr(10) || 'b'), (2, 'binary', null), (3, 'encoding', null), (4, 'oversized', null)) as v(id, rejection, content)")
+def _(spark, sf_dir):
+    rows = spark.sql("select id, unhex(h) as data from values (1, '610D0A62'), (2, '610062'), (3, '61FF62'), (4, '61616161616161616161616161') as v(id, h)")
+    return documents.loaded_blobs(rows, 10)
+
+
+@register("membership_antijoin", "c_custkey:bigint", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def _(spark, sf_dir):
+    paths = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
+    return catalog.missing_paths(paths, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"))).select(F.col("path").alias("c_custkey"))
+
+
+@register("catalog_order", "place:bigint id:string", "select row_number() over (order by case r_name when 'ASIA' then 0 when 'EUROPE' then 1 else 2 end, n_name) as place, n_name as id from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')")
+def _(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    part = lambda r: n.where(F.col("r_name") == r).select(F.col("n_name").alias("id"), F.col("r_name").alias("category"))
+    rows = catalog.catalog_union([part("EUROPE"), part("ASIA")], {"ASIA": 0, "EUROPE": 1})
+    rank = Window.orderBy(F.when(F.col("category") == "ASIA", 0).otherwise(1), "id")  # two regions' nations: a bounded table
+    return rows.select(F.row_number().over(rank).alias("place"), "id")
+
+
+# --- chunks -----------------------------------------------------------------
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = corpus(spark, sf_dir)
+    return chunking.chunk_documents(d).join(d.select("document_id", "doc_id", "repository", "revision", "path"), "document_id")
+
+
+_CUT = "coalesce(nullif(length(regexp_extract(substr(content, pos + 1, 1200), '^(.*\\s)', 1, 's')), 0), 0)"
+_PIECES = f"""(with recursive p as (
+ select doc_id, content, 0 as ordinal, 0::BIGINT as pos, case when length(content) <= 2400 then length(content)
+  when {_CUT.replace('pos + 1', '1')} >= 120 then {_CUT.replace('pos + 1', '1')} else 1200 end as n from {_CORPUS} where trim(content) <> ''
+ union all
+ select doc_id, content, ordinal + 1, pos, case when length(content) - pos <= 1200 then length(content) - pos when {_CUT} >= 120 then {_CUT} else 1200 end
+ from (select doc_id, content, ordinal, pos + n as pos from p) where pos < length(content))
+ select doc_id, ordinal, pos, substr(content, pos + 1, n) as text, content from p)"""
+
+
+@register("chunk_bounded_split", "doc_id:bigint ordinal:bigint char_count:bigint byte_count:bigint content_digest:string", f"select doc_id, ordinal, length(text) as char_count, strlen(text) as byte_count, 'sha256:' || sha256(text) as content_digest from {_PIECES}")
+def _(spark, sf_dir):
+    return chunk_table(spark, sf_dir)
+
+
+@register("chunk_spans", "doc_id:bigint ordinal:bigint start_line:bigint end_line:bigint start_byte:bigint end_byte:bigint", f"""select doc_id, ordinal, 1 + length(pre) - length(replace(pre, chr(10), '')) as start_line,
+ 1 + length(pre || text) - length(replace(pre || text, chr(10), '')) as end_line, strlen(pre) as start_byte, strlen(pre) + strlen(text) as end_byte from (select *, substr(content, 1, pos) as pre from {_PIECES})""")
+def _(spark, sf_dir):
+    return chunk_table(spark, sf_dir)
+
+
+@register("chunk_adjacency", "doc_id:bigint ordinal:bigint has_previous:boolean has_next:boolean", f"select doc_id, ordinal, ordinal > 0 as has_previous, ordinal < max(ordinal) over (partition by doc_id) as has_next from {_PIECES}")
+def _(spark, sf_dir):
+    rows = chunking.linked(chunk_table(spark, sf_dir))
+    return rows.select("doc_id", "ordinal", F.col("previous_chunk").isNotNull().alias("has_previous"), F.col("next_chunk").isNotNull().alias("has_next"))
+
+
+@register("document_reassembly", "doc_id:bigint digest:string chunks:bigint", f"select doc_id, sha256(any_value(content)) as digest, count(*) as chunks from {_PIECES} group by doc_id")
+def _(spark, sf_dir):
+    rows = chunk_table(spark, sf_dir)
+    whole = chunking.reassembled(rows).select("document_id", F.sha2("content", 256).alias("digest"), "chunks")
+    return rows.where("ordinal = 0").select("document_id", "doc_id").join(whole, "document_id")
+
+
+@register("completeness_check", "doc_id:bigint complete:boolean", "select doc_id, true as complete from documents where trim(text) <> ''")
+def _(spark, sf_dir):
+    rows = chunk_table(spark, sf_dir)
+    return history.complete_documents(rows).join(rows.where("ordinal = 0").select("document_id", "doc_id"), "document_id")
+
+
+# --- vectors ----------------------------------------------------------------
+
+_DOT = "round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 5)"
+
+
+def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
+    return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
+
+
+@register("vector_topk", "vec_id:bigint similarity:double", f"select a.vec_id, {_DOT} as similarity from embeddings a, embeddings b where b.vec_id = 7 order by round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) desc, a.vec_id limit 10")
+def _(spark, sf_dir):
+    return vectors.top_k(read(spark, sf_dir, "embeddings"), "vec_id", vector_of(spark, sf_dir, 7), 10).withColumn("similarity", F.round("similarity", 5))
+
+
+@register("vector_topk_batch", "query_id:bigint vec_id:bigint rank:bigint", """select b.vec_id as query_id, a.vec_id, row_number() over (partition by b.vec_id order by
+ round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) desc, a.vec_id) as rank from embeddings a, embeddings b where b.vec_id % 50 = 0 qualify rank <= 5""")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return vectors.top_k_batch(e, "vec_id", e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
+@register("vector_validate", "verdict:string n:bigint", "select 'sound' as verdict, count(*) as n from embeddings")
+def _(spark, sf_dir):
+    v = F.coalesce(vectors.verdict(F.col("embedding"), 64), F.lit("sound"))
+    return read(spark, sf_dir, "embeddings").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@register("vector_reuse", "vec_id:bigint action:string", "select vec_id, case when vec_id % 3 <> 0 and label % 2 = 0 then 'reuse' else 'embed' end as action from embeddings")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").withColumn("model", F.lit("m1"))
+    old = e.where("vec_id % 3 <> 0").withColumn("model", F.when(F.col("label") % 2 == 0, "m1").otherwise("m0"))
+    return vectors.reuse_plan(e, old, "vec_id")
+
+
+@register("vector_reconcile", "vec_id:bigint first:double", """with old as (select vec_id, label, embedding from embeddings where vec_id % 4 = 0), al as (select label, min_by(embedding, vec_id) as e from old group by label)
+ select n.vec_id, round(coalesce(old.embedding, al.e)[1]::DOUBLE, 6) as first from embeddings n left join old using (vec_id) left join al on al.label = n.label""")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").withColumn("content_key", F.col("label"))
+    made = vectors.reconciled(e.select("vec_id", "content_key"), e.where("vec_id % 4 = 0"), "vec_id")
+    return made.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@register("vector_consistency", "vec_id:bigint problem:string", "select vec_id, 'missing' as problem from embeddings where vec_id % 11 = 0 union all select vec_id, 'unknown' from embeddings where vec_id % 13 = 0 and vec_id % 11 <> 0")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return vectors.inconsistencies(e.where("vec_id % 13 <> 0 or vec_id % 11 = 0"), e.where("vec_id % 11 <> 0"), "vec_id")
+
+
+@register("centroid_pooling", "label:bigint position:bigint value:double", """with m as (select label, i, avg(embedding[i]::DOUBLE) as v from embeddings, range(1, 65) r(i) group by label, i), n as (select label, sqrt(sum(v * v)) as l from m group by label)
+ select label, i - 1 as position, round(v / l, 5) as value from m join n using (label)""")
+def _(spark, sf_dir):
+    made = vectors.pooled(read(spark, sf_dir, "embeddings"), "label")
+    return made.select("label", F.posexplode("embedding").alias("position", "v")).select("label", "position", F.round("v", 5).alias("value"))
+
+
+@register("max_window_score", "label:bigint score:double", f"select a.label, max({_DOT.replace(', 5)', ', 6)')}) as score from embeddings a, embeddings b where b.vec_id = 3 group by a.label order by score desc, label limit 50")
+def _(spark, sf_dir):
+    return vectors.best_window(read(spark, sf_dir, "embeddings"), "label", vector_of(spark, sf_dir, 3))
+
+
+@register("sequence_census", "bucket:bigint windows:bigint batches:bigint real_tokens:bigint padded_tokens:bigint padding_ppm:bigint", f"""select bucket, count(*) as windows, ceil(count(*) / floor(8192 / bucket)) as batches, sum(least(t, bucket)) as real_tokens, count(*) * bucket as padded_tokens,
+ floor((count(*) * bucket - sum(least(t, bucket))) * 1000000 / (count(*) * bucket)) as padding_ppm from (select t, case when t <= 64 then 64 when t <= 256 then 256 else 1024 end as bucket from (select len({_TOKENS.format('text')}) as t from documents)) group by bucket""")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.size(T.tokens(F.col("text"))).alias("tokens"))
+    return vectors.sequence_census(rows, [64, 256, 1024], 8192)
+
+
+@register("token_statistics", "lang:string samples:bigint least:bigint median:bigint p95:bigint most:bigint", f"""select lang, count(*) as samples, min(t) as least, quantile_disc(t, 0.5) as median, quantile_disc(t, 0.95) as p95, max(t) as most from (select lang, len({_TOKENS.format('text')}) as t from documents) group by lang""")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("lang", F.size(T.tokens(F.col("text"))).alias("t"))
+    return evaluate.percentiles(rows, "t", ["lang"], {"median": 0.5, "p95": 0.95}).join(rows.groupBy("lang").agg(F.min("t").alias("least"), F.max("t").alias("most")), "lang")
+
+
+# --- fusion -----------------------------------------------------------------
+
+LEX = ("query_id, id, rank", "(1, 'a', 1), (1, 'b', 2), (1, 'c', 3), (2, 'x', 1), (2, 'y', 2)")
+SEM = ("query_id, id, rank", "(1, 'c', 1), (1, 'd', 2), (1, 'a', 3), (2, 'x', 1), (2, 'y', 2)")
+
+
+@register("rrf_fusion", "query_id:bigint id:string place:bigint score:double", f"""select query_id, id, row_number() over (partition by query_id order by score desc, id) as place, round(score, 9) as score from (select coalesce(l.query_id, s.query_id) as query_id, coalesce(l.id, s.id) as id,
+ coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) as score from {duck(LEX)} l full join {duck(SEM)} s on l.query_id = s.query_id and l.id = s.id)""")
+def _(spark, sf_dir):
+    made = fusion.reciprocal_rank(values(spark, LEX), values(spark, SEM), "id")
+    return made.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.fused_order("id")))).withColumn("score", F.round("score", 9))
+
+
+@register("rrf_over_tables", "doc_id:bigint score:double", f"""with l as (select doc_id, row_number() over (order by coverage desc, score desc, doc_id) as r from {bm25_sql(TERMS)} qualify r <= 50),
+ s as (select a.vec_id as doc_id, row_number() over (order by round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) desc, a.vec_id) as r from embeddings a, embeddings b where b.vec_id = 7 qualify r <= 50)
+ select coalesce(l.doc_id, s.doc_id) as doc_id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + s.r), 0), 9) as score from l full join s on l.doc_id = s.doc_id""")
+def _(spark, sf_dir):
+    rows = lexical.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TERMS).where("coverage > 0")
+    top = rows.orderBy(F.desc("coverage"), F.desc("score"), "doc_id").limit(50).withColumn("query_id", F.lit(1))
+    left = top.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), "doc_id")).alias("rank"))
+    right = search.semantic_hits(read(spark, sf_dir, "embeddings"), "vec_id", vector_of(spark, sf_dir, 7), 10).select(F.lit(1).alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
+    return fusion.reciprocal_rank(left, right, "doc_id").withColumn("score", F.round("score", 9))
+
+
+CAP = ("q, r, d, g", "(1, 1, 'A', 'g1'), (1, 2, 'A', 'g2'), (1, 3, 'A', 'g3'), (1, 4, 'B', 'g3'), (1, 5, 'B', 'g1'), (1, 6, 'B', 'g4')")
+
+
+@register("document_cap_dedup", "q:bigint r:bigint d:string g:string", f"select * from {duck(CAP)} where r in (1, 2, 4, 6)")
+def _(spark, sf_dir):
+    return fusion.capped(values(spark, CAP), "q", "r", "d", "g", 2, 10)
+
+
+@register("document_cap_on_tables", "lang:string n:bigint kept:bigint", None)
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("doc_id % 5 = 0").withColumn("g", F.sha2("text", 256))
+    kept = fusion.capped(d, "lang", "doc_id", "source", "g", 2, 100)
+    return d.groupBy("lang").agg(F.count("*").alias("n")).join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang")
+
+
+PARTS = ("document_id, ordinal, text", "('d', 0, 'zero'), ('d', 1, 'one'), ('d', 2, 'two'), ('d', 3, 'three'), ('d', 4, 'four'), ('e', 0, 'other')")
+
+
+@register("adjacent_context", "anchor_id:string passage:string neighbor_count:bigint", "select * from (values ('a1', 'two|zero|one|three|four', 4), ('a2', 'three', 0), ('a3', 'other', 0)) as v(anchor_id, passage, neighbor_count)")
+def _(spark, sf_dir):
+    chunks = values(spark, PARTS)
+    wide = fusion.with_context(values(spark, ("anchor_id, document_id, ordinal", "('a1', 'd', 2), ('a3', 'e', 0)")), chunks, 100, joiner="|")
+    tight = fusion.with_context(values(spark, ("anchor_id, document_id, ordinal", "('a2', 'd', 3)")), chunks, 8, joiner="|")
+    return wide.unionByName(tight)
+
+
+@register("history_collapse", "lang:string digest:string rank:bigint occurrences:bigint first_revision:string representative:string", """select lang, digest, min(doc_id) as rank, count(*) as occurrences, min(source) as first_revision, min_by(source, doc_id) as representative from
+ (select lang, sha256(text) as digest, doc_id, source from documents) group by all""")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("digest"), "doc_id", "source")
+    return fusion.collapsed(d.withColumnRenamed("doc_id", "rank"), ["lang", "digest"], "rank", "source")
+
+
+@register("facet_topk", "facet_id:bigint candidate_id:bigint rank:bigint", """select n_regionkey as facet_id, c_custkey as candidate_id, row_number() over (partition by n_regionkey order by c_acctbal desc, c_custkey) as rank from customer join nation on c_nationkey = n_nationkey where n_regionkey < 3 qualify rank <= 2""")
+def _(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = c.select(F.col("c_custkey").alias("candidate_id"), F.col("n_regionkey").alias("repository"), F.lit("s").alias("stage"), F.lit("v1").alias("revision"), F.col("c_acctbal").alias("score"), F.lit(0.0).alias("retrieval_score"))
+    facets = spark.sql("select id as facet_id, id as repository, 's' as stage, cast(null as string) as era from range(3)")
+    return fusion.facet_top_k(rows, facets, 2)
+
+
+# --- evaluation -------------------------------------------------------------
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, judgments and a run: customers ask, their orders are judged by priority and ranked by price."""
+    o = read(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    run = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    grade = F.when(F.col("o_orderkey") % 7 == 0, 2).when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
+    qrels = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), grade.alias("grade"))
+    queries = read(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("query_id"), F.col("c_mktsegment").alias("intent"), F.col("c_nationkey").cast("string").alias("category"))
+    return queries, qrels, run
+
+
+_METRICS = """(with o as (select o_custkey as query_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank,
+ case when o_orderkey % 7 = 0 then 2 when o_orderkey % 3 = 0 then 1 else 0 end as grade from orders where o_custkey % 10 = 1),
+ j as (select query_id, count(*) filter (rank <= 5 and grade > 0) as hits, min(case when grade > 0 and rank <= 10 then rank end) as first,
+ sum(case when rank <= 10 and grade > 0 then (pow(2, grade) - 1) / log2(rank + 1.0::DOUBLE) end) as dcg from o group by query_id),
+ g as (select query_id, grade, row_number() over (partition by query_id order by grade desc, id) as r from o where grade > 0),
+ i as (select query_id, count(*) as relevant, sum(case when r <= 10 then (pow(2, grade) - 1) / log2(r + 1.0::DOUBLE) end) as idcg from g group by query_id)
+ select c_custkey as query_id, c_mktsegment as intent, c_nationkey::VARCHAR as category, round(coalesce(hits / relevant, 0), 6) as recall_at_5, round(coalesce(1.0::DOUBLE / first, 0), 6) as mrr_at_10,
+ round(coalesce(dcg / idcg, 0), 6) as ndcg_at_10 from customer left join j on j.query_id = c_custkey left join i on i.query_id = c_custkey where c_custkey % 10 = 1)"""
+
+
+@register("retrieval_metrics", "query_id:bigint recall_at_5:double mrr_at_10:double ndcg_at_10:double", f"select * from {_METRICS}")
+def _(spark, sf_dir):
+    queries, qrels, run = judged(spark, sf_dir)
+    return evaluate.query_metrics(run, qrels, queries)
+
+
+@register("metrics_by_group", "dimension:string value:string queries:bigint recall_at_5_sum:bigint mrr_at_10_sum:bigint ndcg_at_10_sum:bigint", f"""select case when grouping(intent) = 0 then 'intent' else 'category' end as dimension, coalesce(intent, category) as value, count(*) as queries,
+ sum(round(recall_at_5 * 1000000)) as recall_at_5_sum, sum(round(mrr_at_10 * 1000000)) as mrr_at_10_sum, sum(round(ndcg_at_10 * 1000000)) as ndcg_at_10_sum from {_METRICS} group by grouping sets ((intent), (category))""")
+def _(spark, sf_dir):
+    queries, qrels, run = judged(spark, sf_dir)
+    return evaluate.grouped_metrics(evaluate.query_metrics(run, qrels, queries), ["intent", "category"])
+
+
+@register("quality_gate", "metric:string actual:double required:double passed:boolean", f"""select metric, actual, required, actual >= required as passed from (select unnest(['recall_at_5', 'mrr_at_10', 'ndcg_at_10']) as metric,
+ unnest([round(avg(recall_at_5), 4), round(avg(mrr_at_10), 4), round(avg(ndcg_at_10), 4)]) as actual, unnest([0.9, 0.8, 0.8]) as required from {_METRICS})""")
+def _(spark, sf_dir):
+    queries, qrels, run = judged(spark, sf_dir)
+    return evaluate.gate(evaluate.query_metrics(run, qrels, queries)).withColumn("actual", F.round("actual", 4))
+
+
+@register("duplicate_rate", "query_id:bigint duplicate_rate:double diversity:double", """with o as (select o_custkey as q, o_orderstatus as d, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders where o_custkey % 10 = 1 qualify rank <= 5)
+ select q as query_id, round(1 - count(distinct d) / count(*), 6) as duplicate_rate, round(count(distinct d) / count(*), 6) as diversity from o group by q""")
+def _(spark, sf_dir):
+    _, _, run = judged(spark, sf_dir)
+    status = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    return evaluate.duplicate_rate(run.join(status, "id"), "o_orderstatus")
+
+
+@register("latency_percentiles", "event_type:string samples:bigint p50:bigint p95:bigint", "select event_type, count(*) as samples, quantile_disc(event_id, 0.5) as p50, quantile_disc(event_id, 0.95) as p95 from events group by event_type")
+def _(spark, sf_dir):
+    return evaluate.percentiles(read(spark, sf_dir, "events"), "event_id", ["event_type"], {"p50": 0.5, "p95": 0.95})
+
+
+@register("stratified_sample", "doc_id:bigint turn:bigint", """select doc_id, row_number() over (partition by lang, b order by doc_id) as turn from (select doc_id, lang, case when length(text) <= 512 then 0 when length(text) < 4096 then 1 else 2 end as b from documents)
+ order by turn, lang, b, doc_id limit 40""")
+def _(spark, sf_dir):
+    size = F.length("text")
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.when(size <= 512, 0).when(size < 4096, 1).otherwise(2).alias("b"))
+    return evaluate.stratified(d, ["lang", "b"], ["doc_id"], 40)
+
+
+@register("judged_sample", "doc_id:bigint judged:boolean", """with j as (select doc_id from labels where quality = 1 and doc_id % 10 = 0), n as (select count(*) as held from documents where doc_id in (from j)),
+ r as (select doc_id, row_number() over (order by doc_id) - 1 as p, count(*) over () as others from documents where doc_id not in (from j)),
+ s as (select doc_id, p, greatest(1, others // greatest(1, 100 - held)) as step, held from r, n)
+ select doc_id, true as judged from documents where doc_id in (from j) union all select doc_id, false from s where p % step = 0 and p / step < greatest(0, 100 - held)""")
+def _(spark, sf_dir):
+    j = read(spark, sf_dir, "labels").where("quality = 1 and doc_id % 10 = 0")
+    return evaluate.judged_sample(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", j, 100)
+
+
+@register("profile_totals", "function:string samples:bigint", "select event_type || '.' || (user_id % 10) as function, count(*) as samples from events group by 1 having count(*) >= 5 order by samples desc, function limit 20")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    name = F.concat("event_type", F.lit("."), (F.col("user_id") % 10).cast("string"))
+    return evaluate.profile_totals(e.select(name.alias("function"), F.lit(1).alias("samples")), 20, 5)
+
+
+@register("profile_diff", "function:string before:double after:double delta:double", """with a as (select event_type as f, count(*) as b from events where event_id % 2 = 0 and event_type <> 'click' group by 1), c as (select event_type as f, count(*) * 1.5::DOUBLE as n from events where event_id % 3 = 0 group by 1)
+ select coalesce(a.f, c.f) as function, coalesce(b, 0) as before, coalesce(n, 0) as after, round(coalesce(n, 0) - coalesce(b, 0), 6) as delta from a full join c on a.f = c.f where abs(coalesce(n, 0) - coalesce(b, 0)) >= 0.01""")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    before = e.where("event_id % 2 = 0 and event_type <> 'click'").select(F.col("event_type").alias("function"), F.lit(1.0).alias("percent"))
+    after = e.where("event_id % 3 = 0").select(F.col("event_type").alias("function"), F.lit(1.5).alias("percent"))
+    return evaluate.profile_diff(before, after)
+
+
+STACKS = ("frames", "('a;b;a;main'), ('b;main'), ('a;main')")
+
+
+@register("self_inclusive", "function:string self_samples:bigint inclusive_samples:bigint", f"""with s as (select string_split(frames, ';') as f from {duck(STACKS)}), i as (select x as function, count(*) as n from (select unnest(list_distinct(f)) as x from s) group by 1), l as (select f[1] as function, count(*) as n from s group by 1)
+ select i.function, coalesce(l.n, 0) as self_samples, i.n as inclusive_samples from i left join l using (function)""")
+def _(spark, sf_dir):
+    return evaluate.self_and_inclusive(values(spark, STACKS).select(F.split("frames", ";").alias("frames")))
+
+
+@register("gold_matching", "gold_id:bigint rank:bigint matched:boolean", """select item_id as gold_id, coalesce(min(doc_id), -1) as rank, min(doc_id) is not null as matched from benchmark left join documents on contains(lower(documents.text), lower(benchmark.text)) and lang = 'en' group by item_id""")
+def _(spark, sf_dir):
+    results = read(spark, sf_dir, "documents").select(F.col("lang").alias("repository"), F.lit("p/x").alias("path"), F.col("text").alias("passage"), F.col("doc_id").alias("rank"))
+    gold = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("gold_id"), F.lit("en").alias("repository"), F.lit("p/").alias("prefix"), F.array("text").alias("required_terms"))
+    return evaluate.gold_matches(results, gold).withColumn("rank", F.coalesce("rank", F.lit(-1)))
+
+
+@register("unknown_judgments", "doc_id:bigint", "select doc_id from labels where doc_id not in (select doc_id from documents where doc_id % 9 <> 0)")
+def _(spark, sf_dir):
+    known = read(spark, sf_dir, "documents").where("doc_id % 9 <> 0").select(F.col("doc_id").alias("id"))
+    return evaluate.unknown_judgments(read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"), known).select(F.col("id").alias("doc_id"))
+
+
+@register("evidence_counters", "query_id:string rows:bigint with_provenance:bigint paths:bigint contents:bigint repeated:bigint", "select source as query_id, count(*) as rows, count(lang) as with_provenance, count(distinct lang) as paths, count(distinct sha256(text)) as contents, count(*) - count(distinct sha256(text)) as repeated from documents group by source")
+def _(spark, sf_dir):
+    return evaluate.evidence_counters(read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("lang").alias("path"), F.sha2("text", 256).alias("content_digest")))
+
+
+# --- graph ------------------------------------------------------------------
+
+_EDGES = "(select l_orderkey as scope, l_orderkey * 10 + l_linenumber as source, lead(l_orderkey * 10 + l_linenumber) over (partition by l_orderkey order by l_linenumber) as target from (select distinct l_orderkey, l_linenumber from lineitem where l_orderkey % 5 = 1))"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 1").select("l_orderkey", "l_linenumber").distinct()
+    return rows.select(F.col("l_orderkey").alias("scope"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), "l_linenumber")
+
+
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(lines(spark, sf_dir), "node", ["scope"], "l_linenumber")
+
+
+@register("adjacency_edges", "scope:bigint source:bigint target:bigint", f"select * from {_EDGES} where target is not null")
+def _(spark, sf_dir):
+    return line_edges(spark, sf_dir)
+
+
+@register("graph_offsets", "node:bigint n:bigint start:bigint", f"select node, n, total - n as start from (select node, n, sum(n) over (order by node) as total from (select source as node, (target is not null)::INT as n from {_EDGES}))")
+def _(spark, sf_dir):
+    return graph.offsets(line_edges(spark, sf_dir), lines(spark, sf_dir), "source").withColumnRenamed("offset", "start")
+
+
+@register("graph_neighbours", "node:bigint relation:string", f"select source as node, 'adjacent-next' as relation from {_EDGES} where target = 12 union all select target, 'adjacent-next' from {_EDGES} where source = 12 and target is not null")
+def _(spark, sf_dir):
+    e = line_edges(spark, sf_dir)
+    return graph.neighbours(e, 12, outgoing=False).unionByName(graph.neighbours(e, 12))
+
+
+@register("bounded_expansion", "seed:bigint node:bigint hop:bigint", f"""with recursive e as (select source, target from {_EDGES} where target is not null), w as (select source as seed, source as node, 0 as hop from {_EDGES} where source % 10 = 1 and scope % 50 = 1 union all
+ select seed, target, hop + 1 from w join e on e.source = w.node where hop < 2) select * from w""")
+def _(spark, sf_dir):
+    seeds = lines(spark, sf_dir).where("node % 10 = 1 and scope % 50 = 1").select("node")
+    return graph.expanded(line_edges(spark, sf_dir), seeds)
+
+
+@register("graph_validate", "problem:string n:bigint", f"select 'dangling' as problem, count(*) as n from (select unnest([source, target]) as x from {_EDGES} where target is not null) where x % 7 = 0 having count(*) > 0")
+def _(spark, sf_dir):
+    return graph.problems(lines(spark, sf_dir).where("node % 7 <> 0"), line_edges(spark, sf_dir).drop("scope"), "scope")
+
+
+# --- history ----------------------------------------------------------------
+
+PARENTS = ("commit, parent, place", "('c2', 'c1', 0), ('c3', 'c2', 0), ('d1', 'c2', 0), ('d2', 'd1', 0), ('m1', 'c3', 0), ('m1', 'd1', 1), ('e1', 'm1', 0)")
+TREE = ("commit, path, blob", "('c1', 'a', 'b1'), ('c1', 'b', 'b2'), ('c2', 'a', 'b3'), ('c2', 'b', 'b2'), ('c3', 'a', 'b3'), ('c3', 'c', 'b4'), ('d1', 'a', 'b3'), ('d1', 'b', 'b5')")
+
+
+@register("reachable_commits", "tip:string commit:string depth:bigint", f"""with recursive w as (select t as tip, t as "commit", 0 as depth from (values ('e1'), ('d2')) as v(t) union all
+ select tip, parent, depth + 1 from w join {duck(PARENTS).replace('commit, parent', '"commit", parent')} p on p."commit" = w."commit") select tip, "commit", min(depth) as depth from w group by all""")
+def _(spark, sf_dir):
+    return history.ancestors(values(spark, PARENTS).select("commit", "parent"), spark.createDataFrame([("e1",), ("d2",)], "commit string"))
+
+
+@register("merge_base", "commit:string left_depth:bigint right_depth:bigint", """select 'd1' as "commit", 2 as left_depth, 1 as right_depth""")
+def _(spark, sf_dir):
+    reached = history.ancestors(values(spark, PARENTS).select("commit", "parent"), spark.createDataFrame([("e1",), ("d2",)], "commit string"))
+    return history.merge_base(reached, "e1", "d2")
+
+
+@register("tree_changes", "commit:string path:string blob:string change:string", f"""with t as {duck(TREE).replace('(commit,', '("commit",')}, p as {duck(PARENTS).replace('(commit,', '("commit",')}
+ select t."commit", t.path, t.blob, case when o.blob is null then 'added' else 'changed' end as change from t left join p on p."commit" = t."commit" and place = 0 left join t o on o."commit" = p.parent and o.path = t.path where o.blob is null or o.blob <> t.blob""")
+def _(spark, sf_dir):
+    return history.tree_changes(values(spark, TREE), values(spark, PARENTS))
+
+
+@register("blob_first_seen", "digest:string doc_id:bigint source:string", "select sha256(text) as digest, min(doc_id) as doc_id, min_by(source, doc_id) as source from documents group by 1")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id", "source")
+    return history.first_seen(d, ["digest"], ["doc_id"])
+
+
+@register("incremental_reconcile", "doc_id:bigint keep:boolean", "select doc_id, source not in ('src1', 'src2') and doc_id % 7 <> 0 as keep from documents")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("revision"), F.col("doc_id").alias("document_id"))
+    alive = d.where(~F.col("revision").isin("src1", "src2")).select(F.col("revision").alias("commit")).distinct()
+    return history.reconciled(d, alive, d.where("doc_id % 7 = 0"))
+
+
+REFS = ("name, full_name, commit, is_default", "('main', 'refs/heads/main', 'e1', true), ('v1.10', 'refs/tags/v1.10', 'c3', false), ('v1.9', 'refs/tags/v1.9', 'c2', false), ('release_2_0', 'refs/tags/release_2_0', 'd1', false), ('topic', 'refs/heads/topic', 'd2', false)")
+
+
+@register("release_order", "place:bigint name:string", "select * from (values (1, 'main'), (2, 'v1.9'), (3, 'v1.10'), (4, 'release_2_0'), (5, 'topic')) as v(place, name)")
+def _(spark, sf_dir):
+    order = history.version_order("is_default", "name", "full_name")
+    return values(spark, REFS).select(F.row_number().over(Window.orderBy(*order)).alias("place"), "name")  # an inline table
+
+
+@register("version_page", "c_custkey:bigint c_name:string", "select c_custkey, c_name from customer order by c_acctbal desc, c_custkey limit 50 offset 100")
+def _(spark, sf_dir):
+    return history.page(read(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], "v1:100")[0]
+
+
+@register("selector_resolution", "selector:string commit:string", """select * from (values ('main', 'e1'), ('refs/tags/v1.9', 'c2'), ('nothing', null)) as v(selector, "commit")""")
+def _(spark, sf_dir):
+    reached = spark.createDataFrame([("e1", "c1")], "tip string, commit string")
+    return history.resolved(spark.createDataFrame([("main",), ("refs/tags/v1.9",), ("nothing",)], "selector string"), values(spark, REFS), reached)
+
+
+@register("version_listing", "name:string prepared:boolean", "select * from (values ('v1.10', true), ('v1.9', false)) as v(name, prepared)")
+def _(spark, sf_dir):
+    refs = values(spark, REFS).withColumn("repository", F.lit("r")).withColumn("kind", F.when(F.startswith("full_name", F.lit("refs/tags")), "tag").otherwise("branch"))
+    held = spark.createDataFrame([("r", "c3")], "repository string, commit string")
+    return store.listed_versions(refs, held, ["r"], ["tag"], "v")
+
+
+# --- investigation and feedback ---------------------------------------------
+
+FACETS = ("facet_id, repository, stage, era, question", "('f1', 'r1', 'build', null, 'how'), ('f2', 'r2', 'load', 'v2', 'where'), ('f3', 'r3', 'run', null, 'when')")
+EVIDENCE = ("evidence_id, facet_id, repository, stage, revision, adjacent", "('e1', 'f1', 'r1', 'build', 'v1', false), ('e2', 'f2', 'r2', 'load', 'v1', false), ('e3', 'f3', 'r9', 'run', 'v1', false), ('e4', 'f3', 'r3', 'run', 'v1', true), ('e5', 'f2', 'r2', 'run', 'v2', false)")
+_VERDICT = f"""(select evidence_id, e.facet_id, case when e.adjacent then 'adjacent' when e.repository <> f.repository then 'wrong_repository' when e.stage <> f.stage then 'wrong_stage'
+ when f.era is not null and e.revision <> f.era then 'wrong_era' else 'qualifying' end as verdict from {duck(EVIDENCE)} e join {duck(FACETS)} f on e.facet_id = f.facet_id)"""
+
+
+@register("coverage_audit", "evidence_id:string facet_id:string verdict:string", f"select * from {_VERDICT}")
+def _(spark, sf_dir):
+    return investigate.classified(values(spark, EVIDENCE), values(spark, FACETS))
+
+
+@register("missing_facets", "facet_id:string query:string", f"select facet_id, repository || ' ' || stage || coalesce(' ' || era, '') || ' ' || question as query from {duck(FACETS)} where facet_id not in (select facet_id from {_VERDICT} where verdict = 'qualifying')")
+def _(spark, sf_dir):
+    facets = values(spark, FACETS)
+    return investigate.planned(facets, investigate.missing_facets(values(spark, EVIDENCE), facets))
+
+
+@register("answer_validation", "facet_id:string", "select * from (values ('f2'), ('f3')) as v(facet_id)")
+def _(spark, sf_dir):
+    return investigate.uncited(values(spark, FACETS), values(spark, EVIDENCE), spark.createDataFrame([("e1",), ("e2",)], "evidence_id string"))
+
+
+@register("contract_extension", "facet_id:string change:string", "select * from (values ('f1', 'kept'), ('f2', 'conflict'), ('f3', 'kept'), ('f4', 'new')) as v(facet_id, change)")
+def _(spark, sf_dir):
+    more = values(spark, ("facet_id, repository, stage, era", "('f1', 'r1', 'build', null), ('f2', 'r2', 'load', 'v3'), ('f4', 'r4', 'run', null)"))
+    return investigate.extended(values(spark, FACETS), more)
+
+
+RECORDS = ("record_id, supersedes, covered", "('n1', null, false), ('n2', 'n1', false), ('n3', null, true), ('n4', null, null)")
+
+
+@register("feedback_active", "record_id:string", "select * from (values ('n2'), ('n4')) as v(record_id)")
+def _(spark, sf_dir):
+    return search.active(values(spark, RECORDS))
+
+
+@register("feedback_insert", "record_id:string", "select * from (values ('n1'), ('n2'), ('n3'), ('n4'), ('n5')) as v(record_id)")
+def _(spark, sf_dir):
+    return search.inserted(values(spark, RECORDS), values(spark, ("record_id, supersedes, covered", "('n2', 'x', false), ('n5', 'n4', false)")))
+
+
+@register("correction_annotation", "rank:bigint corrections:string", "select * from (values (1, 'k1|k2'), (2, ''), (3, 'k2')) as v(rank, corrections)")
+def _(spark, sf_dir):
+    results = values(spark, ("rank, chunk_id, document_id", "(1, 'c1', 'd1'), (2, 'c2', 'd2'), (3, 'c3', 'd3')"))
+    fixes = spark.createDataFrame([("k1", ["c1"]), ("k2", ["d1", "c3", "d3"])], "record_id string, affected array<string>")
+    return search.annotated(results, fixes, ["chunk_id", "document_id"]).withColumn("corrections", F.array_join("corrections", "|"))
+
+
+@register("conversation_notes", "conv_id:bigint turn:bigint question:string lesson:string", "select conv_id, turn, sha256(text) as question, sha256(nxt) as lesson from (select *, lead(text) over (partition by conv_id order by turn) as nxt, lead(role) over (partition by conv_id order by turn) as r2 from conversations) where role = 'user' and r2 = 'assistant'")
+def _(spark, sf_dir):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, sf_dir, "conversations").select("*", F.lead("text").over(order).alias("nxt"), F.lead("role").over(order).alias("r2"))
+    return rows.where("role = 'user' and r2 = 'assistant'").select("conv_id", "turn", F.sha2("text", 256).alias("question"), F.sha2("nxt", 256).alias("lesson"))
+
+
+# --- whole service, sources, streams ----------------------------------------
+
+
+@register("search_service", "rank:bigint path:string occurrences:bigint score:double", None)
+def _(spark, sf_dir):
+    chunks = chunk_table(spark, sf_dir)
+    return search.search(chunks, search.Request("this with that", limit=10))[0]
+
+
+URIS = ("uri", "('corpus://knowledge/chunk/abc'), ('corpus://knowledge/document/a%20b'), ('corpus://knowledge/other/x'), ('http://x')")
+
+
+@register("resource_uris", "uri:string kind:string id:string", f"select uri, case when uri like '%/chunk/%' then 'chunk' when uri like '%/document/%' then 'document' end as kind, case when uri like '%/chunk/%' then 'abc' when uri like '%/document/%' then 'a b' end as id from {duck(URIS)}")
+def _(spark, sf_dir):
+    rows = values(spark, URIS).select("uri", T.resource_uri(F.col("uri")).alias("u"))
+    return rows.select("uri", "u.kind", F.when(F.col("u.kind").isNotNull(), F.col("u.id")).alias("id"))
+
+
+@register("percent_paths", "page_id:bigint path:string", "select page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') as path from pages")
+def _(spark, sf_dir):
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    return read(spark, sf_dir, "pages").select("page_id", T.percent_decoded(T.percent_encoded(path)).alias("path"))
+
+
+@register("change_detection", "user_id:bigint event_id:bigint event_type:string change:string", """select user_id, event_id, event_type, case when row_number() over w = 1 then 'baseline' when lag(event_type) over w = event_type then 'same' else 'changed' end as change from events window w as (partition by user_id order by event_id)""")
+def _(spark, sf_dir):
+    return watch.changes(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@register("windowed_totals", "window_start:timestamp event_type:string events:bigint total:double", "select time_bucket(interval '1 hour', ts::TIMESTAMP) as window_start, event_type, count(*) as events, round(sum(value), 4) as total from events group by all")
+def _(spark, sf_dir):
+    return watch.windowed_totals(read(spark, sf_dir, "events"), "ts", ["event_type"], "value", "1 hour")
+
+
+PRIORITIES = ("id, category, summary, catalog_ref", "('a-b', 'x', 'Fix the (bug), now!', 'p.json'), ('c', 'y', 'one one', 'q.json')")
+
+
+@register("priority_entries", "id:string name:string keywords:string", "select * from (values ('priority.a-b', 'a_b', 'Fix|a|b|bug|now|the'), ('priority.c', 'c', 'c|one')) as v(id, name, keywords)")
+def _(spark, sf_dir):
+    return catalog.priority_entries(values(spark, PRIORITIES)).withColumn("keywords", F.array_join("keywords", "|"))
+
+
+@register("markdown_summaries", "id:bigint summary:string", "select * from (values (1, 'Title. First line second line'), (2, 'fallback'), (3, 'Only')) as v(id, summary)")
+def _(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "# Title\n\n**Note:** x\n| a |\nFirst line\nsecond line\n\nrest"), (2, "\n"), (3, "# Only\n")], "id int, t string")
+    return rows.select("id", catalog.markdown_summary(F.col("t"), F.when(F.col("id") == 3, "").otherwise("fallback")).alias("summary"))
+
+
+@register("descriptor_properties", "name:string kind:string value:string duplicate:boolean", "select * from (values ('pkgName', 'string', 'Demo', false), ('full', 'bool', 'true', true)) as v(name, kind, value, duplicate)")
+def _(spark, sf_dir):
+    rows = [("p", 1, 'property string pkgName: "Demo"'), ("p", 2, "// property bool x: true"), ("p", 3, "property bool full: true;"), ("p", 4, "property bool full: false"), ("p", 5, "other")]
+    return catalog.descriptor_properties(spark.createDataFrame(rows, "path string, line_no int, line string"))
