@@ -107,6 +107,8 @@ class Models:
 def fit(rows: list[tuple[str, str]], order: int = 4, discount: float = 0.75, calibrate: int = 5) -> Models:
     """Fits models on (text, language) rows; every `calibrate`-th row only calibrates score and rejection."""
     languages = sorted({lang for _, lang in rows})
+    if not languages:
+        return Models([], order, [], [], [])
     words: list[Counter] = [Counter() for _ in languages]
     kept: list[tuple[str, str]] = []
     for i, (text, lang) in enumerate(rows):
