@@ -160,7 +160,7 @@ def warning_code(warning: Column) -> Column:
 
 
 def normalised_list(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(values, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(values, lambda v: F.trim(v))))
 
 
 def remote_identity(url: Column) -> Column:

@@ -30,7 +30,7 @@ def priority_entries(rows: DataFrame) -> DataFrame:
 
 def markdown_summary(text: Column, fallback: Column) -> Column:
     """Title and first paragraph: of the lines, headings, tables, rules and bold labels are passed over; a blank line after text ends it."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda r: F.trim(r))
     title = F.try_element_at(F.filter(lines, lambda r: r.startswith("# ")), F.lit(1))
     bare = F.trim(F.regexp_replace(title, "^#+", ""))
     start = F.struct(F.lit("").alias("p"), F.lit(False).alias("done"))
