@@ -134,3 +134,49 @@ def evidence_counters(rows: DataFrame) -> DataFrame:
         F.count("*").alias("rows"), F.count("path").alias("with_provenance"), F.countDistinct("path").alias("paths"),
         F.countDistinct("content_digest").alias("contents"), (F.count("content_digest") - F.countDistinct("content_digest")).alias("repeated"),
     )
+
+
+def path_metrics(evidence: DataFrame, facets: DataFrame) -> DataFrame:
+    """One row: facet coverage, whether the path is complete, shares of evidence of a wrong era and of use, repeated contents and shortcuts.
+
+    evidence: evidence_id, facet_id, verdict, content_key; a shortcut is a qualifying facet whose predecessor (facets: facet_id, after) has none.
+    """
+    total = facets.agg(F.count("*").alias("facets"))
+    good = evidence.where("verdict = 'qualifying'").select("facet_id").distinct()
+    met = facets.join(good.withColumn("_g", F.lit(1)), "facet_id", "left").join(good.select(F.col("facet_id").alias("after"), F.lit(1).alias("_p")), "after", "left")
+    found = met.agg(F.count("_g").alias("covered"), F.count_if(F.col("_g").isNotNull() & F.col("after").isNotNull() & F.col("_p").isNull()).alias("shortcuts"))
+    seen = evidence.agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "wrong_era").alias("wrong"), F.count_if(F.col("verdict") == "qualifying").alias("used"),
+        (F.count("content_key") - F.countDistinct("content_key")).alias("repeated"),
+    )
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return total.crossJoin(found).crossJoin(seen).select(  # single rows
+        share("covered", "facets").alias("facet_coverage"), (F.col("covered") == F.col("facets")).alias("complete"), share("wrong", "n").alias("wrong_era_rate"),
+        share("used", "n").alias("utilisation"), share("repeated", "n").alias("duplicate_waste"), share("shortcuts", "facets").alias("shortcut_rate"),
+    )
+
+
+def suite(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and judgments of a JSON suite file: a bare list, or an object with `queries`; relevant maps ids to grades."""
+    schema = "id string, text string, intent string, failure_category string, relevant map<string,int>"
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    bare = F.ltrim("v").startswith("[")
+    rows = text.select(F.explode(F.when(bare, F.from_json("v", f"array<struct<{_ddl(schema)}>>")).otherwise(F.from_json("v", f"struct<queries:array<struct<{_ddl(schema)}>>>")["queries"])).alias("q")).select("q.*")
+    qrels = rows.select(F.col("id").alias("query_id"), F.explode("relevant").alias("id", "grade"))
+    return rows.select(F.col("id").alias("query_id"), "text", "intent", "failure_category"), qrels
+
+
+def _ddl(schema: str) -> str:
+    """The inside of a struct from a column list: `name type` pairs as `name:type`; commas within brackets stay."""
+    out, depth = "", 0
+    expect = True
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == " " and expect and depth == 0 and out and not out.endswith(","):
+            out, expect = out + ":", False
+            continue
+        if c == "," and depth == 0:
+            expect = True
+        if not (c == " " and (not out or out.endswith(","))):
+            out += c
+    return out

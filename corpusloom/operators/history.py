@@ -101,3 +101,32 @@ def page(df: DataFrame, order: list[Column], cursor: str | None = None, limit: i
         offset = int(number)
     size = min(limit or 50, most)
     return df.orderBy(*order).offset(offset).limit(size), f"v1:{offset + size}"
+
+
+def newest_admitted(rows: DataFrame, size: str, order: list[Column], total: int) -> DataFrame:
+    """Rows in order while their running size fits; for sizes of like magnitude, where nothing after an overflow is wanted.
+
+    The running sum goes over ranges of the order first, so that no task sees all rows.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    inner = placed.withColumn("_i", F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = placed.groupBy("_part").agg(F.sum(size).alias("_t"))
+    before = totals.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_b"))  # a row for each partition
+    return inner.join(F.broadcast(before), "_part").where(F.col("_i") + F.col("_b") <= total).select(*rows.columns)
+
+
+def reserved(entries: DataFrame, current: DataFrame) -> DataFrame:
+    """Blobs (path, blob, size) with priority 0 where a current tree has them and 1 else: current trees spend a budget before deleted history."""
+    held = current.select("path", "blob").distinct().withColumn("_c", F.lit(0))
+    return entries.select("path", "blob", "size").distinct().join(held, ["path", "blob"], "left").withColumn("priority", F.coalesce("_c", F.lit(1))).drop("_c")
+
+
+def passages_once(chunks: DataFrame) -> DataFrame:
+    """The first chunk (by sequence) of each content key and revision."""
+    return first_seen(chunks, ["content_key", "revision"], ["sequence"])
+
+
+def changed_index(previous: DataFrame, removed: DataFrame, added: DataFrame, key: str) -> DataFrame:
+    """previous without the removed documents, plus what was added; an added document replaces its old form."""
+    gone = removed.select(key).unionByName(added.select(key)).distinct()
+    return previous.join(gone, key, "left_anti").unionByName(added)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import ids
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, documents, evaluate, fusion, graph, history, investigate, lexical, vectors
+from corpusloom.operators import chunking, documents, evaluate, fusion, graph, history, investigate, lexical, lookup, vectors
 from corpusloom.plans import search, store
 from corpusloom.sources import catalog
 from corpusloom.streaming import watch
@@ -351,9 +351,9 @@ def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-@register("vector_topk", "vec_id:bigint similarity:double", f"select a.vec_id, {_DOT} as similarity from embeddings a, embeddings b where b.vec_id = 7 order by round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) desc, a.vec_id limit 10")
+@register("vector_topk", "vec_id:bigint similarity:double", f"select a.vec_id, {_DOT.replace(', 5)', ', 6)')} as similarity from embeddings a, embeddings b where b.vec_id = 7 order by round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) desc, a.vec_id limit 10")
 def _(spark, sf_dir):
-    return vectors.top_k(read(spark, sf_dir, "embeddings"), "vec_id", vector_of(spark, sf_dir, 7), 10).withColumn("similarity", F.round("similarity", 5))
+    return vectors.top_k(read(spark, sf_dir, "embeddings"), "vec_id", vector_of(spark, sf_dir, 7), 10)
 
 
 @register("vector_topk_batch", "query_id:bigint vec_id:bigint rank:bigint", """select b.vec_id as query_id, a.vec_id, row_number() over (partition by b.vec_id order by
@@ -811,3 +811,76 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = [("p", 1, 'property string pkgName: "Demo"'), ("p", 2, "// property bool x: true"), ("p", 3, "property bool full: true;"), ("p", 4, "property bool full: false"), ("p", 5, "other")]
     return catalog.descriptor_properties(spark.createDataFrame(rows, "path string, line_no int, line string"))
+
+
+# --- lookups, admission, further sources -------------------------------------
+
+
+@register("metadata_lookup", "chunk_id:bigint document_id:string content_digest:string", "select doc_id as chunk_id, lang as document_id, sha256(text) as content_digest from documents where doc_id % 50 = 0 and source = 'src0'")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("document_id"), F.lit(None).cast("string").alias("registered_id"), F.sha2("text", 256).alias("content_digest"), F.col("source").alias("repository"))
+    return lookup.metadata(d, d.where("chunk_id % 50 = 0").select("chunk_id"), repository="src0")
+
+
+@register("content_key_lookup", "content_key:string chunk_id:bigint", "select sha256(text) as content_key, min(doc_id) as chunk_id from documents where sha256(text) in (select sha256(text) from documents where doc_id % 10 = 0) group by 1")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_key"), F.col("doc_id").alias("chunk_id"))
+    return lookup.chunks_of_keys(d, d.where("chunk_id % 10 = 0"))
+
+
+@register("content_key_known", "content_key:string known:boolean", "with w as (select distinct sha256(text) as content_key from documents where doc_id % 10 = 0) select content_key, content_key in (select sha256(text) from documents where doc_id % 10 <> 0 and source <> 'src1') as known from w")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_key"), "doc_id", F.col("source").alias("document_id"))
+    gone = spark.createDataFrame([("src1",)], "document_id string")
+    return lookup.known_keys(d.where("doc_id % 10 = 0").select("content_key").distinct(), d.where("doc_id % 10 <> 0"), gone)
+
+
+@register("newest_admitted", "o_orderkey:bigint", "select o_orderkey from (select o_orderkey, sum(o_custkey) over (order by o_orderdate desc, o_orderkey desc rows between unbounded preceding and current row) as used from orders) where used <= 200000")
+def _(spark, sf_dir):
+    return history.newest_admitted(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 200_000)
+
+
+@register("blob_priority", "path:string blob:string priority:bigint", f"""with t as {duck(TREE).replace('(commit,', '("commit",')} select distinct path, blob, case when (path, blob) in (select (path, blob) from t where "commit" = 'd1') then 0 else 1 end as priority from t""")
+def _(spark, sf_dir):
+    t = values(spark, TREE).withColumn("size", F.lit(1))
+    return history.reserved(t, t.where("commit = 'd1'"))
+
+
+@register("passage_dedup", "content_key:string revision:string sequence:bigint", "select sha256(text) as content_key, lang as revision, min(doc_id) as sequence from documents group by all")
+def _(spark, sf_dir):
+    return history.passages_once(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_key"), F.col("lang").alias("revision"), F.col("doc_id").alias("sequence")))
+
+
+@register("index_change", "c_custkey:bigint c_acctbal:double", "select c_custkey, case when c_custkey % 5 = 0 then 0 else c_acctbal end as c_acctbal from customer where c_custkey % 3 <> 0 or c_custkey % 5 = 0")
+def _(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return history.changed_index(c, c.where("c_custkey % 3 = 0"), c.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(0.0)), "c_custkey")
+
+
+PATH_FACETS = ("facet_id, after", "('f1', null), ('f2', 'f1'), ('f3', 'f2'), ('f4', 'f3')")
+PATH_EVIDENCE = ("evidence_id, facet_id, verdict, content_key", "('e1', 'f1', 'qualifying', 'k1'), ('e2', 'f2', 'wrong_era', 'k2'), ('e3', 'f3', 'qualifying', 'k1'), ('e4', 'f9', 'adjacent', 'k3')")
+
+
+@register("path_metrics", "facet_coverage:double complete:boolean wrong_era_rate:double utilisation:double duplicate_waste:double shortcut_rate:double", "select 0.5 as facet_coverage, false as complete, 0.25 as wrong_era_rate, 0.5 as utilisation, 0.25 as duplicate_waste, 0.25 as shortcut_rate")
+def _(spark, sf_dir):
+    return evaluate.path_metrics(values(spark, PATH_EVIDENCE), values(spark, PATH_FACETS))
+
+
+@register("event_properties", "event_id:bigint record:string", None)
+def _(spark, sf_dir):
+    text = F.concat(F.lit('{"rows": ['), "props", F.lit("]}"))
+    files = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), text.alias("text"))
+    return catalog.json_records(files, ["rows"]).select(F.col("path").alias("event_id"), "record")
+
+
+@register("missing_assets", "name:string value:string", "select * from (values ('qml', 'b.qml')) as v(name, value)")
+def _(spark, sf_dir):
+    d = values(spark, ("path, name, value", "('p/d', 'lisp', 'a.lisp'), ('p/d', 'qml', 'b.qml'), ('p/d', 'md', '')"))
+    return catalog.missing_assets(d, values(spark, ("path", "('p/a.lisp')")), ["lisp", "qml", "md"])
+
+
+@register("perf_stacks", "sample:bigint stack:string", "select * from (values (1, 'leaf|main'), (2, 'other')) as v(sample, stack)")
+def _(spark, sf_dir):
+    text = ["app 1 cycles:", "\t    7f leaf+0x1f (/bin/app)", "\t    8a main (/bin/app)", "", "app 1 cycles:", "\t  9 other ([k])"]
+    rows = catalog.perf_stacks(spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no int, line string"))
+    return rows.select("sample", F.array_join("frames", "|").alias("stack"))

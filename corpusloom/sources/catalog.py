@@ -229,3 +229,34 @@ def flame_frames(text: DataFrame) -> DataFrame:
 
 def feedback_records(rows: DataFrame) -> DataFrame:
     return rows.select("*", normalised_list(F.col("tags")).alias("sorted_tags"))
+
+
+def json_records(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(path, key, position, record): elements of the named top-level lists of JSON texts, without a schema, natively."""
+    parts = [F.struct(F.lit(k).alias("key"), F.from_json(F.get_json_object("text", f"$.{k}"), "array<string>", {"allowUnquotedFieldNames": "true"}).alias("items")) for k in keys]
+    each = files.select("path", F.explode(F.array(*parts)).alias("x")).where("x.items is not null")
+    return each.select("path", "x.key", F.posexplode("x.items").alias("position", "record"))
+
+
+def perf_stacks(lines: DataFrame) -> DataFrame:
+    """Stacks of a perf script (file, line_no, line): frames `address name (object)` of each sample, leaf first; a line that isn't indented starts a sample."""
+    from pyspark.sql.window import Window
+
+    head = ~F.col("line").rlike(r"^\s") & (F.trim("line") != "")
+    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("sample", F.sum(head.cast("int")).over(order)).where(F.col("line").rlike(r"^\s+[0-9a-f]+ "))
+    name = F.regexp_replace(F.regexp_extract("line", r"^\s+[0-9a-f]+ (.*?)(?: \([^()]*\))?$", 1), r"\+0x[0-9a-f]+$", "")
+    frames = F.array_sort(F.collect_list(F.struct("line_no", name.alias("name"))))
+    return rows.groupBy("file", "sample").agg(F.transform(frames, lambda f: f["name"]).alias("frames"))
+
+
+def missing_assets(descriptors: DataFrame, files: DataFrame, required: list[str]) -> DataFrame:
+    """(path, name, value) of descriptor properties that name a file which isn't there; an empty optional one is none."""
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    rows = descriptors.where(F.col("name").isin(required) & (F.col("value") != "")).withColumn("_f", F.concat(folder, F.col("value")))
+    return rows.join(files.select(F.col("path").alias("_f")), "_f", "left_anti").select("path", "name", "value")
+
+
+def under_root(path: Column, root: str) -> Column:
+    """Whether a normalised path stays below a root."""
+    return path.startswith(root.rstrip("/") + "/") & ~F.array_contains(F.split(path, "/"), "..")
