@@ -273,7 +273,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield _rows(held, out)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, schema)
+    # a number given by hand keeps adaptive execution from putting the short names, and so all archives, into one task
+    tasks = max(1, min(archives.count(), 20_000))
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(run, schema)
 
 
 def _rows(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
