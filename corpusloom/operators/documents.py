@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,27 +146,29 @@ class Budget:
 def admitted(df: DataFrame, group: str, budget: Budget) -> DataFrame:
     """Running admission in byte order of the path within each group: oversized, then file_limit, then total_bytes, else ok.
 
-    A rejected row takes nothing from the budget, so running sums can't tell; an ordered fold carries the
-    count and the bytes. A group that a fold can't hold in one array is first cut to what could ever be
-    admitted: rows under the file bound.
+    A rejected row takes nothing from the budget, so running sums can't tell. Groups are sorted within
+    their partitions and streamed past a count and a sum: narrow rows, constant memory, one task a group at
+    most, as each verdict hangs on all before it.
     """
     path, size = budget.fields
-    small = F.col(size) <= budget.file_bytes
-    rows = F.array_sort(F.collect_list(F.when(small, F.struct(F.col(path).alias("p"), F.col(size).cast("bigint").alias("s")))))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b"), F.array().cast("array<struct<p:string,v:string>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        verdict = F.when(acc["n"] >= budget.files, "file_limit").when(acc["b"] + row["s"] > budget.total_bytes, "total_bytes").otherwise("ok")
-        ok = (verdict == "ok").cast("bigint")
-        return F.struct(
-            (acc["n"] + ok).alias("n"), (acc["b"] + ok * row["s"]).alias("b"), F.concat(acc["out"], F.array(F.struct(row["p"].alias("p"), verdict.alias("v")))).alias("out")
-        )
-
-    folded = df.groupBy(group).agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    verdicts = folded.select(group, F.explode("out").alias("x")).select(group, F.col("x.p").alias(path), F.col("x.v").alias("verdict"))
-    return df.where(~small).select(group, path, size, F.lit("oversized").alias("verdict")).unionByName(
-        df.where(small).select(group, path, size).join(verdicts, [group, path]).select(group, path, size, "verdict")
-    )
+    rows = df.select(group, path, F.col(size).cast("bigint").alias(size))
+    schema = rows.schema.add("verdict", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, used = object(), 0, 0
+        for batch in batches:
+            verdicts = []
+            for name, amount in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != last:
+                    last, n, used = name, 0, 0
+                verdict = "file_limit" if n >= budget.files else "total_bytes" if used + amount > budget.total_bytes else "ok"
+                if verdict == "ok":
+                    n, used = n + 1, used + amount
+                verdicts.append(verdict)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts)], names=[*batch.schema.names, "verdict"])
+
+    small = rows.where(F.col(size) <= budget.file_bytes).repartition(group).sortWithinPartitions(group, path)
+    return small.mapInArrow(run, schema).unionByName(rows.where(F.col(size) > budget.file_bytes).withColumn("verdict", F.lit("oversized")))
 
 
 def catalog_documents(entries: DataFrame, revision: str = "embedded-catalog-v1") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.ranking import with_place
+
 GATE = {"recall_at_5": 0.90, "mrr_at_10": 0.80, "ndcg_at_10": 0.80}
 
 
@@ -79,8 +81,8 @@ def judged_sample(df: DataFrame, key: str, judged: DataFrame, n: int) -> DataFra
     rest = df.join(judged.select(key), key, "left_anti")
     held, others = own.count(), rest.count()
     step = max(1, others // max(1, n - held))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1
-    decoys = rest.select(key, place.alias("_p")).where(F.col("_p") % step == 0).where(F.col("_p") / step < max(0, n - held))
+    placed = with_place(rest.select(key), [F.asc(key)], "_p").withColumn("_p", F.col("_p") - 1)
+    decoys = placed.where(F.col("_p") % step == 0).where(F.col("_p") / step < max(0, n - held))
     return own.unionByName(rest.join(decoys.select(key), key, "left_semi").withColumn("judged", F.lit(False)))
 
 

@@ -72,11 +72,12 @@ def with_context(anchors: DataFrame, chunks: DataFrame, budget: int, reach: int
 
 def collapsed(ranked: DataFrame, key: list[str], rank: str, revision: str, preferred: str | None = None, most: int = 8) -> DataFrame:
     """One row for each key, the first in rank order (or the preferred revision's), with how often it occurs and at most `most` revisions in rank order."""
-    first = F.min(F.struct((F.col(revision) != preferred).alias("p") if preferred else F.lit(False).alias("p"), F.col(rank).alias("r"), F.col(revision).alias("v")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(revision).alias("v")))), lambda s: s["v"])
-    return ranked.groupBy(*key).agg(
-        F.min(rank).alias(rank), F.count("*").alias("occurrences"), F.slice(F.array_distinct(ordered), 1, most).alias("revisions"),
-        F.min(revision).alias("first_revision"), F.max(revision).alias("last_revision"), first["v"].alias("representative"),
+    each = ranked.groupBy(*key, F.col(revision).alias("_v")).agg(F.min(rank).alias("_r"), F.count("*").alias("_n"))  # a hot key shrinks to its revisions here
+    other = (F.col("_v") != preferred) if preferred else F.lit(False)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda s: s["_v"])
+    return each.groupBy(*key).agg(
+        F.min("_r").alias(rank), F.sum("_n").alias("occurrences"), F.slice(ordered, 1, most).alias("revisions"),
+        F.min("_v").alias("first_revision"), F.max("_v").alias("last_revision"), F.min(F.struct(other.alias("p"), F.col("_r"), F.col("_v")))["_v"].alias("representative"),
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.ranking import with_running
+
 
 def adjacency(chunks: DataFrame, key: str, scope: list[str], order: str) -> DataFrame:
     """Edges from each chunk to the next one of its scope: a window, where a self-join would shuffle twice."""
@@ -15,13 +17,9 @@ def adjacency(chunks: DataFrame, key: str, scope: list[str], order: str) -> Data
 
 
 def offsets(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
-    """How many edges each node has at `end`, and the running offset in node order, summed within ranges of nodes and then over them."""
+    """How many edges each node has at `end`, and how many the nodes before it have together."""
     counts = nodes.select("node").join(edges.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n")), "node", "left").fillna(0, ["n"])
-    placed = counts.repartitionByRange("node").withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("inner", F.sum("n").over(Window.partitionBy("part").orderBy("node")) - F.col("n"))
-    totals = placed.groupBy("part").agg(F.sum("n").alias("t"))
-    before = totals.select("part", (F.coalesce(F.sum("t").over(Window.orderBy("part")), F.lit(0)) - F.col("t")).alias("before"))
-    return placed.join(F.broadcast(before), "part").select("node", "n", (F.col("inner") + F.col("before")).alias("offset"))
+    return with_running(counts, [F.asc("node")], F.col("n"), "_sum").select("node", "n", (F.col("_sum") - F.col("n")).alias("offset"))
 
 
 def neighbours(edges: DataFrame, node, outgoing: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import release_numbers
+from corpusloom.operators.ranking import with_running
 
 
 def ancestors(parents: DataFrame, tips: DataFrame, most: int = 100_000) -> DataFrame:
@@ -104,15 +105,8 @@ def page(df: DataFrame, order: list[Column], cursor: str | None = None, limit: i
 
 
 def newest_admitted(rows: DataFrame, size: str, order: list[Column], total: int) -> DataFrame:
-    """Rows in order while their running size fits; for sizes of like magnitude, where nothing after an overflow is wanted.
-
-    The running sum goes over ranges of the order first, so that no task sees all rows.
-    """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inner = placed.withColumn("_i", F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = placed.groupBy("_part").agg(F.sum(size).alias("_t"))
-    before = totals.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_b"))  # a row for each partition
-    return inner.join(F.broadcast(before), "_part").where(F.col("_i") + F.col("_b") <= total).select(*rows.columns)
+    """Rows in order while their running size fits; for sizes of like magnitude, where nothing after an overflow is wanted."""
+    return with_running(rows, order, F.col(size), "_used").where(F.col("_used") <= total).drop("_used")
 
 
 def reserved(entries: DataFrame, current: DataFrame) -> DataFrame:

@@ -30,6 +30,13 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.groupBy("field", "term", key, "length").agg(F.count("*").alias("tf"))
 
 
+def query_postings(docs: DataFrame, key: str, field: str, terms: DataFrame) -> DataFrame:
+    """Postings of one field for the terms (query_id, term) alone: other tokens are gone before anything is shuffled."""
+    rows = docs.select(key, T.tokens(F.col(field)).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    met = rows.join(F.broadcast(terms.limit(100_000)), "term")
+    return met.groupBy("query_id", "term", key, "length").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
+
+
 def write_index(docs: DataFrame, key: str, fields: list[str], path: str, buckets: int = 64) -> None:
     """Postings and field lengths as Parquet, sorted by term within buckets, so a query's terms prune row groups."""
     rows = postings(docs, key, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))

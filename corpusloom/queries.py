@@ -146,10 +146,9 @@ QUERY_TABLE = ("query_id, query", "(1, 'this with'), (2, 'for the reason'), (3,
  select query_id, doc_id, row_number() over (partition by query_id order by coverage desc, round(score, 6) desc, doc_id) as rank, round(score, 6) as score from e qualify rank <= 5""")
 def _(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    rows = lexical.postings(docs, "doc_id", ["text"])
     terms = values(spark, QUERY_TABLE).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
     fields = docs.agg(F.count("*").alias("documents"), F.avg(F.size(T.tokens(F.col("text")))).alias("mean")).withColumn("field", F.lit("text"))
-    return lexical.ranked_postings(rows.join(F.broadcast(terms), "term"), fields, 5).withColumn("score", F.round("score", 6))
+    return lexical.ranked_postings(lexical.query_postings(docs, "doc_id", "text", terms), fields, 5).withColumn("score", F.round("score", 6))
 
 
 NAMES = ("chunk_id, identifiers, body", "('c1', 'write_nvm', 'persist data'), ('c2', 'other_write', 'write nvm data'), ('c3', 'Write_NVM', 'none'), ('c4', 'persistent', 'persistent package lifecycle')")
@@ -447,13 +446,6 @@ def _(spark, sf_dir):
     return fusion.capped(values(spark, CAP), "q", "r", "d", "g", 2, 10)
 
 
-@register("document_cap_on_tables", "lang:string n:bigint kept:bigint", None)
-def _(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id % 5 = 0").withColumn("g", F.sha2("text", 256))
-    kept = fusion.capped(d, "lang", "doc_id", "source", "g", 2, 100)
-    return d.groupBy("lang").agg(F.count("*").alias("n")).join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang")
-
-
 PARTS = ("document_id, ordinal, text", "('d', 0, 'zero'), ('d', 1, 'one'), ('d', 2, 'two'), ('d', 3, 'three'), ('d', 4, 'four'), ('e', 0, 'other')")
 
 

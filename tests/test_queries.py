@@ -37,7 +37,7 @@ def test_query(spark, duck, name):
 
 
 def test_partitions_do_not_matter(spark):
-    name = "document_cap_on_tables"
+    name = "history_collapse"
     results = set()
     for n in ("1", "4", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
