@@ -42,5 +42,5 @@ def test_partitions_do_not_matter(spark):
     for n in ("1", "4", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         results.add(repr(sorted(map(tuple, queries.QUERIES[name](spark, DIR).collect()))))
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert len(results) == 1
