@@ -235,7 +235,11 @@ def _linked(fps: DataFrame, keys, radius: int, tile: int) -> DataFrame:
         if count:
             yield made(pa.Table.from_batches(held), True)[0]
 
-    return placed.repartition("block").sortWithinPartitions("block", "fp").select("fp", "block").mapInArrow(run, schema).distinct()
+    forests = placed.repartition("block").sortWithinPartitions("block", "fp").select("fp", "block").mapInArrow(run, schema)
+    # each fingerprint has an edge to the first one of every block that it is in, at most a few dozen; led through the
+    # smallest of them, the rest become edges between firsts, which the members of a large group share
+    stars = forests.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("others"))
+    return stars.select(F.col("m").alias("a"), F.explode(F.array_append("others", F.col("b"))).alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
