@@ -186,3 +186,40 @@ def test_block_tables_find_all_neighbours(spark):
     got = {(r["query_id"], r["doc_id"], r["distance"]) for r in fingerprints.within_radius(prints, queries, 3).collect()}
     far = lambda x, y: (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
     assert got == {(x[0], y[0], far(x, y)) for x in rows if x[0] % 5 == 0 for y in rows if far(x, y) <= 3}
+
+
+def test_similarity_groups_are_those_of_all_pairs(spark):
+    """Every pair against brute force: edits around a Jaccard similarity of 0.8, isolated pairs, a hub with far members, copies."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for i in range(150):
+        base = [word() for _ in range(rng.choice([9, 40, 120, 300]))]
+        other = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.005, 0.04)))):
+            other[at] = word()
+        texts += [" ".join(base), " ".join(other)]
+    hub = [word() for _ in range(400)]
+    texts.append(" ".join(hub))
+    for _ in range(40):
+        far = list(hub)
+        for at in rng.sample(range(400), 7):
+            far[at] = word()
+        texts.append(" ".join(far))
+    texts += [texts[0], texts[0].upper(), "", None, " \n", "one two", "One  two", "one three"]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for t in texts]
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = components(list(range(len(texts))), lambda a, b: share(a, b) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    groups = defaultdict(set)
+    for r in simhash_dedup.near_duplicates_by_similarity(docs).collect():
+        groups[r["component_id"]].add(r["doc_id"])
+    assert {frozenset(g) for g in groups.values()} == want
+    assert all(min(g) == i for i, g in groups.items())
+    edge = [share(2 * i, 2 * i + 1) for i in range(150)]
+    assert sum(0.8 <= s < 0.85 for s in edge) > 5 and sum(0.6 < s < 0.8 for s in edge) > 10
