@@ -3,9 +3,10 @@
 Markup is stripped into lines, one for each block element; what stands in menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments leaves an empty line. The lengths of
 lines (without link text) are summed over sliding windows; a surge, where the sum rises from nothing,
-and the next dive, where it falls back, bound a stretch of text. In a page with article or main
-elements their lines are the stretch: lines outside weigh nothing, and each line inside at least one
-character. Else the stretch with most text is kept, with neighbours that are near and not much smaller.
+and the next dive, where it falls back, bound a stretch of text. This decides on every page: lines in
+article or main elements only weigh more (four times, and one character at least). The stretch with
+most weight is kept, with neighbours that are near and not much smaller; two stretches
+in such elements are near at any distance.
 
 Cases: null, empty and text-free pages give an empty text. Repeated rows give equal texts. Other columns are not read.
 """
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 WINDOW = 3
+#: Weight of a character in an article or main element.
+INSIDE = 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
@@ -161,9 +164,8 @@ def extract(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    if any(inside and text for text, _, inside in found):
-        return "\n\n".join(text for text, _, inside in found if inside and text)
     weights = [0 if 2 * linked > len(text) else len(text) - linked for text, linked, _ in found]
+    weights = [max(INSIDE * w, 1) if inside and text else w for w, (text, _, inside) in zip(weights, found, strict=True)]
     runs = stretches(weights)
     if not runs:
         return ""
@@ -173,7 +175,11 @@ def extract(page: str | None) -> str:
         for i in order:
             a, b, size = runs[i]
             gap = lo - b if step < 0 else a - hi
-            if gap > 2 * WINDOW or 4 * size < runs[best][2]:
+            facing = (b - 1, lo) if step < 0 else (a, hi - 1)
+            within = all(found[j][2] for j in facing)
+            if gap > 2 * WINDOW and not within:
+                continue  # a stretch of the same article may follow
+            if not within and 4 * size < runs[best][2]:
                 break
             lo, hi = min(lo, a), max(hi, b)
     return "\n\n".join(text for (text, _, _), w in zip(found[lo:hi], weights[lo:hi], strict=True) if w)

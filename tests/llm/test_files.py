@@ -146,6 +146,13 @@ def test_surge_and_dive_without_article():
     assert html_text.extract(PAGE % inner) == "Head line\n\nA first paragraph that has some length to it.\n\nAnd one more paragraph of text here."
 
 
+def test_distribution_decides_beside_an_article():
+    body = "".join(f"<p>Paragraph {i} of the long text that the page is about, told at some length.</p>" for i in range(9))
+    got = html_text.extract("<article><p>Teaser</p></article>" + "<div class=ad>x</div>" * 8 + f"<div>{body}</div>")
+    assert got.startswith("Paragraph 0 of") and got.count("Paragraph") == 9 and "Teaser" not in got
+    assert html_text.extract(f"<article><p>Start</p>{'<div class=ad>x</div>' * 9}<p>End</p></article>") == "Start\n\nEnd"
+
+
 def test_stretches():
     assert html_text.stretches([0, 5, 0, 7, 0, 0, 0, 2, 0], 3) == [(1, 4, 12), (7, 8, 2)]
     assert html_text.stretches([], 3) == [] and html_text.stretches([0, 0], 3) == []
