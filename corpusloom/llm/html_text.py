@@ -5,8 +5,8 @@ sidebars, notices, adverts, forms, scripts, styles and comments leaves an empty
 lines (without link text) are summed over sliding windows; a surge, where the sum rises from nothing,
 and the next dive, where it falls back, bound a stretch of text. This decides on every page: lines in
 article or main elements only weigh more (four times, and one character at least). The stretch with
-most weight is kept, with neighbours that are near and not much smaller; two stretches
-in such elements are near at any distance.
+most weight is kept, with neighbours that are near and not mostly links, however small; two stretches
+in such elements are near at any distance. All lines between the outermost surge and dive stay.
 
 Cases: null, empty and text-free pages give an empty text. Repeated rows give equal texts. Other columns are not read.
 """
@@ -164,7 +164,7 @@ def extract(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    weights = [0 if 2 * linked > len(text) else len(text) - linked for text, linked, _ in found]
+    weights = [max(len(text) - linked, 0) for text, linked, _ in found]
     weights = [max(INSIDE * w, 1) if inside and text else w for w, (text, _, inside) in zip(weights, found, strict=True)]
     runs = stretches(weights)
     if not runs:
@@ -173,16 +173,16 @@ def extract(page: str | None) -> str:
     lo, hi = runs[best][:2]
     for order, step in ((range(best - 1, -1, -1), -1), (range(best + 1, len(runs)), 1)):
         for i in order:
-            a, b, size = runs[i]
+            a, b, _ = runs[i]
             gap = lo - b if step < 0 else a - hi
             facing = (b - 1, lo) if step < 0 else (a, hi - 1)
             within = all(found[j][2] for j in facing)
             if gap > 2 * WINDOW and not within:
                 continue  # a stretch of the same article may follow
-            if not within and 4 * size < runs[best][2]:
-                break
+            if not within and 2 * sum(linked for _, linked, _ in found[a:b]) > sum(len(text) for text, _, _ in found[a:b]):
+                continue
             lo, hi = min(lo, a), max(hi, b)
-    return "\n\n".join(text for (text, _, _), w in zip(found[lo:hi], weights[lo:hi], strict=True) if w)
+    return "\n\n".join(text for text, _, _ in found[lo:hi] if text)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -153,6 +153,16 @@ def test_distribution_decides_beside_an_article():
     assert html_text.extract(f"<article><p>Start</p>{'<div class=ad>x</div>' * 9}<p>End</p></article>") == "Start\n\nEnd"
 
 
+def test_short_sections_and_link_lines_stay():
+    body = "<p>" + "A long paragraph of the article. " * 20 + "</p>"
+    notices = "<div class=ad>x</div>" * 4
+    page = f"<div><p>Opening.</p>{notices}{body}<p><a href=x>A paragraph that is a link</a></p>{body}{notices}<p>Closing words.</p>{notices}<p>End.</p></div>"
+    got = html_text.extract(page).split("\n\n")
+    assert [got[0], got[2], *got[4:]] == ["Opening.", "A paragraph that is a link", "Closing words.", "End."] and len(got) == 6
+    links = "<p>Or <a href=x>some link to another page</a></p>" * 3
+    assert "some link" not in html_text.extract(f"<div>{body}{notices}{links}</div>")
+
+
 def test_stretches():
     assert html_text.stretches([0, 5, 0, 7, 0, 0, 0, 2, 0], 3) == [(1, 4, 12), (7, 8, 2)]
     assert html_text.stretches([], 3) == [] and html_text.stretches([0, 0], 3) == []
