@@ -19,6 +19,10 @@ def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
+#: Rows of (query_id, term) that may be sent to all tasks; larger batches meet the tokens in a shuffle.
+TERM_ROWS = 100_000
+
+
 def term_score(tf: Column, length: Column, mean: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (F.lit(1.0 - B) + B * length / mean))
 
@@ -33,7 +37,8 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def query_postings(docs: DataFrame, key: str, field: str, terms: DataFrame) -> DataFrame:
     """Postings of one field for the terms (query_id, term) alone: other tokens are gone before anything is shuffled."""
     rows = docs.select(key, T.tokens(F.col(field)).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    met = rows.join(F.broadcast(terms.limit(100_000)), "term")
+    sent = terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS
+    met = rows.join(F.broadcast(terms) if sent else terms, "term")
     return met.groupBy("query_id", "term", key, "length").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
 
 

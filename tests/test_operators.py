@@ -243,3 +243,10 @@ def test_symbols(spark):
         catalog.symbol_entries(groups, ["g3"])
     with pytest.raises(ValueError, match="header"):
         catalog.symbol_entries(groups, ["g1"], spark.createDataFrame([("only a",)], "text string"))
+
+
+def test_a_large_batch_of_queries_loses_no_term(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id bigint, text string")
+    terms = spark.range(100_500).select(F.col("id").alias("query_id"), F.lit("alpha").alias("term"))
+    found = lexical.query_postings(docs, "doc_id", "text", terms)
+    assert found.select("query_id").distinct().count() == found.count() == 100_500
