@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -25,13 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Only where a session has none (a local test), a temporary folder is taken.
+    Only a local session without one gets a temporary folder; on a cluster its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="corpusloom-")
             context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,11 +44,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
+#: Of each open scratch(): the tables written since.
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again. An open scratch() deletes it unless `keep`."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +64,39 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside (but for kept ones) are deleted at the end: what is returned must have been written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete_path(spark, path)
+
+
+#: A key with more than one row in SHARE (and more than KEY_ROWS) is hot; there are at most SHARE of them.
+SHARE, KEY_ROWS = 1000, 2000
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The join on `keys`, whose hot keys on the left are dealt out by salt; the right side's rows of a hot key go to each salt.
+
+    Hot keys are found by counting first (narrow, combined before the shuffle); their list has at most SHARE
+    rows, which bounds what is broadcast. Columns other than the keys must have different names.
+    """
+    limit = max(KEY_ROWS, left.count() // SHARE)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = written(counts.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts")), "hot")
+    if not hot.limit(1).count():
+        return left.join(right, keys, how)
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"), F.lit(0))
+    many = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    few = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", each).drop("_salts")
+    return many.join(few, [*keys, "_salt"], how).drop("_salt")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows that no model may learn from: crc32 of the id's decimal text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -107,27 +149,41 @@ def map_text(
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows: texts can be long, and the default of 10,000 rows has no bound in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches of at most 1000 rows: texts can be long, and the default of 10,000 rows has no bound in bytes. Smaller settings stay."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(option, "0")) <= 1000:
+        spark.conf.set(option, "1000")
 
 
-def bounded_sample(df: DataFrame, key: str, order: str, most: int, classes: int = 1000) -> DataFrame:
-    """At most `most` rows of each value of `key`, those that come first by a hash of `order`.
+def bounded_sample(rows: DataFrame, key: str, order: str, most: int, classes: int = 1000) -> DataFrame:
+    """(key, order): at most `most` different values of `order` for each value of `key`, those that come first by a hash.
 
-    Two narrow scans: counts for each key (combined before the shuffle, at most `classes` of them
-    reach the driver), then only rows whose hash lies under the rate that yields about 1.3 * most rows
-    meet in a window. The result is exact unless hashes are far from even.
+    Two narrow scans: counts for each key (combined before the shuffle), then only rows whose hash lies under
+    the rate that yields about 1.3 * most rows meet in a window. Repeated rows count as one. More than
+    `classes` keys are an error: each would have its model on the driver.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(key).count().orderBy(F.desc("count"), F.col(key)).limit(classes).collect()}
+    rows = rows.select(key, order).where(F.col(key).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(key).count().orderBy(key).limit(classes + 1).collect()}
+    if len(counts) > classes:
+        raise ValueError(f"{key} has more than {classes} values")
     if not counts:
-        return df.limit(0)
+        return rows.limit(0)
     point = F.pmod(F.xxhash64(F.col(order), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rate = F.lit(0.0)
     for value, n in counts.items():
-        rate = F.when(F.col(key).eqNullSafe(F.lit(value)), F.lit(min(1.0, 1.3 * most / n + 20.0 / n))).otherwise(rate)
-    near = df.where(point < rate)
+        rate = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, 1.3 * most / n + 20.0 / n))).otherwise(rate)
     first = Window.partitionBy(key).orderBy(F.xxhash64(F.col(order), F.lit("sample")), F.col(order))
-    return near.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most).drop("_place")
+    return rows.where(point < rate).distinct().withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most).drop("_place")
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, key: str, on: list[str], size: int) -> list[tuple[str, object]]:
+    """(text, key) of the chosen rows (a bounded table, broadcast), in the order of doc_id: one text for each (the smallest of
+    several), no text over `size` bytes, and about `size` bytes of each key."""
+    rows = docs.select("text", *on).where(F.octet_length("text") <= size).join(F.broadcast(chosen), on)
+    rows = rows.groupBy(key, "doc_id").agg(F.min("text").alias("text"))
+    first = Window.partitionBy(key).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
+    held = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(first)).where(F.col("_bytes") <= size)
+    return [(r["text"], r[key]) for r in sorted(held.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r[key]))]
 
 
 def text_column(start: Callable[[], Callable[[list], list]], kind: str) -> Callable[[Column], Column]:

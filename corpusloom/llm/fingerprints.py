@@ -8,9 +8,13 @@ Block tables find fingerprints within a Hamming radius: the bits are cut into ra
 fingerprints within the radius agree on two blocks at least, so each two blocks, put first, make a table
 in which all neighbours stand under equal keys.
 
-Cases: null and empty texts have one empty term. Equal texts have equal fingerprints. Rows with a null
-doc_id come before all others, rows with equal doc_id in the order of their texts' hashes. A single
-row's next document is itself. Other columns are not read.
+Next documents are found within buckets of neighbouring doc_ids. Their bounds are approximate quantiles of
+the ids, whatever these are; an id that takes more than one bucket (null, say) is split by its texts' hashes.
+
+Cases: null and empty texts have one empty term. Equal texts have equal fingerprints. Texts of any length
+are hashed whole, term by term. Rows with a null doc_id come before all others, rows with equal doc_id in
+the order of their texts' hashes (equal rows, which may stand in any order, stay in one bucket). A single
+row's next document is itself. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import common
+
 LANES = 0x0000000100000001
-#: Rows of a bucket, on average, and the most buckets; the bucket table is what single tasks and the driver see.
+#: Rows of a bucket, on average, and the most buckets; their bounds are what the driver sees.
 BUCKET_ROWS, BUCKETS = 2000, 1 << 15
-CELLS = 1 << 15
+RADIUS = 3
 
 
 def words_of(text: Column) -> Column:
@@ -87,62 +93,106 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def block_keys(f0: Column, f1: Column, radius: int) -> Column:
-    """One string for each table: the two blocks that are put first, and which they are."""
-    text = F.concat(F.lpad(F.bin(f0), 64, "0"), F.lpad(F.bin(f1), 64, "0"))
+    """One key for each table: the two blocks that are put first, and which they are."""
     blocks = radius + 2
     cuts = [round(i * 128 / blocks) for i in range(blocks + 1)]
-    part = [F.substring(text, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
-    return F.array(*[F.concat(F.lit(f"{i}.{j}:"), part[i], part[j]) for i, j in combinations(range(blocks), 2)])
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    pairs = [masks[i] | masks[j] for i, j in combinations(range(blocks), 2)]
+    part = lambda f, m: f.bitwiseAND(signed(m & (1 << 64) - 1))
+    return F.array(*[F.xxhash64(F.lit(t), part(f0, m >> 64), part(f1, m)) for t, m in enumerate(pairs)])
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(query_id, doc_id, distance): for each row of queries, all rows of prints within the radius; both have doc_id, f0, f1.
 
     Only different fingerprints meet in the tables; the copies join afterwards, so a large group of
     copies under one key costs its own size alone.
     """
+    near = neighbours(prints, queries, radius)
+    ids = queries.select(F.col("doc_id").alias("query_id"), F.col("f0").alias("q0"), F.col("f1").alias("q1"))
+    return near.join(ids, ["q0", "q1"]).join(prints.select("doc_id", "f0", "f1"), ["f0", "f1"]).select("query_id", "doc_id", "distance")
+
+
+def neighbours(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(q0, q1, f0, f1, distance): each different fingerprint of queries and the different ones of prints within the radius.
+
+    Hot keys of the tables are dealt out by salt.
+    """
     left = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
     right = prints.select("f0", "f1").distinct()
-    q = left.withColumn("key", F.explode(block_keys(F.col("q0"), F.col("q1"), radius)))
-    p = right.withColumn("key", F.explode(block_keys(F.col("f0"), F.col("f1"), radius)))
+    q = left.select("q0", "q1", F.explode(block_keys(F.col("q0"), F.col("q1"), radius)).alias("key"))
+    p = right.select("f0", "f1", F.explode(block_keys(F.col("f0"), F.col("f1"), radius)).alias("key"))
     far = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
-    near = q.join(p, "key").where(far <= radius).select("q0", "q1", "f0", "f1", far.alias("distance")).distinct()
-    ids = queries.select(F.col("doc_id").alias("query_id"), F.col("f0").alias("q0"), F.col("f1").alias("q1"))
-    return near.join(ids, ["q0", "q1"]).join(prints.select("doc_id", "f0", "f1"), ["f0", "f1"]).select("query_id", "doc_id", "distance")
+    return common.skew_join(p, q, ["key"]).where(far <= radius).select("q0", "q1", "f0", "f1", far.alias("distance")).distinct()
+
+
+def neighbour_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f0, f1, neighbours): how many rows of prints lie within the radius of each different fingerprint of queries, itself among them."""
+    sizes = prints.groupBy("f0", "f1").agg(F.count("*").alias("rows"))
+    near = neighbours(prints, queries, radius).join(sizes, ["f0", "f1"])
+    counted = near.groupBy("q0", "q1").agg(F.sum("rows").alias("neighbours"))
+    return counted.select(F.col("q0").alias("f0"), F.col("q1").alias("f1"), "neighbours")
+
+
+def _constants(values, kind: str) -> Column:
+    """An array of numbers as one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) with place (of the id), bucket and tie, and each bucket's smallest place and tie: (bucket, place, tie).
+
+    Buckets rise with (place, tie).
+    """
+    n, null = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    wanted = max(1, min(BUCKETS, n // BUCKET_ROWS))
+    bounds = []
+    if n > null:
+        shares = _constants((i / wanted for i in range(wanted)), "double")
+        bounds = docs.agg(F.percentile_approx("doc_id", shares, F.lit(10 * wanted + 100))).first()[0]
+    starts = sorted(set(bounds))
+    # an id that stands at several bounds has as many buckets of its own, by the hash of its texts; so have null ids
+    parts = {v: k for v in starts if (k := bounds.count(v)) > 1} if len(starts) < len(bounds) else {}
+    spread = max(1, round(wanted * null / max(1, n)))
+    at = F.lit(0)
+    table = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("place"), at.alias("at"))
+    step = 1 << max(0, len(starts).bit_length() - 1)
+    while step and starts:  # binary search: the number of starts that are not over the id
+        further = F.col("at") + step
+        over = (further <= len(starts)) & (F.get(_constants(starts, "bigint"), further - 1) <= F.col("place"))
+        table = table.withColumn("at", F.when(over, further).otherwise(F.col("at")))
+        step //= 2
+    share = F.xxhash64("text") / F.lit(float(1 << 64)) + F.lit(0.5)
+    many = F.when(F.col("place").isNull(), F.lit(spread))
+    if parts:
+        listed = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in parts.items())))
+        many = many.otherwise(F.coalesce(F.try_element_at(listed, F.col("place").cast("string")).cast("int"), F.lit(1)))
+    part = F.least(F.floor(share * many), many - 1) if parts or spread > 1 else F.lit(0)
+    bucket = F.struct(F.when(F.col("place").isNull(), F.lit(-1)).otherwise(F.col("at")).alias("at"), F.coalesce(part, F.lit(0)).cast("int").alias("part"))
+    tie = F.xxhash64("text") if parts or spread > 1 else F.lit(0).cast("bigint")
+    rows = table.select("doc_id", "text", "place", bucket.alias("bucket"), tie.alias("tie"))
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("place", "tie")).alias("head")).select("bucket", "head.place", "head.tie")
+    return rows, heads
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document's text, in one shuffle of the texts.
 
-    Buckets of neighbouring doc_ids (by a histogram of CELLS cells) are dealt out; each bucket also gets
-    the first row of the next one as a guest, so that a window within the bucket sees every next document.
+    Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, f0, f1. Each bucket
+    (see bucketed) also gets the first row of the next one as a guest, so that a window within the bucket sees every next document.
     """
-    spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    place = F.coalesce(F.col("doc_id"), F.lit(low - 1))
-    width = max(1, -(-(high - low + 2) // CELLS))
-    cell = F.floor((place - F.lit(low - 1)) / F.lit(width)).cast("int")
-    counted = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(place).alias("head")).orderBy("cell").collect()
-    most = max(BUCKET_ROWS, n // BUCKETS)
-    bucket_of, heads, filled = [0] * CELLS, [], most
-    for row in counted:
-        if filled >= most:
-            heads.append(row["head"])
-            filled = 0
-        bucket_of[row["cell"]] = len(heads) - 1
-        filled += row["n"]
-    buckets = max(1, len(heads))
-    # at most BUCKETS rows: a bucket's first row visits the bucket before it, the very first one the last
-    visits = spark.createDataFrame([(h, (i - 1) % buckets) for i, h in enumerate(heads)] or [(0, 0)], "place bigint, visited int")
-    bucket = F.element_at(F.lit(bucket_of), cell + 1) if buckets > 1 else F.lit(0)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("place"), bucket.alias("bucket"))
-    rows = rows.join(F.broadcast(visits), "place", "left")
-    homes = F.when(F.col("visited").isNull(), F.array(F.struct("bucket", F.lit(False).alias("guest")))).otherwise(
-        F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("visited").alias("bucket"), F.lit(True).alias("guest")))
-    )
-    rows = rows.withColumn("home", F.explode(homes)).select("doc_id", "text", "place", "home.bucket", "home.guest", F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("bucket").orderBy("guest", "place", "tie")
+    rows, heads = bucketed(docs)
+    heads = common.written(heads, "heads")  # at most 2 * BUCKETS rows: each start's bucket, and the parts of ids with several
+    around = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    everyone = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(everyone))  # the very first row visits the last bucket
+    visits = heads.select(F.col("place").alias("head"), F.col("tie").alias("head_tie"), before.alias("visited"))
+    rows = rows.join(F.broadcast(visits), F.col("place").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")), "left")
+    own, guest = (F.struct(F.col(c).alias("bucket"), F.lit(g).alias("guest")) for c, g in (("bucket", False), ("visited", True)))
+    rows = rows.withColumn("home", F.explode(F.when(F.col("visited").isNull(), F.array(own)).otherwise(F.array(own, guest))))
+    rows = rows.select("doc_id", "text", "place", "home.bucket", "home.guest", F.xxhash64("text").alias("tie"))
+    order = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("place"), "tie")
     rows = rows.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
     n_chars = F.length("text")
     cut = F.floor(n_chars / 4).cast("int")
@@ -162,5 +212,15 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     likeness = lambda a, b: 1 - distance(F.col("f0"), F.col("f1"), F.col(a), F.col(b)) / F.lit(128.0)
     return pair.select(
         "doc_id", "n_chars", "edited_sha256", hex_of("f0", "f1").alias("fingerprint"), hex_of("e0", "e1").alias("edited_fingerprint"),
-        likeness("e0", "e1").alias("near_edited"), likeness("n0", "n1").alias("near_next"),
+        likeness("e0", "e1").alias("near_edited"), likeness("n0", "n1").alias("near_next"), "f0", "f1",
     )
+
+
+def with_neighbours(made: DataFrame, query: Column, radius: int = RADIUS) -> DataFrame:
+    """edit_likeness's rows, without f0 and f1, with neighbours: for rows where `query` holds, how many rows have a fingerprint within the
+    radius of theirs, by the block tables (null elsewhere)."""
+    made = common.written(made, "fingerprints")
+    found = neighbour_counts(made, made.where(query), radius)
+    asked = common.skew_join(made.where(query), found, ["f0", "f1"])
+    rest = made.where(~F.coalesce(query, F.lit(False))).withColumn("neighbours", F.lit(None).cast("bigint"))
+    return asked.select(*made.columns, "neighbours").unionByName(rest).drop("f0", "f1")

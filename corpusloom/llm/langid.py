@@ -4,26 +4,34 @@ Each language has a model of the characters of its words: an n-gram never crosse
 between boundary marks, and only letters count, in lower case. The models of all languages share, for
 each order, one sorted array of 64-bit n-gram hashes; beside it lie, for each language, the discounted
 probability of the n-gram and the weight with which its next shorter context backs off. A text's
-language is the one whose model gives the lowest cross-entropy per character; a text whose best
-cross-entropy lies far over everything seen in calibration is rejected.
-
-Cases: a null text, or one without letters, gets `und`, score 0, rejected. Ties go to the language that
-sorts first. Repeated rows are scored alike. Without any labelled row every text gets `und`. Other columns are not read.
+language is the one whose model gives the lowest cross-entropy per character. The lowest order is
+interpolated with a uniform distribution over the characters of all languages and one class for all
+others, so every model is a distribution over the same characters and cross-entropies compare.
+
+Rejection is calibrated on labelled texts that the models have not seen: a text is rejected when its best
+cross-entropy is over `mean + reach * sqrt(a + b / n)` for its n characters. a and b are fitted to the
+calibration texts' deviations, so short texts get a wider bound; reach is twice the 99th percentile of
+their deviations in those units, so a single odd text does not move it.
+
+Cases: a null text, or one without letters (Unicode L, with marks M inside words), gets `und`, score 0, rejected.
+Texts of any length are scored whole, word by word. Ties go to the language that sorts first. Repeated
+rows are scored alike and count once in the sample. Without any labelled row every text gets `und`. An
+empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _EDGE = 1
@@ -67,34 +75,40 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Models:
-    """keys[n-1]: sorted hashes of n-grams; prob[n-1], back[n-1]: one row a key and a last row for none, one column a language."""
+    """keys[n-1]: sorted hashes of n-grams; prob[n-1], back[n-1]: one row a key and a last row for none, one column a language.
+
+    base: each language's probability of one character by the uniform share of its lowest order.
+    """
 
     languages: list[str]
     order: int
     keys: list[np.ndarray]
     prob: list[np.ndarray]
     back: list[np.ndarray]
-    floor: float = 1e-6
+    base: np.ndarray
     sharpness: float = 1.0
-    reject_at: float = 1e9
+    #: mean cross-entropy of calibration texts, variance of long texts, variance times characters, reach
+    bound: tuple[float, float, float, float] | None = None
 
-    def word_logs(self, words: list[str]) -> np.ndarray:
-        """For each word: the sum of log-probabilities of its characters and its end under each language, and their number."""
+    def char_logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of each character and end mark of the words (one row each, one column a language), and its place in its word."""
         points, place = _code(words)
         hashes = _hashes(points, place, self.order)
-        p = np.full((len(points), len(self.languages)), self.floor, np.float64)
-        before = None
+        p, before = None, None
         for n in range(1, self.order + 1):
             row = _find(self.keys[n - 1], hashes[n - 1])
-            held = place >= n - 1
             if n == 1:
-                p = self.prob[0][row] + self.floor
+                p = self.prob[0][row] + self.base
             else:
                 context = np.empty(len(points), np.int64)
-                context[0], context[1:] = len(self.keys[n - 2]), before[:-1]
-                p = np.where(held[:, None], self.prob[n - 1][row] + self.back[n - 2][context] * p, p)
+                context[:1], context[1:] = len(self.keys[n - 2]), before[:-1]
+                p = np.where((place >= n - 1)[:, None], self.prob[n - 1][row] + self.back[n - 2][context] * p, p)
             before = row
-        logs = np.log(p)
+        return np.log(p), place
+
+    def word_logs(self, words: list[str]) -> np.ndarray:
+        """For each word: the sum of log-probabilities of its characters and its end under each language, and their number."""
+        logs, place = self.char_logs(words)
         counted = place > 0
         word = np.cumsum(place == 0) - 1
         out = np.zeros((len(words), len(self.languages) + 1))
@@ -103,19 +117,30 @@ class Models:
         out[:, -1] = np.bincount(word[counted], minlength=len(words))
         return out
 
+    def rejects(self, rate: float, n: float) -> bool:
+        """Whether a text of n characters with this lowest cross-entropy lies outside what calibration has seen."""
+        if self.bound is None:
+            return False
+        mean, long, short, reach = self.bound
+        return rate > mean + reach * float(np.sqrt(long + short / n))
+
 
 def fit(rows: list[tuple[str, str]], order: int = 4, discount: float = 0.75, calibrate: int = 5) -> Models:
-    """Fits models on (text, language) rows; every `calibrate`-th row only calibrates score and rejection."""
+    """Fits models on (text, language) rows; every `calibrate`-th row of a language only calibrates score and rejection (all do where no language has as many)."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
-        return Models([], order, [], [], [])
+        return Models([], order, [], [], [], np.zeros(0))
     words: list[Counter] = [Counter() for _ in languages]
     kept: list[tuple[str, str]] = []
-    for i, (text, lang) in enumerate(rows):
-        if i % calibrate == calibrate - 1 and len(rows) >= 10 * calibrate:
-            kept.append((text, lang))
-        else:
-            words[languages.index(lang)].update(_LETTERS.findall(text.lower()))
+    for k, lang in enumerate(languages):
+        own = [t for t, x in rows if x == lang]
+        # every language trains on one text at least
+        late = set(range(calibrate - 1, len(own), calibrate)) if len(own) > 1 else set()
+        kept += [(own[i], lang) for i in sorted(late)]
+        for i, text in enumerate(own):
+            if i not in late:
+                words[k].update(_LETTERS.findall(text.lower()))
+    kept = kept or rows
     found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
     for counts in words:
         points, place = _code(list(counts))
@@ -144,6 +169,9 @@ def fit(rows: list[tuple[str, str]], order: int = 4, discount: float = 0.75, cal
     keys[0] = np.union1d(keys[0], mark)
     prob = [np.zeros((len(k) + 1, len(languages))) for k in keys]
     back = [np.zeros((len(k) + 1, len(languages))) for k in keys]
+    # characters of all languages and the end mark, and one class for every other character
+    size = len(np.unique(np.concatenate([f[0] for f in found[0]]))) + 1
+    base = np.full(len(languages), 1.0 / size)
     for n in range(order):
         if n:
             back[n - 1][:, :] = 1.0
@@ -151,13 +179,15 @@ def fit(rows: list[tuple[str, str]], order: int = 4, discount: float = 0.75, cal
             _, inverse = np.unique(context, return_inverse=True)
             total = np.bincount(inverse, count)[inverse] if len(grams) else count
             kinds = np.bincount(inverse)[inverse] if len(grams) else count
-            prob[n][np.searchsorted(keys[n], grams), k] = np.maximum(count - discount, 0) / total
+            prob[n][np.searchsorted(keys[n], grams), k] = (count - discount) / total
+            if not n and len(grams):
+                base[k] *= discount * len(grams) / count.sum()
             if n:
                 at = _find(keys[n - 1], context)
                 back[n - 1][at, k] = discount * kinds / total
                 back[n - 1][-1, k] = 1.0
-    models = Models(languages, order, keys, prob, back)
-    _calibrate(models, kept or rows)
+    models = Models(languages, order, keys, prob, back, base)
+    _calibrate(models, kept)
     return models
 
 
@@ -165,9 +195,20 @@ def _calibrate(models: Models, rows: list[tuple[str, str]]) -> None:
     scores = [(x, models.languages.index(lang)) for text, lang in rows if (x := text_logs(models, text)) is not None]
     if not scores:
         return
-    rates = [x[k] / x[-1] for x, k in scores if x[-1] >= 40]
-    if rates:
-        models.reject_at = -min(rates) + 1.0
+    n = np.array([x[-1] for x, _ in scores])
+    rates = np.array([-x[:-1].max() / x[-1] for x, _ in scores])
+    mean = float(np.average(rates, weights=n))
+    # variance a + b / n by least squares, both not negative
+    off, inverse = (rates - mean) ** 2, 1 / n
+    design = np.stack([np.ones(len(n)), inverse], 1)
+    a, b = np.linalg.lstsq(design, off, rcond=None)[0]
+    if b < 0:
+        a, b = float(off.mean()), 0.0
+    elif a < 0:
+        a, b = 0.0, float((off * inverse).sum() / (inverse**2).sum())
+    a, b = max(a, 1e-4), max(b, 1.0)  # a tenth of a nat on a single character is never odd
+    reach = 2 * float(np.quantile(np.abs(rates - mean) / np.sqrt(a + b / n), 0.99))
+    models.bound = (mean, float(a), float(b), max(reach, 4.0))
     best = None
     for sharp in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
         loss = 0.0
@@ -226,15 +267,16 @@ class Scorer:
         best = int(np.argmax(total[:-1]))
         z = self.models.sharpness * (total[:-1] - total[best])
         rate = float(-total[best] / n)
-        return self.models.languages[best], float(1 / np.exp(z).sum()), rate, bool(n >= 40 and rate > self.models.reject_at)
+        return self.models.languages[best], float(1 / np.exp(z).sum()), rate, self.models.rejects(rate, n)
+
 
+def labelled_sample(docs: DataFrame, per_language: int = 250, size: int = 8 << 20) -> list[tuple[str, str]]:
+    """The bounded sample that models are fitted on: at most `per_language` whole texts and `size` bytes of each language, none of them held out.
 
-def labelled_sample(docs: DataFrame, per_language: int = 250) -> list[tuple[str, str]]:
-    """The bounded sample that models are fitted on: at most `per_language` whole texts of each language, none of them held out."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id"))).select("doc_id", "lang")
-    chosen = common.bounded_sample(usable, "lang", "doc_id", per_language)
-    rows = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])
-    return [(r["text"], r["lang"]) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))]
+    Rows with one doc_id and language count once.
+    """
+    usable = docs.where(F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
+    return common.sampled_texts(docs, common.bounded_sample(usable, "lang", "doc_id", per_language), "lang", ["doc_id", "lang"], size)
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:

@@ -8,10 +8,14 @@ DC refinement and one refinement of each component.
 
 The decoder accumulates spectral-selection and successive-approximation scans into coefficient arrays,
 transforms them back in numpy (integers throughout, so equal files give equal pixels whatever they are
-decoded with), doubles the chroma and gives RGB tensors. Scans whose tables have one code are decoded
-for whole batches at once; any other Huffman-coded progressive file goes through the general bit reader.
-
-Cases: null and empty texts are a payload of 64 zero bytes. Repeated rows give equal files. Other columns are not read.
+decoded with), doubles the chroma and gives full-resolution RGB tensors, a column of decoded(). Scans
+whose tables have one code are read for whole batches at once; those of any other Huffman-coded progressive
+file go through the general bit reader. Both add to the same coefficient arrays, and payloads are read back from these.
+
+Cases: null and empty texts are a payload of 64 zero bytes. Texts of any length are stored whole, in one
+picture. Repeated rows give equal files. A null media, and a file that is no Huffman-coded progressive
+JPEG or ends early, give no tensor and the reason in `error`; a file without a payload length has no
+payload. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -298,28 +302,35 @@ def _refine(bits: _Bits, row: np.ndarray, codes: dict, k: int, last: int, low: i
     return 0
 
 
-def plain_bytes(pictures: list[Picture]) -> np.ndarray:
-    """All pictures' blocks, component after component, as their 63 payload bytes: the accumulated scans of plain pictures."""
+def plain_coefficients(pictures: list[Picture]) -> np.ndarray:
+    """coefficients() of plain pictures, all components and pictures one after another, scan by scan for whole bands at once."""
     counts = [(p.width // 16) * (p.height // 16) for p in pictures]
-    total = 6 * sum(counts)
-    halves, low = np.empty((total, PER), np.uint8), np.empty((total, PER), np.uint8)
-    at = np.concatenate([[0], np.cumsum(counts)[:-1]]) * 6 if counts else []
-    spans = [(slice(a, a + 4 * n), slice(a + 4 * n, a + 5 * n), slice(a + 5 * n, a + 6 * n)) for a, n in zip(at, counts, strict=True)]
-    for p, parts in zip(pictures, spans, strict=True):
-        for scan, part, band in zip(p.scans[1:5], (0, 0, 1, 2), (slice(0, 5), slice(5, 63), slice(0, 63), slice(0, 63)), strict=True):
-            halves[parts[part], band] = np.frombuffer(scan[6], np.uint8).reshape(-1, band.stop - band.start)
-        for scan, part in zip(p.scans[6:], (0, 1, 2), strict=True):
-            rows = np.frombuffer(scan[6].replace(b"\xff\x00", b"\xff"), np.uint8).reshape(-1, 8)
-            low[parts[part]] = np.unpackbits(rows, axis=1)[:, 1:]
-    return halves << 1 | (low ^ (halves < 64))
-
-
-def bytes_to_coefficients(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data), 64), np.float32)
-    out[:, 1:] = np.where(data < 128, data.astype(np.float32) - 255, data)
+    out = np.zeros((6 * sum(counts), 64), np.int16)
+    at = 0
+    for picture, n in zip(pictures, counts, strict=True):
+        spans = (slice(at, at + 4 * n), slice(at + 4 * n, at + 5 * n), slice(at + 5 * n, at + 6 * n))
+        at += 6 * n
+        for which, _, first, last, high, low, data, *_ in picture.scans:
+            if not first:
+                continue  # one code for a difference of nothing, and correction bits of zero: see plain()
+            part = out[spans[which[0]], first : last + 1]
+            if high:
+                rows = np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8).reshape(len(part), -1)
+                bits = np.unpackbits(rows, axis=1)[:, 1 : last - first + 2].astype(np.int16)
+                part += (bits << low) * np.sign(part)
+            else:
+                # a code of one bit, 0, then seven bits of a value: one byte a coefficient
+                raw = np.frombuffer(data, np.uint8).reshape(len(part), -1).astype(np.int16)
+                part += np.where(raw < 64, raw - 127, raw) << low
     return out
 
 
+def coefficients_to_bytes(rows: np.ndarray) -> np.ndarray:
+    """The payload bytes of blocks: AC coefficients 128 to 255 are themselves, those of -255 to -128 stand for 0 to 127."""
+    ac = rows[:, 1:]
+    return np.where(ac < 0, ac + 255, ac).astype(np.uint8)
+
+
 def _basis() -> np.ndarray:
     """64 x 64: sample (row by row) of each coefficient (sending order), times 4096, in whole numbers."""
     u, x = np.arange(8)[:, None], np.arange(8)[None, :]
@@ -333,9 +344,13 @@ _SAMPLES = _basis()
 
 def samples(coefficients: np.ndarray) -> np.ndarray:
     """Inverse transform: blocks x 64 samples, 0 to 255. Products and sums are whole numbers below 2^53, so their order has no effect."""
-    kind = np.float32 if np.abs(coefficients).max(initial=0) <= 255 else np.float64  # sums stay below 2^24 there
-    made = coefficients.astype(kind) @ _SAMPLES.astype(kind)
-    return np.clip((made.astype(np.int64 if kind is np.float64 else np.int32) + 2048 >> 12) + 128, 0, 255).astype(np.uint8)
+    out = np.empty(coefficients.shape, np.uint8)
+    for lo in range(0, len(coefficients), 1 << 14):
+        part = coefficients[lo : lo + (1 << 14)]
+        kind = np.float32 if np.abs(part).max(initial=0) <= 255 else np.float64  # sums stay below 2^24 there
+        made = part.astype(kind) @ _SAMPLES.astype(kind)
+        out[lo : lo + (1 << 14)] = np.clip((made.astype(np.int64 if kind is np.float64 else np.int32) + 2048 >> 12) + 128, 0, 255)
+    return out
 
 
 def rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
@@ -348,40 +363,23 @@ def rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     return np.clip(np.stack([red, green, blue], -1), 0, 255).astype(np.uint8)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Height x width x 3 (or x 1 for grey files) of any Huffman-coded progressive file."""
-    picture = Picture(data)
+def tensor(picture: Picture, found: list[np.ndarray]) -> np.ndarray:
+    """Height x width x 3 (or x 1 for grey files) from each component's coefficients."""
     planes = []
     top_h, top_v = max(c[1] for c in picture.components), max(c[2] for c in picture.components)
-    for i, found in enumerate(coefficients(picture)):
+    for i, rows in enumerate(found):
         _, _, w, h = picture.grid(i)
-        made = samples(found * picture.quantisers[picture.components[i][3]])
+        made = samples(rows * picture.quantisers[picture.components[i][3]])
         plane = made.reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
         plane = plane.repeat(top_v // picture.components[i][2], 0).repeat(top_h // picture.components[i][1], 1)
         planes.append(plane[: picture.height, : picture.width])
     return rgb(*planes) if len(planes) == 3 else planes[0][..., None]
 
 
-def plain_pixels(data: np.ndarray, counts: list[int], widths: list[int]) -> list[np.ndarray]:
-    """RGB tensors of plain pictures from their blocks' bytes; counts: MCUs, widths: in MCUs."""
-    made = samples(bytes_to_coefficients(data))
-    out, at = [], 0
-    for n, w in zip(counts, widths, strict=True):
-        h = n // w
-        planes = []
-        for begin, k in ((at, 2), (at + 4 * n, 1), (at + 5 * n, 1)):
-            part = made[begin : begin + k * k * n].reshape(k * h, k * w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * k * h, 8 * k * w)
-            planes.append(part if k == 2 else part.repeat(2, 0).repeat(2, 1))
-        out.append(rgb(*planes))
-        at += 6 * n
-    return out
-
-
-def feature(pixels: np.ndarray) -> str:
-    """Size, mean of each channel in thousandths (rounded down) and a checksum of the tensor."""
-    h, w, c = pixels.shape
-    means = (pixels.reshape(-1, c).sum(0, dtype=np.int64) * 1000 // (h * w)).tolist()
-    return f"{h}x{w}x{c}:{':'.join(map(str, means))}:{zlib.crc32(pixels.tobytes()):08x}"
+def decode(data: bytes) -> np.ndarray:
+    """The tensor of any Huffman-coded progressive file."""
+    picture = Picture(data)
+    return tensor(picture, coefficients(picture))
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -397,26 +395,39 @@ def store(docs: DataFrame) -> DataFrame:
     return common.map_text(docs, ["doc_id", "text"], "doc_id bigint, n_bytes bigint, payload_bytes bigint, media binary", start)
 
 
-def read_media(media: list[bytes], sizes: list[int]) -> list[tuple[bytes, np.ndarray]]:
-    """Payload and RGB tensor of each file; sizes: the payloads' lengths."""
-    out, held, count = [], [], 0
+def read_media(media: list[bytes | None], sizes: list[int | None]) -> list[tuple[bytes | None, np.ndarray | None, str | None]]:
+    """Payload, RGB tensor and error of each file; sizes: the payloads' lengths (None: a file without a payload)."""
+    out: list = [None] * len(media)
+    held: list[tuple[int, Picture, int]] = []
+    count = 0
 
     def flush():
-        pictures = [p for p, _ in held]
-        data = plain_bytes(pictures)
-        counts = [(p.width // 16) * (p.height // 16) for p in pictures]
+        pictures = [p for _, p, _ in held]
+        rows = plain_coefficients(pictures)
         at = 0
-        for (_, size), n, pixels in zip(held, counts, plain_pixels(data, counts, [p.width // 16 for p in pictures]), strict=True):
-            out.append((data[at : at + 6 * n].tobytes()[:size], pixels))
+        for k, p, size in held:
+            n = (p.width // 16) * (p.height // 16)
+            own = rows[at : at + 6 * n]
             at += 6 * n
+            pixels = tensor(p, [own[: 4 * n], own[4 * n : 5 * n], own[5 * n :]])
+            out[k] = (None if size is None else coefficients_to_bytes(own).tobytes()[:size], pixels, None)
         held.clear()
 
-    for blob, size in zip(media, sizes, strict=True):
-        picture = Picture(blob)
-        if not picture.plain():
-            raise ValueError("the file was not stored by this module")
-        held.append((picture, size))
-        count += len(blob)
+    for k, (blob, size) in enumerate(zip(media, sizes, strict=True)):
+        if blob is None:
+            out[k] = (None, None, "no media")
+            continue
+        try:
+            picture = Picture(blob)
+            if picture.plain():
+                held.append((k, picture, size))
+                count += len(blob)
+            else:
+                found = coefficients(picture)
+                payload = None if size is None else coefficients_to_bytes(np.concatenate(found)).tobytes()[:size]
+                out[k] = (payload, tensor(picture, found), None)
+        except (ValueError, IndexError, KeyError, AttributeError, struct.error) as error:
+            out[k] = (None, None, f"{type(error).__name__}: {error}")
         if count >= _STEP_BYTES:
             flush()
             count = 0
@@ -425,19 +436,33 @@ def read_media(media: list[bytes], sizes: list[int]) -> list[tuple[bytes, np.nda
     return out
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """Reads the stored files: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    ddl = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DECODED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, media binary, payload binary, height int, width int, channels int, rgb binary, error string"
+
+
+def decoded(stored: DataFrame) -> DataFrame:
+    """Reads a media column: per row DECODED, with the payload read back and the full-resolution tensor (rgb: height x width x channels bytes).
+
+    stored: doc_id, n_bytes, payload_bytes (may be null), media. Write it as a table to keep the tensors.
+    """
 
     def start():
         def work(columns):
-            ids, n_bytes, sizes, media = columns
             rows = [
-                (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature(x))
-                for m, (p, x) in zip(media, read_media(media, sizes), strict=True)
+                (p, *(x.shape if x is not None else (None, None, None)), None if x is None else x.tobytes(), e)
+                for p, x, e in read_media(columns[3], columns[2])
             ]
-            return [ids, n_bytes, sizes, *map(list, zip(*rows, strict=True))]
+            return [*columns, *map(list, zip(*rows, strict=True))]
 
         return work
 
-    return common.map_text(stored, ["doc_id", "n_bytes", "payload_bytes", "media"], ddl, start, text="media")
+    return common.map_text(stored, ["doc_id", "n_bytes", "payload_bytes", "media"], DECODED, start, text="media")
+
+
+def digests(read: DataFrame) -> DataFrame:
+    """Of decoded(): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (shape and checksum of the tensor)."""
+    shape_of = F.concat_ws("x", "height", "width", "channels")
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.concat(shape_of, F.lit(":"), F.lower(F.lpad(F.hex(F.crc32("rgb")), 8, "0"))).alias("feature"),
+    )

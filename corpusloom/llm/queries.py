@@ -19,11 +19,12 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_jpeg.features(media_jpeg.store(common.table(spark, sf_dir, "documents")))
+    return media_jpeg.digests(media_jpeg.decoded(media_jpeg.store(common.table(spark, sf_dir, "documents"))))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_likeness(common.table(spark, sf_dir, "documents"))
+    made = fingerprints.edit_likeness(common.table(spark, sf_dir, "documents"))
+    return fingerprints.with_neighbours(made, F.col("doc_id") % 50 == 0)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

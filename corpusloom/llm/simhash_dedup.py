@@ -1,23 +1,29 @@
-"""Near-duplicate groups by 64-bit SimHash with bit-sliced comparison.
+"""Near-duplicate groups by SimHash with bit-sliced comparison.
 
 A text's fingerprint comes from its word shingles (A-Z lower-cased, words are runs of other than ASCII
 white space): a bit is set if more than half of the shingles' XXH64 hashes (seed 42) have it. Different
 fingerprints within the radius are linked. Two fingerprints within radius r agree on whole blocks of
 bits: of b blocks at least b - r are equal, so each choice of b - r blocks is a table whose equal keys
-hold all links. Within a key's block of rows the fingerprints stand as vertical bit planes (one long
-integer a bit); shifting the planes against themselves compares every row with the one s places on, and
-carry-save counters add the differing bits of all lanes at once until all lanes exceed the radius.
-
-Blocks never leave as pairs: each yields a spanning forest of its links. Blocks over `tile` rows are cut
-into tiles and every two tiles meet in a task of their own, so no block is whole in one task. The forest
-edges of all blocks meet in connected components (hooking to the smallest neighbour and pointer jumping, with tables written in
-between). Only different fingerprints take part; copies of one text add nothing but their smallest doc_id.
-
-The search by similarity (the pipeline's) takes its candidates from MinHash bands, because windows of a SimHash lose too
-many pairs at 0.8, and verifies each link on the whole sets of shingle hashes; a wide SimHash spares far pairs that.
-
-Cases: null and empty texts have fingerprint zero, linked like any other. A null doc_id is a row like any
-other but never a component's id unless all its ids are null. Repeated rows come back as often as they came.
+hold all links; keys get longer with the number of fingerprints, so that blocks stay small. Within a
+key's block of rows the fingerprints stand as vertical bit planes (one long integer a bit); shifting the
+planes against themselves compares every row with the one s places on, and carry-save counters add the
+differing bits of all lanes at once until all lanes exceed the radius.
+
+Blocks never leave as pairs of copies: the search by radius yields a spanning forest of each block's
+links. Blocks over `tile` rows are cut into tiles and every two tiles meet in a task of their own, so no
+block is whole in one task. Edges meet in connected components (hooking to the smallest neighbour and
+pointer jumping, with tables written in between). Only different fingerprints take part; copies of one
+text add nothing but their smallest doc_id. Joins deal out hot keys by salt.
+
+The search by similarity (the pipeline's) compares 256-bit SimHashes of five-word shingles in the same
+way; its candidates share a MinHash band, because windows of a SimHash lose too many pairs at 0.8, and
+each link is verified on the whole sets of shingle hashes.
+
+Cases: null and empty texts have fingerprint zero (by similarity: the empty shingle), linked like any other.
+Texts of any length are hashed whole, shingle hashes in slices. A null doc_id is a row like any other but
+never a component's id unless all its ids are null. Repeated rows come back as often as they came. An
+empty table gives an empty result. Ties (equal ids) go to the smaller text digest. Other columns are not
+read, and their names may be any; one_of_each returns them as they are.
 """
 
 from __future__ import annotations
@@ -30,30 +36,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh64_intdigest
 
 from . import common
 
 SEED = 42
-#: Bytes of a wide fingerprint: two 128-bit hashes a shingle.
-WIDE = 32
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
 #: MinHash bands of the search by similarity, and values in each.
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 20, 5
+#: Sets of fewer shingles are compared whatever their fingerprints: a few votes are too coarse.
+SMALL = 16
+TILE = 2048
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of the text (fewer words: of the whole sequence; none: nothing)."""
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
-    ends, at = [], -1
-    for size in map(len, parts):
-        at += size + 1
-        ends.append(at)
     if len(parts) <= words:
-        return xxh64_intdigest(joined, SEED)
-    starts = [0, *[e + 1 for e in ends[:-words]]]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)], "<u8")
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = [0, *(ends[:-words] + 1).tolist()]
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    hashes = _hashes(text, words)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -62,22 +73,24 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; a text without words has that of the empty string."""
-    parts = (text or "").encode("utf-8", "replace").lower().split()
-    most = max(1, len(parts) - words + 1)
-    return np.unique(np.array([xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(most)], np.uint64))
+    found = _hashes(text, words)
+    return np.unique(found) if len(found) else np.array([xxh64_intdigest(b"", SEED)], np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of 8 * WIDE bits over distinct shingles, as 64-bit words: the share of equal bits is 1 - angle / pi."""
-    ones = np.zeros(8 * WIDE, np.int64)
-    for lo in range(0, len(hashes), 1 << 12):
-        raw = hashes[lo : lo + (1 << 12)].tobytes()
-        digests = np.frombuffer(b"".join([xxh3_128_digest(raw[i : i + 8], s) for i in range(0, len(raw), 8) for s in (SEED, SEED + 1)]), np.uint8)
-        ones += np.unpackbits(digests.reshape(-1, WIDE), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes)).view("<i8")
+_RNG = np.random.default_rng(SEED)
+_WORDS = _RNG.integers(0, 1 << 64, (3, 1, WIDE), np.uint64)
+_MIX = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 
 
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 64 * WIDE bits over distinct shingles, as 64-bit words: the share of equal bits is 1 - angle / pi."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for lo in range(0, len(hashes), 1 << 12):
+        x = (hashes[lo : lo + (1 << 12), None] ^ _WORDS[0]) * (_WORDS[1] | np.uint64(1))
+        x = (x ^ (x >> np.uint64(31))) * (_WORDS[2] | np.uint64(1))
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -86,8 +99,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     for lo in range(0, len(hashes), 1 << 10):
         least = np.minimum(least, ((hashes[lo : lo + (1 << 10)] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))).min(1))
     raw, size = least.tobytes(), 8 * ROWS
-    keys = [xxh64_intdigest(raw[i * size : (i + 1) * size], i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return [k - (1 << 64) if (k := xxh64_intdigest(raw[i * size : (i + 1) * size], i)) >> 63 else k for i in range(BANDS)]
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -101,7 +113,8 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
         return work
 
     ddl = "doc_id bigint, node binary, n bigint, fp array<bigint>, keys array<bigint>"
-    return common.map_text(docs.withColumn("node", _node()), ["doc_id", "node", "text"], ddl, start)
+    rows = docs.select("doc_id", _node().alias("node"), "text")
+    return common.map_text(rows, ["doc_id", "node", "text"], ddl, start)
 
 
 def _node():
@@ -209,82 +222,112 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def links(fps: DataFrame, radius: int = 4, spare: int = 2, tile: int = 2048) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of different 64-bit `fp` within the radius. fps: distinct fp (bigint)."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_tables(64, radius, spare)]
-    return _linked(fps, F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]), radius, tile)
+def near_rows(values: np.ndarray, group: np.ndarray, radius: int, always: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows a < b of one group within the radius, or both `always`; equal groups stand together."""
+    n = len(values)
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(starts, n))
+    left = np.repeat(starts + size, size) - np.arange(n)
+    held = planes(values)
+    small = int.from_bytes(np.packbits(always, bitorder="little").tobytes(), "little")
+    out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    for shift in range(1, int(size.max(initial=0))):
+        lanes = int.from_bytes(np.packbits(left > shift, bitorder="little").tobytes(), "little")
+        if hits := within(held, shift, lanes, radius) | (small & (small >> shift) & lanes):
+            a = _places(hits, n)
+            out.append(np.stack([a, a + shift]))
+    a, b = np.concatenate(out, 1)
+    return a, b
 
 
-def _linked(fps: DataFrame, keys, radius: int, tile: int) -> DataFrame:
-    keyed = fps.select("fp", F.posexplode(keys).alias("t", "key"))
+def links(fps: DataFrame, radius: int = 4, spare: int | None = None, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of different 64-bit `fp` within the radius. fps: distinct fp (bigint).
+
+    spare: blocks that a key takes; by default as many as give the keys of n fingerprints log2(n) - 6 bits, so that blocks hold a few dozen rows.
+    """
+    if spare is None:
+        need = math.log2(max(2, fps.count())) - 6
+        spare = next(s for s in range(2, 9) if s == 8 or 64 * s // (radius + s) >= need)
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_tables(64, radius, spare)]
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["t", "key"])
+    met = common.skew_join(keyed, sizes, ["t", "key"])
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), tiles).cast("int")
     # a row of tile i goes to the meetings (i, j) of all j: each two tiles meet once
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     spread = met.select("fp", "t", "key", tiles.alias("tiles"), mine.alias("mine")).select("fp", "t", "key", "mine", other.alias("other"))
     placed = spread.select("fp", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"))
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    kind = fps.schema["fp"].dataType.simpleString()
-    schema = common.schema_of(f"a {kind}, b {kind}")
-    out = common.arrow_schema(schema)
+
+    def joined(rows: pa.Table) -> tuple:
+        fp = rows.column("fp").combine_chunks()
+        values = fp.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+        a, b = forest(values, rows.column("block").to_numpy(), radius)
+        return fp.take(pa.array(a)), fp.take(pa.array(b))
+
+    # each fingerprint has an edge to the first one of every block that it is in; led through the smallest of them,
+    # the rest become edges between firsts, which the members of a large group share
+    forests = common.written(_in_blocks(placed, "a bigint, b bigint", joined, tile), "forests")
+    lowest = forests.groupBy("b").agg(F.min("a").alias("m"))
+    between = forests.join(lowest, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b")
+    return between.union(lowest.select(F.col("m").alias("a"), "b")).distinct()
+
+
+def _in_blocks(rows: DataFrame, ddl: str, work, tile: int) -> DataFrame:
+    """work(table of whole blocks) gives the columns of `ddl`, for rows that meet by `block`; a task holds about 16 tiles at a time."""
+    schema = common.schema_of(ddl)
+    common.bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = common.arrow_schema(schema)
         held: list[pa.RecordBatch] = []
         count = 0
 
-        def made(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-            group = rows.column(1).to_numpy()
-            cut = len(group) if last else int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
-            if not cut:
-                return None, rows
-            fp = rows.column(0).slice(0, cut).combine_chunks()
-            if kind == "bigint":
-                values = fp.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
-            else:
-                values = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(cut, -1)
-            a, b = forest(values, group[:cut], radius)
-            columns = [fp.take(pa.array(a)).cast(out.field(0).type), fp.take(pa.array(b)).cast(out.field(1).type)]
-            return pa.RecordBatch.from_arrays(columns, schema=out), rows.slice(cut)
+        def made(whole: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(work(whole), out, strict=True)], schema=out)
 
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= 16 * tile:  # the last block may go on in the next batch
-                edges, rest = made(pa.Table.from_batches(held), False)
-                held, count = rest.to_batches(), rest.num_rows
-                if edges is not None:
-                    yield edges
+            if count >= 16 * tile:
+                table = pa.Table.from_batches(held)
+                block = table.column("block").to_numpy()
+                apart = np.flatnonzero(block != block[-1])  # the last block may go on in the next batch
+                if len(apart):
+                    yield made(table.slice(0, int(apart[-1]) + 1))
+                    table = table.slice(int(apart[-1]) + 1)
+                held, count = table.to_batches(), table.num_rows
         if count:
-            yield made(pa.Table.from_batches(held), True)[0]
+            yield made(pa.Table.from_batches(held))
 
-    forests = placed.repartition("block").sortWithinPartitions("block", "fp").select("fp", "block").mapInArrow(run, schema)
-    # each fingerprint has an edge to the first one of every block that it is in, at most a few dozen; led through the
-    # smallest of them, the rest become edges between firsts, which the members of a large group share
-    stars = forests.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("others"))
-    return stars.select(F.col("m").alias("a"), F.explode(F.array_append("others", F.col("b"))).alias("b")).where("a <> b").distinct()
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that it reaches.
 
     Each round every root hooks to the smallest root that an edge of its members leads to, then labels
-    jump to their root's root; rounds grow as the logarithm of the longest chain. All in joins on written tables.
+    jump to their root's root; rounds grow as the logarithm of the longest chain. All in joins on written
+    tables, each deleted when the next has been written.
     """
-    both = common.written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(rounds):
-        # pointer jumping to the end of what is known
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = labels.join(up, "root").select("node", F.least("root", "top").alias("root"), (F.col("top") < F.col("root")).alias("moved"))
-        jumped = common.written(jumped, "labels")
-        if jumped.where("moved").limit(1).count():
-            labels = jumped.select("node", "root")
+    spark = edges.sparkSession
+    both = common.written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges", keep=True)
+    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", keep=True)
+
+    def replaced(made: DataFrame) -> DataFrame:
+        found = common.written(made, "labels", keep=True)
+        for path in {f.rpartition("/")[0] for f in labels.inputFiles()}:
+            common.delete_path(spark, path)
+        return found
+
+    while True:
+        # pointer jumping to the end of what is known: only roots that have a smaller root take part
+        tops = labels.join(labels.select(F.col("root").alias("node")).distinct(), "node", "left_semi").where("root <> node")
+        tops = common.written(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+        if tops.limit(1).count():
+            labels = replaced(common.skew_join(labels, tops, ["root"], "left").select("node", F.coalesce("top", "root").alias("root")))
             continue
-        labels = jumped.select("node", "root")
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("low")), "b").select("a", "low")
+        near = common.skew_join(both, labels.select(F.col("node").alias("b"), F.col("root").alias("low")), ["b"]).select("a", "low")
         hooks = (
             near.groupBy("a").agg(F.min("low").alias("low")).join(labels.withColumnRenamed("node", "a"), "a").where("low < root")
             .groupBy("root").agg(F.min("low").alias("low"))
@@ -292,67 +335,100 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         hooks = common.written(hooks, "hooks")
         if not hooks.limit(1).count():
             return labels
-        labels = labels.join(hooks, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
-        labels = common.written(labels, "labels")
-    raise RuntimeError(f"components not settled after {rounds} rounds")
+        labels = replaced(common.skew_join(labels, hooks, ["root"], "left").select("node", F.coalesce("low", "root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id of all texts that links reach."""
-    grouped = _grouped(common.written(fingerprints(docs, words), "prints"), lambda fps: links(fps, radius))
+    prints = common.written(fingerprints(docs, words), "prints")
+    firsts = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    roots = components(links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
+    known = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = common.written(known, "known")
+    lowest = common.skew_join(known, known.groupBy("root").agg(F.min("first").alias("component_id")), ["root"]).select("fp", "component_id")
+    grouped = common.skew_join(prints, lowest, ["fp"])
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row: doc_id, component_id by links of texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+def near_duplicates_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """Per row: doc_id, node (the text's digest), component_id, kept, by links of texts whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more. kept: the row (and copies of it) that stays if one of each component does.
 
-    Candidates share a MinHash band (at 0.8 all but one pair in 100,000 do); each link is verified on the whole sets of
+    Candidates share a MinHash band (at 0.8 all but four pairs in 10,000 do); each link is verified on the whole sets of
     shingle hashes. First each text meets the most central one of its blocks, so that a large group becomes one
-    component in as many pairs as it has members. Then all pairs of a block that are still in different components
-    meet, but for those of 64 shingles or more whose wide SimHash differs by five standard deviations too much.
+    component in as many pairs as it has members. Then bit-sliced comparison of the wide fingerprints finds, in blocks
+    that still have several components, the pairs of different components within screen() bits; rows of a
+    block's largest component meet only the other rows, so a few strangers in a large group cost their number times its size.
     """
     prints = common.written(wide_fingerprints(docs, words), "prints")
-    firsts = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("n", "fp", "keys")).alias("x"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    firsts = prints.groupBy("node").agg(first.alias("first"), F.min(F.struct("n", "fp", "keys")).alias("x"))
     firsts = common.written(firsts.select("node", "first", "x.*"), "firsts")
     keyed = firsts.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = common.written(keyed.join(sizes, "key"), "met")
+    met = common.written(common.skew_join(keyed, sizes, ["key"]), "met")
 
     central = met.groupBy("node").agg(F.sum("size").alias("weight"))
     tops = met.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
-    stars = met.join(tops, "key").where("node <> top.node").groupBy("node").agg(F.max("top").alias("top")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
-    near = verified(stars, firsts, docs, words, similarity)
-
-    known = met.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = common.written(known.select("node", "key", "root"), "known")
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = common.written(known.join(mixed, "key").join(firsts.select("node", "n", "fp"), "node"), "mixed")
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "fp")]) for side in "ab")
-    apart = sum(F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(WIDE // 8))
-    alike = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & ((F.least("n_a", "n_b") < 64) | (apart <= screen(similarity)))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & alike)
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    more = verified(pairs, firsts, docs, words, similarity)
+    stars = common.skew_join(met, tops, ["key"]).where("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
+    near = verified(stars.select(F.col("node").alias("a"), F.col("top.node").alias("b")), firsts, docs, words, similarity)
+
+    known = common.written(met.join(components(near), "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "known")
+    more = verified(_screened(known, firsts, similarity, tile), firsts, docs, words, similarity)
 
     roots = components(near.unionByName(more))
-    placed = firsts.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(lowest, "node").select("doc_id", "component_id")
+    placed = common.written(firsts.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed")
+    lowest = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("low"))
+    lowest = common.skew_join(placed.select("node", "root"), lowest, ["root"]).select("node", "low")
+    rows = common.skew_join(prints.select("doc_id", "node"), lowest, ["node"])
+    kept = F.col("doc_id").eqNullSafe(F.col("low.first.id")) & (F.col("node") == F.col("low.node"))
+    return rows.select("doc_id", "node", F.col("low.first.id").alias("component_id"), kept.alias("kept"))
 
 
 def screen(similarity: float) -> int:
     """Differing bits of wide fingerprints that sets of this Jaccard similarity exceed with less than one chance in a million."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 8 * WIDE
+    bits = 64 * WIDE
     return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
 
 
+def _screened(known: DataFrame, firsts: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots within a key whose wide fingerprints are near; known: node, key, root."""
+    sides = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    blocks = sides.where("kinds > 1").select("key", F.col("big.root").alias("big"), F.col("big.n").alias("bigs"), (F.col("all") - F.col("big.n")).alias("others"))
+    rows = common.skew_join(known, blocks, ["key"])
+    own = F.col("root") == F.col("big")
+    tiles_b, tiles_o = (F.ceil(F.col(c) / F.lit(tile)).cast("int") for c in ("bigs", "others"))
+    i = F.pmod(F.xxhash64("node"), F.when(own, tiles_b).otherwise(tiles_o)).cast("int")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    meeting = lambda kind, a, b: F.xxhash64("key", F.lit(kind), a, b)
+    among = F.transform(span(F.col("tiles_o")), lambda j: meeting(0, F.least("i", j), F.greatest("i", j)))
+    across = F.transform(span(F.col("tiles_b")), lambda j: meeting(1, F.col("i"), j))
+    reached = F.transform(span(F.col("tiles_o")), lambda j: meeting(1, j, F.col("i")))
+    rows = rows.select("node", "root", "key", own.alias("own"), i.alias("i"), tiles_b.alias("tiles_b"), tiles_o.alias("tiles_o"))
+    rows = rows.join(firsts.select("node", "n", "fp"), "node")
+    rows = rows.select("node", "root", "n", "fp", F.explode(F.when(F.col("own"), reached).otherwise(F.concat(among, across))).alias("block"))
+    radius = screen(similarity)
+
+    def pairs(table: pa.Table) -> tuple:
+        node, root, n = table.column("node").combine_chunks(), table.column("root").to_pylist(), table.column("n").to_numpy()
+        names = dict.fromkeys(root)
+        root = np.fromiter(map({r: k for k, r in enumerate(names)}.__getitem__, root), np.int64, len(root))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
+        a, b = near_rows(fp, table.column("block").to_numpy(), radius, n < SMALL)
+        keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+        return node.take(pa.array(a[keep])), node.take(pa.array(b[keep]))
+
+    found = _in_blocks(rows, "a binary, b binary", pairs, tile)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have at least this Jaccard similarity, written."""
     pairs = common.written(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # one row a text: rows of a text are told apart by their ids, so that copies do not meet in one task
-    wanted = nodes.join(firsts, "node").select("node", F.coalesce("first", F.lit(-1 << 63)).alias("id"))
+    wanted = nodes.join(firsts, "node").select("node", F.coalesce("first.id", F.lit(-1 << 63)).alias("id"))
     rows = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), _node().alias("node"), "text")
 
     def start():
@@ -360,28 +436,31 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, words: int, s
 
     one = rows.join(wanted, ["id", "node"], "left_semi").dropDuplicates(["node"])
     sets = common.written(common.map_text(one, ["node", "text"], "node binary, s array<bigint>", start), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    left = common.skew_join(pairs, sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), ["a"])
+    # the center of a large group is the b of many pairs
+    limit = max(common.KEY_ROWS, pairs.count() // common.SHARE)
+    many = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > limit).select("b", F.ceil(F.col("k") / F.lit(limit)).cast("int").alias("salts"))
+    many = common.written(many, "centers")  # at most SHARE rows
+    salt = F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0))
+    left = left.join(F.broadcast(many), "b", "left").withColumn("salt", salt).drop("salts")
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).join(F.broadcast(many), "b", "left")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     common_ones = F.size(F.array_intersect("sa", "sb"))
+    both = left.join(right, ["b", "salt"])
     return common.written(both.where(common_ones / (F.size("sa") + F.size("sb") - common_ones) >= similarity).select("a", "b"), "near")
 
 
-def _grouped(prints: DataFrame, linked) -> DataFrame:
-    """prints (doc_id, fp) with component_id. Copies of a text have met before: only different fingerprints are linked."""
-    firsts = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = components(linked(firsts.select("fp")))
-    known = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = known.join(known.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(lowest, "fp")
-
-
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, less those that are not their group's component_id; of repeated rows one stays.
+    """The rows of docs, with all their columns, that are their group's kept one; of repeated rows one stays.
 
-    groups: doc_id, component_id. Rows with a null doc_id stay.
+    groups: doc_id, node, kept of near_duplicates_by_similarity. A row goes by its id and text, not by its id alone:
+    of two rows with one doc_id, one that is nobody's duplicate stays.
     """
-    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")).agg(F.count("*").alias("_copies"))
+    kept = common.written(kept, "kept")
+    named = docs.select("*", _node().alias("_loom_node"))
+    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_loom_node") == F.col("_kept_node")), "left_semi")
+    if kept.where("_copies > 1").limit(1).count():
+        found = found.dropDuplicates(["doc_id", "_loom_node"])
+    return found.select(*names)

@@ -333,12 +333,13 @@ def _sums(odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> list[tuple[str, int]]:
-    """The bounded sample: at most `per_class` whole labelled texts of either label, none of them held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, size: int = 24 << 20) -> list[tuple[str, int]]:
+    """The bounded sample: at most `per_class` whole labelled texts and `size` bytes of either label, none of them held out.
+
+    Of several labels of a document the larger one counts; rows with one doc_id count once.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = common.bounded_sample(usable, "toxic", "doc_id", per_class)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    return [(r["text"], r["toxic"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    return common.sampled_texts(docs, common.bounded_sample(usable, "toxic", "doc_id", per_class), "toxic", ["doc_id"], size)
 
 
 def score(docs: DataFrame, model: Field) -> DataFrame:

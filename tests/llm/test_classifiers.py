@@ -9,16 +9,36 @@ from .tables import empty, frames, rows
 
 
 def test_language_models_are_distributions():
-    models = langid.fit([(t, lang) for _, t, lang, *_ in rows()[0][:100] if t])
-    letters = sorted({c for _, t, *_ in rows()[0][:100] if t for c in t.lower() if c.isalpha()})
-    # after "the", the probabilities of all next characters and of the word's end sum to nearly one
-    logs = models.word_logs(["the" + c for c in letters] + ["the"])
-    start = models.word_logs(["th"])[0]
-    del start
-    for k in range(len(models.languages)):
-        ends = {c: models.word_logs([c])[0, k] for c in letters[:3]}
-        assert all(v < 0 for v in ends.values())
-        assert np.all(np.isfinite(logs[:, k]))
+    """After any beginning of a word, the probabilities of all characters, the word's end and any other character sum to one."""
+    seen = [(t, lang) for _, t, lang, *_ in rows()[0][:100] if t]
+    models = langid.fit(seen)
+    letters = sorted({c for t, _ in seen for c in t.lower() if c.isalpha()})
+    for start in ("", "t", "th", "the", "ga", "zzz", "qä", "winte"):
+        logs, place = models.char_logs([start + c for c in [*letters, "\u0416"]] + ([start] if start else []))
+        # the character after the beginning; a lone beginning has its end mark there
+        p = np.exp(logs[place == len(start) + 1])
+        if not start:  # the end mark, which no word starts with, has the rest
+            assert np.all(p.sum(0) <= 1 + 1e-9)
+            continue
+        assert len(p) == len(letters) + 2
+        assert np.allclose(p.sum(0), 1, atol=1e-9), start
+
+
+def test_rejection_is_a_quantile_by_length():
+    seen = [(t, lang) for _, t, lang, *_ in rows()[0][:120] if t]
+    models = langid.fit(seen)
+    odd = langid.fit([*seen, *[("ЖЩЪ ЫЭЮ ЪЪЪ ЩЩЩ ЖЖЖ ЭЭЭ " * 10, "en")]])
+    assert langid.Scorer(models)(["ЖЩЪЫ " * 30])[0][3]
+    assert abs(odd.bound[0] - models.bound[0]) < 0.5
+    kept = [not r[3] for r in langid.Scorer(models)([t for t, _ in seen])]
+    assert sum(kept) == len(kept)
+    assert models.rejects(models.bound[0] + 1.5, 400) and not models.rejects(models.bound[0] + 1.5, 2)
+
+
+def test_letters():
+    scorer = langid.Scorer(langid.fit([(t, lang) for _, t, lang, *_ in rows()[0][:60] if t]))
+    assert [r[0] for r in scorer(["½ ² ①", "12 !?", "\u0301", None])] == ["und"] * 4
+    assert langid._LETTERS.findall("cafe\u0301 x2y") == ["cafe\u0301", "x", "y"]
 
 
 def test_kneser_ney_by_hand():
@@ -26,7 +46,8 @@ def test_kneser_ney_by_hand():
     models = langid.fit([("aab aab", "x")], order=2, discount=0.5)
     grams = {"^a": 2, "aa": 2, "ab": 2, "b$": 2}
     kinds = {"a": 2, "b": 1, "$": 1}  # how many different characters stand before
-    unigram = {c: (n - 0.5) / sum(kinds.values()) + models.floor for c, n in kinds.items()}
+    # the discounted mass goes to a, b, the end mark and all other characters evenly
+    unigram = {c: (n - 0.5) / 4 + 0.5 * 3 / 4 / 4 for c, n in kinds.items()}
     total = {"^": 2, "a": 4, "b": 2}
     after = {"^": 1, "a": 2, "b": 1}
 

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -20,9 +21,12 @@ PAGES = "page_id bigint, url string, html string, digest string, key string, kno
 def test_jpeg_round_trip_and_general_decoder(parts):
     payloads = [p + bytes(-len(p) % 64) for p in parts]
     files = media_jpeg.encode(payloads)
-    for (data, pixels), payload, file in zip(media_jpeg.read_media(files, [len(p) for p in payloads]), payloads, files):
-        assert data == payload
+    for (data, pixels, error), payload, file in zip(media_jpeg.read_media(files, [len(p) for p in payloads]), payloads, files):
+        assert data == payload and error is None
         assert (media_jpeg.decode(file) == pixels).all()
+        # the bit reader and the reader of whole bands fill equal coefficient arrays
+        picture = media_jpeg.Picture(file)
+        assert (np.concatenate(media_jpeg.coefficients(picture)) == media_jpeg.plain_coefficients([picture])).all()
 
 
 def test_inverse_transform_by_definition():
@@ -61,9 +65,28 @@ def test_general_scans_with_runs_and_refinement():
     assert found[0, :6].tolist() == [0, 2, 1, -3, 0, 0] and not found[1].any()
 
 
+def other_file():
+    """A progressive file that store() does not write: one component, other tables and scans."""
+    dc, ac = media_jpeg._table(0x00, 0), media_jpeg._table(0x10, 0x00)
+    frame = media_jpeg._segment(0xC2, bytes([8, 0, 8, 0, 16, 1, 1, 0x11, 0]))
+    return media_jpeg._HEAD + frame + dc + media_jpeg._scan([1], 0, 0, 0, 0) + b"\x3f" + ac + media_jpeg._scan([1], 1, 63, 0, 0) + b"\x3f" + b"\xff\xd9"
+
+
+def test_media_column_of_any_files(spark, tmp_path):
+    own = media_jpeg.encode([bytes(range(64))])[0]
+    rows = [(1, 64, 64, own), (2, None, None, other_file()), (3, None, None, None), (4, None, None, b"\xff\xd8\xff\xc0\x00\x04xx"), (5, 64, 64, own[:40]), (6, None, None, own)]
+    media_jpeg.decoded(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, payload_bytes bigint, media binary")).write.parquet(f"{tmp_path}/tensors")
+    found = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/tensors").collect()}
+    for i in (1, 2, 6):
+        r = found[i]
+        assert np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], r["channels"]).tolist() == media_jpeg.decode(rows[i - 1][3]).tolist() and r["error"] is None
+    assert bytes(found[1]["payload"]) == bytes(range(64)) and found[6]["payload"] is None and (found[2]["height"], found[2]["width"], found[2]["channels"]) == (8, 16, 1)
+    assert all(found[i]["rgb"] is None and found[i]["error"] for i in (3, 4, 5))
+
+
 def test_media_of_all_cases(spark):
     docs, _ = frames(spark, 40)
-    rows = media_jpeg.features(media_jpeg.store(docs)).collect()
+    rows = media_jpeg.digests(media_jpeg.decoded(media_jpeg.store(docs))).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert len(rows) == docs.count()
     seen = {}
@@ -74,7 +97,7 @@ def test_media_of_all_cases(spark):
         assert r["tail_crc32"] == zlib.crc32(padded[-64:])
         assert seen.setdefault(data, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
     nothing, _ = empty(spark)
-    assert media_jpeg.features(media_jpeg.store(nothing)).count() == 0
+    assert media_jpeg.digests(media_jpeg.decoded(media_jpeg.store(nothing))).count() == 0
 
 
 def pages(spark):
@@ -163,6 +186,51 @@ def test_short_sections_and_link_lines_stay():
     assert "some link" not in html_text.extract(f"<div>{body}{notices}{links}</div>")
 
 
+def test_attribute_syntax():
+    page = "<article><p title=it's>Don't stop here</p><p>Next para isn't lost</p></article>"
+    assert html_text.extract(page) == "Don't stop here\n\nNext para isn't lost"
+    assert html_text.extract("<article><div data-id='search'><p>Body text</p></div></article>") == "Body text"
+    assert html_text.extract("<article><p a='>' b=\"x>y\">Kept</p><p hidden>gone</p><p style='display: none'>gone</p><p data-x=hidden>stays</p></article>") == "Kept\n\nstays"
+    assert html_text.extract("<div><p>Text <!--> shown</p><!-- a > b --><p>More</p></div>") == "Text shown\n\nMore"
+
+
+def test_other_articles_are_not_the_main_text():
+    body = "<p>A paragraph of the main article, long enough.</p>" * 3
+    more = "<section><article><p>Another story that is only linked from here.</p></article></section>"
+    assert "Another" not in html_text.extract(f"<article>{body}</article>{more}")
+    assert "Another" not in html_text.extract(f"<article>{body}<article class=c1><p>Another voice</p></article></article>")
+
+
+@pytest.mark.parametrize("piece", ["<b ", "<b a=\"", "<p><b>", "<div>", "</p>", "<li a='>", "<!--", "<a href=x>t", "<b a=\">\" ", "&amp", "<script>", "< ", "<p x=y>w"])
+def test_a_hostile_megabyte(piece):
+    began = time.process_time()
+    html_text.extract("<p>Start</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 6
+
+
+def brute_stretches(weights, window):
+    """By definition: a line belongs to a stretch if some window over it up to WINDOW lines long starts above zero without a break."""
+    alive = [any(weights[i : i + window]) for i in range(len(weights))]
+    out, i = [], 0
+    while i < len(weights):
+        if not alive[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(weights) and alive[j]:
+            j += 1
+        inner = [k for k in range(i, j) if weights[k]]
+        out.append((inner[0], inner[-1] + 1, sum(weights[k] for k in inner)))
+        i = j
+    return out
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_stretches_by_definition(weights, window):
+    assert html_text.stretches(weights, window) == brute_stretches(weights, window)
+
+
 def test_stretches():
     assert html_text.stretches([0, 5, 0, 7, 0, 0, 0, 2, 0], 3) == [(1, 4, 12), (7, 8, 2)]
     assert html_text.stretches([], 3) == [] and html_text.stretches([0, 0], 3) == []
