@@ -46,5 +46,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"), keep=True)
     return docs
