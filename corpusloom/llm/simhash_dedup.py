@@ -16,8 +16,9 @@ pointer jumping, with tables written in between). Only different fingerprints ta
 text add nothing but their smallest doc_id. Joins deal out hot keys by salt.
 
 The search by similarity (the pipeline's) compares 256-bit SimHashes of five-word shingles in the same
-way; its candidates share a MinHash band, because windows of a SimHash lose too many pairs at 0.8, and
-each link is verified on the whole sets of shingle hashes.
+way; its candidates share a MinHash band, because windows of a SimHash lose too many pairs at 0.8. What
+the SimHash leaves must also pass a bound by bitmaps of the sets, which no link fails, and each link is
+verified on the whole sets of shingle hashes.
 
 Cases: null and empty texts have fingerprint zero (by similarity: the empty shingle), linked like any other.
 Texts of any length are hashed whole, shingle hashes in slices. A null doc_id is a row like any other but
@@ -48,6 +49,8 @@ BANDS, ROWS = 20, 5
 #: Sets of fewer shingles are compared whatever their fingerprints: a few votes are too coarse.
 SMALL = 16
 TILE = 2048
+#: Bytes of a set's bitmap.
+MAP = 256
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -102,17 +105,25 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [k - (1 << 64) if (k := xxh64_intdigest(raw[i * size : (i + 1) * size], i)) >> 63 else k for i in range(BANDS)]
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Bit h mod 8 * MAP for each hash h. Sets whose bitmaps differ in d bits have at most (|A| + |B| - d) / 2 common members."""
+    bits = np.zeros(8 * MAP, np.uint8)
+    bits[hashes % np.uint64(8 * MAP)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Per row: doc_id, node (the text's digest), n distinct shingles, fp (64-bit words), keys (of MinHash bands)."""
+    """Per row: doc_id, node (the text's digest), n distinct shingles, fp (64-bit words), map (bitmap), keys (of MinHash bands)."""
 
     def start():
         def work(columns):
             sets = [shingles(t, words) for t in columns[2]]
-            return [columns[0], columns[1], [len(h) for h in sets], [wide_fingerprint(h).tolist() for h in sets], [band_keys(h) for h in sets]]
+            made = [(len(h), wide_fingerprint(h).tolist(), bitmap(h), band_keys(h)) for h in sets]
+            return [columns[0], columns[1], *map(list, zip(*made, strict=True))]
 
         return work
 
-    ddl = "doc_id bigint, node binary, n bigint, fp array<bigint>, keys array<bigint>"
+    ddl = "doc_id bigint, node binary, n bigint, fp array<bigint>, map binary, keys array<bigint>"
     rows = docs.select("doc_id", _node().alias("node"), "text")
     return common.map_text(rows, ["doc_id", "node", "text"], ddl, start)
 
@@ -222,22 +233,19 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def near_rows(values: np.ndarray, group: np.ndarray, radius: int, always: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All rows a < b of one group within the radius, or both `always`; equal groups stand together."""
+def near_rows(values: np.ndarray, group: np.ndarray, radius: int, always: np.ndarray):
+    """Arrays a, b, one pair of them a shift: all rows a < b of one group within the radius, or both `always`; equal groups stand together."""
     n = len(values)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(starts, n))
     left = np.repeat(starts + size, size) - np.arange(n)
     held = planes(values)
     small = int.from_bytes(np.packbits(always, bitorder="little").tobytes(), "little")
-    out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
     for shift in range(1, int(size.max(initial=0))):
         lanes = int.from_bytes(np.packbits(left > shift, bitorder="little").tobytes(), "little")
         if hits := within(held, shift, lanes, radius) | (small & (small >> shift) & lanes):
             a = _places(hits, n)
-            out.append(np.stack([a, a + shift]))
-    a, b = np.concatenate(out, 1)
-    return a, b
+            yield a, a + shift
 
 
 def links(fps: DataFrame, radius: int = 4, spare: int | None = None, tile: int = TILE) -> DataFrame:
@@ -357,12 +365,14 @@ def near_duplicates_by_similarity(docs: DataFrame, words: int = 5, similarity: f
     Candidates share a MinHash band (at 0.8 all but four pairs in 10,000 do); each link is verified on the whole sets of
     shingle hashes. First each text meets the most central one of its blocks, so that a large group becomes one
     component in as many pairs as it has members. Then bit-sliced comparison of the wide fingerprints finds, in blocks
-    that still have several components, the pairs of different components within screen() bits; rows of a
-    block's largest component meet only the other rows, so a few strangers in a large group cost their number times its size.
+    that still have several components, the pairs of different components within screen() bits whose bitmaps allow a
+    link: in one round each text's most promising partner, which leaves few components, in the last one all of them.
+    Rows of a block's largest component meet only the other rows, so a few strangers in a large group cost their number
+    times its size.
     """
     prints = common.written(wide_fingerprints(docs, words), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    firsts = prints.groupBy("node").agg(first.alias("first"), F.min(F.struct("n", "fp", "keys")).alias("x"))
+    firsts = prints.groupBy("node").agg(first.alias("first"), F.min(F.struct("n", "fp", "map", "keys")).alias("x"))
     firsts = common.written(firsts.select("node", "first", "x.*"), "firsts")
     keyed = firsts.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -373,10 +383,11 @@ def near_duplicates_by_similarity(docs: DataFrame, words: int = 5, similarity: f
     stars = common.skew_join(met, tops, ["key"]).where("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
     near = verified(stars.select(F.col("node").alias("a"), F.col("top.node").alias("b")), firsts, docs, words, similarity)
 
-    known = common.written(met.join(components(near), "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "known")
-    more = verified(_screened(known, firsts, similarity, tile), firsts, docs, words, similarity)
-
-    roots = components(near.unionByName(more))
+    roots = components(near)
+    for all_pairs in (False, True):
+        known = common.written(met.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "known")
+        near = near.unionByName(verified(_screened(known, firsts, similarity, tile, all_pairs), firsts, docs, words, similarity))
+        roots = components(near)
     placed = common.written(firsts.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed")
     lowest = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("low"))
     lowest = common.skew_join(placed.select("node", "root"), lowest, ["root"]).select("node", "low")
@@ -392,8 +403,11 @@ def screen(similarity: float) -> int:
     return math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
 
 
-def _screened(known: DataFrame, firsts: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots within a key whose wide fingerprints are near; known: node, key, root."""
+def _screened(known: DataFrame, firsts: DataFrame, similarity: float, tile: int, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots within a key that may be similar; known: node, key, root.
+
+    Not all_pairs: of each node outside its block's largest component, only the pair whose bitmaps differ least.
+    """
     sides = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
     blocks = sides.where("kinds > 1").select("key", F.col("big.root").alias("big"), F.col("big.n").alias("bigs"), (F.col("all") - F.col("big.n")).alias("others"))
     rows = common.skew_join(known, blocks, ["key"])
@@ -406,20 +420,42 @@ def _screened(known: DataFrame, firsts: DataFrame, similarity: float, tile: int)
     across = F.transform(span(F.col("tiles_b")), lambda j: meeting(1, F.col("i"), j))
     reached = F.transform(span(F.col("tiles_o")), lambda j: meeting(1, j, F.col("i")))
     rows = rows.select("node", "root", "key", own.alias("own"), i.alias("i"), tiles_b.alias("tiles_b"), tiles_o.alias("tiles_o"))
-    rows = rows.join(firsts.select("node", "n", "fp"), "node")
-    rows = rows.select("node", "root", "n", "fp", F.explode(F.when(F.col("own"), reached).otherwise(F.concat(among, across))).alias("block"))
+    rows = rows.join(firsts.select("node", "n", "fp", "map"), "node")
+    rows = rows.select("node", "root", "own", "n", "fp", "map", F.explode(F.when(F.col("own"), reached).otherwise(F.concat(among, across))).alias("block"))
     radius = screen(similarity)
 
     def pairs(table: pa.Table) -> tuple:
         node, root, n = table.column("node").combine_chunks(), table.column("root").to_pylist(), table.column("n").to_numpy()
         names = dict.fromkeys(root)
         root = np.fromiter(map({r: k for k, r in enumerate(names)}.__getitem__, root), np.int64, len(root))
+        other = ~table.column("own").to_numpy().astype(bool)
         fp = table.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
-        a, b = near_rows(fp, table.column("block").to_numpy(), radius, n < SMALL)
-        keep = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
-        return node.take(pa.array(a[keep])), node.take(pa.array(b[keep]))
-
-    found = _in_blocks(rows, "a binary, b binary", pairs, tile)
+        maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(len(node), -1)
+        least, partner = np.full(len(node), np.inf), np.zeros(len(node), np.int64)
+        out = [np.zeros((2, 0), np.int64)]
+        for a, b in near_rows(fp, table.column("block").to_numpy(), radius, n < SMALL):
+            keep = (root[a] != root[b]) & (other[a] | other[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+            a, b = a[keep], b[keep]
+            both = n[a] + n[b]
+            apart = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
+            most = (both - apart) // 2  # common members at most
+            keep = most >= similarity * (both - most)
+            a, b, share = a[keep], b[keep], (apart / both)[keep]
+            if all_pairs:
+                out.append(np.stack([a, b]))
+                continue
+            for x, y in ((a, b), (b, a)):  # within a shift each row stands once on either side
+                nearer = share < least[x]
+                least[x[nearer]], partner[x[nearer]] = share[nearer], y[nearer]
+        if not all_pairs:
+            a = np.flatnonzero(other & (least < np.inf))
+            out, share = [np.stack([a, partner[a]])], least[a]
+        a, b = np.concatenate(out, 1)
+        return node.take(pa.array(a)), node.take(pa.array(b)), pa.array(share if not all_pairs else np.zeros(len(a)))
+
+    found = _in_blocks(rows, "a binary, b binary, share double", pairs, tile)
+    if not all_pairs:
+        found = found.groupBy("a").agg(F.min(F.struct("share", "b")).alias("x")).select("a", "x.b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

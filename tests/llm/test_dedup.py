@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprints, simhash_dedup
 
@@ -125,6 +126,54 @@ def test_wide_fingerprints_catch_near_copies_and_leave_others(spark):
     assert 10 in ids and 11 not in ids and 20 not in ids and ids.count(3) == 1 and None in ids
 
 
+def test_a_row_goes_by_its_id_and_text(spark):
+    a, b = "one two three four five six seven", "entirely other words stand in this text here"
+    rows = [(0, a), (1, a), (1, b), (1, b), (None, b), (None, "x y z"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "p") for r in rows], "doc_id bigint, text string, node string")
+    kept = simhash_dedup.one_of_each(docs, simhash_dedup.near_duplicates_by_similarity(docs.drop("node")))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, a), (1, b), (None, "x y z"), (2, None)], key=str)
+    assert kept.columns == docs.columns
+    nothing = docs.limit(0)
+    assert simhash_dedup.one_of_each(nothing, simhash_dedup.near_duplicates_by_similarity(nothing)).count() == 0
+
+
+@given(st.sets(st.integers(0, 1 << 64), max_size=60), st.sets(st.integers(0, 1 << 64), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_bitmaps_bound_what_sets_share(left, right):
+    a, b = ({h & (1 << 64) - 1 for h in x} for x in (left, right))
+    maps = [int.from_bytes(simhash_dedup.bitmap(np.array(sorted(x), np.uint64)), "little") for x in (a, b)]
+    assert 2 * len(a & b) <= len(a) + len(b) - (maps[0] ^ maps[1]).bit_count()
+
+
+@pytest.mark.parametrize("ids", [[-(1 << 63), -5, -5, 0, 3, (1 << 63) - 1, None, None], list(range(300)), [7] * 40 + [None] * 30 + [8], [1]])
+def test_next_documents_whatever_the_ids(spark, monkeypatch, ids):
+    """Every row's next document by (doc_id, hash of text), null ids first, with buckets of a few rows."""
+    import hashlib
+
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 4)
+    texts = [f"text number {i} " * 3 for i in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(3)
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) as tie").collect()
+    ordered = sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))
+    want = set()
+    for i, r in enumerate(ordered):
+        after, cut = ordered[(i + 1) % len(ordered)]["text"], len(r["text"]) // 4
+        want.add((r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - cut] + after[:cut]).encode()).hexdigest()))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in fingerprints.edit_likeness(docs).collect()} == want
+
+
+def test_neighbours_by_block_tables(spark):
+    docs, _ = frames(spark, 40)
+    made = fingerprints.with_neighbours(fingerprints.edit_likeness(docs), F.col("doc_id") % 5 == 0)
+    rows = made.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        near = sum((int(r["fingerprint"], 16) ^ int(x["fingerprint"], 16)).bit_count() <= fingerprints.RADIUS for x in rows)
+        assert r["neighbours"] == (near if r["doc_id"] is not None and r["doc_id"] % 5 == 0 else None)
+    plan = made._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_native_fingerprints(spark):
     import hashlib
 

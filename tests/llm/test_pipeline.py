@@ -1,5 +1,5 @@
 import corpus_pipeline
-from corpusloom.llm import packing, queries, simhash_dedup, toxicity
+from corpusloom.llm import packing, queries
 
 from .tables import frames
 
@@ -40,4 +40,3 @@ def test_run(spark, tmp_path):
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 4
-    assert simhash_dedup.WIDE == 32 and toxicity.CHAIN == 128
