@@ -21,6 +21,8 @@ def inverse_frequency(n: Column, df: Column) -> Column:
 
 #: Rows of (query_id, term) that may be sent to all tasks; larger batches meet the tokens in a shuffle.
 TERM_ROWS = 100_000
+#: Winners that may be sent to all tasks.
+PAGE_ROWS = 1000
 
 
 def term_score(tf: Column, length: Column, mean: Column, idf: Column) -> Column:
@@ -94,24 +96,52 @@ def _equals(term: str):
     return lambda t: t == F.lit(term)
 
 
-def candidates(docs: DataFrame, key: str, field: str, query: str, limit: int, commits: Column | None = None) -> DataFrame:
-    """The union of the passes: best scores, best without commit messages, best with all terms; the over-fetch is min(10 * limit, 100)."""
-    raw = T.raw_terms_of(query)
-    if not raw:
+def scored_index(spark, path: str, key: str, field: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """(key, coverage, score) of what has any of the terms, from a written index: equal to scored() over the same rows, without their texts.
+
+    The conditions are constants, so only the terms' buckets and row groups are read.
+    """
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int")) & (F.col("term") == t))
+    found = spark.read.parquet(f"{path}/postings").where(hit & (F.col("field") == field))
+    fields = spark.read.parquet(f"{path}/fields").where(F.col("field") == field).select(F.col("documents").alias("_n"), F.col("mean").alias("_mean"))
+    df = found.agg(*[F.count_if(F.col("term") == t).alias(f"_d{i}") for i, t in enumerate(terms)])
+    rows = found.groupBy(key).agg(F.max("length").alias("_length"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_f{i}") for i, t in enumerate(terms)])
+    score, coverage = F.lit(0.0), F.lit(0)
+    for i in range(len(terms)):
+        score = score + term_score(F.col(f"_f{i}"), F.col("_length"), F.col("_mean"), inverse_frequency(F.col("_n"), F.col(f"_d{i}")))
+        coverage = coverage + (F.col(f"_f{i}") > 0).cast("int")
+    joined = rows.crossJoin(F.broadcast(fields.crossJoin(df)))  # one row
+    return joined.select(key, coverage.alias("coverage"), F.round(score, 6).alias("score"))
+
+
+def query_terms(query: str) -> list[str]:
+    if not T.raw_terms_of(query):
         raise ValueError("the query has no terms")
+    return list(dict.fromkeys(p for t in T.raw_terms_of(query) for p in T.tokens_of(t)))
+
+
+def candidates(docs: DataFrame, key: str, field: str, query: str, limit: int, commits: Column | None = None) -> DataFrame:
+    """passes() over texts."""
+    return passes(scored(docs, key, field, query_terms(query)), key, query, limit, commits)
+
+
+def passes(rows: DataFrame, key: str, query: str, limit: int, commits: Column | None = None) -> DataFrame:
+    """Of scored rows the union of the passes: best scores, best without commit messages, best with all terms; the over-fetch is min(10 * limit, 100)."""
+    raw, terms = T.raw_terms_of(query), query_terms(query)
     k = min(10 * limit, 100)
-    terms = list(dict.fromkeys(p for t in raw for p in T.tokens_of(t)))
-    rows = scored(docs, key, field, terms).where("coverage > 0")
+    rows = rows.where("coverage > 0")
     if len(raw) <= 2:
         rows = rows.where(F.col("coverage") == len(terms))
     best = lambda d: d.orderBy(F.desc("score"), key).limit(k)
-    passes = [best(rows)]
+    parts = [best(rows)]
     if commits is not None:
-        passes.append(best(rows.where(~commits)))
+        parts.append(best(rows.where(~commits)))
     if len(raw) > 2:
-        passes.append(best(rows.where(F.col("coverage") == len(terms))))
-    out = passes[0]
-    for p in passes[1:]:
+        parts.append(best(rows.where(F.col("coverage") == len(terms))))
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out.dropDuplicates([key])
 
@@ -146,5 +176,6 @@ def filtered(
 
 
 def hydrate(ranked: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """Passages for the winners only: the ranked side is at most a result page."""
-    return chunks.join(F.broadcast(ranked.limit(1000)), key)
+    """Passages for the winners only: a result page is sent to the chunks, a longer list meets them in a shuffle."""
+    page = ranked.limit(PAGE_ROWS + 1).count() <= PAGE_ROWS
+    return chunks.join(F.broadcast(ranked) if page else ranked, key)

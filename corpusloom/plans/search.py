@@ -51,11 +51,14 @@ def capabilities() -> dict:
     }
 
 
-def search(chunks: DataFrame, request: Request, semantic: DataFrame | None = None, neighbours: int = 3) -> tuple[DataFrame, list[str]]:
+def search(
+    chunks: DataFrame, request: Request, semantic: DataFrame | None = None, neighbours: int = 3, index: str | None = None
+) -> tuple[DataFrame, list[str]]:
     """Ranked passages of chunks (chunk_id, document_id, ordinal, text, content_digest, path, revision, repository, …) and warnings.
 
     semantic: hits (chunk_id, rank). Filters come before lexical ranking and after semantic retrieval.
-    Passages are fetched for the winners only.
+    index: path of lexical.write_index over the chunks (chunk_id, text): then only its postings are read, and scores take
+    their statistics from all of it. Without filters both ways give the same rows. Passages are fetched for the winners only.
     """
     warnings: list[str] = []
     if request.mode in ("semantic", "hybrid") and semantic is None:
@@ -64,7 +67,13 @@ def search(chunks: DataFrame, request: Request, semantic: DataFrame | None = Non
         warnings.append("semantic_unavailable: answered lexically")
     pool = lexical.filtered(chunks, **{k: v for k, v in request.filters.items() if v})
     k = min(max(5 * request.limit, 20), 100)
-    found = lexical.candidates(pool.select("chunk_id", "text"), "chunk_id", "text", request.query, k)
+    if index:
+        scored = lexical.scored_index(chunks.sparkSession, index, "chunk_id", "text", lexical.query_terms(request.query))
+        if any(request.filters.values()):
+            scored = scored.join(pool.select("chunk_id"), "chunk_id", "left_semi")
+        found = lexical.passes(scored, "chunk_id", request.query, k)
+    else:
+        found = lexical.candidates(pool.select("chunk_id", "text"), "chunk_id", "text", request.query, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), "chunk_id")
     ranked = found.select(F.lit(0).alias("query_id"), "chunk_id", "coverage", "score")
     left = ranked.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"))
@@ -74,12 +83,14 @@ def search(chunks: DataFrame, request: Request, semantic: DataFrame | None = Non
     hits = none if semantic is None or request.mode == "lexical" else semantic.join(pool.select("chunk_id"), "chunk_id", "left_semi").select(F.lit(0).alias("query_id"), "chunk_id", "rank")
     fused = fusion.reciprocal_rank(left, hits, "chunk_id")
     meta = pool.select("chunk_id", "document_id", "content_digest")
-    placed = fused.join(meta, "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.fused_order("chunk_id"))))
+    # the passes give at most 300 candidates, semantic retrieval a page: small sides are sent to the tables
+    placed = meta.join(F.broadcast(fused), "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.fused_order("chunk_id"))))
     kept = fusion.capped(placed, "query_id", "rank", "document_id", "content_digest", 2, request.limit)
-    rows = kept.join(placed.select("rank", "chunk_id", "score"), "rank").join(chunks.select("chunk_id", "ordinal", "path", "revision", "repository"), "chunk_id")
+    winners = kept.join(placed.select("rank", "chunk_id", "score"), "rank")
+    rows = chunks.select("chunk_id", "ordinal", "path", "revision", "repository").join(F.broadcast(winners), "chunk_id")
     budget = min(request.max_context_bytes or PASSAGE_BYTES, PASSAGE_BYTES)
     anchors = rows.select(F.col("chunk_id").alias("anchor_id"), "document_id", "ordinal")
-    passages = fusion.with_context(anchors, chunks, budget, neighbours)
+    passages = fusion.with_context(F.broadcast(anchors), chunks, budget, neighbours)
     out = rows.join(passages, rows["chunk_id"] == passages["anchor_id"]).select(
         "rank", "chunk_id", "document_id", "repository", "revision", "path", F.round("score", 9).alias("score"), "passage", "neighbor_count"
     )

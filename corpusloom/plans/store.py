@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,18 @@ def inventory(df: DataFrame, key: str) -> dict:
     return {"rows": row["n"], "digest": hashlib.sha256(str(row["s"]).encode()).hexdigest()}
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local session may do without one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="corpusloom-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 class Store:
     """Tables of one corpus below `root`: generations/<id>/<table> and active.json, the name of the current one."""
 
@@ -70,10 +83,13 @@ class Store:
     def activate(self, name: str) -> None:
         temporary = f"{self.root}/active-{uuid.uuid4().hex}"
         _write_text(self.spark, temporary, json.dumps({"generation": name}))
-        path, fs = _path(self.spark, f"{self.root}/active.json")
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(_path(self.spark, temporary)[0], path)
+        # one rename that replaces the old file: a reader finds either generation, whenever the driver stops
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        source, target = (_path(self.spark, p)[0] for p in (temporary, f"{self.root}/active.json"))
+        configuration = self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), configuration).rename(source, target, options)
 
     def active(self) -> str:
         return json.loads(read_text(self.spark, f"{self.root}/active.json"))["generation"]

@@ -6,6 +6,7 @@ have no such data. Both sides are cast to the same column types.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,22 @@ _TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), la
 
 TERMS = ["this", "with", "that"]
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a written index of the documents' texts: built when first asked for in a session, then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{store.scratch_dir(spark)}/corpusloom-index/{uuid.uuid4().hex}"
+        lexical.write_index(read(spark, sf_dir, "documents"), "doc_id", ["text"], path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def by_terms(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
+    return lexical.scored_index(spark, text_index(spark, sf_dir), "doc_id", "text", terms)
+
 
 def bm25_sql(terms: list[str], where: str = "true") -> str:
     """Scores of all matching documents; where: a condition on documents, before statistics."""
@@ -93,7 +110,7 @@ def bm25_sql(terms: list[str], where: str = "true") -> str:
 
 @register("lexical_search_topk", "doc_id:bigint coverage:bigint score:double", f"select * from {bm25_sql(TERMS)} order by coverage desc, score desc, doc_id limit 10")
 def _(spark, sf_dir):
-    rows = lexical.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TERMS).where("coverage > 0")
+    rows = by_terms(spark, sf_dir, TERMS)
     return rows.orderBy(F.desc("coverage"), F.desc("score"), "doc_id").limit(10)
 
 
@@ -130,8 +147,7 @@ def _(spark, sf_dir):
  select doc_id, score from (select doc_id, score from s where doc_id % 3 <> 0 order by score desc, doc_id limit 20) union
  select doc_id, score from (select doc_id, score from s where coverage = 3 order by score desc, doc_id limit 20)""")
 def _(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return lexical.candidates(rows, "doc_id", "text", "this with that", 2, commits=F.col("doc_id") % 3 == 0)
+    return lexical.passes(by_terms(spark, sf_dir, TERMS), "doc_id", "this with that", 2, commits=F.col("doc_id") % 3 == 0)
 
 
 QUERY_TABLE = ("query_id, query", "(1, 'this with'), (2, 'for the reason'), (3, 'und der die'), (4, 'les des pour')")
@@ -145,10 +161,14 @@ QUERY_TABLE = ("query_id, query", "(1, 'this with'), (2, 'for the reason'), (3,
  e as (select query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score, count(*) as coverage from f join d using (query_id, term), s group by all)
  select query_id, doc_id, row_number() over (partition by query_id order by coverage desc, round(score, 6) desc, doc_id) as rank, round(score, 6) as score from e qualify rank <= 5""")
 def _(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    return lexical.search_index(spark, text_index(spark, sf_dir), values(spark, QUERY_TABLE), 5).withColumn("score", F.round("score", 6))
+
+
+@register("query_postings", "query_id:bigint term:string doc_id:bigint tf:bigint", f"""with p as (select doc_id, unnest(toks) as term from (select doc_id, {_TOKENS.format('text')} as toks from documents)),
+ q as (select distinct query_id, unnest({_TOKENS.format('query')}) as term from {duck(QUERY_TABLE)}) select query_id, term, doc_id, count(*) as tf from p join q using (term) group by all""")
+def _(spark, sf_dir):
     terms = values(spark, QUERY_TABLE).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    fields = docs.agg(F.count("*").alias("documents"), F.avg(F.size(T.tokens(F.col("text")))).alias("mean")).withColumn("field", F.lit("text"))
-    return lexical.ranked_postings(lexical.query_postings(docs, "doc_id", "text", terms), fields, 5).withColumn("score", F.round("score", 6))
+    return lexical.query_postings(read(spark, sf_dir, "documents"), "doc_id", "text", terms)
 
 
 NAMES = ("chunk_id, identifiers, body", "('c1', 'write_nvm', 'persist data'), ('c2', 'other_write', 'write nvm data'), ('c3', 'Write_NVM', 'none'), ('c4', 'persistent', 'persistent package lifecycle')")
@@ -178,18 +198,12 @@ def _(spark, sf_dir):
     return values(spark, TEXTS).select("id", F.array_join(T.raw_terms(q), "|").alias("raw"), F.array_join(T.symbol_terms(q), "|").alias("symbols"), F.size(T.raw_terms(q)).alias("expanded"))
 
 
-@register("query_expansion", "id:bigint terms:string", None)
-def _(spark, sf_dir):
-    return values(spark, TEXTS).select("id", F.array_join(T.expanded_terms(F.col("q")), "|").alias("terms"))
-
-
 @register("identifier_extraction", "doc_id:bigint names:string", r"""select doc_id, array_to_string(list_sort(list_slice(list_distinct_ordered, 1, 32)), '|') as names from (
  select doc_id, list_filter(allv, lambda x, i: list_position(allv, x) = i) as list_distinct_ordered from (
  select doc_id, list_concat([lang || '/' || doc_id || '.txt', doc_id::VARCHAR], list_filter(f, lambda t: regexp_matches(t, '[_0-9A-Z]')), f) as allv from (
- select doc_id, lang, list_filter(string_split_regex(left(text, 2000), '[^A-Za-z0-9_]'), lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9_]{2,127}$')) as f from documents)))""")
+ select doc_id, lang, list_filter(string_split_regex(text, '[^A-Za-z0-9_]'), lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9_]{2,127}$')) as f from documents)))""")
 def _(spark, sf_dir):
-    d = corpus(spark, sf_dir).select("doc_id", "path", F.left("content", F.lit(2000)).alias("content"))
-    return d.select("doc_id", F.array_join(T.identifiers(F.col("path"), F.col("content")), "|").alias("names"))
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(T.identifiers(F.col("path"), F.col("content")), "|").alias("names"))
 
 
 @register("morphology_aliases", "doc_id:bigint stems:bigint", "select doc_id, len(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^.{4,}ence$'))) as stems from documents")
@@ -272,18 +286,6 @@ def _(spark, sf_dir):
     return documents.commit_messages(values(spark, COMMITS), 1000)
 
 
-@register("blob_verdicts", "id:bigint rejection:string content:string", "select * from (values (1, null, 'a' || chr(10) || 'b'), (2, 'binary', null), (3, 'encoding', null), (4, 'oversized', null)) as v(id, rejection, content)")
-def _(spark, sf_dir):
-    rows = spark.sql("select id, unhex(h) as data from values (1, '610D0A62'), (2, '610062'), (3, '61FF62'), (4, '61616161616161616161616161') as v(id, h)")
-    return documents.loaded_blobs(rows, 10)
-
-
-@register("membership_antijoin", "c_custkey:bigint", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def _(spark, sf_dir):
-    paths = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
-    return catalog.missing_paths(paths, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"))).select(F.col("path").alias("c_custkey"))
-
-
 @register("catalog_order", "place:bigint id:string", "select row_number() over (order by case r_name when 'ASIA' then 0 when 'EUROPE' then 1 else 2 end, n_name) as place, n_name as id from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')")
 def _(spark, sf_dir):
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -431,8 +433,7 @@ def _(spark, sf_dir):
  s as (select a.vec_id as doc_id, row_number() over (order by round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) desc, a.vec_id) as r from embeddings a, embeddings b where b.vec_id = 7 qualify r <= 50)
  select coalesce(l.doc_id, s.doc_id) as doc_id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + s.r), 0), 9) as score from l full join s on l.doc_id = s.doc_id""")
 def _(spark, sf_dir):
-    rows = lexical.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TERMS).where("coverage > 0")
-    top = rows.orderBy(F.desc("coverage"), F.desc("score"), "doc_id").limit(50).withColumn("query_id", F.lit(1))
+    top = by_terms(spark, sf_dir, TERMS).orderBy(F.desc("coverage"), F.desc("score"), "doc_id").limit(50).withColumn("query_id", F.lit(1))
     left = top.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), "doc_id")).alias("rank"))
     right = search.semantic_hits(read(spark, sf_dir, "embeddings"), "vec_id", vector_of(spark, sf_dir, 7), 10).select(F.lit(1).alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
     return fusion.reciprocal_rank(left, right, "doc_id").withColumn("score", F.round("score", 9))
@@ -449,14 +450,6 @@ def _(spark, sf_dir):
 PARTS = ("document_id, ordinal, text", "('d', 0, 'zero'), ('d', 1, 'one'), ('d', 2, 'two'), ('d', 3, 'three'), ('d', 4, 'four'), ('e', 0, 'other')")
 
 
-@register("adjacent_context", "anchor_id:string passage:string neighbor_count:bigint", "select * from (values ('a1', 'two|zero|one|three|four', 4), ('a2', 'three', 0), ('a3', 'other', 0)) as v(anchor_id, passage, neighbor_count)")
-def _(spark, sf_dir):
-    chunks = values(spark, PARTS)
-    wide = fusion.with_context(values(spark, ("anchor_id, document_id, ordinal", "('a1', 'd', 2), ('a3', 'e', 0)")), chunks, 100, joiner="|")
-    tight = fusion.with_context(values(spark, ("anchor_id, document_id, ordinal", "('a2', 'd', 3)")), chunks, 8, joiner="|")
-    return wide.unionByName(tight)
-
-
 @register("history_collapse", "lang:string digest:string rank:bigint occurrences:bigint first_revision:string representative:string", """select lang, digest, min(doc_id) as rank, count(*) as occurrences, min(source) as first_revision, min_by(source, doc_id) as representative from
  (select lang, sha256(text) as digest, doc_id, source from documents) group by all""")
 def _(spark, sf_dir):
@@ -477,22 +470,22 @@ def _(spark, sf_dir):
 
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries, judgments and a run: customers ask, their orders are judged by priority and ranked by price."""
-    o = read(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    o = read(spark, sf_dir, "orders")
     run = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
     grade = F.when(F.col("o_orderkey") % 7 == 0, 2).when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
     qrels = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), grade.alias("grade"))
-    queries = read(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("query_id"), F.col("c_mktsegment").alias("intent"), F.col("c_nationkey").cast("string").alias("category"))
+    queries = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_mktsegment").alias("intent"), F.col("c_nationkey").cast("string").alias("category"))
     return queries, qrels, run
 
 
 _METRICS = """(with o as (select o_custkey as query_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank,
- case when o_orderkey % 7 = 0 then 2 when o_orderkey % 3 = 0 then 1 else 0 end as grade from orders where o_custkey % 10 = 1),
+ case when o_orderkey % 7 = 0 then 2 when o_orderkey % 3 = 0 then 1 else 0 end as grade from orders),
  j as (select query_id, count(*) filter (rank <= 5 and grade > 0) as hits, min(case when grade > 0 and rank <= 10 then rank end) as first,
  sum(case when rank <= 10 and grade > 0 then (pow(2, grade) - 1) / log2(rank + 1.0::DOUBLE) end) as dcg from o group by query_id),
  g as (select query_id, grade, row_number() over (partition by query_id order by grade desc, id) as r from o where grade > 0),
  i as (select query_id, count(*) as relevant, sum(case when r <= 10 then (pow(2, grade) - 1) / log2(r + 1.0::DOUBLE) end) as idcg from g group by query_id)
  select c_custkey as query_id, c_mktsegment as intent, c_nationkey::VARCHAR as category, round(coalesce(hits / relevant, 0), 6) as recall_at_5, round(coalesce(1.0::DOUBLE / first, 0), 6) as mrr_at_10,
- round(coalesce(dcg / idcg, 0), 6) as ndcg_at_10 from customer left join j on j.query_id = c_custkey left join i on i.query_id = c_custkey where c_custkey % 10 = 1)"""
+ round(coalesce(dcg / idcg, 0), 6) as ndcg_at_10 from customer left join j on j.query_id = c_custkey left join i on i.query_id = c_custkey)"""
 
 
 @register("retrieval_metrics", "query_id:bigint recall_at_5:double mrr_at_10:double ndcg_at_10:double", f"select * from {_METRICS}")
@@ -515,7 +508,7 @@ def _(spark, sf_dir):
     return evaluate.gate(evaluate.query_metrics(run, qrels, queries)).withColumn("actual", F.round("actual", 4))
 
 
-@register("duplicate_rate", "query_id:bigint duplicate_rate:double diversity:double", """with o as (select o_custkey as q, o_orderstatus as d, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders where o_custkey % 10 = 1 qualify rank <= 5)
+@register("duplicate_rate", "query_id:bigint duplicate_rate:double diversity:double", """with o as (select o_custkey as q, o_orderstatus as d, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 5)
  select q as query_id, round(1 - count(distinct d) / count(*), 6) as duplicate_rate, round(count(distinct d) / count(*), 6) as diversity from o group by q""")
 def _(spark, sf_dir):
     _, _, run = judged(spark, sf_dir)
@@ -590,11 +583,11 @@ def _(spark, sf_dir):
 
 # --- graph ------------------------------------------------------------------
 
-_EDGES = "(select l_orderkey as scope, l_orderkey * 10 + l_linenumber as source, lead(l_orderkey * 10 + l_linenumber) over (partition by l_orderkey order by l_linenumber) as target from (select distinct l_orderkey, l_linenumber from lineitem where l_orderkey % 5 = 1))"
+_EDGES = "(select l_orderkey as scope, l_orderkey * 10 + l_linenumber as source, lead(l_orderkey * 10 + l_linenumber) over (partition by l_orderkey order by l_linenumber) as target from (select distinct l_orderkey, l_linenumber from lineitem))"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 1").select("l_orderkey", "l_linenumber").distinct()
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     return rows.select(F.col("l_orderkey").alias("scope"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), "l_linenumber")
 
 
@@ -612,17 +605,17 @@ def _(spark, sf_dir):
     return graph.offsets(line_edges(spark, sf_dir), lines(spark, sf_dir), "source").withColumnRenamed("offset", "start")
 
 
-@register("graph_neighbours", "node:bigint relation:string", f"select source as node, 'adjacent-next' as relation from {_EDGES} where target = 12 union all select target, 'adjacent-next' from {_EDGES} where source = 12 and target is not null")
+@register("graph_neighbours", "node:bigint relation:string", f"select source as node, 'adjacent-next' as relation from {_EDGES} where target = (select min(target) from {_EDGES}) union all select target, 'adjacent-next' from {_EDGES} where source = (select min(target) from {_EDGES}) and target is not null")
 def _(spark, sf_dir):
     e = line_edges(spark, sf_dir)
-    return graph.neighbours(e, 12, outgoing=False).unionByName(graph.neighbours(e, 12))
+    node = e.agg(F.min("target")).first()[0]
+    return graph.neighbours(e, node, outgoing=False).unionByName(graph.neighbours(e, node))
 
 
-@register("bounded_expansion", "seed:bigint node:bigint hop:bigint", f"""with recursive e as (select source, target from {_EDGES} where target is not null), w as (select source as seed, source as node, 0 as hop from {_EDGES} where source % 10 = 1 and scope % 50 = 1 union all
+@register("bounded_expansion", "seed:bigint node:bigint hop:bigint", f"""with recursive e as (select source, target from {_EDGES} where target is not null), w as (select source as seed, source as node, 0 as hop from {_EDGES} union all
  select seed, target, hop + 1 from w join e on e.source = w.node where hop < 2) select * from w""")
 def _(spark, sf_dir):
-    seeds = lines(spark, sf_dir).where("node % 10 = 1 and scope % 50 = 1").select("node")
-    return graph.expanded(line_edges(spark, sf_dir), seeds)
+    return graph.expanded(line_edges(spark, sf_dir), lines(spark, sf_dir).select("node"))
 
 
 @register("graph_validate", "problem:string n:bigint", f"select 'dangling' as problem, count(*) as n from (select unnest([source, target]) as x from {_EDGES} where target is not null) where x % 7 = 0 having count(*) > 0")
@@ -642,12 +635,6 @@ def _(spark, sf_dir):
     return history.ancestors(values(spark, PARENTS).select("commit", "parent"), spark.createDataFrame([("e1",), ("d2",)], "commit string"))
 
 
-@register("merge_base", "commit:string left_depth:bigint right_depth:bigint", """select 'd1' as "commit", 2 as left_depth, 1 as right_depth""")
-def _(spark, sf_dir):
-    reached = history.ancestors(values(spark, PARENTS).select("commit", "parent"), spark.createDataFrame([("e1",), ("d2",)], "commit string"))
-    return history.merge_base(reached, "e1", "d2")
-
-
 @register("tree_changes", "commit:string path:string blob:string change:string", f"""with t as {duck(TREE).replace('(commit,', '("commit",')}, p as {duck(PARENTS).replace('(commit,', '("commit",')}
  select t."commit", t.path, t.blob, case when o.blob is null then 'added' else 'changed' end as change from t left join p on p."commit" = t."commit" and place = 0 left join t o on o."commit" = p.parent and o.path = t.path where o.blob is null or o.blob <> t.blob""")
 def _(spark, sf_dir):
@@ -670,30 +657,11 @@ def _(spark, sf_dir):
 REFS = ("name, full_name, commit, is_default", "('main', 'refs/heads/main', 'e1', true), ('v1.10', 'refs/tags/v1.10', 'c3', false), ('v1.9', 'refs/tags/v1.9', 'c2', false), ('release_2_0', 'refs/tags/release_2_0', 'd1', false), ('topic', 'refs/heads/topic', 'd2', false)")
 
 
-@register("release_order", "place:bigint name:string", "select * from (values (1, 'main'), (2, 'v1.9'), (3, 'v1.10'), (4, 'release_2_0'), (5, 'topic')) as v(place, name)")
-def _(spark, sf_dir):
-    order = history.version_order("is_default", "name", "full_name")
-    return values(spark, REFS).select(F.row_number().over(Window.orderBy(*order)).alias("place"), "name")  # an inline table
-
-
 @register("version_page", "c_custkey:bigint c_name:string", "select c_custkey, c_name from customer order by c_acctbal desc, c_custkey limit 50 offset 100")
 def _(spark, sf_dir):
     return history.page(read(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], "v1:100")[0]
 
 
-@register("selector_resolution", "selector:string commit:string", """select * from (values ('main', 'e1'), ('refs/tags/v1.9', 'c2'), ('nothing', null)) as v(selector, "commit")""")
-def _(spark, sf_dir):
-    reached = spark.createDataFrame([("e1", "c1")], "tip string, commit string")
-    return history.resolved(spark.createDataFrame([("main",), ("refs/tags/v1.9",), ("nothing",)], "selector string"), values(spark, REFS), reached)
-
-
-@register("version_listing", "name:string prepared:boolean", "select * from (values ('v1.10', true), ('v1.9', false)) as v(name, prepared)")
-def _(spark, sf_dir):
-    refs = values(spark, REFS).withColumn("repository", F.lit("r")).withColumn("kind", F.when(F.startswith("full_name", F.lit("refs/tags")), "tag").otherwise("branch"))
-    held = spark.createDataFrame([("r", "c3")], "repository string, commit string")
-    return store.listed_versions(refs, held, ["r"], ["tag"], "v")
-
-
 # --- investigation and feedback ---------------------------------------------
 
 FACETS = ("facet_id, repository, stage, era, question", "('f1', 'r1', 'build', null, 'how'), ('f2', 'r2', 'load', 'v2', 'where'), ('f3', 'r3', 'run', null, 'when')")
@@ -713,37 +681,9 @@ def _(spark, sf_dir):
     return investigate.planned(facets, investigate.missing_facets(values(spark, EVIDENCE), facets))
 
 
-@register("answer_validation", "facet_id:string", "select * from (values ('f2'), ('f3')) as v(facet_id)")
-def _(spark, sf_dir):
-    return investigate.uncited(values(spark, FACETS), values(spark, EVIDENCE), spark.createDataFrame([("e1",), ("e2",)], "evidence_id string"))
-
-
-@register("contract_extension", "facet_id:string change:string", "select * from (values ('f1', 'kept'), ('f2', 'conflict'), ('f3', 'kept'), ('f4', 'new')) as v(facet_id, change)")
-def _(spark, sf_dir):
-    more = values(spark, ("facet_id, repository, stage, era", "('f1', 'r1', 'build', null), ('f2', 'r2', 'load', 'v3'), ('f4', 'r4', 'run', null)"))
-    return investigate.extended(values(spark, FACETS), more)
-
-
 RECORDS = ("record_id, supersedes, covered", "('n1', null, false), ('n2', 'n1', false), ('n3', null, true), ('n4', null, null)")
 
 
-@register("feedback_active", "record_id:string", "select * from (values ('n2'), ('n4')) as v(record_id)")
-def _(spark, sf_dir):
-    return search.active(values(spark, RECORDS))
-
-
-@register("feedback_insert", "record_id:string", "select * from (values ('n1'), ('n2'), ('n3'), ('n4'), ('n5')) as v(record_id)")
-def _(spark, sf_dir):
-    return search.inserted(values(spark, RECORDS), values(spark, ("record_id, supersedes, covered", "('n2', 'x', false), ('n5', 'n4', false)")))
-
-
-@register("correction_annotation", "rank:bigint corrections:string", "select * from (values (1, 'k1|k2'), (2, ''), (3, 'k2')) as v(rank, corrections)")
-def _(spark, sf_dir):
-    results = values(spark, ("rank, chunk_id, document_id", "(1, 'c1', 'd1'), (2, 'c2', 'd2'), (3, 'c3', 'd3')"))
-    fixes = spark.createDataFrame([("k1", ["c1"]), ("k2", ["d1", "c3", "d3"])], "record_id string, affected array<string>")
-    return search.annotated(results, fixes, ["chunk_id", "document_id"]).withColumn("corrections", F.array_join("corrections", "|"))
-
-
 @register("conversation_notes", "conv_id:bigint turn:bigint question:string lesson:string", "select conv_id, turn, sha256(text) as question, sha256(nxt) as lesson from (select *, lead(text) over (partition by conv_id order by turn) as nxt, lead(role) over (partition by conv_id order by turn) as r2 from conversations) where role = 'user' and r2 = 'assistant'")
 def _(spark, sf_dir):
     order = Window.partitionBy("conv_id").orderBy("turn")
@@ -769,12 +709,6 @@ def _(spark, sf_dir):
     return rows.select("uri", "u.kind", F.when(F.col("u.kind").isNotNull(), F.col("u.id")).alias("id"))
 
 
-@register("percent_paths", "page_id:bigint path:string", "select page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') as path from pages")
-def _(spark, sf_dir):
-    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
-    return read(spark, sf_dir, "pages").select("page_id", T.percent_decoded(T.percent_encoded(path)).alias("path"))
-
-
 @register("change_detection", "user_id:bigint event_id:bigint event_type:string change:string", """select user_id, event_id, event_type, case when row_number() over w = 1 then 'baseline' when lag(event_type) over w = event_type then 'same' else 'changed' end as change from events window w as (partition by user_id order by event_id)""")
 def _(spark, sf_dir):
     return watch.changes(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
@@ -788,23 +722,6 @@ def _(spark, sf_dir):
 PRIORITIES = ("id, category, summary, catalog_ref", "('a-b', 'x', 'Fix the (bug), now!', 'p.json'), ('c', 'y', 'one one', 'q.json')")
 
 
-@register("priority_entries", "id:string name:string keywords:string", "select * from (values ('priority.a-b', 'a_b', 'Fix|a|b|bug|now|the'), ('priority.c', 'c', 'c|one')) as v(id, name, keywords)")
-def _(spark, sf_dir):
-    return catalog.priority_entries(values(spark, PRIORITIES)).withColumn("keywords", F.array_join("keywords", "|"))
-
-
-@register("markdown_summaries", "id:bigint summary:string", "select * from (values (1, 'Title. First line second line'), (2, 'fallback'), (3, 'Only')) as v(id, summary)")
-def _(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "# Title\n\n**Note:** x\n| a |\nFirst line\nsecond line\n\nrest"), (2, "\n"), (3, "# Only\n")], "id int, t string")
-    return rows.select("id", catalog.markdown_summary(F.col("t"), F.when(F.col("id") == 3, "").otherwise("fallback")).alias("summary"))
-
-
-@register("descriptor_properties", "name:string kind:string value:string duplicate:boolean", "select * from (values ('pkgName', 'string', 'Demo', false), ('full', 'bool', 'true', true)) as v(name, kind, value, duplicate)")
-def _(spark, sf_dir):
-    rows = [("p", 1, 'property string pkgName: "Demo"'), ("p", 2, "// property bool x: true"), ("p", 3, "property bool full: true;"), ("p", 4, "property bool full: false"), ("p", 5, "other")]
-    return catalog.descriptor_properties(spark.createDataFrame(rows, "path string, line_no int, line string"))
-
-
 # --- lookups, admission, further sources -------------------------------------
 
 
@@ -858,21 +775,3 @@ def _(spark, sf_dir):
     return evaluate.path_metrics(values(spark, PATH_EVIDENCE), values(spark, PATH_FACETS))
 
 
-@register("event_properties", "event_id:bigint record:string", None)
-def _(spark, sf_dir):
-    text = F.concat(F.lit('{"rows": ['), "props", F.lit("]}"))
-    files = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), text.alias("text"))
-    return catalog.json_records(files, ["rows"]).select(F.col("path").alias("event_id"), "record")
-
-
-@register("missing_assets", "name:string value:string", "select * from (values ('qml', 'b.qml')) as v(name, value)")
-def _(spark, sf_dir):
-    d = values(spark, ("path, name, value", "('p/d', 'lisp', 'a.lisp'), ('p/d', 'qml', 'b.qml'), ('p/d', 'md', '')"))
-    return catalog.missing_assets(d, values(spark, ("path", "('p/a.lisp')")), ["lisp", "qml", "md"])
-
-
-@register("perf_stacks", "sample:bigint stack:string", "select * from (values (1, 'leaf|main'), (2, 'other')) as v(sample, stack)")
-def _(spark, sf_dir):
-    text = ["app 1 cycles:", "\t    7f leaf+0x1f (/bin/app)", "\t    8a main (/bin/app)", "", "app 1 cycles:", "\t  9 other ([k])"]
-    rows = catalog.perf_stacks(spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no int, line string"))
-    return rows.select("sample", F.array_join("frames", "|").alias("stack"))
