@@ -9,9 +9,12 @@ cost + place over the candidates of the last `size` tokens: a monotone queue han
 time; sequences of a power of two are looked up at their one starting place.
 
 Nothing is shuffled, and a task run again gives the same sequences. sequence_id is the partition's
-number times 2^32 plus a count. Cases: null and empty texts are one token (id 0). Repeated rows are
-packed as often as they come. A stream is solved in stretches of about STRETCH tokens; what follows
-the last cut of a stretch goes on in the next one.
+number times 2^32 plus a count. A stream is solved in stretches of about STRETCH tokens, the bound of a
+task's memory; what follows the last cut of a stretch goes on in the next one.
+
+Cases: null and empty texts are one token (id 0). Texts of any length are packed whole. Repeated rows are
+packed as often as they come. Of equally cheap cuts the one found first (the longest sequence) stands. An empty
+table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,19 +42,18 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 class Encoder:
     """Ids of texts by a tokenizer file; parts of texts are kept in a table.
 
-    For byte-level BPE whose ids rise with its merges, the parts come from tiktoken with the file's own
-    vocabulary, which merges the same pairs in the same order several times faster; texts that can't be
-    cut into parts, and every other kind of file, go through the tokenizer itself.
+    same: the parts come from tiktoken with the file's own vocabulary, which is several times faster; texts
+    that can't be cut into parts, and files that same_merges() does not hold for, go through the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, same: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
-        self.fast = _same_merges(path)
+        self.fast = _by_ranks(path) if same else None
         self.table = Table(self._make, special[0] if special else None)
         self.ends = np.zeros(vocabulary, bool)
         for i in range(vocabulary):
@@ -67,27 +69,46 @@ class Encoder:
         return [np.frombuffer(b"".join(p), self.kind) for p in self.table.all([t or "" for t in texts])]
 
 
-def _same_merges(path: str):
-    """A tiktoken encoding of the file's vocabulary if each merge makes the next id, else None."""
+def same_merges(path: str) -> bool:
+    """Whether merging by the ranks of whole tokens gives the ids that the file's merges give, for every text.
+
+    Ranks join any two neighbours that make a token t, merges only the listed pair of t. They agree if ids rise
+    with the merges and the merges make each token from its own bytes: then the symbols between the ends of a t in any
+    text go through the states of merging t alone (nothing has crossed its ends, and the lowest pair comes first in
+    both), and the one state of two symbols on that way is the listed pair.
+    """
     import json
 
-    import tiktoken
-
-    from .token_counts import byte_symbols
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
     model = data["model"]
     cut = data.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or data.get("normalizer") or model.get("ignore_merges"):
-        return None
+        return False
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     ids = [model["vocab"]["".join(m)] for m in merges]
     if len(data["added_tokens"]) > 1 or any(a >= b for a, b in zip(ids, ids[1:])):
-        return None
+        return False
+    special = {t["content"] for t in data["added_tokens"]}
+    merged = Tokenizer.from_file(path).model
+    return all(len(merged.tokenize(token)) == 1 for token in model["vocab"] if token not in special)
+
+
+def _by_ranks(path: str):
+    """A tiktoken encoding of the file's vocabulary."""
+    import json
+
+    import tiktoken
+
+    from .token_counts import byte_symbols
+
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
     back = {c: b for b, c in enumerate(byte_symbols())}
     special = {t["content"] for t in data["added_tokens"]}
-    ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    ranks = {bytes(back[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -177,6 +198,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Dat
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     schema = common.schema_of(SCHEMA)
+    same = same_merges(path)
     common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +210,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Dat
 
         for batch in common.pieces(batches, "text"):
             if packer is None:
-                encoder = Encoder(path)
+                encoder = Encoder(path, same)
                 packer = Packer(size, encoder.ends, TaskContext.get().partitionId() << 32)
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):

@@ -45,7 +45,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(common.table(spark, sf_dir, "pages")))
-    return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("quarantined gap in "), "archive")).cast("boolean"))
+    return read.where(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ lowest rank, leftmost first, is popped and merged until no pair has a rank: the
 symbols minus the merges. Counts of pretokens and of texts' parts are kept in bounded tables.
 
 Cases: null and empty texts have 0 bytes and 0 tokens. The tokenizer's special string counts as one token.
-Repeated rows count alike. Other columns are not read.
+Texts of any length are counted whole. Repeated rows count alike. An empty table gives an empty result. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

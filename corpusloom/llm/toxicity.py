@@ -1,14 +1,16 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs without white space; a chain is a sentence (at most 128 tokens). Token labels come from
+Tokens are runs without white space; a chain is a sentence. Token labels come from
 the document labels: a word, or a word beginning of 4 to 6 letters, whose presence separates toxic from
 clean documents beyond chance marks its tokens in toxic documents. The field's features are the word, its
 beginnings and endings, its length and its kinds of characters; two labels, four transition weights. For
 a text, forward and backward passes give each token's marginal; the document score is a logistic
 function of the sum and the largest of them, and tokens at or over 0.5 are the spans.
 
-Cases: null and empty texts score like a text without any toxic token. Repeated rows score alike. Without
-labelled rows of both kinds every score is 0. Other columns are not read.
+Cases: null and empty texts score like a text without any toxic token. Texts and sentences of any length are
+scored whole. Repeated rows score alike and count once in the sample. A marginal of exactly 0.5 is a span, a
+score of exactly the threshold is rejected. Without labelled rows of both kinds every score is 0. An empty
+table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHAIN = 128
+#: Chains of more tokens are worked on one by one, which gives the same marginals without a matrix as tall as the longest.
+LONG = 128
 _CACHE = 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _END = re.compile(r"[.!?][\W_]*$")
@@ -67,16 +70,11 @@ class Field:
 
 
 def chains(ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The chain that each token belongs to: a new one after a sentence's end, at a document's start and after CHAIN tokens."""
+    """The chain that each token belongs to: a new one after a sentence's end and at a document's start."""
     starts = np.zeros(len(ends), bool)
     starts[1:] = ends[:-1]
     first = np.cumsum(lengths) - lengths
     starts[first[lengths > 0]] = True
-    at = np.flatnonzero(starts)
-    long = np.diff(np.append(at, len(ends)))
-    if len(long) and long.max() > CHAIN:
-        place = np.arange(len(ends)) - np.repeat(at, long)
-        starts |= place % CHAIN == 0
     return np.cumsum(starts) - 1
 
 
@@ -98,31 +96,57 @@ def _backward(e: np.ndarray, alive: np.ndarray, a: np.ndarray, out: np.ndarray)
         out[t, :n] = np.logaddexp(a[1, 0], a[1, 1] + x) - np.logaddexp(a[0, 0], a[0, 1] + x)
 
 
+def _both_ways(e: list[float], a: np.ndarray) -> tuple[list[float], list[float]]:
+    """_forward and _backward of one chain."""
+    a00, a01, a10, a11 = a.ravel().tolist()
+
+    def add(x: float, y: float) -> float:
+        return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+    before, after = [e[0]], [0.0]
+    for x in e[1:]:
+        r = before[-1]
+        before.append(x + add(a01, a11 + r) - add(a00, a10 + r))
+    for x in reversed(e[1:]):
+        x += after[-1]
+        after.append(add(a10, a11 + x) - add(a00, a01 + x))
+    return before, after[::-1]
+
+
 def log_odds(emission: np.ndarray, chain: np.ndarray, step: np.ndarray, paired: bool = False):
-    """Each token's log odds of label 1 by forward and backward passes over all chains at once, in time len(longest chain).
+    """Each token's log odds of label 1 by forward and backward passes, over all chains of up to LONG tokens at once.
 
-    paired: also the probability that a token and the one before it in its chain both have label 1.
+    paired: also the probabilities of the labels of a token and the one before it in its chain (00, 01, 10, 11; 0 for first ones).
     """
     if not len(emission):
         return (emission, emission) if paired else emission
-    long = np.bincount(chain)
-    by_length = np.argsort(-long, kind="stable")
-    column = np.empty(len(long), np.int64)
-    column[by_length] = np.arange(len(long))
-    start = np.cumsum(long) - long
+    sizes = np.bincount(chain)
+    start = np.cumsum(sizes) - sizes
     place = np.arange(len(emission)) - start[chain]
-    e = np.zeros((long.max(), len(long)))
-    e[place, column[chain]] = emission
-    alive = np.searchsorted(-long[by_length], -np.arange(1, long.max() + 1), side="right")
-    before, after = np.zeros_like(e), np.zeros_like(e)
-    _forward(e, alive, step, before)
-    _backward(e, alive, step, after)
-    at = (place, column[chain])
-    odds = before[at] + after[at]
+    before, after = np.empty(len(emission)), np.empty(len(emission))
+    short = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    if len(short):
+        long = sizes[short]
+        by_length = np.argsort(-long, kind="stable")
+        column = np.full(len(sizes), -1)
+        column[short[by_length]] = np.arange(len(short))
+        own = np.flatnonzero(sizes[chain] <= LONG)
+        at = (place[own], column[chain[own]])
+        e = np.zeros((long.max(), len(short)))
+        e[at] = emission[own]
+        alive = np.searchsorted(-long[by_length], -np.arange(1, long.max() + 1), side="right")
+        forward, backward = np.zeros_like(e), np.zeros_like(e)
+        _forward(e, alive, step, forward)
+        _backward(e, alive, step, backward)
+        before[own], after[own] = forward[at], backward[at]
+    for c in np.flatnonzero(sizes > LONG).tolist():
+        span = slice(start[c], start[c] + sizes[c])
+        before[span], after[span] = _both_ways(emission[span].tolist(), step)
+    odds = before + after
     if not paired:
         return odds
-    back = np.where(place > 0, before[np.maximum(place - 1, 0), column[chain]], -np.inf)
-    ahead = emission + after[at]
+    back = np.where(place > 0, np.roll(before, 1), -np.inf)
+    ahead = emission + after
     with np.errstate(over="ignore", invalid="ignore"):
         logs = np.stack([np.zeros(len(emission)) + step[0, 0], step[0, 1] + ahead, step[1, 0] + back, step[1, 1] + back + ahead])
         logs -= logs.max(0)

@@ -11,7 +11,8 @@ under `least` bytes are all responses. Payloads that are frequent (at most 1000
 looked up in a literal map and their rows are dealt out by page_id, so no task gets a hot payload's rows.
 
 Cases: a null html is an empty payload, a null url leaves out the target header; a null page_id is kept
-and never a response's id. Repeated rows: of rows with one page_id and payload all that hold the largest page_id are responses.
+and never a response's id. Pages of any length are one record each. An empty table gives no archive and no rows.
+Other columns are not read, whatever their names. Repeated rows: of rows with one page_id and payload all that hold the largest page_id are responses.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def read_archive(archive: str) -> Iterator[tuple]:
                 continue
             head = what["head"]
             given = head.get("x-payload-length", "")
-            n = int(given) if given.isdigit() else len(what["payload"])
+            n = int(given) if given.isdigit() and head.get("warc-type") == "revisit" else len(what["payload"])  # a revisit has no payload of its own
             digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or digest32(what["payload"])
             yield archive, kind, offset, size, "", _page_id(head.get("warc-record-id")), n, digest, head.get("warc-type"), _page_id(head.get("warc-refers-to"))
 

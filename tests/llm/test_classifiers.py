@@ -104,6 +104,25 @@ def test_forward_backward_by_enumeration():
                     assert abs(both[2 * a + b, i] - q) < 1e-9
 
 
+def test_long_chains_have_the_same_marginals(monkeypatch):
+    rng = np.random.default_rng(5)
+    emission, step = rng.normal(size=400), rng.normal(size=(2, 2))
+    chain = np.repeat([0, 1, 2], [5, 390, 5])
+    want = toxicity.log_odds(emission, chain, step, paired=True)
+    monkeypatch.setattr(toxicity, "LONG", 1000)
+    got = toxicity.log_odds(emission, chain, step, paired=True)
+    assert np.allclose(want[0], got[0]) and np.allclose(want[1], got[1])
+
+
+def test_repeated_rows_do_not_multiply_the_sample(spark):
+    docs, labels = frames(spark, 60)
+    many = docs.unionByName(docs).unionByName(docs.where("doc_id % 4 = 0").limit(3))
+    assert langid.labelled_sample(many) == langid.labelled_sample(docs)
+    assert toxicity.labelled_sample(many, labels.union(labels)) == toxicity.labelled_sample(docs, labels)
+    assert len(langid.labelled_sample(many, per_language=5)) == 10
+    assert sum(len(t.encode()) for t, _ in langid.labelled_sample(docs, size=3000)) <= 6000
+
+
 def test_toxic_documents_and_spans(spark):
     docs, labels = frames(spark)
     field = toxicity.fit(toxicity.labelled_sample(docs, labels))

@@ -27,7 +27,7 @@ pieces = st.lists(st.sampled_from([*"abcthering' \n.,1é中\t<|>", "the", "ing",
 def tools():
     codec = bpe_tree.Codec(MULTI)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
-    return Tokenizer.from_file(JSON), packing.Encoder(JSON), token_counts.Counter(JSON), codec, library
+    return Tokenizer.from_file(JSON), packing.Encoder(JSON, packing.same_merges(JSON)), token_counts.Counter(JSON), codec, library
 
 
 @given(st.lists(pieces, max_size=4))
@@ -58,7 +58,7 @@ def test_tree_equals_plain_merging(tools, data):
 
 def test_full_tables_change_nothing(tools):
     tokenizer = tools[0]
-    encoder = packing.Encoder(JSON)
+    encoder = packing.Encoder(JSON, packing.same_merges(JSON))
     encoder.table.most = 5
     texts = ["one two three four", "five six seven", "one two eight", "nine ten"] * 3
     for i in range(0, len(texts), 2):
