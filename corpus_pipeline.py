@@ -1,6 +1,13 @@
 """From documents to packed sequences: toxicity, language ID, near-duplicates, packing.
 
-Each stage takes what the one before it kept; all but the last return the columns of documents.
+Each stage takes what the one before it kept; all but the last return the columns of documents, whatever
+these are besides doc_id, text and lang.
+
+Cases, for every stage: rows with nulls in any column and texts of any length are judged like others; an
+empty table gives an empty one. A null or empty text is clean, but in no known language, so it goes in the
+second stage. Repeated rows are judged alike until the third stage, which keeps one of them; of texts that tie
+for a group the one with the smallest doc_id (null last), then with the smallest digest, stays. A score of
+exactly 0.3 is toxic. Models of a table without labels judge nothing toxic and know no language.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, SimHash similarity 0.8 or more)."""
+    """Keeps one document of each group of near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or more, found by SimHash, verified."""
     return simhash_dedup.one_of_each(docs, simhash_dedup.near_duplicates_by_similarity(docs))
 
 
@@ -38,7 +45,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Models are fitted and texts tokenised on the way, which SQL can't express; tests hold the stages against brute force.
+#: Models are fitted and texts tokenised on the way, which SQL can't express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
