@@ -7,7 +7,8 @@ exactly the encodings, so whatever lies beyond a compatible seam can't change. A
 compatible makes the window grow on its side. Decoding concatenates the tokens' bytes up a tree.
 
 A pretoken that is itself a token is that token, as in the library. Cases: null and empty texts have no
-tokens. Special strings are plain text. Repeated rows encode alike. Other columns are not read.
+tokens. Special strings are plain text. Texts of any length are encoded whole. Repeated rows encode alike. An empty table
+gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
