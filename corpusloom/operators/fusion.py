@@ -74,9 +74,11 @@ def collapsed(ranked: DataFrame, key: list[str], rank: str, revision: str, prefe
     """One row for each key, the first in rank order (or the preferred revision's), with how often it occurs and at most `most` revisions in rank order."""
     each = ranked.groupBy(*key, F.col(revision).alias("_v")).agg(F.min(rank).alias("_r"), F.count("*").alias("_n"))  # a hot key shrinks to its revisions here
     other = (F.col("_v") != preferred) if preferred else F.lit(False)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda s: s["_v"])
+    # places by the same key, so nothing is shuffled again; only the first `most` revisions are collected
+    each = each.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy("_r", "_v")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= most, F.struct("_r", "_v")))), lambda s: s["_v"])
     return each.groupBy(*key).agg(
-        F.min("_r").alias(rank), F.sum("_n").alias("occurrences"), F.slice(ordered, 1, most).alias("revisions"),
+        F.min("_r").alias(rank), F.sum("_n").alias("occurrences"), ordered.alias("revisions"),
         F.min("_v").alias("first_revision"), F.max("_v").alias("last_revision"), F.min(F.struct(other.alias("p"), F.col("_r"), F.col("_v")))["_v"].alias("representative"),
     )
 

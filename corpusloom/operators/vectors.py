@@ -39,7 +39,11 @@ def top_k(vectors: DataFrame, key: str, query: list[float], k: int) -> DataFrame
     return vectors.select(key, F.round(dot(F.col("embedding"), target), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block: int = 4096, most: int = 20_000) -> DataFrame:
+#: Vectors that meet a block of queries at a time: the score matrix has at most this many times `block` numbers.
+BLOCK_ROWS = 4096
+
+
+def top_k_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block: int = 2048, most: int = 20_000) -> DataFrame:
     """Many queries (query_id, embedding): each task multiplies its rows by the query matrix and keeps k a query before anything is shuffled.
 
     The matrix is sent to every task, so its rows are counted first; beyond `most` they go in several rounds.
@@ -61,22 +65,29 @@ def top_k_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: tuple | None = None  # query columns, keys, scores: at most k of each column
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(flat.reshape(len(keys), -1) @ q, 6)
-            if held:
-                keys = np.concatenate([np.broadcast_to(keys[:, None], scores.shape), held[0][0]])
-                scores = np.concatenate([scores, held[0][1]])
-            else:
-                keys = np.broadcast_to(keys[:, None], scores.shape)
-            order = np.stack([np.lexsort((keys[:, j], -scores[:, j]))[:k] for j in range(scores.shape[1])], 1)
-            held = [(np.take_along_axis(keys, order, 0), np.take_along_axis(scores, order, 0))]
-        if held and len(ids):
-            keys, scores = held[0]
-            repeated = [i for i in ids for _ in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(keys.T.ravel()), pa.array(scores.T.ravel())], names=["query_id", key, "similarity"])
+            whole = batch.column(0).to_numpy(zero_copy_only=False)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+            parts = [] if held is None else [held]
+            for lo in range(0, len(whole), BLOCK_ROWS):  # a block of rows by a block of queries at a time
+                keys, rows = whole[lo : lo + BLOCK_ROWS], flat[lo : lo + BLOCK_ROWS]
+                for first in range(0, q.shape[1], block):
+                    scores = np.round(rows @ q[:, first : first + block], 6)
+                    if len(keys) > k:  # whatever ties with the k-th best stays for the order by key
+                        at, column = np.nonzero(scores >= np.partition(scores, len(keys) - k, axis=0)[len(keys) - k])
+                    else:
+                        at, column = (x.ravel() for x in np.indices(scores.shape))
+                    parts.append((column + first, keys[at], scores[at, column]))
+            column, keys, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((keys, -scores, column))
+            column, keys, scores = column[order], keys[order], scores[order]
+            starts = np.searchsorted(column, np.arange(q.shape[1]))
+            best = np.arange(len(column)) - starts[column] < k
+            held = column[best], keys[best], scores[best]
+        if held is not None and len(ids):
+            names = [ids[c] for c in held[0].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(held[1]), pa.array(held[2])], names=["query_id", key, "similarity"])
 
     best = vectors.select(key, "embedding").mapInArrow(run, f"query_id {kind}, {key} {own}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
