@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from corpusloom.functions import ids
@@ -204,3 +205,35 @@ def token_windows(text: str, offsets: list[tuple[int, int]], limit: int, fits) -
     for a, b in zip([0, *starts], [*starts, len(text)], strict=True):
         add(text[a:b])
     return out
+
+
+def word_offsets(text: str) -> list[tuple[int, int]]:
+    """The stand-in for a model's tokenizer: runs of other than blanks and line ends."""
+    return [m.span() for m in re.finditer(r"[^ \t\n\r]+", text)]
+
+
+def windowed(docs: DataFrame, key: str, text: str, limit: int, offsets=word_offsets) -> DataFrame:
+    """Token windows of each row: key, ordinal, window, tokens. Windows of a text join to the whole of it; an empty or null one has none.
+
+    offsets(text) gives the tokens' character spans. A window is tokenised again, since its tokens may be others than within
+    the text, and halved until it fits.
+    """
+    if limit < 1:
+        raise ValueError("a window has a token at least")
+    kind = docs.schema[key].dataType
+    schema = StructType([StructField(key, kind), StructField("ordinal", IntegerType()), StructField("window", StringType()), StructField("tokens", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, pieces, sizes, at = [], [], [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                found = token_windows(value, offsets(value), limit, lambda w: len(offsets(w)) <= limit) if value else []
+                place += [i] * len(found)
+                at += range(len(found))
+                pieces += found
+                sizes += [len(offsets(w)) for w in found]
+            if place:
+                keys = batch.column(0).take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int32()), pa.array(pieces, pa.string()), pa.array(sizes, pa.int32())], [key, "ordinal", "window", "tokens"])
+
+    return docs.select(key, text).mapInArrow(run, schema)

@@ -116,6 +116,41 @@ def scored_index(spark, path: str, key: str, field: str, terms: list[str], bucke
     return joined.select(key, coverage.alias("coverage"), F.round(score, 6).alias("score"))
 
 
+def boolean_terms(query: str, aliases: dict[str, list[str]] | None = None) -> tuple[list[str], list[str]]:
+    """(asked, more): the tokens of the query's own terms, and those that only its expansions have."""
+    asked = query_terms(query)
+    wide = dict.fromkeys(p for t in T.expanded_terms_of(query, aliases) for p in T.tokens_of(t))
+    return asked, [t for t in wide if t not in asked]
+
+
+def boolean_index(
+    spark, path: str, key: str, query: str, limit: int, aliases: dict[str, list[str]] | None = None, exact: DataFrame | None = None, buckets: int = 64
+) -> DataFrame:
+    """(key, coverage, score) of the best `limit` rows over all fields of a written index; each term scores in every field that has it.
+
+    With one or two terms all tokens that were asked for must occur, in whatever field; with more any will do. Expansions
+    add to the score alone. exact: keys (distinct) whose identifier equals the whole query, which match in any case. Of the
+    postings the terms' buckets and row groups are read; what is sent to all tasks has a row a field and term.
+    """
+    asked, more = boolean_terms(query, aliases)
+    hit = F.lit(False)
+    for t in [*asked, *more]:
+        hit = hit | ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int")) & (F.col("term") == t))
+    found = spark.read.parquet(f"{path}/postings").where(hit)
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    sizes = df.join(F.broadcast(spark.read.parquet(f"{path}/fields")), "field")
+    met = found.join(F.broadcast(sizes), ["field", "term"])
+    score = term_score(F.col("tf"), F.col("length"), F.col("mean"), inverse_frequency(F.col("documents"), F.col("df")))
+    own = F.when(F.col("term").isin(asked), F.col("term"))
+    rows = met.groupBy(key).agg(F.round(F.sum(score), 6).alias("score"), F.count_distinct(own).cast("int").alias("coverage"))
+    enough = F.col("coverage") >= (len(asked) if len(T.raw_terms_of(query)) <= 2 else 0)
+    if exact is not None:
+        rows = rows.join(exact.select(key).withColumn("_exact", F.lit(True)), key, "full")
+        rows = rows.select(key, F.coalesce("coverage", F.lit(0)).alias("coverage"), F.coalesce("score", F.lit(0.0)).alias("score"), "_exact")
+        enough = enough | F.col("_exact").isNotNull()
+    return rows.where(enough).select(key, "coverage", "score").orderBy(F.desc("score"), key).limit(limit)
+
+
 def query_terms(query: str) -> list[str]:
     if not T.raw_terms_of(query):
         raise ValueError("the query has no terms")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / norm(v))
+    # the norm is bound to a name first: inside the inner function it would be computed for each component
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def verdict(v: Column, dimension: int, unit: bool = True) -> Column:
@@ -151,6 +153,40 @@ def embedded(df: DataFrame, column: str, provider: Callable[[list[str]], list[li
     return df.withColumn("embedding", run(F.col(column)))
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What a model asks of its inputs and gives: the same for passages when they are embedded and for queries later."""
+
+    pooling: str
+    dimension: int
+    max_length: int
+    query_prefix: str = ""
+    passage_prefix: str = ""
+    normalised: bool = True
+
+    def __post_init__(self) -> None:
+        if self.pooling not in ("cls", "mean") or min(self.dimension, self.max_length) < 1:
+            raise ValueError("a profile pools by cls or mean and has positive sizes")
+
+
+def profile_of(model: str, profiles: dict[str, Profile]) -> Profile:
+    """The profile of the longest name that the model's id contains, in whatever case."""
+    found = [n for n in profiles if n.lower() in model.lower()]
+    if not found:
+        raise ValueError(f"no profile for {model}")
+    return profiles[max(found, key=lambda n: (len(n), n))]
+
+
+def embedded_by(df: DataFrame, column: str, provider: Callable[[list[str]], list[list[float]]], profile: Profile, query: bool = False) -> DataFrame:
+    """embedded() with the profile's prefix before each text and its normalisation after; a vector of another size is an error."""
+    prefix = profile.query_prefix if query else profile.passage_prefix
+    rows = embedded(df.withColumn("_input", F.concat(F.lit(prefix), F.col(column))), "_input", provider).drop("_input")
+    v = F.col("embedding")
+    wrong = F.concat(F.lit(f"a vector of this profile has {profile.dimension} components, not "), F.size(v).cast("string"))
+    v = F.when(F.size(v) == profile.dimension, v).otherwise(F.raise_error(wrong).cast("array<double>"))
+    return rows.withColumn("embedding", normalised(v) if profile.normalised else v)
+
+
 def length_order(df: DataFrame, length: str, ties: list[str]) -> DataFrame:
     """Rows of like length next to each other, to keep batches free of padding."""
     return df.repartitionByRange(F.col(length)).sortWithinPartitions(length, *ties)

@@ -185,6 +185,22 @@ def current(corrections: DataFrame, resources: DataFrame) -> DataFrame:
     return rows.join(now, "uri", "left").groupBy("record_id").agg(F.bool_and(F.coalesce(F.col("digest") == F.col("_now"), F.lit(False))).alias("current"))
 
 
+def overlay(records: DataFrame, query: str, limit: int, resources: DataFrame, least: float = 0.5) -> DataFrame:
+    """The best active records for a query: record_id, kind, score, rank.
+
+    records: record_id, kind, text, supersedes, covered, evidence (array of uri, digest). Statistics are those of the active
+    records alone. A record of kind `correction` needs a score of `least` and evidence that resources (uri, digest) still bear out;
+    evidence is compared for the candidates only, of which there are 200 at most.
+    """
+    pool = active(records)
+    found = lexical.candidates(pool.select("record_id", "text"), "record_id", "text", query, limit)
+    held = pool.select("record_id", "kind", "evidence").join(F.broadcast(found), "record_id")
+    sound = current(held.where((F.col("kind") == "correction") & (F.col("score") >= least)), resources).where("current").select("record_id", F.lit(True).alias("_sound"))
+    rows = held.drop("evidence").join(F.broadcast(sound), "record_id", "left").where((F.col("kind") != "correction") | F.col("_sound"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("coverage"), F.desc("score"), "record_id")  # a result page
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("record_id", "kind", "score", "rank")
+
+
 def merged(results: DataFrame, notes: DataFrame, limit: int) -> DataFrame:
     """Results cut to what the notes (at most `limit`) leave of the limit, the notes after them."""
     kept = notes.orderBy("rank").limit(limit)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,26 @@ class Store:
                 raise ValueError(f"{table} differs from the manifest")
 
 
+    def stage(self, label: str, contract: dict, make: Callable[[], DataFrame], key: str) -> DataFrame:
+        """The table of a build's stage: made only if there is no complete one for this contract (its inputs, settings, versions).
+
+        The marker with count and digest is written last, so a stage that stopped half-way is made anew; one whose rows differ from its marker too.
+        """
+        name = hashlib.sha256(json.dumps(contract, sort_keys=True).encode()).hexdigest()
+        where = f"{self.root}/stages/{label}-{name}"
+        marker, fs = _path(self.spark, f"{where}/complete.json")
+        if fs.exists(marker):
+            held = self.spark.read.parquet(f"{where}/rows")
+            if inventory(held, key) == json.loads(read_text(self.spark, f"{where}/complete.json")):
+                return held
+            fs.delete(marker, False)
+        made = make()
+        made.write.parquet(f"{where}/rows", mode="overwrite")
+        held = self.spark.read.schema(made.schema).parquet(f"{where}/rows")
+        _write_text(self.spark, f"{where}/complete.json", json.dumps(inventory(held, key)))
+        return held
+
+
 def snapshot_id(repositories: dict[str, str], configuration: str, versions: dict[str, str], model: str) -> str:
     """One name for a selection of commits: what is equal has an equal id, in whatever order it was given."""
     identity = {"repositories": sorted(repositories.items()), "configuration": configuration, "versions": sorted(versions.items()), "model": model}

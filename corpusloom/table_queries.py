@@ -5,13 +5,16 @@ Rows that these operators need and the driver does not have (descriptors, stacks
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions import ids
 from corpusloom.functions import text as T
-from corpusloom.operators import documents, fusion, history, investigate, lookup, vectors
+from corpusloom.operators import chunking, documents, fusion, history, investigate, lexical, lookup, vectors
 from corpusloom.plans import search, store
-from corpusloom.queries import QUERIES, read, register  # noqa: F401
+from corpusloom.queries import _TOKENS, QUERIES, TERMS, bm25_sql, read, register  # noqa: F401
 from corpusloom.sources import catalog
 
 # --- text functions -----------------------------------------------------------
@@ -408,3 +411,127 @@ def _(spark, sf_dir):
     top = read(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)  # a result page
     notes = read(spark, sf_dir, "customer").where("c_custkey < 3").select((F.col("c_custkey") + 1).alias("rank"), F.col("c_custkey").alias("id"))
     return search.merged(top.select(place.alias("rank"), F.col("o_orderkey").alias("id")), notes, 10)
+
+
+# --- search over fields, windows, overlay ----------------------------------------
+
+_FIELD_INDEXES: dict[tuple[str, str], str] = {}
+_FIELDS = {"title": "'doc ' || doc_id", "path": "lang || '/' || doc_id || '.txt'", "identifiers": "'id_' || doc_id", "body": "text", "tags": "lang"}
+
+
+def field_index(spark, sf_dir):
+    """The path of a written index of five fields of the documents, built when first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIELD_INDEXES:
+        path = f"{store.scratch_dir(spark)}/corpusloom-index/{uuid.uuid4().hex}"
+        made = read(spark, sf_dir, "documents").select("doc_id", *[F.expr(x).alias(n) for n, x in _FIELDS.items()])
+        lexical.write_index(made, "doc_id", list(_FIELDS), path)
+        _FIELD_INDEXES[key] = path
+    return _FIELD_INDEXES[key]
+
+
+def fields_sql(query: str, limit: int, exact: str = "false") -> str:
+    asked, more = lexical.boolean_terms(query)
+    listed = ", ".join(f"{{'f': '{n}', 't': {_TOKENS.format(x)}}}" for n, x in _FIELDS.items())
+    quoted = lambda terms: ", ".join(f"'{t}'" for t in terms)
+    least = len(asked) if len(T.raw_terms_of(query)) <= 2 else 0
+    return f"""with d as (select doc_id, unnest([{listed}]) as x from documents),
+ l as (select x.f as f, count(*) as n, avg(len(x.t)) as mean from d group by 1),
+ p as (select doc_id, x.f as f, len(x.t) as length, unnest(x.t) as term from d),
+ c as (select doc_id, f, length, term, count(*) as tf from p where term in ({quoted([*asked, *more])}) group by all),
+ g as (select f, term, count(*) as df from c group by all),
+ s as (select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as score,
+  count(distinct term) filter (term in ({quoted(asked)})) as coverage from c join g using (f, term) join l using (f) group by doc_id)
+ select doc_id, coalesce(coverage, 0) as coverage, coalesce(score, 0) as score from s full join (select doc_id, true as same from documents where {exact}) using (doc_id)
+ where coverage >= {least} or same order by 3 desc, 1 limit {limit}"""
+
+
+@register("field_search_all", "doc_id:bigint coverage:bigint score:double", fields_sql("with EN", 50))
+def _(spark, sf_dir):
+    return lexical.boolean_index(spark, field_index(spark, sf_dir), "doc_id", "with EN", 50)
+
+
+@register("field_search_any", "doc_id:bigint coverage:bigint score:double", fields_sql("persistence of this source", 100))
+def _(spark, sf_dir):
+    return lexical.boolean_index(spark, field_index(spark, sf_dir), "doc_id", "persistence of this source", 100)
+
+
+@register("field_search_exact", "doc_id:bigint coverage:bigint score:double", fields_sql("src3_en", 100, "source || '_' || lang = 'src3_en'"))
+def _(spark, sf_dir):
+    same = read(spark, sf_dir, "documents").where(F.concat_ws("_", "source", "lang") == "src3_en").select("doc_id")
+    return lexical.boolean_index(spark, field_index(spark, sf_dir), "doc_id", "src3_en", 100, exact=same)
+
+
+@register("token_windows", "doc_id:bigint ordinal:int tokens:int digest:string", r"""with t as (select doc_id, regexp_extract_all(text, '[^ \t\n\r]+[ \t\n\r]*') as w, regexp_extract(text, '^[ \t\n\r]*') as lead from documents where text <> ''),
+ k as (select *, unnest(range(0, greatest(1, (len(w) + 63) // 64))) as ordinal from t)
+ select doc_id, ordinal, len(w[ordinal * 64 + 1 : ordinal * 64 + 64]) as tokens,
+ sha256(case when ordinal = 0 then lead else '' end || array_to_string(w[ordinal * 64 + 1 : ordinal * 64 + 64], '')) as digest from k""")
+def _(spark, sf_dir):
+    return chunking.windowed(read(spark, sf_dir, "documents"), "doc_id", "text", 64).withColumn("digest", F.sha2("window", 256))
+
+
+@register("feedback_overlay", "record_id:bigint kind:string score:double rank:int", f"""with s as {bm25_sql(TERMS, "doc_id % 5 <> 0 and doc_id not in (select doc_id - 1 from documents where doc_id % 3 = 0)")},
+ c as ((select * from s order by score desc, doc_id limit 100) union (select * from s where coverage = 3 order by score desc, doc_id limit 100))
+ select doc_id as record_id, case when doc_id % 2 = 0 then 'correction' else 'note' end as kind, score, row_number() over (order by coverage desc, score desc, doc_id) as rank
+ from c where doc_id % 2 = 1 or (score >= 0.5 and doc_id % 4 = 0) order by rank limit 10""")
+def _(spark, sf_dir):
+    k = F.col("doc_id")
+    proof = F.array(F.struct(k.cast("string").alias("uri"), F.sha2("text", 256).alias("digest")))
+    kept = F.when(k % 3 == 0, k - 1).alias("supersedes")
+    rows = read(spark, sf_dir, "documents").select(k.alias("record_id"), F.when(k % 2 == 0, "correction").otherwise("note").alias("kind"), "text", kept, (k % 5 == 0).alias("covered"), proof.alias("evidence"))
+    now = read(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(k.cast("string").alias("uri"), F.sha2("text", 256).alias("digest"))
+    return search.overlay(rows, " ".join(TERMS), 10, now)
+
+
+_EMBEDDED = """case when source <> 'src1' then 'Title: ' || source || chr(10) else '' end || 'Headings: ' || lang || ' / ' || source || chr(10) || 'Identifiers: id_' || doc_id || chr(10)
+ || case when doc_id % 2 = 0 then 'Tags: ' || lang || ', x' || chr(10) else '' end || 'Content: ' || text"""
+
+
+@register("embedding_digests", "doc_id:bigint digest:string", f"select doc_id, sha256({_EMBEDDED}) as digest from documents")
+def _(spark, sf_dir):
+    k = F.col("doc_id")
+    tags = F.when(k % 2 == 0, F.array("lang", F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    title = F.when(F.col("source") != "src1", F.col("source"))
+    made = T.embedding_text(title, F.array("lang", "source"), F.array(F.concat(F.lit("id_"), k.cast("string"))), tags, F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(made, 256).alias("digest"))
+
+
+@register("typed_ids", "doc_id:bigint sound:boolean", "select doc_id, doc_id % 3 = 0 as sound from documents")
+def _(spark, sf_dir):
+    n, digest = F.col("doc_id") % 3, F.sha2("text", 256)
+    value = F.when(n == 0, F.concat(F.lit("chunk-"), digest)).when(n == 1, F.concat(F.lit("chunk-"), F.upper(digest), F.lit("A"))).otherwise(F.concat(F.lit("doc-"), digest))
+    return read(spark, sf_dir, "documents").select("doc_id", ids.is_typed_id(value, "chunk-").alias("sound"))
+
+
+@register("symbol_anchors", "p_partkey:bigint anchor:int", "select p_partkey, case when p_partkey % 3 = 0 then null else 8 + length(p_name) end as anchor from part")
+def _(spark, sf_dir):
+    n, key = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    name = F.when(n == 0, "plain").when(n == 1, F.concat(F.lit("sym"), key)).otherwise(F.concat(F.lit("a_b"), key))
+    text = F.concat(F.lit("xsym1z "), "p_name", F.lit(" "), name, F.lit(" rest"))
+    asked = F.array(F.concat(F.lit("sym"), key))
+    return read(spark, sf_dir, "part").select("p_partkey", (T.symbol_anchor(text, asked) - 1).alias("anchor"))
+
+
+@register("reused_occurrences", "commit:bigint path:bigint blob:string", """select o_orderkey as "commit", o_custkey as path, o_orderstatus as blob from orders
+ where (o_custkey, o_orderstatus) in (select (o_custkey, o_orderstatus) from orders where o_orderkey % 3 = 0)""")
+def _(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    tree = o.select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("blob"))
+    known = tree.where("commit % 3 = 0").select("path", "blob", F.sha2(F.concat_ws("/", "path", "blob"), 256).alias("content_key"))
+    return history.reused_occurrences(tree, known)
+
+
+@register("resumed_stage", "c_custkey:bigint c_name:string", "select c_custkey, c_name from customer where c_acctbal > 0")
+def _(spark, sf_dir):
+    kept = store.Store(spark, f"{store.scratch_dir(spark)}/corpusloom-stages")
+    make = lambda: read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    contract = {"input": store.inventory(read(spark, sf_dir, "customer"), "c_custkey"), "filter": "c_acctbal > 0"}
+    return kept.stage("customers", contract, make, "c_custkey")
+
+
+@register("reranked_page", "query_id:bigint chunk_id:bigint place:int", """select * from (select c_nationkey as query_id, c_custkey as chunk_id,
+ row_number() over (partition by c_nationkey order by length(c_name || c_mktsegment) desc, c_custkey) as place from customer) where place <= 5""")
+def _(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_nationkey").alias("query_id"), F.lit("q").alias("query"), F.col("c_custkey").alias("chunk_id"), F.concat("c_name", "c_mktsegment").alias("text"), F.col("c_custkey").alias("rank"))
+    return lookup.reranked(rows, lambda pairs: [float(len(text)) for _, text in pairs], 5)

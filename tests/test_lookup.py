@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluate, lookup
+from corpusloom.operators import chunking, evaluate, lexical, lookup, vectors
 from corpusloom.sources import catalog
 
 
@@ -47,3 +47,44 @@ def test_suites(spark, tmp_path):
 def test_roots(spark):
     df = spark.createDataFrame([("/a/b",), ("/ab",), ("/a/../b",)], "p string")
     assert [r["x"] for r in df.select(catalog.under_root(F.col("p"), "/a").alias("x")).collect()] == [True, False, False]
+
+
+def test_boolean_search_over_fields(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "motor", "the gear turns"), (2, "gear", "a motor"), (3, "motor", None), (4, "", "nvm page")], "id int, title string, body string")
+    path = str(tmp_path / "index")
+    lexical.write_index(docs, "id", ["title", "body"], path)
+    found = lambda q, **k: [r["id"] for r in lexical.boolean_index(spark, path, "id", q, 10, **k).collect()]
+    assert sorted(found("gear motor")) == [1, 2]  # both, in whatever field
+    assert sorted(found("gear motor absent")) == [1, 2, 3]  # any of three
+    assert found("persistence") == []  # an expansion alone is not enough
+    assert found("persistence x y") == [4]
+    assert sorted(found("gear motor", exact=docs.where("id = 4").select("id"))) == [1, 2, 4]
+    with pytest.raises(ValueError):
+        found(" - ")
+
+
+def test_windows_join_to_the_text(spark):
+    docs = spark.createDataFrame([(1, " a b  c\nd e "), (2, ""), (3, None), (4, "   "), (5, "wwwwwwwwww")], "id int, text string")
+    rows = chunking.windowed(docs, "id", "text", 2).orderBy("id", "ordinal").collect()
+    assert [(r["id"], r["ordinal"], r["window"]) for r in rows] == [(1, 0, " a b  "), (1, 1, "c\nd "), (1, 2, "e "), (4, 0, "   "), (5, 0, "wwwwwwwwww")]
+    chars = lambda text: [(i, i + 1) for i in range(len(text))] + ([(0, 0)] if len(text) > 3 else [])  # noqa: E731  a tokenizer that adds a token
+    again = chunking.windowed(docs.where("id = 5"), "id", "text", 4, chars).orderBy("ordinal").collect()
+    assert "".join(r["window"] for r in again) == "w" * 10 and all(r["tokens"] <= 4 for r in again)
+    assert chunking.windowed(docs.limit(0), "id", "text", 2).count() == 0
+    with pytest.raises(ValueError):
+        chunking.windowed(docs, "id", "text", 0)
+
+
+def test_profiles(spark):
+    known = {"small": vectors.Profile("cls", 8, 512, "query: "), "small-long": vectors.Profile("mean", 4, 8192, normalised=False)}
+    assert vectors.profile_of("org/Small-Long-v2", known).max_length == 8192 and vectors.profile_of("x/small", known).dimension == 8
+    with pytest.raises(ValueError):
+        vectors.profile_of("other", known)
+    with pytest.raises(ValueError):
+        vectors.Profile("max", 8, 1)
+    docs = spark.createDataFrame([(1, "text")], "id int, text string")
+    provider = lambda texts: vectors.fake_embedding(texts, 8)
+    row = vectors.embedded_by(docs, "text", provider, known["small"], query=True).first()
+    assert row["embedding"] == pytest.approx(vectors.fake_embedding(["query: text"], 8)[0])
+    with pytest.raises(Exception, match="components"):
+        vectors.embedded_by(docs, "text", provider, known["small-long"]).collect()

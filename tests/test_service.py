@@ -116,3 +116,34 @@ def test_late_events(spark, tmp_path):
     got = {r["window_start"]: r["events"] for r in spark.table("late_out").collect()}
     batch = {r["window_start"]: r["events"] for r in watch.windowed_totals(events, "ts", ["event_type"], "value", "10 minutes").collect()}
     assert got.items() <= batch.items() and sum(batch.values()) == len(rows)
+
+
+def test_a_complete_stage_is_not_made_again(spark, tmp_path):
+    kept, made = store.Store(spark, str(tmp_path)), []
+
+    def make():
+        made.append(1)
+        return spark.range(5)
+
+    for contract in ({"v": 1}, {"v": 1}, {"v": 2}):
+        assert kept.stage("ids", contract, make, "id").count() == 5
+    assert len(made) == 2
+    marker = next(p for p in (tmp_path / "stages").glob("ids-*/complete.json"))
+    marker.unlink()  # stopped before the marker
+    kept.stage("ids", {"v": 1}, make, "id")
+    kept.stage("ids", {"v": 2}, make, "id")
+    assert len(made) == 3
+    spark.range(9).write.parquet(str(marker.parent / "rows"), mode="overwrite")  # rows are no longer those of the marker
+    kept.stage("ids", {"v": 1}, make, "id")
+    assert kept.stage("ids", {"v": 2}, make, "id").count() == 5 and len(made) == 4
+
+
+def test_overlay_holds_corrections_to_score_and_evidence(spark):
+    rows = [("a", "correction", "gear ratio", None, None, "1"), ("b", "correction", "gear ratio", None, None, "2"), ("c", "note", "gear", None, None, "9"),
+            ("d", "note", "gear ratio", None, True, "1"), ("e", "note", "gear ratio", "c", None, "1")]
+    records = spark.createDataFrame(rows, "record_id string, kind string, text string, supersedes string, covered boolean, u string")
+    records = records.withColumn("evidence", F.array(F.struct(F.col("u").alias("uri"), F.lit("x").alias("digest")))).drop("u")
+    resources = spark.createDataFrame([("1", "x"), ("2", "changed")], "uri string, digest string")
+    assert [r["record_id"] for r in search.overlay(records, "gear ratio", 5, resources, least=0.1).orderBy("rank").collect()] == ["a", "e"]
+    assert [r["record_id"] for r in search.overlay(records, "gear ratio", 5, resources, least=99.0).collect()] == ["e"]
+    assert search.overlay(records.limit(0), "gear", 5, resources).count() == 0
