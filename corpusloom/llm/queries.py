@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, collocations, common, fingerprints, html_text, langid, media_jpeg, merkle, packing, simhash_dedup, token_counts, toxicity, warc
+from . import bpe_tree, collocations, common, fingerprints, html_text, langid, media_jpeg, merkle, packing, simhash_dedup, suffix_dedup, token_counts, toxicity, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(common.table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mined(common.table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_simhash_groups, op3_progressive_jpeg, op4_fingerprints, op5_toxicity,
         op6_packing, op7_token_counts, op8_warc, op9_main_text, op10_bpe_round_trip,
-        op12_collocations, op13_merkle_manifest,
+        op11_repeated_passages, op12_collocations, op13_merkle_manifest,
     )
 }
 
@@ -88,6 +92,18 @@ select page_id, strlen(html)::BIGINT as payload_bytes, {_BASE32} as payload_dige
   case when response = page_id then 'response' else 'revisit' end as record_type,
   case when response = page_id then null else response end as refers_to
 from p join r using (hex)
+""",
+    "op11_repeated_passages": """
+with d as (select doc_id, row_number() over (order by doc_id nulls last) as place, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as x from documents),
+starts as (select place, p, substr(x, 2 * p + 1, 200) as s from (select place, x, unnest(range(0, len(x) // 2 - 99)) as p from d)),
+repeated as (select place, p from (select place, p, row_number() over (partition by md5_number(s) order by place, p) as nth from starts) where nth > 1),
+marks as (select *, case when p <= lag(p) over (partition by place order by p) + 100 then 0 else 1 end as new from repeated),
+spans as (select place, min(p) as a, max(p) + 100 as b from (select *, sum(new) over (partition by place order by p) as span from marks) group by place, span),
+kept as (select place, substr(x, 2 * coalesce(lag(b) over w, 0) + 1, 2 * (a - coalesce(lag(b) over w, 0))) as piece, a as stand from spans join d using (place) window w as (partition by place order by a)
+  union all select place, substr(x, 2 * coalesce(b, 0) + 1), 9223372036854775807 from d left join (select place, max(b) as b from spans group by place) using (place)),
+whole as (select place, sha256(unhex(coalesce(string_agg(piece, '' order by stand), ''))) as kept_sha256 from kept group by place),
+gone as (select place, sum(b - a)::BIGINT as n_removed, count(*) as n_spans from spans group by place)
+select doc_id, strlen(text) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256 from d join whole using (place) left join gone using (place)
 """,
     "op12_collocations": """
 with pieces as (
