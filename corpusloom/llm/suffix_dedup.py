@@ -26,18 +26,19 @@ An empty table gives no rows; other columns take no part.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, hashing
 
-LENGTH, WIDTHS = 100, (50, 90)
+LENGTH, WIDTHS = 100, (50, 90, 97)
 SYMBOL, BLOCK = 12, 1 << 18
 #: Bits of the bitmap of repeated anchors, hashes that one task counts, and bytes of a text that are hashed at a time.
 ANCHOR_BITS, ANCHORS, SPAN = 1 << 26, 4_000_000, 1 << 22
@@ -272,13 +273,15 @@ def narrowed(stretches: DataFrame, length: int, width: int) -> tuple[DataFrame,
             order = np.lexsort((lo, owner))
             yield stretch_rows(out_kept, ids, ties, bases, data, begs, owner[order], lo[order], n[order], length)
 
-    cuts = common.written(stretches.mapInArrow(cut, schema), "pieces")
-    order = ["anchor", "digest"]
-    ordered = cuts.where(~F.col("settled")).drop("settled").repartitionByRange(*order).sortWithinPartitions(*order, "id", "tie", "lo")
-    found = common.written(ordered.mapInArrow(decided, marks), "decided")
-    known = cuts.where("settled").select("id", "tie", "lo", "n").unionByName(found.where("settled").select("id", "tie", "lo", "n"))
-    left = found.where(~F.col("settled")).groupBy("id", "tie", "base").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
-    return common.written(stretches.drop("wanted").join(left, ["id", "tie", "base"]).mapInArrow(again, kept), "stretches"), known
+    with common.scratch(stretches.sparkSession):
+        cuts = common.written(stretches.mapInArrow(cut, schema), "pieces")
+        order = ["anchor", "digest"]
+        ordered = cuts.where(~F.col("settled")).drop("settled").repartitionByRange(*order).sortWithinPartitions(*order, "id", "tie", "lo")
+        found = common.written(ordered.mapInArrow(decided, marks), "decided")
+        known = cuts.where("settled").select("id", "tie", "lo", "n").unionByName(found.where("settled").select("id", "tie", "lo", "n"))
+        known = common.written(known, "known", keep=True)
+        left = found.where(~F.col("settled")).groupBy("id", "tie", "base").agg(F.collect_list(F.struct("lo", "n")).alias("open"))
+        return common.written(stretches.drop("wanted").join(left, ["id", "tie", "base"]).mapInArrow(again, kept), "stretches", keep=True), known
 
 
 def blocks(stretches: DataFrame) -> DataFrame:
@@ -308,47 +311,58 @@ def blocks(stretches: DataFrame) -> DataFrame:
 
 
 class Block:
-    """One block in a task: the sample and, for each round of naming so far, the names of its distinct triples."""
+    """One block in a task: its sample positions and, after each round of naming, their names.
 
-    def __init__(self, row: dict, symbol: int):
+    A round names only the sample positions that a wanted window's order can hang on.
+    """
+
+    def __init__(self, row: dict, symbol: int, length: int):
         self.raw = row["data"]
         self.data = np.frombuffer(self.raw, np.uint8)
         self.wanted = np.frombuffer(row["wanted"], np.uint8) > 0
         self.begs, self.ids, self.ties, self.bases = (np.frombuffer(row[c], np.int64) for c in ("begs", "ids", "ties", "bases"))
-        self.ends = np.r_[self.begs[1:], len(self.data)]
         p = np.arange(len(self.data))
         self.owner = np.searchsorted(self.begs, p, "right") - 1
-        self.end = self.ends[self.owner]
+        self.end = np.r_[self.begs[1:], len(self.data)][self.owner]
         self.kind = (p - self.begs[self.owner]) // symbol % 3
-        self.sample, self.width = np.flatnonzero(self.kind), 3 * symbol
-        self.names = np.zeros(len(self.data), np.int64)
-
-    def triples(self) -> tuple[list[bytes], np.ndarray]:
-        """The distinct triples of symbols at the sample, and which of them each sample position has."""
-        table: dict[bytes, int] = {}
-        raw, w = self.raw, self.width
-        which = [table.setdefault(raw[a : min(a + w, e)], len(table)) for a, e in zip(self.sample.tolist(), self.end[self.sample].tolist(), strict=True)]
-        return list(table), np.array(which, np.int64)
+        self.names, self.widths = np.zeros(len(self.data), np.int64), [3 * symbol]
+        while self.widths[-1] < length:
+            self.widths.append(3 * self.widths[-1])
+        needed = self.marked(np.flatnonzero(self.wanted), (0, symbol, 2 * symbol)) & (self.kind > 0)
+        self.samples = [np.flatnonzero(needed)]
+        for w in reversed(self.widths[:-1]):
+            self.samples.insert(0, np.flatnonzero(self.marked(self.samples[0], (0, w, 2 * w))))
+
+    def marked(self, at: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+        found = np.zeros(len(self.data), bool)
+        for by in offsets:
+            found[(at + by)[at + by < self.end[at]]] = True
+        return found
 
     def ahead(self, at: np.ndarray, by: int) -> np.ndarray:
         """Names `by` bytes behind the positions, 0 beyond the end of a stretch."""
-        to = at + by
-        inside = to < self.end[at]
-        return np.where(inside, self.names[np.where(inside, to, 0)], 0)
-
-    def name_triples(self) -> tuple[list[bytes], np.ndarray]:
-        made = np.stack([self.names[self.sample], self.ahead(self.sample, self.width), self.ahead(self.sample, 2 * self.width)], 1)
-        rows, which = np.unique(made, axis=0, return_inverse=True)
+        inside = at + by < self.end[at]
+        return np.where(inside, self.names[np.where(inside, at + by, 0)], 0)
+
+    def triples(self, k: int) -> tuple[list[bytes], np.ndarray]:
+        """The distinct triples of round k, of symbols in the first and of names later, and which of them each sample position has."""
+        at = self.samples[k]
+        if k == 0:
+            table: dict[bytes, int] = {}
+            raw, w = self.raw, self.widths[0]
+            which = [table.setdefault(raw[a : min(a + w, e)], len(table)) for a, e in zip(at.tolist(), self.end[at].tolist(), strict=True)]
+            return list(table), np.array(which, np.int64)
+        w = self.widths[k - 1]
+        rows, which = np.unique(np.stack([self.names[at], self.ahead(at, w), self.ahead(at, 2 * w)], 1), axis=0, return_inverse=True)
         return [r.tobytes() for r in rows.astype(">i8")], which.ravel()
 
     def named(self, rounds: list[list]) -> Block:
         for k, names in enumerate(rounds):
-            which = (self.triples() if k == 0 else self.name_triples())[1]
+            which = self.triples(k)[1]
             table = np.zeros(len(names), np.int64)
-            for n in names:
-                table[n["j"]] = n["name"]
-            self.names[self.sample] = table[which]
-            self.width *= 3 if k else 1
+            table[[n["j"] for n in names]] = [n["name"] for n in names]
+            self.names = np.zeros(len(self.data), np.int64)
+            self.names[self.samples[k]] = table[which]
         return self
 
 
@@ -382,8 +396,7 @@ def named_blocks(made: DataFrame, length: int, symbol: int) -> tuple[DataFrame,
             for batch in batches:
                 for k in range(len(batch)):
                     row = batch.slice(k, 1).to_pylist()[0]
-                    block = Block(row, symbol).named([row[c] for c in columns])
-                    keys = (block.name_triples() if columns else block.triples())[0]
+                    keys = Block(row, symbol, length).named([row[c] for c in columns]).triples(len(columns))[0]
                     yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.binary())], schema=out)
 
         found = names(made.mapInArrow(triples, schema))
@@ -404,7 +417,7 @@ def listed(made: DataFrame, rounds: int, length: int, symbol: int) -> DataFrame:
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1).to_pylist()[0]
-                block = Block(row, symbol).named([row[f"r{r}"] for r in range(rounds)])
+                block = Block(row, symbol, length).named([row[f"r{r}"] for r in range(rounds)])
                 at = np.flatnonzero(block.wanted)
                 owner = block.owner[at]
                 place = list(zip(block.ids[owner].tolist(), block.ties[owner].tolist(), (block.bases[owner] + at - block.begs[owner]).tolist(), strict=True))
@@ -466,8 +479,20 @@ def repeats(texts: DataFrame, length: int = LENGTH, widths: tuple[int, ...] = WI
     for width in widths:
         left, found = narrowed(left, length, width)
         known = found if known is None else known.unionByName(found)
-    made, rounds = named_blocks(blocks(left), length, symbol)
-    return known.unionByName(repeated_windows(listed(made, rounds, length, symbol)).select("id", "tie", "lo", F.lit(1).alias("n")))
+        freed(texts.sparkSession)
+    with common.scratch(texts.sparkSession):
+        made, rounds = named_blocks(blocks(left), length, symbol)
+        freed(texts.sparkSession)
+        sorted_out = repeated_windows(listed(made, rounds, length, symbol)).select("id", "tie", "lo", F.lit(1).alias("n"))
+        known = known.unionByName(common.written(sorted_out, "sorted-out", keep=True))
+    freed(texts.sparkSession)
+    return known
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage: only then does Spark delete the shuffle files of steps that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>"
