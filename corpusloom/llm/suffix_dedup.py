@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ from . import common, hashing
 
 LENGTH, WIDTHS = 100, (50, 90, 97)
 SYMBOL, BLOCK = 12, 1 << 18
-#: Bits of the bitmap of repeated anchors, hashes that one task counts, and bytes of a text that are hashed at a time.
-ANCHOR_BITS, ANCHORS, SPAN = 1 << 26, 4_000_000, 1 << 22
+#: Bits of the bitmap of repeated anchors, hashes that one task counts, and half the bytes that are hashed at a time.
+ANCHOR_BITS, ANCHORS, SPAN = 1 << 26, 4_000_000, 1 << 19
 
 _LAST = (1 << 63) - 1
 
@@ -70,12 +71,15 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     if len(data) < width:
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data))
+    terms = _BYTES[data]
+    terms *= up[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    h = (sums[width:] - sums[:-width]) * down[: len(data) - width + 1]
+    np.cumsum(terms, out=sums[1:])
+    h = sums[width:] - sums[:-width]
+    h *= down[: len(h)]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    return h
 
 
 def anchors(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +88,14 @@ def anchors(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.n
     if len(data) < length:
         return np.zeros(0, np.int64), h
     low = np.uint64((1 << 24) - 1)
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    rows = -(-len(key) // many)
-    padded = np.full(rows * many, ~np.uint64(0))
-    padded[: len(key)] = key
-    padded = padded.reshape(rows, many)
-    ahead = np.minimum.accumulate(padded, 1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(behind[: len(key) - many + 1], ahead[many - 1 : len(key)])
+    least = h & ~low
+    least |= np.arange(len(h), dtype=np.uint64)  # among equal hashes the leftmost
+    reach = 1
+    while 2 * reach <= many:  # the least of `reach` neighbours, twice as many each time
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    if reach < many:
+        least = np.minimum(least[: reach - many], least[many - reach :])
     return (least & low).astype(np.int64), h
 
 
@@ -105,17 +109,15 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def pieces(data: np.ndarray, ends: np.ndarray, length: int, width: int, wanted: np.ndarray | None = None):
     """(owner, first window, windows, anchor, its hash) of the pieces: consecutive windows of one text with one anchor, all of them wanted."""
     at, h = anchors(data, length, width)
-    p = np.arange(len(at))
-    owner = np.searchsorted(ends, p, "right")
-    ok = p + length <= ends[np.minimum(owner, len(ends) - 1)] if len(at) else np.zeros(0, bool)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    ok = np.arange(length, length + len(at)) <= np.repeat(ends, np.diff(ends, prepend=0))[: len(at)]
     if wanted is not None:
         ok &= wanted[: len(at)]
-    new = np.r_[True, (at[1:] != at[:-1]) | ~ok[:-1] | ~ok[1:]] if len(at) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.r_[starts, len(at)])
-    keep = ok[starts]
-    starts, sizes = starts[keep], sizes[keep]
-    return owner[starts], starts, sizes, at[starts], h[at[starts]]
+    new = np.r_[True, (at[1:] != at[:-1]) | ~ok[:-1]] & ok
+    starts, cuts = np.flatnonzero(new), np.flatnonzero(new | ~ok)
+    stops = np.append(cuts, len(at))[np.searchsorted(cuts, starts, "right")]
+    return np.searchsorted(ends, starts, "right"), starts, stops - starts, at[starts], h[at[starts]]
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,21 +159,21 @@ STRETCH = "id bigint, tie bigint, base bigint, data binary, wanted binary"
 
 
 def stretch_rows(out: pa.Schema, ids, ties, bases, data: np.ndarray, begs: np.ndarray, owner: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int) -> pa.RecordBatch:
-    """Stretches of the bytes that the wanted windows (n of them from lo on) cover, and which windows these are. owner: ascending."""
-    wanted = np.zeros(len(data) + 1, np.int32)
-    np.add.at(wanted, lo, 1)
-    np.add.at(wanted, lo + n, -1)
-    wanted = (np.cumsum(wanted)[:-1] > 0).astype(np.uint8)
+    """Stretches of the bytes that the wanted windows (n of them from lo on) cover, and which windows these are."""
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, lo, 1)
+    np.add.at(change, lo + n, -1)
+    wanted = (np.cumsum(change[:-1]) > 0).astype(np.uint8)
+    a, b = merged(lo + owner, lo + owner + n + length - 1)  # moved apart, so that texts side by side stay two
+    k = np.searchsorted(begs + np.arange(len(begs)), a, "right") - 1
     columns: list[list] = [[], [], [], [], []]
-    for k in np.unique(owner):
-        mine = owner == k if len(owner) < 64 else slice(np.searchsorted(owner, k, "left"), np.searchsorted(owner, k, "right"))
-        for a, b in zip(*merged(lo[mine], lo[mine] + n[mine] + length - 1), strict=True):
-            for s in range(a, max(a + 1, b - length + 1), BLOCK):
-                e = min(b, s + BLOCK + length - 1)
-                flags = wanted[s:e].copy()
-                flags[e - s - length + 1 :] = 0
-                for column, value in zip(columns, (ids[k], ties[k], int(bases[k] + s - begs[k]), data[s:e].tobytes(), flags.tobytes()), strict=True):
-                    column.append(value)
+    for k, a, b in zip(k.tolist(), (a - k).tolist(), (b - k).tolist(), strict=True):
+        for s in range(a, max(a + 1, b - length + 1), BLOCK):
+            e = min(b, s + BLOCK + length - 1)
+            flags = wanted[s:e].copy()
+            flags[e - s - length + 1 :] = 0
+            for column, value in zip(columns, (ids[k], ties[k], int(bases[k] + s - begs[k]), data[s:e].tobytes(), flags.tobytes()), strict=True):
+                column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
 
@@ -208,12 +210,21 @@ PIECE = "anchor bigint, digest binary, id bigint, tie bigint, base bigint, lo bi
 
 def stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, ties, bases, bytes, beginnings, ends, wanted) of each slice of stretches."""
-    for batch in common.pieces(batches, "data"):
+    for batch in common.pieces(batches, "data", 2 * SPAN):
         ids, ties, bases, texts, flags = (batch.column(c).to_pylist() for c in ("id", "tie", "base", "data", "wanted"))
         data, begs, ends = joined(texts)
         yield ids, ties, bases, data, begs, ends, np.frombuffer(b"".join(flags), np.uint8) > 0
 
 
+def firsts(code: np.ndarray, doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of digest and place: which are the first of their digest, and which others stand at the very place of that first."""
+    first = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, bool)
+    if also is not None:
+        first[1:] |= also[1:] != also[:-1]
+    of = np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))
+    return first, ~first & (doc == doc[of]) & (tie == tie[of]) & (lo == lo[of])
+
+
 def narrowed(stretches: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFrame]:
     """What the sort has still to decide, as stretches; and the windows found to be repeated, (id, tie, lo, n)."""
     schema, marks = common.schema_of(PIECE), common.schema_of("id bigint, tie bigint, base bigint, lo bigint, n int, settled boolean")
@@ -225,53 +236,38 @@ def narrowed(stretches: DataFrame, length: int, width: int) -> tuple[DataFrame,
             owner, lo, n, at, h = pieces(data, ends, length, width, wanted)
             raw = data.tobytes()
             digests = [hashlib.blake2b(b"%d " % o + raw[a:b], digest_size=16).digest() for o, a, b in zip((at - lo).tolist(), lo.tolist(), (lo + n + length - 1).tolist(), strict=True)]
-            found: dict[bytes, tuple] = {}
-            rows = []
-            for k, a, size, hash_, digest in zip(owner.tolist(), (lo - begs[owner]).tolist(), n.tolist(), h.view(np.int64).tolist(), digests, strict=True):
-                row = (ids[k], ties[k], bases[k] + a, bases[k], size, hash_)
-                other = found.get(digest)
-                if other is None:
-                    found[digest] = row
-                elif other[:3] != row[:3]:
-                    first, last = (other, row) if other < row else (row, other)
-                    found[digest] = first
-                    rows.append((None, None, last[0], last[1], last[3], last[2], last[4], True))
-            rows += [(r[5], d, r[0], r[1], r[3], r[2], r[4], False) for d, r in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, out, strict=True)], schema=out)
+            digest = pa.array(digests, pa.binary())
+            doc, tie, base = (np.array(x, np.int64)[owner] for x in (ids, ties, bases))
+            start, code = base + lo - begs[owner], digest.dictionary_encode().indices.to_numpy()
+            order = np.lexsort((start, tie, doc, code))
+            first, same = firsts(code[order], doc[order], tie[order], start[order])
+            keep = ~same
+            order, settled = order[keep], ~first[keep]
+            columns = [h.view(np.int64)[order], digest.take(pa.array(order)), doc[order], tie[order], base[order], start[order], n[order].astype(np.int32), settled]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=out)
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, digest, first, pending, edge = None, None, None, None, True  # of a range's first and last anchor, pieces may be elsewhere: all stay open
+        # a batch's first and last anchor may have pieces elsewhere: theirs stay open, as does the first of equal ones in a batch
         for batch in batches:
-            rows = []
-            for a, d, i, tie, base, lo, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "id", "tie", "base", "lo", "n")), strict=True):
-                row = (i, tie, base, lo, n)
-                if a != anchor:
-                    edge, pending = anchor is None, row
-                    anchor, digest, first = a, d, (i, tie, lo)
-                    if edge:
-                        rows.append((*row, False))
-                        pending = None
-                elif d != digest:
-                    if pending:
-                        rows.append((*pending, False))
-                        pending = None
-                    rows.append((*row, False))
-                    digest, first = d, (i, tie, lo)
-                elif (i, tie, lo) != first:
-                    rows.append((*row, True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, out_marks, strict=True)], schema=out_marks)
-        if pending:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*pending, False), out_marks, strict=True)], schema=out_marks)
+            if not len(batch):
+                continue
+            anchor, doc, tie, base, lo, n = (batch.column(c).to_numpy() for c in ("anchor", "id", "tie", "base", "lo", "n"))
+            code = batch.column("digest").dictionary_encode().indices.to_numpy()
+            first, same = firsts(code, doc, tie, lo, also=anchor)
+            group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])
+            several = np.bincount(group, first) > 1
+            several[[0, -1]] = True
+            keep = np.where(first, several[group], ~same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, tie, base, lo, n)] + [pa.array(~first[keep])], schema=out_marks)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "data"):
-            ids, ties, bases, texts, chosen = (batch.column(c).to_pylist() for c in ("id", "tie", "base", "data", "open"))
+        for batch in common.pieces(batches, "data", 2 * SPAN):
+            ids, ties, bases, texts = (batch.column(c).to_pylist() for c in ("id", "tie", "base", "data"))
             data, begs, _ = joined(texts)
-            owner = np.repeat(np.arange(len(ids)), [len(c) for c in chosen])
-            lo = np.array([r["lo"] for c in chosen for r in c], np.int64) - np.array(bases, np.int64)[owner] + begs[owner]
-            n = np.array([r["n"] for c in chosen for r in c], np.int64)
-            order = np.lexsort((lo, owner))
-            yield stretch_rows(out_kept, ids, ties, bases, data, begs, owner[order], lo[order], n[order], length)
+            chosen = batch.column("open")
+            owner = np.repeat(np.arange(len(ids)), pc.list_value_length(chosen).to_numpy())
+            lo, n = (chosen.flatten().field(k).to_numpy() for k in (0, 1))
+            yield stretch_rows(out_kept, ids, ties, bases, data, begs, owner, lo - np.array(bases, np.int64)[owner] + begs[owner], n.astype(np.int64), length)
 
     with common.scratch(stretches.sparkSession):
         cuts = common.written(stretches.mapInArrow(cut, schema), "pieces")
@@ -356,16 +352,25 @@ class Block:
         rows, which = np.unique(np.stack([self.names[at], self.ahead(at, w), self.ahead(at, 2 * w)], 1), axis=0, return_inverse=True)
         return [r.tobytes() for r in rows.astype(">i8")], which.ravel()
 
-    def named(self, rounds: list[list]) -> Block:
-        for k, names in enumerate(rounds):
+    def named(self, rounds: list[pa.Scalar]) -> Block:
+        for k, found in enumerate(rounds):
             which = self.triples(k)[1]
-            table = np.zeros(len(names), np.int64)
-            table[[n["j"] for n in names]] = [n["name"] for n in names]
+            j, name = (found.values.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+            table = np.zeros(len(j), np.int64)
+            table[j] = name
             self.names = np.zeros(len(self.data), np.int64)
             self.names[self.samples[k]] = table[which]
         return self
 
 
+def each_block(batches: Iterator[pa.RecordBatch], symbol: int, length: int, rounds: list[str]) -> Iterator[tuple[int, Block]]:
+    """(block, its content) with the names of the rounds in these columns."""
+    for batch in batches:
+        for k in range(len(batch)):
+            row = {c: batch.column(c)[k].as_py() for c in ("block", "data", "wanted", "begs", "ids", "ties", "bases")}
+            yield row["block"], Block(row, symbol, length).named([batch.column(c)[k] for c in rounds])
+
+
 def names(triples: DataFrame) -> DataFrame:
     """(block, found): the place in the order of all distinct triples, for each triple j of a block. Names of equal triples are equal, and above 0."""
     schema = common.schema_of("block bigint, j int, name bigint")
@@ -392,12 +397,10 @@ def named_blocks(made: DataFrame, length: int, symbol: int) -> tuple[DataFrame,
     while width < length:
         columns = [f"r{k}" for k in range(done)]
 
-        def triples(batches: Iterator[pa.RecordBatch], columns=tuple(columns)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(len(batch)):
-                    row = batch.slice(k, 1).to_pylist()[0]
-                    keys = Block(row, symbol, length).named([row[c] for c in columns]).triples(len(columns))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.binary())], schema=out)
+        def triples(batches: Iterator[pa.RecordBatch], columns=columns) -> Iterator[pa.RecordBatch]:
+            for name, block in each_block(batches, symbol, length, columns):
+                keys = block.triples(len(columns))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.binary())], schema=out)
 
         found = names(made.mapInArrow(triples, schema))
         made = common.written(made.join(found.withColumnRenamed("found", f"r{done}"), "block"), "named")
@@ -414,28 +417,25 @@ def listed(made: DataFrame, rounds: int, length: int, symbol: int) -> DataFrame:
     out = common.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1).to_pylist()[0]
-                block = Block(row, symbol, length).named([row[f"r{r}"] for r in range(rounds)])
-                at = np.flatnonzero(block.wanted)
-                owner = block.owner[at]
-                place = list(zip(block.ids[owner].tolist(), block.ties[owner].tolist(), (block.bases[owner] + at - block.begs[owner]).tolist(), strict=True))
-                one, two, own = block.ahead(at, symbol).tolist(), block.ahead(at, 2 * symbol).tolist(), block.names[at].tolist()
-                first, rows = {}, []
-                for p, kind, where, a, b, c in zip(at.tolist(), block.kind[at].tolist(), place, one, two, own, strict=True):
-                    digest = hashlib.blake2b(block.raw[p : p + length], digest_size=16).digest()
-                    for name in ("AB", "AC", "BC")[kind]:
-                        key = {"A": (block.raw[p : p + symbol], a), "B": (block.raw[p : p + 2 * symbol], b), "C": (b"", c)}[name]
-                        new = (name, *key, digest, *where)
-                        old = first.get((name, digest))
-                        if old is None or new[4:] < old[4:]:
-                            first[name, digest] = new
-                        if old is not None and old[4:] != new[4:]:
-                            rows.append((*max(old, new, key=lambda r: r[4:]), True))
-                rows += [(*r, False) for r in first.values()]
-                for s in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[s : s + 20_000], strict=True), out, strict=True)], schema=out)
+        for _, block in each_block(batches, symbol, length, [f"r{k}" for k in range(rounds)]):
+            at = np.flatnonzero(block.wanted)
+            owner = block.owner[at]
+            place = list(zip(block.ids[owner].tolist(), block.ties[owner].tolist(), (block.bases[owner] + at - block.begs[owner]).tolist(), strict=True))
+            one, two, own = block.ahead(at, symbol).tolist(), block.ahead(at, 2 * symbol).tolist(), block.names[at].tolist()
+            first, rows = {}, []
+            for p, kind, where, a, b, c in zip(at.tolist(), block.kind[at].tolist(), place, one, two, own, strict=True):
+                digest = hashlib.blake2b(block.raw[p : p + length], digest_size=16).digest()
+                for name in ("AB", "AC", "BC")[kind]:
+                    key = {"A": (block.raw[p : p + symbol], a), "B": (block.raw[p : p + 2 * symbol], b), "C": (b"", c)}[name]
+                    new = (name, *key, digest, *where)
+                    old = first.get((name, digest))
+                    if old is None or new[4:] < old[4:]:
+                        first[name, digest] = new
+                    if old is not None and old[4:] != new[4:]:
+                        rows.append((*max(old, new, key=lambda r: r[4:]), True))
+            rows += [(*r, False) for r in first.values()]
+            for s in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[s : s + 20_000], strict=True), out, strict=True)], schema=out)
 
     return common.written(made.mapInArrow(run, schema), "lists")
 
