@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,46 +127,10 @@ def loaded_blobs(blobs: DataFrame, most: int) -> DataFrame:
 
 
 def rejection_report(rejected: DataFrame, by: list[str], order: list[str], sample: int = 64) -> DataFrame:
-    """Exact counts with the first `sample` rows of each group."""
-    n = Window.partitionBy(*by)
-    ranked = rejected.select("*", F.row_number().over(n.orderBy(*order)).alias("place"), F.count("*").over(n).alias("total"))
-    return ranked.where(F.col("place") <= sample)
-
-
-@dataclass(frozen=True)
-class Budget:
-    file_bytes: int
-    files: int
-    total_bytes: int
-    fields: tuple[str, str] = field(default=("path", "size"))
-
-
-def admitted(df: DataFrame, group: str, budget: Budget) -> DataFrame:
-    """Running admission in byte order of the path within each group: oversized, then file_limit, then total_bytes, else ok.
-
-    A rejected row takes nothing from the budget, so running sums can't tell. Groups are sorted within
-    their partitions and streamed past a count and a sum: narrow rows, constant memory, one task a group at
-    most, as each verdict hangs on all before it.
-    """
-    path, size = budget.fields
-    rows = df.select(group, path, F.col(size).cast("bigint").alias(size))
-    schema = rows.schema.add("verdict", "string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n, used = object(), 0, 0
-        for batch in batches:
-            verdicts = []
-            for name, amount in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if name != last:
-                    last, n, used = name, 0, 0
-                verdict = "file_limit" if n >= budget.files else "total_bytes" if used + amount > budget.total_bytes else "ok"
-                if verdict == "ok":
-                    n, used = n + 1, used + amount
-                verdicts.append(verdict)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts)], names=[*batch.schema.names, "verdict"])
-
-    small = rows.where(F.col(size) <= budget.file_bytes).repartition(group).sortWithinPartitions(group, path)
-    return small.mapInArrow(run, schema).unionByName(rows.where(F.col(size) > budget.file_bytes).withColumn("verdict", F.lit("oversized")))
+    """Exact counts with the first `sample` rows of each group: counts are an aggregate, and no task keeps more than `sample` rows of a group to sort."""
+    ranked = rejected.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= sample)
+    totals = rejected.groupBy(*by).agg(F.count("*").alias("total"))
+    return ranked.join(totals, by)
 
 
 def catalog_documents(entries: DataFrame, revision: str = "embedded-catalog-v1") -> DataFrame:

@@ -8,20 +8,26 @@ from pyspark.sql.window import Window
 
 from corpusloom.operators.ranking import with_place
 
-GATE = {"recall_at_5": 0.90, "mrr_at_10": 0.80, "ndcg_at_10": 0.80}
+#: What a release must reach.
+GATE = {"recall_at_5": 0.90, "mrr_at_10": 0.80, "ndcg_at_10": 0.80, "exact_identifier_top_one": 1.0}
+MEANS = ("recall_at_5", "mrr_at_10", "ndcg_at_10")
 
 
 def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + F.lit(1.0))
 
 
-def query_metrics(run: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per query of queries (query_id, …): recall_at_5, mrr_at_10, ndcg_at_10 of run (query_id, id, rank) by qrels (query_id, id, grade)."""
+def query_metrics(run: DataFrame, qrels: DataFrame, queries: DataFrame, identifier: Column | None = None) -> DataFrame:
+    """Per query of queries (query_id, …): recall_at_5, mrr_at_10, ndcg_at_10 of run (query_id, id, rank) by qrels (query_id, id, grade).
+
+    Also whether it has no result, whether it asks for an identifier (a condition on queries), and if so whether its first result has grade 2.
+    """
+    asks = F.coalesce(identifier, F.lit(False)) if identifier is not None else F.lit(False)
     judged = run.join(qrels, ["query_id", "id"], "left").groupBy("query_id").agg(
         F.count_if((F.col("rank") <= 5) & (F.col("grade") > 0)).alias("hits"),
         F.min(F.when((F.col("grade") > 0) & (F.col("rank") <= 10), F.col("rank"))).alias("first"),
         F.sum(F.when((F.col("rank") <= 10) & (F.col("grade") > 0), _gain(F.col("grade"), F.col("rank")))).alias("dcg"),
-        F.count("*").alias("results"),
+        F.count("*").alias("results"), F.count_if((F.col("rank") == 1) & (F.col("grade") == 2)).alias("best"),
     )
     place = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
     ideal = qrels.where("grade > 0").withColumn("rank", F.row_number().over(place)).groupBy("query_id").agg(
@@ -34,6 +40,9 @@ def query_metrics(run: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataF
         F.round(zero(F.lit(1.0) / F.col("first")), 6).alias("mrr_at_10"),
         F.round(zero(F.col("dcg") / F.col("idcg")), 6).alias("ndcg_at_10"),
         F.coalesce("results", F.lit(0)).alias("results"),
+        (F.coalesce("results", F.lit(0)) == 0).alias("zero_result"),
+        asks.alias("identifier_query"),
+        (asks & (F.coalesce("best", F.lit(0)) > 0)).alias("top_one_exact"),
     )
 
 
@@ -46,21 +55,71 @@ def grouped_metrics(metrics: DataFrame, dimensions: list[str]) -> DataFrame:
     """Means (and sums in millionths, which don't depend on the order of rows) for each value of each dimension, in one pass of grouping sets."""
     sets = ", ".join(f"({d})" for d in dimensions)
     spark = metrics.sparkSession
-    means = ", ".join(f"round(avg({m}), 6) as {m}, cast(sum(round({m} * 1000000)) as bigint) as {m}_sum" for m in GATE)
+    means = ", ".join(f"round(avg({m}), 6) as {m}, cast(sum(round({m} * 1000000)) as bigint) as {m}_sum" for m in MEANS)
     labels = ", ".join(f"coalesce(cast({d} as string), 'unknown') as {d}" for d in dimensions)
     kind = "case " + " ".join(f"when grouping({d}) = 0 then '{d}'" for d in dimensions) + " end"
     return spark.sql(
-        f"select {kind} as dimension, coalesce({', '.join(dimensions)}) as value, count(*) as queries, {means} from (select {labels}, {', '.join(GATE)} from {{m}}) group by grouping sets ({sets})",
+        f"select {kind} as dimension, coalesce({', '.join(dimensions)}) as value, count(*) as queries, {means} from (select {labels}, {', '.join(MEANS)} from {{m}}) group by grouping sets ({sets})",
         m=metrics,
     )
 
 
+def suite_means(metrics: DataFrame) -> DataFrame:
+    """One row: queries, the means over them, the share without a result, and over identifier queries the share whose first result is exact (0 without any)."""
+    share = lambda c: F.avg(c.cast("double"))
+    found = [share(F.col(m)).alias(m) for m in MEANS]
+    exact = share(F.when(F.col("identifier_query"), F.col("top_one_exact").cast("int"))).alias("exact_identifier_top_one")
+    row = metrics.agg(F.count("*").alias("queries"), F.count_if("identifier_query").alias("identifier_queries"), *found, share(F.col("zero_result").cast("int")).alias("zero_result_rate"), exact)
+    return row.fillna(0.0)
+
+
 def gate(metrics: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """metric, actual, required, passed over all queries."""
+    """metric, actual, required, passed over all queries; a suite passes if every row does."""
     wanted = thresholds or GATE
-    means = metrics.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in wanted])
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m), 6).alias("actual"), F.lit(v).alias("required")) for m, v in wanted.items()])
-    return means.select(F.explode(rows).alias("x")).select("x.*").withColumn("passed", F.col("actual") >= F.col("required"))
+    return suite_means(metrics).select(F.explode(rows).alias("x")).select("x.*").withColumn("passed", F.col("actual") >= F.col("required"))
+
+
+def regressions(metrics: DataFrame) -> DataFrame:
+    """The queries that a failed gate is to be explained by: without a result, or identifier queries whose first result isn't exact."""
+    return metrics.where(F.col("zero_result") | (F.col("identifier_query") & ~F.col("top_one_exact")))
+
+
+def suite_problems(queries: DataFrame, qrels: DataFrame, ids: DataFrame, categories: list[str], prefix: str = "", most_grade: int = 2) -> DataFrame:
+    """(problem, query_id, id): everything that makes a suite unfit for a corpus; a sound one gives no rows.
+
+    queries (query_id, text, failure_category), qrels (query_id, id, grade), ids (id) of the corpus. Each kind of error is
+    found by itself: empty_suite; empty_query_id, repeated_query_id, empty_text, no_category, unknown_category, no_judgments of
+    queries; unknown_query, foreign_id (without the prefix), unknown_id, bad_grade of judgments; missing_category of the suite.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    none = F.lit(None).cast("string")
+    q, j = F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("id")
+
+    def rows(df: DataFrame, problem: str, query: Column, other: Column) -> DataFrame:
+        return df.select(F.lit(problem).alias("problem"), query.alias("query_id"), other.alias("id"))
+
+    known = F.col("failure_category").isin(categories)
+    wanted = queries.sparkSession.createDataFrame([(c,) for c in categories], "id string")
+    named = queries.select(F.col("failure_category").alias("id")).distinct()
+    parts = [
+        rows(queries.agg(F.count("*").alias("n")).where("n = 0"), "empty_suite", none, none),
+        rows(queries.where(blank("query_id")), "empty_query_id", q, none),
+        rows(queries.where(~blank("query_id")).groupBy("query_id").count().where("count > 1"), "repeated_query_id", q, none),
+        rows(queries.where(blank("text")), "empty_text", q, none),
+        rows(queries.where(F.col("failure_category").isNull()), "no_category", q, none),
+        rows(queries.where(~known), "unknown_category", q, F.col("failure_category")),
+        rows(wanted.join(named, "id", "left_anti"), "missing_category", none, F.col("id")),
+        rows(queries.join(qrels.select("query_id").distinct(), "query_id", "left_anti"), "no_judgments", q, none),
+        rows(qrels.join(queries.select("query_id").distinct(), "query_id", "left_anti"), "unknown_query", q, j),
+        rows(qrels.where(~F.startswith(F.col("id").cast("string"), F.lit(prefix))), "foreign_id", q, j),
+        rows(unknown_judgments(qrels, ids), "unknown_id", q, j),
+        rows(qrels.where((F.col("grade") > most_grade) | (F.col("grade") < 0) | F.col("grade").isNull()), "bad_grade", q, j),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
@@ -70,9 +129,9 @@ def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, floa
 
 
 def stratified(df: DataFrame, strata: list[str], order: list[str], n: int) -> DataFrame:
-    """Round robin: each stratum's first row, then each one's second, up to n rows."""
+    """Round robin: each stratum's first row, then each one's second, up to n rows. No task keeps more than n rows of a stratum."""
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    return df.withColumn("turn", turn).orderBy("turn", *strata, *order).limit(n)
+    return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", *strata, *order).limit(n)
 
 
 def judged_sample(df: DataFrame, key: str, judged: DataFrame, n: int) -> DataFrame:

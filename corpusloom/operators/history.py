@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import release_numbers
-from corpusloom.operators.ranking import with_running
+from corpusloom.operators.budget import Budget, admitted
 
 
 def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
@@ -31,13 +31,6 @@ def ancestors(parents: DataFrame, tips: DataFrame) -> DataFrame:
     return seen
 
 
-def merge_base(reached: DataFrame, left: str, right: str) -> DataFrame:
-    """The common ancestor of two tips that is nearest to both (by summed, then by left depth, then by id)."""
-    a = reached.where(F.col("tip") == left).select("commit", F.col("depth").alias("left_depth"))
-    b = reached.where(F.col("tip") == right).select("commit", F.col("depth").alias("right_depth"))
-    return a.join(b, "commit").orderBy(F.col("left_depth") + F.col("right_depth"), "left_depth", "commit").limit(1)
-
-
 def tree_changes(entries: DataFrame, parents: DataFrame) -> DataFrame:
     """Added and changed paths of each commit against its first parent: (commit, path, blob, change)."""
     first = parents.where("place = 0").select("commit", "parent")
@@ -106,9 +99,9 @@ def page(df: DataFrame, order: list[Column], cursor: str | None = None, limit: i
     return df.orderBy(*order).offset(offset).limit(size), f"v1:{offset + size}"
 
 
-def newest_admitted(rows: DataFrame, size: str, order: list[Column], total: int) -> DataFrame:
-    """Rows in order while their running size fits; for sizes of like magnitude, where nothing after an overflow is wanted."""
-    return with_running(rows, order, F.col(size), "_used").where(F.col("_used") <= total).drop("_used")
+def newest_admitted(rows: DataFrame, size: str, order: list[Column], limits: Budget) -> DataFrame:
+    """Rows that a budget admits in order, each reserved for itself: what doesn't fit is passed over, and later rows that fit are admitted."""
+    return admitted(rows, F.col(size), order, limits).where(F.col("verdict") == "ok").drop("verdict")
 
 
 def reserved(entries: DataFrame, current: DataFrame) -> DataFrame:
@@ -117,6 +110,11 @@ def reserved(entries: DataFrame, current: DataFrame) -> DataFrame:
     return entries.select("path", "blob", "size").distinct().join(held, ["path", "blob"], "left").withColumn("priority", F.coalesce("_c", F.lit(1))).drop("_c")
 
 
+def tip_first(entries: DataFrame, current: DataFrame, limits: Budget) -> DataFrame:
+    """Blobs (path, blob, size, priority, verdict): the budget is spent on the current trees' blobs first, then on history, in order of path and blob."""
+    return admitted(reserved(entries, current), F.col("size"), [F.col("priority"), F.col("path"), F.col("blob")], limits)
+
+
 def passages_once(chunks: DataFrame) -> DataFrame:
     """The first chunk (by sequence) of each content key and revision."""
     return first_seen(chunks, ["content_key", "revision"], ["sequence"])

@@ -6,11 +6,18 @@ texts), and over a postings table, where only the rows of the query's terms are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
+from corpusloom.plans.files import delete_path
 
 K1, B = 1.2, 0.75
 
@@ -29,11 +36,63 @@ def term_score(tf: Column, length: Column, mean: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (F.lit(1.0 - B) + B * length / mean))
 
 
+@dataclass(frozen=True)
+class Index:
+    """What a search reads: postings (field, term, <key>, tf, length), fields (field, documents, mean) and terms (field, term, df).
+
+    Without terms, document frequencies are counted in the postings: for views that a filter cuts before statistics.
+    """
+
+    postings: DataFrame
+    fields: DataFrame
+    terms: DataFrame | None = None
+
+    def of(self, terms: list[str], field: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The postings of some terms and their (field, term, df): the conditions are constants, which prune files and row groups."""
+        hit = F.col("term").isin(terms)
+        if field is not None:
+            hit = hit & (F.col("field") == field)
+        found = self.postings.where(hit)
+        return found, found.groupBy("field", "term").agg(F.count("*").alias("df")) if self.terms is None else self.terms.where(hit).select("field", "term", "df")
+
+
+#: Tokens that are counted at a time.
+TOKENS_AT_ONCE = 500_000
+
+
+def occurrences(docs: DataFrame, key: str, fields: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(<key>, <carry>, field, term, tf, length): each row's terms with their counts, and one row for each field with no term and its length.
+
+    Terms are counted within their row, in Arrow batches: nothing is shuffled.
+    """
+    each = docs.select(key, *carry, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("terms")) for f in fields])).alias("x"))
+    each = each.select(key, *carry, "x.field", "x.terms")
+    schema = each.drop("terms").schema.add("term", "string").add("tf", "long").add("length", "integer")
+    names = [key, *carry, "field"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)
+            reach, start = np.cumsum(sizes), 0
+            while start < len(batch):
+                before = reach[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(reach, before + TOKENS_AT_ONCE, "right")))
+                part, length = batch.slice(start, end - start), sizes[start:end].astype(np.int32)
+                start = end
+                coded = part.column("terms").flatten().dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                pair, tf = np.unique(np.repeat(np.arange(len(part)), length) * many + coded.indices.to_numpy(), return_counts=True)
+                row = np.r_[pair // many, np.arange(len(part))]
+                terms = pa.concat_arrays([coded.dictionary.take(pa.array(pair % many)), pa.nulls(len(part), coded.dictionary.type)])
+                columns = [part.column(n).take(pa.array(row)) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, terms, pa.array(np.r_[tf, np.zeros(len(part), np.int64)]), pa.array(length[row])], names=schema.names)
+
+    return each.mapInArrow(run, schema)
+
+
 def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(field, term, key, tf, length): terms counted within their row first, so that only counts are shuffled."""
-    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("terms")) for f in fields])).alias("x"))
-    rows = each.select(key, "x.field", F.size("x.terms").alias("length"), F.explode("x.terms").alias("term"))
-    return rows.groupBy("field", "term", key, "length").agg(F.count("*").alias("tf"))
+    """(field, term, <key>, tf, length), without a shuffle."""
+    return occurrences(docs, key, fields).where(F.col("term").isNotNull()).select("field", "term", key, "length", "tf")
 
 
 def query_postings(docs: DataFrame, key: str, field: str, terms: DataFrame) -> DataFrame:
@@ -44,27 +103,52 @@ def query_postings(docs: DataFrame, key: str, field: str, terms: DataFrame) -> D
     return met.groupBy("query_id", "term", key, "length").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
 
 
-def write_index(docs: DataFrame, key: str, fields: list[str], path: str, buckets: int = 64) -> None:
-    """Postings and field lengths as Parquet, sorted by term within buckets, so a query's terms prune row groups."""
-    rows = postings(docs, key, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("term", key).write.partitionBy("bucket").parquet(f"{path}/postings", mode="overwrite")
-    lengths = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(T.tokens(F.col(f))).alias("length")) for f in fields])).alias("x"))
-    lengths.groupBy("x.field").agg(F.count("*").alias("documents"), F.avg("x.length").alias("mean")).write.parquet(f"{path}/fields", mode="overwrite")
+def write_index(docs: DataFrame, key: str, fields: list[str], path: str, carry: tuple[str, ...] = ()) -> None:
+    """An index of the fields below `path`; write_rows says what it holds. Texts are tokenised once."""
+    occurrences(docs, key, fields, carry).write.parquet(f"{path}/stage", mode="overwrite")
+    write_rows(docs.sparkSession.read.parquet(f"{path}/stage"), key, path, carry)
+    delete_path(docs.sparkSession, f"{path}/stage")
 
 
-def search_index(spark, path: str, queries: DataFrame, limit: int, buckets: int = 64) -> DataFrame:
-    """queries (query_id, query) against a written index: the terms' buckets and rows alone are read."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    found = spark.read.parquet(f"{path}/postings").join(terms, ["bucket", "term"])
-    fields = spark.read.parquet(f"{path}/fields")
-    return ranked_postings(found, fields, limit)
+def write_rows(rows: DataFrame, key: str, path: str, carry: tuple[str, ...] = ()) -> None:
+    """Tables of an index from its occurrences (a written table).
 
+    postings: in the order of term and key, dealt out by ranges of both, so that a frequent term's list is in many files
+    and a query's terms prune the rest. documents: the same rows by key. terms: the dictionary with document frequencies,
+    in order. fields: documents and tokens of each field for each combination of the carried columns.
+    """
+    held = rows.where(F.col("term").isNotNull())
+    held.repartitionByRange("term", key).sortWithinPartitions("term", "field", key).write.parquet(f"{path}/postings", mode="overwrite")
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{path}/documents", mode="overwrite")
+    counts = held.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    counts.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(f"{path}/terms", mode="overwrite")
+    field_totals(rows, carry).write.parquet(f"{path}/fields", mode="overwrite")
+
+
+def field_totals(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    ends = rows.where(F.col("term").isNull())
+    return ends.groupBy(*carry, "field").agg(F.count("*").alias("documents"), F.sum("length").cast("bigint").alias("tokens"))
+
+
+def mean_lengths(totals: DataFrame) -> DataFrame:
+    """(field, documents, mean) of field_totals, whatever they carry."""
+    rows = totals.groupBy("field").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    return rows.select("field", "documents", (F.col("tokens") / F.col("documents")).alias("mean"))
+
+
+def open_index(spark, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), mean_lengths(spark.read.parquet(f"{path}/fields")), spark.read.parquet(f"{path}/terms"))
 
-def ranked_postings(found: DataFrame, fields: DataFrame, limit: int) -> DataFrame:
-    key = next(c for c in found.columns if c not in ("bucket", "term", "field", "tf", "length", "query_id"))
-    df = found.groupBy("query_id", "field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(df, ["query_id", "field", "term"]).join(F.broadcast(fields), "field")
+
+def search_index(index: Index, key: str, queries: DataFrame, limit: int) -> DataFrame:
+    """queries (query_id, query) against an index with terms: each query's best rows.
+
+    Frequencies come from the dictionary; the queries' terms with these are sent to the postings when they are few, and else meet them in a shuffle.
+    """
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    few = terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS
+    asked = index.terms.join(F.broadcast(terms) if few else terms, "term").join(F.broadcast(index.fields), "field").select("query_id", "field", "term", "df", "documents", "mean")
+    scored = index.postings.join(F.broadcast(asked) if few else asked, ["field", "term"])
     score = term_score(F.col("tf"), F.col("length"), F.col("mean"), inverse_frequency(F.col("documents"), F.col("df")))
     each = scored.groupBy("query_id", key).agg(F.sum(score).alias("score"), F.countDistinct("term").alias("coverage"))
     order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc(F.round("score", 6)), key)
@@ -72,14 +156,14 @@ def ranked_postings(found: DataFrame, fields: DataFrame, limit: int) -> DataFram
 
 
 def scored(docs: DataFrame, key: str, field: str, terms: list[str]) -> DataFrame:
-    """docs with coverage (how many of the terms occur) and the BM25 score of the terms in one field.
+    """docs with coverage (how many of the terms occur) and the BM25 score of the terms in one field; a null text is empty.
 
     Term counts are taken from each row's own tokens; lengths and document frequencies are one global
     aggregate, which joins back as a single row.
     """
     found = T.tokens(F.col(field))
     counts = F.array(*[F.size(F.filter(F.col("_tokens"), _equals(x))) for x in terms])
-    rows = docs.withColumn("_tokens", found).withColumn("_tf", counts).withColumn("_length", F.size("_tokens")).drop("_tokens")
+    rows = docs.withColumn("_tokens", found).withColumn("_tf", counts).withColumn("_length", F.coalesce(F.size("_tokens"), F.lit(0))).drop("_tokens")
     stats = rows.agg(
         F.count("*").alias("_n"), F.avg("_length").alias("_mean"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("_df")
     )
@@ -96,17 +180,11 @@ def _equals(term: str):
     return lambda t: t == F.lit(term)
 
 
-def scored_index(spark, path: str, key: str, field: str, terms: list[str], buckets: int = 64) -> DataFrame:
-    """(key, coverage, score) of what has any of the terms, from a written index: equal to scored() over the same rows, without their texts.
-
-    The conditions are constants, so only the terms' buckets and row groups are read.
-    """
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int")) & (F.col("term") == t))
-    found = spark.read.parquet(f"{path}/postings").where(hit & (F.col("field") == field))
-    fields = spark.read.parquet(f"{path}/fields").where(F.col("field") == field).select(F.col("documents").alias("_n"), F.col("mean").alias("_mean"))
-    df = found.agg(*[F.count_if(F.col("term") == t).alias(f"_d{i}") for i, t in enumerate(terms)])
+def scored_index(index: Index, key: str, field: str, terms: list[str]) -> DataFrame:
+    """(key, coverage, score) of what has any of the terms: equal to scored() over the same rows, without their texts."""
+    found, frequencies = index.of(terms, field)
+    fields = index.fields.where(F.col("field") == field).select(F.col("documents").alias("_n"), F.col("mean").alias("_mean"))
+    df = frequencies.agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"_d{i}") for i, t in enumerate(terms)])
     rows = found.groupBy(key).agg(F.max("length").alias("_length"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_f{i}") for i, t in enumerate(terms)])
     score, coverage = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
@@ -123,22 +201,16 @@ def boolean_terms(query: str, aliases: dict[str, list[str]] | None = None) -> tu
     return asked, [t for t in wide if t not in asked]
 
 
-def boolean_index(
-    spark, path: str, key: str, query: str, limit: int, aliases: dict[str, list[str]] | None = None, exact: DataFrame | None = None, buckets: int = 64
-) -> DataFrame:
-    """(key, coverage, score) of the best `limit` rows over all fields of a written index; each term scores in every field that has it.
+def boolean_index(index: Index, key: str, query: str, limit: int, aliases: dict[str, list[str]] | None = None, exact: DataFrame | None = None) -> DataFrame:
+    """(key, coverage, score) of the best `limit` rows over all fields of an index; each term scores in every field that has it.
 
     With one or two terms all tokens that were asked for must occur, in whatever field; with more any will do. Expansions
-    add to the score alone. exact: keys (distinct) whose identifier equals the whole query, which match in any case. Of the
-    postings the terms' buckets and row groups are read; what is sent to all tasks has a row a field and term.
+    add to the score alone. exact: keys (distinct) whose identifier equals the whole query, which match in any case. What is
+    sent to all tasks has a row a field and term.
     """
     asked, more = boolean_terms(query, aliases)
-    hit = F.lit(False)
-    for t in [*asked, *more]:
-        hit = hit | ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int")) & (F.col("term") == t))
-    found = spark.read.parquet(f"{path}/postings").where(hit)
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    sizes = df.join(F.broadcast(spark.read.parquet(f"{path}/fields")), "field")
+    found, frequencies = index.of([*asked, *more])
+    sizes = frequencies.join(F.broadcast(index.fields), "field")
     met = found.join(F.broadcast(sizes), ["field", "term"])
     score = term_score(F.col("tf"), F.col("length"), F.col("mean"), inverse_frequency(F.col("documents"), F.col("df")))
     own = F.when(F.col("term").isin(asked), F.col("term"))

@@ -68,7 +68,7 @@ def search(
     pool = lexical.filtered(chunks, **{k: v for k, v in request.filters.items() if v})
     k = min(max(5 * request.limit, 20), 100)
     if index:
-        scored = lexical.scored_index(chunks.sparkSession, index, "chunk_id", "text", lexical.query_terms(request.query))
+        scored = lexical.scored_index(lexical.open_index(chunks.sparkSession, index), "chunk_id", "text", lexical.query_terms(request.query))
         if any(request.filters.values()):
             scored = scored.join(pool.select("chunk_id"), "chunk_id", "left_semi")
         found = lexical.passes(scored, "chunk_id", request.query, k)

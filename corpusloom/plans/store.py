@@ -11,24 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _path(spark: SparkSession, where: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _write_text(spark: SparkSession, where: str, text: str) -> None:
-    path, fs = _path(spark, where)
-    out = fs.create(path, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
-def read_text(spark: SparkSession, where: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(where, wholetext=True).collect())
+from corpusloom.plans.files import located, read_text, replace_text, write_text
 
 
 def inventory(df: DataFrame, key: str) -> dict:
@@ -70,27 +53,19 @@ class Store:
             parts[name] = inventory(self.spark.read.parquet(f"{stage}/{name}"), key) | {"key": key}
         manifest = {"schema": 1, "tables": parts, "component_versions": versions or {}}
         name = hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
-        _write_text(self.spark, f"{stage}/manifest.json", json.dumps(manifest, sort_keys=True))
-        target, fs = _path(self.spark, f"{self.root}/generations/{name}")
+        write_text(self.spark, f"{stage}/manifest.json", json.dumps(manifest, sort_keys=True))
+        target, fs = located(self.spark, f"{self.root}/generations/{name}")
         if fs.exists(target):
-            fs.delete(_path(self.spark, stage)[0], True)
+            fs.delete(located(self.spark, stage)[0], True)
         else:
             fs.mkdirs(target.getParent())
-            if not fs.rename(_path(self.spark, stage)[0], target):
+            if not fs.rename(located(self.spark, stage)[0], target):
                 raise OSError("the generation could not be moved into place")
         self.activate(name)
         return name
 
     def activate(self, name: str) -> None:
-        temporary = f"{self.root}/active-{uuid.uuid4().hex}"
-        _write_text(self.spark, temporary, json.dumps({"generation": name}))
-        # one rename that replaces the old file: a reader finds either generation, whenever the driver stops
-        jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        source, target = (_path(self.spark, p)[0] for p in (temporary, f"{self.root}/active.json"))
-        configuration = self.spark.sparkContext._jsc.hadoopConfiguration()
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), configuration).rename(source, target, options)
+        replace_text(self.spark, f"{self.root}/active.json", json.dumps({"generation": name}))
 
     def active(self) -> str:
         return json.loads(read_text(self.spark, f"{self.root}/active.json"))["generation"]
@@ -118,7 +93,7 @@ class Store:
         """
         name = hashlib.sha256(json.dumps(contract, sort_keys=True).encode()).hexdigest()
         where = f"{self.root}/stages/{label}-{name}"
-        marker, fs = _path(self.spark, f"{where}/complete.json")
+        marker, fs = located(self.spark, f"{where}/complete.json")
         if fs.exists(marker):
             held = self.spark.read.parquet(f"{where}/rows")
             if inventory(held, key) == json.loads(read_text(self.spark, f"{where}/complete.json")):
@@ -127,7 +102,7 @@ class Store:
         made = make()
         made.write.parquet(f"{where}/rows", mode="overwrite")
         held = self.spark.read.schema(made.schema).parquet(f"{where}/rows")
-        _write_text(self.spark, f"{where}/complete.json", json.dumps(inventory(held, key)))
+        write_text(self.spark, f"{where}/complete.json", json.dumps(inventory(held, key)))
         return held
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import ids
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, documents, evaluate, fusion, graph, history, investigate, lexical, lookup, vectors
+from corpusloom.operators import budget, chunking, documents, evaluate, fusion, graph, history, investigate, lexical, lookup, vectors
 from corpusloom.plans import search, store
 from corpusloom.sources import catalog
 from corpusloom.streaming import watch
@@ -93,7 +93,7 @@ def text_index(spark: SparkSession, sf_dir: str) -> str:
 
 
 def by_terms(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
-    return lexical.scored_index(spark, text_index(spark, sf_dir), "doc_id", "text", terms)
+    return lexical.scored_index(lexical.open_index(spark, text_index(spark, sf_dir)), "doc_id", "text", terms)
 
 
 def bm25_sql(terms: list[str], where: str = "true") -> str:
@@ -161,7 +161,7 @@ QUERY_TABLE = ("query_id, query", "(1, 'this with'), (2, 'for the reason'), (3,
  e as (select query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score, count(*) as coverage from f join d using (query_id, term), s group by all)
  select query_id, doc_id, row_number() over (partition by query_id order by coverage desc, round(score, 6) desc, doc_id) as rank, round(score, 6) as score from e qualify rank <= 5""")
 def _(spark, sf_dir):
-    return lexical.search_index(spark, text_index(spark, sf_dir), values(spark, QUERY_TABLE), 5).withColumn("score", F.round("score", 6))
+    return lexical.search_index(lexical.open_index(spark, text_index(spark, sf_dir)), "doc_id", values(spark, QUERY_TABLE), 5).withColumn("score", F.round("score", 6))
 
 
 @register("query_postings", "query_id:bigint term:string doc_id:bigint tf:bigint", f"""with p as (select doc_id, unnest(toks) as term from (select doc_id, {_TOKENS.format('text')} as toks from documents)),
@@ -245,7 +245,7 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("documents"), F.sum(size).alias("bytes"), F.count_if(size > 8192).alias("oversized"))
 
 
-BUDGET = documents.Budget(8192, 20, 40_000)
+BUDGET = budget.Budget(8192, 20, 40_000)
 
 
 @register("budget_admission", "grp:string path:string size:bigint verdict:string", """with recursive r as (
@@ -257,7 +257,7 @@ BUDGET = documents.Budget(8192, 20, 40_000)
  select grp, path, size, verdict from w union all select grp, path, size, 'oversized' from r where size > 8192""")
 def _(spark, sf_dir):
     rows = corpus(spark, sf_dir).select(F.col("repository").alias("grp"), "path", F.octet_length("content").alias("size"))
-    return documents.admitted(rows, "grp", BUDGET)
+    return budget.admitted(rows, F.col("size"), [F.col("path")], BUDGET, F.col("grp"))
 
 
 @register("rejection_sample", "source:string doc_id:bigint place:bigint total:bigint", "select source, doc_id, row_number() over (partition by source order by doc_id) as place, count(*) over (partition by source) as total from documents where strlen(text) > 4096 qualify place <= 3")
@@ -501,13 +501,6 @@ def _(spark, sf_dir):
     return evaluate.grouped_metrics(evaluate.query_metrics(run, qrels, queries), ["intent", "category"])
 
 
-@register("quality_gate", "metric:string actual:double required:double passed:boolean", f"""select metric, actual, required, actual >= required as passed from (select unnest(['recall_at_5', 'mrr_at_10', 'ndcg_at_10']) as metric,
- unnest([round(avg(recall_at_5), 4), round(avg(mrr_at_10), 4), round(avg(ndcg_at_10), 4)]) as actual, unnest([0.9, 0.8, 0.8]) as required from {_METRICS})""")
-def _(spark, sf_dir):
-    queries, qrels, run = judged(spark, sf_dir)
-    return evaluate.gate(evaluate.query_metrics(run, qrels, queries)).withColumn("actual", F.round("actual", 4))
-
-
 @register("duplicate_rate", "query_id:bigint duplicate_rate:double diversity:double", """with o as (select o_custkey as q, o_orderstatus as d, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 5)
  select q as query_id, round(1 - count(distinct d) / count(*), 6) as duplicate_rate, round(count(distinct d) / count(*), 6) as diversity from o group by q""")
 def _(spark, sf_dir):
@@ -629,18 +622,6 @@ PARENTS = ("commit, parent, place", "('c2', 'c1', 0), ('c3', 'c2', 0), ('d1', 'c
 TREE = ("commit, path, blob", "('c1', 'a', 'b1'), ('c1', 'b', 'b2'), ('c2', 'a', 'b3'), ('c2', 'b', 'b2'), ('c3', 'a', 'b3'), ('c3', 'c', 'b4'), ('d1', 'a', 'b3'), ('d1', 'b', 'b5')")
 
 
-@register("reachable_commits", "tip:string commit:string depth:bigint", f"""with recursive w as (select t as tip, t as "commit", 0 as depth from (values ('e1'), ('d2')) as v(t) union all
- select tip, parent, depth + 1 from w join {duck(PARENTS).replace('commit, parent', '"commit", parent')} p on p."commit" = w."commit") select tip, "commit", min(depth) as depth from w group by all""")
-def _(spark, sf_dir):
-    return history.ancestors(values(spark, PARENTS).select("commit", "parent"), spark.createDataFrame([("e1",), ("d2",)], "commit string"))
-
-
-@register("tree_changes", "commit:string path:string blob:string change:string", f"""with t as {duck(TREE).replace('(commit,', '("commit",')}, p as {duck(PARENTS).replace('(commit,', '("commit",')}
- select t."commit", t.path, t.blob, case when o.blob is null then 'added' else 'changed' end as change from t left join p on p."commit" = t."commit" and place = 0 left join t o on o."commit" = p.parent and o.path = t.path where o.blob is null or o.blob <> t.blob""")
-def _(spark, sf_dir):
-    return history.tree_changes(values(spark, TREE), values(spark, PARENTS))
-
-
 @register("blob_first_seen", "digest:string doc_id:bigint source:string", "select sha256(text) as digest, min(doc_id) as doc_id, min_by(source, doc_id) as source from documents group by 1")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id", "source")
@@ -744,17 +725,6 @@ def _(spark, sf_dir):
     return lookup.known_keys(d.where("doc_id % 10 = 0").select("content_key").distinct(), d.where("doc_id % 10 <> 0"), gone)
 
 
-@register("newest_admitted", "o_orderkey:bigint", "select o_orderkey from (select o_orderkey, sum(o_custkey) over (order by o_orderdate desc, o_orderkey desc rows between unbounded preceding and current row) as used from orders) where used <= 200000")
-def _(spark, sf_dir):
-    return history.newest_admitted(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 200_000)
-
-
-@register("blob_priority", "path:string blob:string priority:bigint", f"""with t as {duck(TREE).replace('(commit,', '("commit",')} select distinct path, blob, case when (path, blob) in (select (path, blob) from t where "commit" = 'd1') then 0 else 1 end as priority from t""")
-def _(spark, sf_dir):
-    t = values(spark, TREE).withColumn("size", F.lit(1))
-    return history.reserved(t, t.where("commit = 'd1'"))
-
-
 @register("passage_dedup", "content_key:string revision:string sequence:bigint", "select sha256(text) as content_key, lang as revision, min(doc_id) as sequence from documents group by all")
 def _(spark, sf_dir):
     return history.passages_once(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_key"), F.col("lang").alias("revision"), F.col("doc_id").alias("sequence")))

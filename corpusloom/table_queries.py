@@ -299,14 +299,6 @@ def _(spark, sf_dir):
     return history.tips(r.unionByName(r))
 
 
-@register("merge_base", "commit:bigint left_depth:bigint right_depth:bigint", """with recursive w as (select t as tip, t as c, 0 as d from (values (97), (49), (44)) as v(t) union all select tip, c // 2, d + 1 from w where c > 1)
- select * from (select a.c as "commit", a.d as left_depth, b.d as right_depth from w a join w b on a.c = b.c where a.tip = 97 and b.tip = 44 order by a.d + b.d, a.d limit 1)""")
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    parents = read(spark, sf_dir, "customer").where(k > 1).select(k.alias("commit"), F.floor(k / 2).cast("bigint").alias("parent"))
-    return history.merge_base(history.ancestors(parents, spark.createDataFrame([(97,), (49,), (44,)], "commit bigint")), 97, 44)
-
-
 # --- contracts and feedback -----------------------------------------------------
 
 
@@ -448,18 +440,18 @@ def fields_sql(query: str, limit: int, exact: str = "false") -> str:
 
 @register("field_search_all", "doc_id:bigint coverage:bigint score:double", fields_sql("with EN", 50))
 def _(spark, sf_dir):
-    return lexical.boolean_index(spark, field_index(spark, sf_dir), "doc_id", "with EN", 50)
+    return lexical.boolean_index(lexical.open_index(spark, field_index(spark, sf_dir)), "doc_id", "with EN", 50)
 
 
 @register("field_search_any", "doc_id:bigint coverage:bigint score:double", fields_sql("persistence of this source", 100))
 def _(spark, sf_dir):
-    return lexical.boolean_index(spark, field_index(spark, sf_dir), "doc_id", "persistence of this source", 100)
+    return lexical.boolean_index(lexical.open_index(spark, field_index(spark, sf_dir)), "doc_id", "persistence of this source", 100)
 
 
 @register("field_search_exact", "doc_id:bigint coverage:bigint score:double", fields_sql("src3_en", 100, "source || '_' || lang = 'src3_en'"))
 def _(spark, sf_dir):
     same = read(spark, sf_dir, "documents").where(F.concat_ws("_", "source", "lang") == "src3_en").select("doc_id")
-    return lexical.boolean_index(spark, field_index(spark, sf_dir), "doc_id", "src3_en", 100, exact=same)
+    return lexical.boolean_index(lexical.open_index(spark, field_index(spark, sf_dir)), "doc_id", "src3_en", 100, exact=same)
 
 
 @register("token_windows", "doc_id:bigint ordinal:int tokens:int digest:string", r"""with t as (select doc_id, regexp_extract_all(text, '[^ \t\n\r]+[ \t\n\r]*') as w, regexp_extract(text, '^[ \t\n\r]*') as lead from documents where text <> ''),

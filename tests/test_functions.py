@@ -98,19 +98,6 @@ def test_refused_globs(pattern):
         documents.glob_regex(pattern)
 
 
-def test_budget_against_a_loop(spark):
-    rng = random.Random(2)
-    rows = [(g, f"p{i:03d}", rng.randrange(1, 30)) for g in ("a", "b") for i in range(60)]
-    budget = documents.Budget(25, 20, 180)
-    got = {(r["grp"], r["path"]): r["verdict"] for r in documents.admitted(spark.createDataFrame(rows, "grp string, path string, size bigint"), "grp", budget).collect()}
-    for g in ("a", "b"):
-        n = used = 0
-        for _, p, s in sorted(r for r in rows if r[0] == g):
-            want = "oversized" if s > 25 else "file_limit" if n >= 20 else "total_bytes" if used + s > 180 else "ok"
-            assert got[g, p] == want
-            n, used = n + (want == "ok"), used + s * (want == "ok")
-
-
 def test_invalid_documents_fail(spark):
     row = spark.createDataFrame([("t", "../x")], "t string, p string")
     with pytest.raises(Exception, match="relative path"):

@@ -53,7 +53,7 @@ def test_boolean_search_over_fields(spark, tmp_path):
     docs = spark.createDataFrame([(1, "motor", "the gear turns"), (2, "gear", "a motor"), (3, "motor", None), (4, "", "nvm page")], "id int, title string, body string")
     path = str(tmp_path / "index")
     lexical.write_index(docs, "id", ["title", "body"], path)
-    found = lambda q, **k: [r["id"] for r in lexical.boolean_index(spark, path, "id", q, 10, **k).collect()]
+    found = lambda q, **k: [r["id"] for r in lexical.boolean_index(lexical.open_index(spark, path), "id", q, 10, **k).collect()]
     assert sorted(found("gear motor")) == [1, 2]  # both, in whatever field
     assert sorted(found("gear motor absent")) == [1, 2, 3]  # any of three
     assert found("persistence") == []  # an expansion alone is not enough

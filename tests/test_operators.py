@@ -62,8 +62,9 @@ def test_index_gives_the_scan_scores(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randrange(1, 30)))) for i in range(80)]
     docs = spark.createDataFrame(rows, "id bigint, text string")
-    lexical.write_index(docs, "id", ["text"], str(tmp_path / "index"), buckets=4)
-    found = lexical.search_index(spark, str(tmp_path / "index"), spark.createDataFrame([(1, "alpha gamma")], "query_id int, query string"), 10, buckets=4)
+    lexical.write_index(docs, "id", ["text"], str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "alpha gamma")], "query_id int, query string")
+    found = lexical.search_index(lexical.open_index(spark, str(tmp_path / "index")), "id", asked, 10)
     scan = lexical.scored(docs, "id", "text", ["alpha", "gamma"]).where("coverage > 0").orderBy(F.desc("coverage"), F.desc("score"), "id").limit(10)
     assert [(r["id"], round(r["score"], 6)) for r in found.orderBy("rank").collect()] == [(r["id"], r["score"]) for r in scan.collect()]
 

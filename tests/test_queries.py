@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom import queries, table_queries
+from corpusloom import life_queries, queries, table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DIR = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
@@ -26,7 +26,7 @@ def plain(rows, names):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, duck, name):
-    assert table_queries.QUERIES is queries.QUERIES
+    assert table_queries.register is life_queries.register is queries.register
     df = queries.QUERIES[name](spark, DIR)
     rows = [tuple(r) for r in df.collect()]
     if name not in queries.ORACLE_SQL:
