@@ -169,16 +169,20 @@ def bounded_sample(rows: DataFrame, key: str, order: str, most: int, classes: in
     if not counts:
         return rows.limit(0)
     point = F.pmod(F.xxhash64(F.col(order), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rate = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(key) == F.lit(value), F.lit(min(1.0, 1.3 * most / n + 20.0 / n))).otherwise(rate)
+    kind = T.StructType([rows.schema[key], T.StructField("_rate", T.DoubleType())])
+    rates = rows.sparkSession.createDataFrame([(value, min(1.0, 1.3 * most / n + 20.0 / n)) for value, n in counts.items()], kind)
     first = Window.partitionBy(key).orderBy(F.xxhash64(F.col(order), F.lit("sample")), F.col(order))
-    return rows.where(point < rate).distinct().withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most).drop("_place")
+    return rows.join(F.broadcast(rates), key).where(point < F.col("_rate")).drop("_rate").distinct().withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most).drop("_place")
+
+
+#: Bytes of text that the driver may take of a sample, whatever the number of its keys.
+SAMPLE_BYTES = 64 << 20
 
 
 def sampled_texts(docs: DataFrame, chosen: DataFrame, key: str, on: list[str], size: int) -> list[tuple[str, object]]:
     """(text, key) of the chosen rows (a bounded table, broadcast), in the order of doc_id: one text for each (the smallest of
-    several), no text over `size` bytes, and about `size` bytes of each key."""
+    several), no text over `size` bytes, and about `size` bytes of each key, or its share of SAMPLE_BYTES if that is less."""
+    size = min(size, SAMPLE_BYTES // max(1, chosen.select(key).distinct().count()))
     rows = docs.select("text", *on).where(F.octet_length("text") <= size).join(F.broadcast(chosen), on)
     rows = rows.groupBy(key, "doc_id").agg(F.min("text").alias("text"))
     first = Window.partitionBy(key).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")

@@ -6,11 +6,13 @@ either, every STEP tokens. The cuts minimise padding plus penalties: none for a
 tokens within a document, MIDDLE within a sentence, ONE for each sequence. A sequence is padded to
 `size` unless its length is a power of two. The best cut before a position is the smallest of
 cost + place over the candidates of the last `size` tokens: a monotone queue hands it over in constant
-time; sequences of a power of two are looked up at their one starting place.
+time; sequences of a power of two are looked up at their one starting place. Near the stream's end it may also be cut
+where what is left is a sum of up to three powers of two.
 
 Nothing is shuffled, and a task run again gives the same sequences. sequence_id is the partition's
-number times 2^32 plus a count. A stream is solved in stretches of about STRETCH tokens, the bound of a
-task's memory; what follows the last cut of a stretch goes on in the next one.
+number times 2^32 plus a count. Costs go on over a partition's whole stream; after each STRETCH tokens or so the cuts on
+which the cheapest ways to all of the last `size` tokens agree are given out, as nothing that follows can change them.
+A task holds what is behind the last of these.
 
 Cases: null and empty texts are one token (id 0). Texts of any length are packed whole. Repeated rows are
 packed as often as they come. Of equally cheap cuts the one found first (the longest sequence) stands. An empty
@@ -19,6 +21,7 @@ table gives an empty result. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -112,13 +115,13 @@ def _by_ranks(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def candidates(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the stream may be cut, 0 and total among them, and the penalty of each."""
+def candidates(ends: np.ndarray, sentences: np.ndarray, total: int, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the stream may be cut, 0 and total among them, and the penalty of each. more: further places within sentences."""
     known = np.unique(np.concatenate([[0, total], ends, sentences]))
     gaps = np.diff(known)
     long = np.flatnonzero(gaps > STEP + STEP // 2)
     steps = [np.arange(a + STEP, b, STEP) for a, b in zip(known[long].tolist(), known[long + 1].tolist(), strict=True)]
-    places = np.union1d(known, np.concatenate(steps)) if steps else known
+    places = np.unique(np.concatenate([known, *steps, *([] if more is None else [more])]))
     penalty = np.full(len(places), MIDDLE)
     penalty[np.searchsorted(places, sentences)] = SENTENCE
     penalty[np.searchsorted(places, ends)] = 0
@@ -126,36 +129,60 @@ def candidates(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.
     return places, penalty
 
 
-def cuts(places: list[int], penalty: list[int], size: int, whole: bool) -> list[int]:
-    """Ends of the cheapest sequences from places[0]; whole: up to the last place, else to the cheapest one in the last `size` tokens."""
-    index = {p: i for i, p in enumerate(places)}
-    powers = [1 << k for k in range(6, size.bit_length()) if 1 << k < size]  # shorter ones cost more than they save
-    cost, came = [0] * len(places), [-1] * len(places)
-    queue: deque[tuple[int, int]] = deque([(places[0], 0)])  # (cost + place, index), costs rising
-    get = index.get
-    for j in range(1, len(places)):
-        place = places[j]
-        while places[queue[0][1]] < place - size:
-            queue.popleft()
-        best, at = queue[0]
-        best += size - place
-        for power in powers:
-            i = get(place - power)
-            if i is not None and cost[i] < best:
-                best, at = cost[i], i
-        cost[j], came[j] = best + penalty[j] + ONE, at
-        key = cost[j] + place
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
-    last = len(places) - 1
-    if not whole:
-        last = min((j for j in range(1, len(places)) if places[j] >= places[-1] - size), key=lambda j: (cost[j], -places[j]))
-    out = []
-    while last > 0:
-        out.append(places[last])
-        last = came[last]
-    return out[::-1]
+def tails(total: int, size: int) -> np.ndarray:
+    """Places from which on a sum of at most three powers of two, under `size`, is left."""
+    left = np.arange(1, min(size, total))
+    bits = sum((left >> k) & 1 for k in range(size.bit_length()))
+    return total - left[bits <= 3]
+
+
+class Cuts:
+    """The cheapest way to each place of a stream that goes on. Places before `start` are settled and gone."""
+
+    def __init__(self, size: int):
+        self.size, self.powers = size, [1 << k for k in range(size.bit_length()) if 1 << k < size]
+        self.places, self.cost, self.came, self.index = [0], [0], [-1], {0: 0}
+        self.queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + place, index), costs rising
+
+    def extend(self, places: list[int], penalty: list[int]) -> None:
+        size, queue, known, cost, came, get = self.size, self.queue, self.places, self.cost, self.came, self.index.get
+        for place, extra in zip(places, penalty, strict=True):
+            while known[queue[0][1]] < place - size:
+                queue.popleft()
+            best, at = queue[0]
+            best += size - place
+            for power in self.powers:
+                i = get(place - power)
+                if i is not None and cost[i] < best:
+                    best, at = cost[i], i
+            best += extra + ONE
+            self.index[place] = j = len(known)
+            known.append(place)
+            cost.append(best)
+            came.append(at)
+            while queue and queue[-1][0] >= best + place:
+                queue.pop()
+            queue.append((best + place, j))
+
+    def settled(self, whole: bool) -> list[int]:
+        """Ends of sequences that are sure by now: all of them if the stream ends here, else those that lie on the ways to all places that a sequence can still start from."""
+        last = len(self.places) - 1
+        if not whole:
+            ways = [-j for j in range(last, -1, -1) if self.places[j] > self.places[-1] - self.size]
+            heapq.heapify(ways)
+            while len(ways) > 1:
+                last = -heapq.heappop(ways)
+                if -ways[0] != last:
+                    heapq.heappush(ways, -self.came[last])
+            last = -ways[0]
+        out, at = [], last
+        while at > 0:
+            out.append(self.places[at])
+            at = self.came[at]
+        self.places, self.cost, self.came = self.places[last:], self.cost[last:], [c - last for c in self.came[last:]]
+        self.index = {p: i for i, p in enumerate(self.places)}
+        self.queue = deque((k, j - last) for k, j in self.queue if j >= last)
+        return out[::-1]
 
 
 class Packer:
@@ -163,11 +190,13 @@ class Packer:
 
     def __init__(self, size: int, sentence_ends: np.ndarray, first_id: int):
         self.size, self.sentence_ends, self.next = size, sentence_ends, first_id
-        self.docs: list[tuple] = []  # doc_id, ids with the final 0, how many of them have been packed
-        self.held = 0
+        self.cuts, self.docs = Cuts(size), []  # docs: doc_id, ids with the final 0, how many of them have been packed
+        self.fresh: list[np.ndarray] = []  # ids of the last documents, whose places are not known yet
+        self.held = self.known = self.begin = 0
 
     def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
         self.docs.append([doc_id, np.append(ids.astype("<u4"), np.uint32(0)), 0])
+        self.fresh.append(self.docs[-1][1])
         self.held += len(ids) + 1
         if self.held >= STRETCH:
             yield from self.settle(False)
@@ -175,23 +204,30 @@ class Packer:
     def settle(self, whole: bool) -> Iterator[tuple]:
         if not self.held:
             return
-        stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
-        ends = np.cumsum([len(ids) - done for _, ids, done in self.docs])
-        places, penalty = candidates(ends, np.flatnonzero(self.sentence_ends[stream]) + 1, len(stream))
-        at, begin = 0, 0
-        for end in cuts(places.tolist(), penalty.tolist(), self.size, whole):
+        kept, left = len(self.fresh), 0  # the stream's last `size` tokens stay fresh, as its end may ask for more places there
+        while not whole and kept and left < self.size:
+            kept -= 1
+            left += len(self.fresh[kept])
+        if kept:
+            stream = np.concatenate(self.fresh[:kept])
+            ends, n = np.cumsum([len(ids) for ids in self.fresh[:kept]]), len(stream)
+            places, penalty = candidates(ends, np.flatnonzero(self.sentence_ends[stream]) + 1, n, tails(n, self.size) if whole else None)
+            self.cuts.extend((places[1:] + self.known).tolist(), penalty[1:].tolist())
+            self.known, self.fresh, self.held = self.known + n, self.fresh[kept:], left
+        at = 0
+        for end in self.cuts.settled(whole):
             offset = 0
-            while begin + offset < end:
+            while self.begin + offset < end:
                 doc = self.docs[at]
                 doc_id, ids, done = doc
-                n = min(len(ids) - done, end - begin - offset)
+                n = min(len(ids) - done, end - self.begin - offset)
                 yield doc_id, done, n, zlib.crc32(ids[done : done + n].tobytes()), len(ids), self.next, offset
                 doc[2] = done + n
                 offset += n
                 at += doc[2] == len(ids)
             self.next += 1
-            begin = end
-        self.docs, self.held = self.docs[at:], self.held - begin
+            self.begin = end
+        self.docs = self.docs[at:]
 
 
 def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:

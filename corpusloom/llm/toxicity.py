@@ -199,6 +199,7 @@ def fit(rows: list[tuple[str, int]], passes: int = 40, sentences: int = 6000) ->
 
     A second fit adds as many sentences of clean documents in which the first one sees toxic tokens.
     Every fifth document only fits the document score, on marginals of texts that the field has not seen.
+    Without rows of both labels, or without a word in any of them, nothing is toxic.
     """
     if len({label for _, label in rows}) < 2:
         return Field()
@@ -209,6 +210,8 @@ def fit(rows: list[tuple[str, int]], passes: int = 40, sentences: int = 6000) ->
     chosen = tagged[:: max(1, len(tagged) // half)][:half]
     rest = sentences - len(chosen)
     chosen = chosen + clean[:: max(1, len(clean) // rest)][:rest]
+    if not chosen:
+        return Field()
     out = _fit_field(chosen, passes)
     texts = [t for t, label in own if label == 0]
     scorer, hard = Scorer(out), []

@@ -2,8 +2,9 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 
-from corpusloom.llm import langid, toxicity
+from corpusloom.llm import common, langid, toxicity
 
 from .tables import empty, frames, rows
 
@@ -135,3 +136,24 @@ def test_toxic_documents_and_spans(spark):
     assert found[120]["score"] == found[121]["score"] < 0.3
     kept = toxicity.clean(docs, field)
     assert kept.columns == docs.columns and kept.where("doc_id = 120").count() == 1
+
+
+def test_labelled_texts_without_words():
+    for rows in ([("", 0), ("", 1)], [(" \n", 1), ("\t", 0)], [("", 1), ("hello there", 0)], [("...", 1), ("!!! ?", 0)], [("...", 0), ("", 1)] * 300):
+        scores = toxicity.Scorer(toxicity.fit(rows)).sums([t for t, _ in rows])
+        assert np.isfinite(scores).all()
+
+
+def test_a_thousand_languages(spark):
+    rows = spark.range(4000).selectExpr("id as doc_id", "concat('l', id % 1000) as lang")
+    found = common.bounded_sample(rows, "lang", "doc_id", 3)
+    assert found.groupBy("lang").count().agg({"count": "max"}).first()[0] == 3 and found.select("lang").distinct().count() == 1000
+    with pytest.raises(ValueError):
+        common.bounded_sample(spark.range(1001).selectExpr("id as doc_id", "concat('l', id) as lang"), "lang", "doc_id", 3)
+
+
+def test_samples_of_many_keys_share_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(common, "SAMPLE_BYTES", 4000)
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('l', id % 4) as lang", "repeat('x', 100) as text")
+    texts = common.sampled_texts(docs, docs.select("doc_id", "lang"), "lang", ["doc_id", "lang"], 10_000)
+    assert sum(len(t) for t, _ in texts) == 4000

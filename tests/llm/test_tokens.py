@@ -82,8 +82,13 @@ def test_cuts_are_the_cheapest(gaps, rng):
     size = 512
     places = np.concatenate([[0], np.cumsum(gaps)]).tolist()
     penalty = [rng.choice([0, 2, 12]) for _ in places]
-    powers = {64, 128, 256, 512}
-    cuts = packing.cuts(places, penalty, size, True)
+    powers = {n for n in range(1, size + 1) if n & (n - 1) == 0}  # as the contract says: no padding at any power of two
+    solver, cuts, at = packing.Cuts(size), [], 1
+    while at < len(places):
+        n = rng.randrange(1, 9)
+        solver.extend(places[at : at + n], penalty[at : at + n])
+        at += n
+        cuts += solver.settled(at >= len(places))
     assert cuts[-1] == places[-1]
     cost, before = 0, 0
     for c in cuts:
@@ -94,6 +99,28 @@ def test_cuts_are_the_cheapest(gaps, rng):
     assert cost == brute_cost(places, penalty, size, powers)
 
 
+def packed(sizes, stretch, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", stretch)
+    packer, rng = packing.Packer(1024, np.arange(100) < 5, 0), np.random.default_rng(4)
+    out = []
+    for i, n in enumerate(sizes):
+        out += packer.add(i, rng.integers(0, 100, n))
+    return out + list(packer.settle(True))
+
+
+def test_stretches_change_nothing(monkeypatch):
+    sizes = np.random.default_rng(5).integers(0, 700, 200).tolist() + [9000, 3, 0, 40]
+    assert packed(sizes, 1500, monkeypatch) == packed(sizes, 20_000, monkeypatch) == packed(sizes, 1 << 30, monkeypatch)
+
+
+def test_short_tails_are_not_padded(monkeypatch):
+    pieces = packed([63, 31], 1 << 17, monkeypatch)  # 64 and 32 tokens with the final 0
+    lengths = {}
+    for p in pieces:
+        lengths[p[5]] = lengths.get(p[5], 0) + p[2]
+    assert sorted(lengths.values()) == [32, 64]
+
+
 def test_packing(spark, tools):
     docs, _ = frames(spark)
     rows = packing.pack(docs).collect()
