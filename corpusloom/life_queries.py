@@ -10,12 +10,14 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators import evaluate, history, lexical, reach
+from corpusloom.operators import evaluate, history, lexical, reach, vectors
 from corpusloom.operators.budget import Budget
 from corpusloom.operators.graph import EDGE_ORDER
 from corpusloom.plans import store
+from corpusloom.plans.embedding import EmbeddingRun
 from corpusloom.plans.graph_store import GraphStore
 from corpusloom.plans.segments import SegmentedIndex
+from corpusloom.plans.snapshots import Snapshots
 from corpusloom.queries import _METRICS, _TOKENS, TERMS, bm25_sql, judged, read, register
 
 # --- an index with segments -----------------------------------------------------
@@ -268,3 +270,50 @@ def _(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     qrels = orders.select(F.col("o_custkey").alias("query_id"), o.alias("id"), F.when(o % 97 == 0, 3).otherwise(o % 3).alias("grade"))
     return evaluate.suite_problems(queries, qrels, orders.where(o % 5 != 0).select(o.alias("id")), CATEGORIES, prefix="1")
+
+
+# --- embedding that goes on, snapshots that derive ----------------------------------
+
+PROFILE = vectors.Profile("mean", 8, 512)
+
+
+@register("resumed_embedding", "doc_id:bigint block:bigint slot:bigint first_run:boolean dimension:bigint", "select doc_id, (row_number() over (order by doc_id) - 1) // 256 as block, (row_number() over (order by doc_id) - 1) % 256 as slot, doc_id % 3 <> 0 as first_run, 8 as dimension from documents")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat((F.col("doc_id") % 3).cast("string"), "text").alias("text"))
+    run = EmbeddingRun(spark, fresh_root(spark, "embedding"), "doc_id", "stand-in", PROFILE, rows, block_rows=256)
+    run.run(lambda texts: [None if t[0] == "0" else vectors.fake_embedding([t], 8)[0] for t in texts])  # a third doesn't come through
+    first = run.vectors().select("doc_id", F.lit(True).alias("first_run")).checkpoint()
+    run.run(lambda texts: [vectors.fake_embedding([t], 8)[0] if t[0] == "0" else None for t in texts])  # and only that third is asked for again
+    whole = run.finish()
+    placed = run.vectors().select("doc_id", "block", "slot").join(whole, "doc_id")
+    return placed.join(first, "doc_id", "left").select("doc_id", "block", "slot", F.col("first_run").isNotNull().alias("first_run"), F.size("embedding").alias("dimension"))
+
+
+_ONE = "(select sha256(doc_id || ':' || text) as document_id, text from documents where doc_id % 10 <> 0)"
+_TWO = "(select sha256(doc_id || ':' || text || case when doc_id % 7 = 0 then chr(10) || 'changed ' || doc_id else '' end) as document_id, text || case when doc_id % 7 = 0 then chr(10) || 'changed ' || doc_id else '' end as text from documents)"
+_LINES = "(select document_id, line from (select document_id, unnest(string_split(text, chr(10))) as line from {0}) where trim(line) <> '')"
+
+
+@register("snapshot_derivation", "request:bigint how:string chunked:bigint embedded:bigint chunks:bigint vectors:bigint", f"""with a as {_ONE}, b as {_TWO}, la as {_LINES.format('a')}, lb as {_LINES.format('b')}
+ select 1 as request, 'built' as how, (select count(*) from a) as chunked, (select count(distinct line) from la) as embedded, (select count(*) from la) as chunks, (select count(distinct line) from la) as vectors
+ union all select 2, 'reused', 0, 0, (select count(*) from la), (select count(distinct line) from la)
+ union all select 3, 'derived', (select count(*) from b where document_id not in (select document_id from a)), (select count(distinct line) from lb where line not in (select line from la)), (select count(*) from lb), (select count(distinct line) from lb)""")
+def _(spark, sf_dir):
+    def chunk(docs):
+        lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where(F.trim("text") != "")
+        return lines.select("document_id", F.concat_ws("#", "document_id", "i").alias("chunk_id"), F.sha2("text", 256).alias("content_key"), "text")
+
+    def named(docs, text):
+        return docs.select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), text), 256).alias("document_id"), text.alias("text"))
+
+    d = read(spark, sf_dir, "documents")
+    more = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\nchanged "), F.col("doc_id").cast("string"))).otherwise("")
+    one, two = named(d.where("doc_id % 10 <> 0"), F.col("text")), named(d, F.concat("text", more))
+    snapshots = Snapshots(spark, fresh_root(spark, "snapshots"), chunk, lambda t: vectors.fake_embedding(t, 8), "stand-in", PROFILE)
+    out = None
+    for k, (commit, docs) in enumerate((("c1", one), ("c1", one), ("c2", two)), 1):
+        a = snapshots.request({"documents": commit}, docs)
+        counts = [snapshots.table(a.name, t).agg(F.count("*").alias(t)) for t in ("chunks", "vectors")]
+        row = counts[0].crossJoin(counts[1]).select(F.lit(k).alias("request"), F.lit(a.how).alias("how"), F.lit(a.chunked).alias("chunked"), F.lit(a.embedded).alias("embedded"), "chunks", "vectors")  # single rows
+        out = row if out is None else out.unionByName(row)
+    return out
