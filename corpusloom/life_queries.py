@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators import evaluate, history, lexical, reach, vectors
+from corpusloom.operators import chunking, evaluate, history, lexical, reach, vectors
 from corpusloom.operators.budget import Budget
 from corpusloom.operators.graph import EDGE_ORDER
 from corpusloom.plans import store
@@ -317,3 +317,19 @@ def _(spark, sf_dir):
         row = counts[0].crossJoin(counts[1]).select(F.lit(k).alias("request"), F.lit(a.how).alias("how"), F.lit(a.chunked).alias("chunked"), F.lit(a.embedded).alias("embedded"), "chunks", "vectors")  # single rows
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# --- Markdown -----------------------------------------------------------------------
+
+
+@register("markdown_chunks", "doc_id:bigint ordinal:bigint text:string heading:string", r"""select doc_id, i - 1 as ordinal, list_extract(parts, i) as text, 'D' || doc_id as heading from (select doc_id, unnest([1, 2, 3, 4]) as i,
+ ['# D' || doc_id || chr(10) || chr(10) || 'Of ' || source || chr(10), '1. item' || chr(10) || '   - inner' || chr(10),
+  '     ```' || chr(10) || '     ' || lang || chr(10) || chr(10) || '     ' || md5(text) || chr(10) || '     ```' || chr(10), '> quoted' || chr(10) || '> ```' || chr(10) || '> ' || lang || chr(10)] as parts from documents)""")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    text = F.concat(
+        F.lit("# D"), F.col("doc_id").cast("string"), F.lit("\n\nOf "), "source", F.lit("\n\n1. item\n   - inner\n\n     ```\n     "), "lang", F.lit("\n\n     "), F.md5("text"),
+        F.lit("\n     ```\n\n> quoted\n> ```\n> "), "lang", F.lit("\n"),
+    )
+    docs = d.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("a.md").alias("path"), F.lit("text/markdown").alias("media_type"), text.alias("content"))
+    return chunking.chunk_documents(docs).select(F.col("document_id").alias("doc_id"), "ordinal", "text", F.element_at("heading_path", 1).alias("heading"))

@@ -48,30 +48,125 @@ def split_bounded(text: str, target: int, minimum: int) -> list[tuple[int, int]]
     return out
 
 
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_FENCE = re.compile(r"(`{3,})[^`]*$|(~{3,})")
+_BULLET = re.compile(r"([-+*]|[0-9]{1,9}[.)])(?=[ ]|$)")
+_RULE = re.compile(r"([-_*])[ ]*(?:\1[ ]*){2,}$")
+_HEADING, _UNDERLINE = re.compile(r"#{1,6}(?:[ ]|$)"), re.compile(r"(?:=+|-+)[ ]*$")
+#: HTML blocks: how one starts, and what ends it (None: a blank line). The last kind can't interrupt a paragraph.
+_HTML = [
+    (re.compile(r"<(?:script|pre|style|textarea)(?:[ >]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
+    (re.compile(r"<!--"), re.compile(r"-->")),
+    (re.compile(r"<\?"), re.compile(r"\?>")),
+    (re.compile(r"<![A-Za-z]"), re.compile(r">")),
+    (re.compile(r"<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(
+        r"</?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html"
+        r"|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:[ ]|/?>|$)", re.I), None),
+    (re.compile(r"<(?:[A-Za-z][A-Za-z0-9-]*(?:[ ]+[A-Za-z_:][\w.:-]*(?:[ ]*=[ ]*(?:[^ \"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*[ ]*/?|/[A-Za-z][A-Za-z0-9-]*[ ]*)>[ ]*$"), None),
+]
+
+
+@dataclass
+class _Open:
+    """What is open behind a line: containers (0: a quote, else the columns that a list item's content is indented by) and the block within them."""
+
+    containers: list[int]
+    leaf: str = ""  # paragraph, fence, indented, html or none
+    mark: object = None  # the fence, or what ends the HTML
+
+
+def _indent(row: str, at: int) -> int:
+    return len(row) - at - len(row[at:].lstrip(" "))
+
+
+def _matched(row: str, containers: list[int]) -> tuple[int, int]:
+    """How many of the open containers a line goes on with, and where its content begins."""
+    at = 0
+    for k, width in enumerate(containers):
+        space = _indent(row, at)
+        if width:
+            if at + space < len(row) and space < width:
+                return k, at
+            at = min(len(row), at + width)
+        else:
+            if space > 3 or row[at + space : at + space + 1] != ">":
+                return k, at
+            at += space + 1
+            at += row[at : at + 1] == " "
+    return len(containers), at
 
 
 def code_lines(rows: list[str]) -> list[bool]:
-    """Lines in fenced blocks (backticks or tildes, up to the closing fence or the end) and in indented ones that follow a blank line."""
-    out, fence, blank, indented = [], "", True, False
-    for row in rows:
-        if fence:
+    """Lines of fenced and indented code blocks, within quotes and list items too.
+
+    Lines are read as Markdown reads them: first the open containers that a line goes on with, then new ones that it opens,
+    then the block. A line without its containers' marks only goes on with a paragraph. HTML blocks hold no code.
+    """
+    out: list[bool] = []
+    state, blanks = _Open([]), []  # blanks: lines that are code if the indented block goes on
+    for number, row in enumerate(rows):
+        row = row.rstrip("\r\n").expandtabs(4)
+        known, at = _matched(row, state.containers)
+        whole = known == len(state.containers)
+        if whole and state.leaf == "fence":
             out.append(True)
-            bare = row.strip()
-            if bare and set(bare) == {fence[0]} and len(bare) >= len(fence):
-                fence = ""
-            blank = False
+            bare = row[at:].strip()
+            if _indent(row, at) <= 3 and bare and set(bare) == {state.mark[0]} and len(bare) >= len(state.mark):
+                state.leaf = ""
             continue
-        found = _FENCE.match(row)
-        if found:
-            fence = found[1]
-            out.append(True)
-            blank = indented = False
+        if whole and state.leaf == "html":
+            out.append(False)
+            if state.mark is None and not row[at:].strip() or state.mark is not None and state.mark.search(row, at):
+                state.leaf = ""
+            continue
+        paragraph = state.leaf == "paragraph"
+        opened, leaf, mark = [], "", None
+        while True:
+            space = _indent(row, at)
+            rest = row[at + space :]
+            if not rest:
+                break
+            lazy = paragraph and not opened
+            if space > 3:
+                leaf = "paragraph" if lazy else "indented"
+                break
+            html = next((end for start, end in _HTML[: 6 if lazy else 7] if start.match(rest)), False)
+            if rest.startswith(">"):
+                opened.append(0)
+                at += space + 1
+                at += row[at : at + 1] == " "
+                continue
+            if found := _FENCE.match(rest):
+                leaf, mark = "fence", found[1] or found[2]
+            elif html is not False:
+                leaf, mark = "" if html is not None and html.search(rest) else "html", html
+            elif _HEADING.match(rest) or whole and lazy and _UNDERLINE.match(rest) or _RULE.match(rest):
+                leaf = ""
+            elif (found := _BULLET.match(rest)) and not (lazy and whole and (found.end() == len(rest.rstrip()) or found[0][:-1].isdigit() and int(found[0][:-1]) != 1)):
+                gap = _indent(rest, found.end())
+                width = space + found.end() + (gap if 1 <= gap <= 4 and found.end() + gap < len(rest) else 1)
+                opened.append(width)
+                at = min(len(row), at + width)
+                continue
+            else:
+                leaf = "paragraph"
+            break
+        blank = not row[at:].strip()
+        if paragraph and leaf == "paragraph" and not opened and not whole:
+            out.append(False)  # a lazy line: the containers stay open
+            continue
+        code = leaf in ("fence", "indented")
+        if code and leaf == state.leaf == "indented" and whole and not opened:
+            for b in blanks:
+                out[b] = True
+        if blank and not opened and whole and state.leaf == "indented":
+            blanks.append(number)
+            out.append(False)
             continue
-        empty = not row.strip()
-        indented = not empty and (row.startswith("    ") or row.startswith("\t")) and (blank or indented)
-        out.append(indented)
-        blank = empty
+        blanks = []
+        out.append(code)
+        # a blank line ends a paragraph, and quotes that it has no mark for; list items stay open
+        state = _Open(state.containers[:known] + opened, leaf, mark)
     return out
 
 
