@@ -137,32 +137,48 @@ def tails(total: int, size: int) -> np.ndarray:
 
 
 class Cuts:
-    """The cheapest way to each place of a stream that goes on. Places before `start` are settled and gone."""
+    """The cheapest way to each place of a stream that goes on. Places before the first one held are settled and gone."""
 
     def __init__(self, size: int):
-        self.size, self.powers = size, [1 << k for k in range(size.bit_length()) if 1 << k < size]
-        self.places, self.cost, self.came, self.index = [0], [0], [-1], {0: 0}
+        self.size, self.powers = size, [1 << k for k in reversed(range(size.bit_length())) if 1 << k < size]
+        self.places, self.cost, self.came = [0], [0], [-1]
         self.queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + place, index), costs rising
 
-    def extend(self, places: list[int], penalty: list[int]) -> None:
-        size, queue, known, cost, came, get = self.size, self.queue, self.places, self.cost, self.came, self.index.get
-        for place, extra in zip(places, penalty, strict=True):
+    def apart(self, places: np.ndarray) -> tuple[list[int], list[int]]:
+        """For each of new places the earlier ones that lie a power of two before it, the farthest first: indices, and where each place's begin."""
+        held = np.concatenate([np.array(self.places, np.int64), places])
+        own, other = [], []
+        for power in self.powers:
+            at = np.searchsorted(held, places - power)
+            hit = np.flatnonzero(held[at] == places - power)
+            own.append(hit)
+            other.append(at[hit])
+        own = np.concatenate(own)
+        order = np.argsort(own, kind="stable")
+        return np.concatenate(other)[order].tolist(), np.searchsorted(own[order], np.arange(len(places) + 1)).tolist()
+
+    def extend(self, places: np.ndarray, penalty: np.ndarray) -> None:
+        size, queue, known, cost, came = self.size, self.queue, self.places, self.cost, self.came
+        others, begins = self.apart(places)
+        a = 0
+        for place, extra, b in zip(places.tolist(), penalty.tolist(), begins[1:], strict=True):
             while known[queue[0][1]] < place - size:
                 queue.popleft()
             best, at = queue[0]
             best += size - place
-            for power in self.powers:
-                i = get(place - power)
-                if i is not None and cost[i] < best:
-                    best, at = cost[i], i
+            if a != b:
+                for i in others[a:b]:
+                    if cost[i] < best:
+                        best, at = cost[i], i
+                a = b
             best += extra + ONE
-            self.index[place] = j = len(known)
+            key, j = best + place, len(known)
             known.append(place)
             cost.append(best)
             came.append(at)
-            while queue and queue[-1][0] >= best + place:
+            while queue and queue[-1][0] >= key:
                 queue.pop()
-            queue.append((best + place, j))
+            queue.append((key, j))
 
     def settled(self, whole: bool) -> list[int]:
         """Ends of sequences that are sure by now: all of them if the stream ends here, else those that lie on the ways to all places that a sequence can still start from."""
@@ -180,7 +196,6 @@ class Cuts:
             out.append(self.places[at])
             at = self.came[at]
         self.places, self.cost, self.came = self.places[last:], self.cost[last:], [c - last for c in self.came[last:]]
-        self.index = {p: i for i, p in enumerate(self.places)}
         self.queue = deque((k, j - last) for k, j in self.queue if j >= last)
         return out[::-1]
 
@@ -212,7 +227,7 @@ class Packer:
             stream = np.concatenate(self.fresh[:kept])
             ends, n = np.cumsum([len(ids) for ids in self.fresh[:kept]]), len(stream)
             places, penalty = candidates(ends, np.flatnonzero(self.sentence_ends[stream]) + 1, n, tails(n, self.size) if whole else None)
-            self.cuts.extend((places[1:] + self.known).tolist(), penalty[1:].tolist())
+            self.cuts.extend(places[1:] + self.known, penalty[1:])
             self.known, self.fresh, self.held = self.known + n, self.fresh[kept:], left
         at = 0
         for end in self.cuts.settled(whole):

@@ -86,7 +86,7 @@ def test_cuts_are_the_cheapest(gaps, rng):
     solver, cuts, at = packing.Cuts(size), [], 1
     while at < len(places):
         n = rng.randrange(1, 9)
-        solver.extend(places[at : at + n], penalty[at : at + n])
+        solver.extend(np.array(places[at : at + n]), np.array(penalty[at : at + n]))
         at += n
         cuts += solver.settled(at >= len(places))
     assert cuts[-1] == places[-1]
