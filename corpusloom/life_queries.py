@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators import chunking, evaluate, history, lexical, reach, vectors
+from corpusloom.operators import chunking, evaluate, history, lexical, reach, vectors, views
 from corpusloom.operators.budget import Budget
 from corpusloom.operators.graph import EDGE_ORDER
 from corpusloom.plans import store
@@ -18,7 +18,7 @@ from corpusloom.plans.embedding import EmbeddingRun
 from corpusloom.plans.graph_store import GraphStore
 from corpusloom.plans.segments import SegmentedIndex
 from corpusloom.plans.snapshots import Snapshots
-from corpusloom.queries import _METRICS, _TOKENS, TERMS, bm25_sql, judged, read, register
+from corpusloom.queries import _METRICS, _PIECES, _TOKENS, TERMS, bm25_sql, judged, read, register
 
 # --- an index with segments -----------------------------------------------------
 
@@ -333,3 +333,47 @@ def _(spark, sf_dir):
     )
     docs = d.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("a.md").alias("path"), F.lit("text/markdown").alias("media_type"), text.alias("content"))
     return chunking.chunk_documents(docs).select(F.col("document_id").alias("doc_id"), "ordinal", "text", F.element_at("heading_path", 1).alias("heading"))
+
+
+# --- history without stored texts -----------------------------------------------------
+# each document's text is a blob that one to three revisions have
+
+_SEEN = "(select doc_id, sha256(text) as blob, unnest(['v1', 'v2', 'v3'][1:1 + doc_id % 3]) as revision from documents)"
+
+
+def occurrences(spark, sf_dir):
+    """(blob, content, revision, path, media_type, doc_id)"""
+    d = read(spark, sf_dir, "documents")
+    revisions = F.explode(F.slice(F.array(F.lit("v1"), F.lit("v2"), F.lit("v3")), 1, (1 + F.col("doc_id") % 3).cast("int")))
+    return d.select("doc_id", F.sha2("text", 256).alias("blob"), F.col("text").alias("content"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), revisions.alias("revision"))
+
+
+def stored_blobs(spark, sf_dir):
+    """The blobs once, written, and their locators."""
+    root = fresh_root(spark, "blobs")
+    views.once(occurrences(spark, sf_dir)).write.parquet(f"{root}/blobs")
+    blobs = spark.read.parquet(f"{root}/blobs")
+    views.locators(blobs.select("blob", F.lit("a.txt").alias("path"), F.lit("text/plain").alias("media_type"), "content")).write.parquet(f"{root}/locators")
+    return blobs, spark.read.parquet(f"{root}/locators")
+
+
+@register("virtual_chunks", "doc_id:bigint revision:string ordinal:bigint start_byte:bigint passage:string", f"select p.doc_id, revision, ordinal, strlen(substr(content, 1, pos)) as start_byte, sha256(text) as passage from {_PIECES} p join {_SEEN} s on s.doc_id = p.doc_id")
+def _(spark, sf_dir):
+    blobs, places = stored_blobs(spark, sf_dir)
+    cut = views.with_passages(places, blobs)
+    chunks = views.virtual_chunks(occurrences(spark, sf_dir).select("doc_id", "revision", "blob"), cut)
+    return chunks.withColumn("passage", F.sha2("passage", 256))
+
+
+@register("history_search", "rank:bigint blob:string score:double occurrences:bigint passage:string", f"""with b as (select sha256(text) as blob, min(text) as text from documents group by 1),
+ r as (select doc_id as blob, coverage, score, row_number() over (order by coverage desc, score desc, doc_id) as rank from {bm25_sql(TERMS).replace("from documents", "from (select blob as doc_id, text from b)")})
+ select rank, r.blob, score, (select count(*) from {_SEEN} s where s.blob = r.blob) as occurrences, sha256(substr(b.text, 1, greatest(0, length(b.text) - 1))) as passage from r join b using (blob) where rank <= 10""")
+def _(spark, sf_dir):
+    blobs, _ = stored_blobs(spark, sf_dir)
+    path = fresh_root(spark, "index")
+    lexical.write_index(blobs.select("blob", F.col("content").alias("text")), "blob", ["text"], path)
+    best = lexical.scored_index(lexical.open_index(spark, path), "blob", "text", TERMS).orderBy(F.desc("coverage"), F.desc("score"), "blob").limit(10)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("coverage"), F.desc("score"), "blob"))).checkpoint()  # a result page
+    last = blobs.select("blob", F.lit(0).alias("start_byte"), F.octet_length(F.substring("content", 1, F.length("content") - 1)).alias("end_byte"))
+    page = views.with_history(ranked, occurrences(spark, sf_dir)).join(last, "blob")
+    return views.with_passages(page, blobs).withColumn("passage", F.sha2("passage", 256))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 from corpusloom.functions import ids
@@ -245,35 +247,54 @@ def chunk_text(text: str, media_type: str, path: str, config: ChunkConfig) -> li
     return out
 
 
-def chunk_documents(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """Chunks of docs (document_id, path, media_type, content): the pieces, their digests, ids and sizes."""
+def chunk_documents(docs: DataFrame, config: ChunkConfig | None = None, carry: tuple[str, ...] = (), neighbours: bool = False) -> DataFrame:
+    """Chunks of docs (document_id, path, media_type, content): the pieces, their digests, ids and sizes.
+
+    carry: further columns of docs that each chunk keeps. neighbours: also previous_chunk and next_chunk, which are known
+    while a document is cut. One Arrow pass, without a join or a shuffle.
+    """
     settings = config or ChunkConfig()
+    beside = "struct<heading_path:array<string>,content_digest:string>"
+    ddl = f"{SCHEMA}, content_digest string" + (f", _before {beside}, _after {beside}" if neighbours else "")
+    made_schema = StructType([*_parse_datatype_string(ddl).fields, *[docs.schema[c] for c in carry]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema(
-            [("document_id", pa.string()), ("ordinal", pa.int32()), ("text", pa.string()), ("heading_path", pa.list_(pa.string()))]
-            + [(n, pa.int32()) for n in ("start_line", "end_line")]
-            + [(n, pa.int64()) for n in ("start_byte", "end_byte")]
-        )
+        out = to_arrow_schema(made_schema)
         for batch in batches:
-            rows = []
-            for document, path, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(document, i, *chunk) for i, chunk in enumerate(chunk_text(text or "", kind or "", path or "", settings))]
+            rows, owners = [], []
+            for n, (document, path, kind, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                found = chunk_text(text or "", kind or "", path or "", settings)
+                digests = ["sha256:" + sha256(c[0].encode()).hexdigest() for c in found]
+                ends = [{"heading_path": c[1], "content_digest": d} for c, d in zip(found, digests, strict=True)]
+                for i, (chunk, digest) in enumerate(zip(found, digests, strict=True)):
+                    near = (ends[i - 1] if i else None, ends[i + 1] if i + 1 < len(ends) else None) if neighbours else ()
+                    rows.append((document, i, *chunk, digest, *near))
+                owners += [n] * len(found)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=False)]
+                place = pa.array(owners, pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(place) for c in carry)], schema=out)
+
+    inputs = docs.select("document_id", "path", "media_type", "content", *[c for c in carry if c not in ("document_id", "path", "media_type", "content")])
+    made = inputs.mapInArrow(run, made_schema)
+
+    def named(place: Column, heading: Column, digest: Column) -> Column:
+        return ids.chunk_id(F.col("document_id"), place, heading, digest)
 
-    made = docs.select("document_id", "path", "media_type", "content").mapInArrow(run, SCHEMA)
-    digest = ids.content_digest(F.col("text"))
-    return made.withColumn("content_digest", digest).select(
+    made = made.select(
         "*",
-        ids.chunk_id(F.col("document_id"), F.col("ordinal"), F.col("heading_path"), F.col("content_digest")).alias("chunk_id"),
+        named(F.col("ordinal"), F.col("heading_path"), F.col("content_digest")).alias("chunk_id"),
         F.length("text").alias("char_count"),
         F.octet_length("text").alias("byte_count"),
     )
+    if not neighbours:
+        return made
+    near = lambda c, step: F.when(F.col(c).isNotNull(), named(F.col("ordinal") + step, F.col(f"{c}.heading_path"), F.col(f"{c}.content_digest")))
+    return made.select("*", near("_before", -1).alias("previous_chunk"), near("_after", 1).alias("next_chunk")).drop("_before", "_after")
 
 
 def linked(chunks: DataFrame) -> DataFrame:
-    """previous_chunk and next_chunk within each document."""
+    """previous_chunk and next_chunk within each document, for chunks that were cut without them."""
     order = Window.partitionBy("document_id").orderBy("ordinal")
     return chunks.select("*", F.lag("chunk_id").over(order).alias("previous_chunk"), F.lead("chunk_id").over(order).alias("next_chunk"))
 

@@ -298,9 +298,8 @@ def _(spark, sf_dir):
 # --- chunks -----------------------------------------------------------------
 
 
-def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus(spark, sf_dir)
-    return chunking.chunk_documents(d).join(d.select("document_id", "doc_id", "repository", "revision", "path"), "document_id")
+def chunk_table(spark: SparkSession, sf_dir: str, neighbours: bool = False) -> DataFrame:
+    return chunking.chunk_documents(corpus(spark, sf_dir), carry=("doc_id", "repository", "revision", "path"), neighbours=neighbours)
 
 
 _CUT = "coalesce(nullif(length(regexp_extract(substr(content, pos + 1, 1200), '^(.*\\s)', 1, 's')), 0), 0)"
@@ -326,7 +325,7 @@ def _(spark, sf_dir):
 
 @register("chunk_adjacency", "doc_id:bigint ordinal:bigint has_previous:boolean has_next:boolean", f"select doc_id, ordinal, ordinal > 0 as has_previous, ordinal < max(ordinal) over (partition by doc_id) as has_next from {_PIECES}")
 def _(spark, sf_dir):
-    rows = chunking.linked(chunk_table(spark, sf_dir))
+    rows = chunk_table(spark, sf_dir, neighbours=True)
     return rows.select("doc_id", "ordinal", F.col("previous_chunk").isNotNull().alias("has_previous"), F.col("next_chunk").isNotNull().alias("has_next"))
 
 

@@ -47,6 +47,10 @@ def test_code_is_kept_whole():
 def test_spans_and_ids(spark):
     docs = spark.createDataFrame([("d1", "a.txt", "text/plain", "é line\n" * 500), ("d2", "b.md", "text/markdown", "# H\n\ntext"), ("d3", "c.txt", "text/plain", " \n")], "document_id string, path string, media_type string, content string")
     rows = chunking.linked(chunking.chunk_documents(docs)).collect()
+    known = chunking.chunk_documents(docs, carry=("path",), neighbours=True)
+    assert "Exchange" not in known._jdf.queryExecution().executedPlan().toString()
+    near = lambda rs: {r["chunk_id"]: (r["previous_chunk"], r["next_chunk"]) for r in rs}
+    assert near(known.collect()) == near(rows)
     text = "é line\n" * 500
     for r in (r for r in rows if r["document_id"] == "d1"):
         assert text.encode()[r["start_byte"] : r["end_byte"]].decode() == r["text"]
