@@ -30,33 +30,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
+from . import common, hashing
 
 MAX_N, MIN_COUNT, SHARE = 4, 30, 1000
 WORD_BITS, PAIR_BITS = 1 << 23, 1 << 25
-#: Entries of a counter that a task holds before it passes them on, and pairs a task of the pairs' count gets.
+#: Entries of a counter that a task holds before it passes them on, and words for each task of the pairs' count.
 HELD, PAIRS = 1_000_000, 4_000_000
 
 #: A-Z to lower case; what ends a piece to a full stop; tab to space.
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"." * 9 + b" ")
 
 
-def tokens(texts: list[str | None]) -> list[bytes]:
-    """The words of the texts in order, with `.` between pieces. NUL, which joins words, and SOH are escaped in words."""
+def words_of(texts: list[str | None]) -> bytes:
+    """The words of the texts in order, joined by NUL, with `.` between pieces. NUL and SOH are escaped in words."""
     raw = b".".join(t.encode() for t in texts if t).translate(_TABLE)
     if b"\x00" in raw or b"\x01" in raw:
         raw = raw.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01")
-    return raw.replace(b".", b" . ").split()
+    return b"\x00".join(raw.replace(b".", b" . ").split())
 
 
-def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    for batch in common.pieces(batches, "text"):
+def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in common.pieces(batches, "text", 1 << 20):
         groups: dict[str, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text:
                 groups.setdefault(lang, []).append(text)
         for lang, texts in groups.items():
-            yield lang, tokens(texts)
+            yield lang, words_of(texts)
+
+
+class Words:
+    """The places and hashes of the words in such bytes."""
+
+    def __init__(self, lang: str, raw: bytes):
+        data = np.frombuffer(raw, np.uint8)
+        ends = np.append(np.flatnonzero(data == 0), len(data))
+        self.starts, self.ends = np.append(0, ends[:-1] + 1), ends
+        between = (ends - self.starts == 1) & (data[np.minimum(self.starts, max(0, len(data) - 1))] == 46) if len(data) else np.ones(1, bool)
+        self.hashes = np.where(between, np.uint64(0), np.maximum(hashing.spans(data, self.starts, ends) ^ np.uint64(xxhash.xxh64_intdigest(lang)), np.uint64(1)))
+
+    def frequent(self, bits: np.ndarray) -> np.ndarray:
+        """The hashes, 0 for words that aren't in the bitmap and between pieces."""
+        return np.where(hashing.has(bits, self.hashes), self.hashes, np.uint64(0))
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
@@ -73,9 +88,9 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        for lang, found in by_lang(batches):
+        for lang, raw in by_lang(batches):
             counts = held.setdefault(lang, Counter())
-            counts.update(found)
+            counts.update(raw.split(b"\x00") if raw else [])
             counts.pop(b".", None)
             if sum(map(len, held.values())) > HELD:
                 yield from flushed(held)
@@ -84,37 +99,16 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """The bits of the hashes in `h`, as 64-bit words: at most bits / 64 rows reach the driver."""
-    at = F.pmod("h", F.lit(bits))
-    words = rows.select(F.shiftright(at, 6).alias("i"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
-    made = np.zeros(bits >> 6, np.uint64)
-    made[words.column("i").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return made
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    """The same number as Spark's xxhash64(lang, word), unsigned."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), 42))
-
+def word_bits(words: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of words (lang, word)."""
+    schema = common.schema_of("h bigint")
 
-def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(len(bits) * 64 - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-
-class Hashes(dict):
-    """Of a lang's words: the hash (never 0) of a frequent one, 0 for others and for the end of a piece."""
-
-    def __init__(self, lang: str, bits: np.ndarray):
-        super().__init__({b".": 0})
-        self.lang, self.bits = lang, bits
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [Words(lang, word).hashes[0] for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(made, np.uint64).view(np.int64))], schema=common.arrow_schema(schema))
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        at = h & (len(self.bits) * 64 - 1)
-        self[word] = found = (h | 1) if int(self.bits[at >> 6]) >> (at & 63) & 1 else 0
-        return found
+    return hashing.bitmap(words.select("lang", "word").mapInArrow(run, schema), WORD_BITS)
 
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:
@@ -125,69 +119,17 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
     return np.where((h[:-1] != 0) & (h[1:] != 0), np.maximum(k, np.uint64(1)), np.uint64(0))
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
-
-
-def hasher(words: np.ndarray) -> Callable[[str, list[bytes]], np.ndarray]:
-    known: dict[str, Hashes] = {}
-
-    def run(lang: str, found: list[bytes]) -> np.ndarray:
-        if sum(map(len, known.values())) > HELD:
-            known.clear()
-        table = known.setdefault(lang, Hashes(lang, words))
-        return np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
-
-    return run
-
-
 def frequent_pairs(docs: DataFrame, words: np.ndarray, n_words: int, least: int) -> np.ndarray:
-    """A bitmap of the hashes of pairs that occur `least` times or more."""
+    """A bitmap of the hashes of pairs of neighbours that occur `least` times or more."""
     spark = docs.sparkSession
     sent, parts = spark.sparkContext.broadcast(words), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // PAIRS)
-    sorted_keys, bits = common.schema_of("part int, keys binary, counts binary"), common.schema_of("h bigint")
-    out, out_bits = common.arrow_schema(sorted_keys), common.arrow_schema(bits)
-
-    def emitted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        part = (keys >> np.uint64(33)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        keys, counts, part = keys[order], counts[order].astype(np.uint32), part[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(part)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[starts].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends, strict=False)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends, strict=False)], pa.binary())],
-            schema=out,
-        )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = hasher(sent.value), [], 0
-        for lang, found in by_lang(batches):
-            k = pair_hashes(hashes(lang, found))
-            held.append(k[k != 0])
-            size += len(held[-1])
-            if size > 2 * HELD:
-                k = np.concatenate(held)
-                yield emitted(*summed(k, np.ones(len(k), np.int64)))
-                held, size = [], 0
-        if size:
-            k = np.concatenate(held)
-            yield emitted(*summed(k, np.ones(len(k), np.int64)))
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                fresh.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)))
-            if sum(len(k) for k, _ in fresh) > HELD:
-                keys, counts = summed(np.concatenate([keys, *[k for k, _ in fresh]]), np.concatenate([counts, *[c for _, c in fresh]]))
-                fresh = []
-        keys, counts = summed(np.concatenate([keys, *[k for k, _ in fresh]]), np.concatenate([counts, *[c for _, c in fresh]]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], schema=out_bits)
 
-    return bitmap(docs.mapInArrow(count, sorted_keys).repartition(parts, "part").mapInArrow(frequent, bits), PAIR_BITS)
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for lang, raw in by_lang(batches):
+            k = pair_hashes(Words(lang, raw).frequent(sent.value))
+            yield k[k != 0]
+
+    return hashing.frequent(docs, hashes, least, parts, PAIR_BITS)
 
 
 def suffixes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: dict[tuple[str, bytes], int], max_n: int) -> DataFrame:
@@ -202,22 +144,23 @@ def suffixes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: dict[tu
                 first, rest = s.split(b"\x00", 1)
                 many = salts.get((lang, first), 1)
                 salt = zlib.crc32(b"\x00".join(rest.split(b"\x00")[:2])) % many if many > 1 else 0
-                parts.append(xxhash.xxh64_intdigest(first, word_hash(lang, b"%d" % salt)) >> 1)
+                parts.append(xxhash.xxh64_intdigest(first, xxhash.xxh64_intdigest(lang, salt)) >> 1)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(parts, pa.int64()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
         held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, salts = sent.value
-        hashes, held = hasher(words), {}
-        for lang, found in by_lang(batches):
-            k = pair_hashes(hashes(lang, found))
-            on = (k != 0) & has(pairs, k)
+        held: dict[str, Counter] = {}
+        for lang, raw in by_lang(batches):
+            found = Words(lang, raw)
+            k = pair_hashes(found.frequent(words))
+            on = (k != 0) & hashing.has(pairs, k)
             size = on.astype(np.int64)  # neighbours that go on from here, at most max_n - 1
             for step in range(1, max_n - 1):
                 size[:-step] += (size[:-step] == step) & on[step:]
             at = np.flatnonzero(on)
             counts = held.setdefault(lang, Counter())
-            counts.update([b"\x00".join(found[i : i + n]) for i, n in zip(at.tolist(), (size[at] + 1).tolist(), strict=True)])
+            counts.update([raw[i:j] for i, j in zip(found.starts[at].tolist(), found.ends[at + size[at]].tolist(), strict=True)])
             if sum(map(len, held.values())) > HELD:
                 yield from flushed(held, salts)
         yield from flushed(held, salts)
@@ -225,35 +168,38 @@ def suffixes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: dict[tu
     return docs.mapInArrow(run, schema)
 
 
-def stack_counts(rows: Iterator[tuple[str, bytes, int]], keep: Callable[[str, tuple[bytes, ...], int], bool]) -> Iterator[tuple[str, bytes, int, int]]:
-    """(lang, phrase, words, count) for the prefixes of two words or more of sorted suffixes, each when the rows leave it."""
-    lang, words, counts = None, [], []
-
-    def leave(depth: int) -> Iterator[tuple[str, bytes, int, int]]:
-        while len(words) > depth:
-            n = counts.pop()
-            if len(words) > 1 and keep(lang, words, n):
-                yield lang, b"\x00".join(words), len(words), n
-            words.pop()
-            if counts:
-                counts[-1] += n
+def stack_counts(rows: Iterator[tuple[str, bytes, int]], least: int, hot: set[tuple[str, bytes]]) -> Iterator[tuple[str, bytes, int, int]]:
+    """(lang, phrase, words, count) for the prefixes of two words or more of sorted suffixes, each when the rows leave it.
 
+    Prefixes under `least` are left out, but for pairs with a hot first word: these may have other suffixes elsewhere, and all partial sums go on.
+    """
+    lang, words, counts = None, [], []  # the stack: the words of the prefixes that are open, and what has been counted of each
     for new_lang, suffix, n in rows:
         parts = suffix.split(b"\x00")
         same = 0
         if new_lang == lang:
-            for a, b in zip(words, parts, strict=False):
-                if a != b:
+            for word in words[: len(parts)]:
+                if word != parts[same]:
                     break
                 same += 1
-        if len(words) > same:
-            yield from leave(same)
+        depth = len(words)
+        while depth > same:
+            k = counts.pop()
+            if depth > 1:
+                counts[-1] += k
+                if k >= least or depth == 2 and (lang, words[0]) in hot:
+                    yield lang, b"\x00".join(words), depth, k
+            words.pop()
+            depth -= 1
         lang = new_lang
-        for w in parts[same:]:
-            words.append(w)
-            counts.append(0)
+        words += parts[same:]
+        counts += [0] * (len(parts) - same)
         counts[-1] += n
-    yield from leave(0)
+    for depth in range(len(words), 1, -1):
+        k = counts.pop()
+        counts[-1] += k
+        if k >= least or depth == 2 and (lang, words[0]) in hot:
+            yield lang, b"\x00".join(words[:depth]), depth, k
 
 
 def phrases(suffix_rows: DataFrame, hot: dict[tuple[str, bytes], int], least: int) -> DataFrame:
@@ -262,10 +208,8 @@ def phrases(suffix_rows: DataFrame, hot: dict[tuple[str, bytes], int], least: in
     out, sent = common.arrow_schema(schema), suffix_rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = sent.value
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "suffix", "n")), strict=True))
-        # the first words of a hot one may have other suffixes elsewhere: all partial sums go on
-        found = stack_counts(rows, lambda lang, words, n: n >= least or len(words) == 2 and (lang, words[0]) in salts)
+        found = stack_counts(rows, least, set(sent.value))
         while some := [r for _, r in zip(range(20_000), found, strict=False)]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
 
@@ -287,7 +231,7 @@ def mined(docs: DataFrame, top: int = 2000, max_n: int = MAX_N, least: int = MIN
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     limit = max(common.KEY_ROWS, n_words // SHARE)
     hot = {(r["lang"], bytes(r["word"])): r["f"] // limit + 1 for r in frequent.where(F.col("f") > limit).collect()}
-    words = bitmap(frequent.select(F.xxhash64("lang", "word").alias("h")), WORD_BITS)
+    words = word_bits(frequent)
     pairs = frequent_pairs(docs, words, n_words, least)
     found = common.written(phrases(suffixes(docs, words, pairs, hot, max_n), hot, least), "phrases")
 

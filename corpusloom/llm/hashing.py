@@ -1,7 +1,8 @@
-"""Counting 64-bit hashes in packed arrays, and sets of them as bitmaps of fixed size."""
+"""64-bit hashes of byte spans in whole arrays, counting them, and sets of them as bitmaps of fixed size."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,51 @@ from . import common
 HELD = 2_000_000
 
 
+def fixed(seed: int) -> np.ndarray:
+    """256 odd numbers that follow from a seed."""
+    raw = b"".join(hashlib.sha256(b"%d-%d" % (seed, i)).digest() for i in range(64))
+    return np.frombuffer(raw, np.uint64) | np.uint64(1)
+
+
+BYTES, _BASE = fixed(1), 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base, and of its inverse, modulo 2 ** 64: n of each or more."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(n, np.uint64(base))
+            x[:1] = 1
+            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Of each place the sum of what is before it: a polynomial in the bytes, whose differences don't depend on what stands around."""
+    terms = BYTES[data]
+    terms *= powers(len(data))[0][: len(data)]
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(terms, out=out[1:])
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of data[start:end] for each pair: equal bytes, equal hashes."""
+    if not len(data):
+        return np.zeros(len(starts), np.uint64)
+    found = sums(data)
+    h = found[ends] - found[starts]
+    h *= powers(len(data) + 1)[1][starts]
+    return mixed(h)
+
+
 def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)

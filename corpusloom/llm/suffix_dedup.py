@@ -47,39 +47,14 @@ ANCHOR_BITS, ANCHORS, SPAN = 1 << 26, 4_000_000, 1 << 19
 _LAST = (1 << 63) - 1
 
 
-def _fixed(seed: int) -> np.ndarray:
-    """256 odd numbers that follow from a seed."""
-    raw = b"".join(hashlib.sha256(b"%d-%d" % (seed, i)).digest() for i in range(64))
-    return np.frombuffer(raw, np.uint64) | np.uint64(1)
-
-
-_BYTES, _BASE = _fixed(1), 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, np.uint64(base))
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """The hash of each `width` bytes of data; equal bytes, equal hashes."""
     if len(data) < width:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    terms = _BYTES[data]
-    terms *= up[: len(data)]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
+    sums = hashing.sums(data)
     h = sums[width:] - sums[:-width]
-    h *= down[: len(h)]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h
+    h *= hashing.powers(len(data))[1][: len(h)]
+    return hashing.mixed(h)
 
 
 def anchors(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
