@@ -18,6 +18,7 @@ ALIASES = {
     "application": ["app_data", "send_app_data"],
     "custom": ["app_data", "send_app_data", "comm", "command", "transport"],
     "lifecycle": ["pkgdesc", "build", "load", "native"],
+    "extension": ["native", "lbm"],
     "values": ["encode", "decode"],
     "gating": ["foc", "feature", "audio"],
     "enablement": ["foc", "feature", "audio"],

@@ -70,10 +70,46 @@ def uncited(facets: DataFrame, evidence: DataFrame, citations: DataFrame) -> Dat
     return facets.select("facet_id").join(cited, "facet_id", "left_anti")
 
 
-def planned(facets: DataFrame, missing: DataFrame, most: int = 8) -> DataFrame:
-    """One query for each missing facet, of at most 256 bytes."""
+#: Bytes of one query, additions and queries of one proposal.
+QUERY_BYTES, ADDITIONS, PROPOSED = 256, 8, 8
+
+
+def planned(facets: DataFrame, missing: DataFrame, most: int = 8, asked: DataFrame | None = None) -> DataFrame:
+    """One query for each of at most `most` missing facets: those that were asked for the fewest times (asked: facet_id, times), then by id.
+
+    A query over QUERY_BYTES is an error: it is refused, not cut.
+    """
     query = F.concat_ws(" ", "repository", "stage", "era", "question")
-    return facets.join(missing, "facet_id", "left_semi").select("facet_id", F.left(query, F.lit(256)).alias("query")).orderBy("facet_id").limit(most)
+    rows = facets.join(missing, "facet_id", "left_semi")
+    times = F.lit(0)
+    if asked is not None:
+        rows, times = rows.join(asked, "facet_id", "left"), F.coalesce("times", F.lit(0))
+    held = F.when(F.octet_length(query) <= QUERY_BYTES, query).otherwise(F.raise_error(F.concat(F.lit("the query of a facet is too long: "), F.col("facet_id").cast("string"))))
+    return rows.select("facet_id", held.alias("query"), times.alias("_times")).orderBy("_times", "facet_id").limit(most).drop("_times")
+
+
+def proposal_problems(facets: DataFrame, additions: DataFrame, relationships: DataFrame, queries: DataFrame) -> DataFrame:
+    """(problem, n) that a proposal is refused for; none if it can be applied.
+
+    additions are facets, relationships (from_facet, to_facet, kind), queries (facet_id, query). limit: over ADDITIONS or PROPOSED;
+    conflict: a known facet with another requirement; unknown_facet: a query's, or an end's, that is neither known nor added;
+    query: blank, over QUERY_BYTES, with control characters, or repeated.
+    """
+    known = facets.select("facet_id").unionByName(additions.select("facet_id")).distinct()
+    ends = relationships.select(F.explode(F.array("from_facet", "to_facet")).alias("facet_id")).unionByName(queries.select("facet_id"))
+    text = F.col("query")
+    bad = text.isNull() | (F.trim(text) == "") | (F.octet_length(text) > QUERY_BYTES) | text.rlike(r"\p{Cc}")
+    over = [d.agg(F.count("*").alias("n")).where(F.col("n") > most) for d, most in ((additions, ADDITIONS), (relationships, ADDITIONS), (queries, PROPOSED))]
+    twice = queries.groupBy("facet_id", "query").count().where("count > 1").select("query")
+    found = [
+        ("limit", over[0].unionByName(over[1]).unionByName(over[2])), ("conflict", extended(facets, additions).where("change = 'conflict'")),
+        ("unknown_facet", ends.join(known, "facet_id", "left_anti")), ("query", queries.where(bad).select("query").unionByName(twice)),
+    ]
+    out = None
+    for name, rows in found:
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.where("n > 0")
 
 
 def sound_provenance(evidence: DataFrame) -> DataFrame:
@@ -84,14 +120,27 @@ def sound_provenance(evidence: DataFrame) -> DataFrame:
 
 
 def investigate(facets: DataFrame, acquire: Callable[[DataFrame], DataFrame], budget: RoundBudget | None = None) -> tuple[str, DataFrame]:
-    """Rounds of planning and acquiring until no facet is missing ("answered") or the budget ends ("insufficient"); evidence ids are unique."""
+    """Rounds of planning and acquiring until no facet is missing ("answered") or the budget ends ("insufficient").
+
+    Facets that had their turn without success wait for the others. An evidence that comes again must say the same, and
+    more evidence than the budget has room for is an error: neither is settled by dropping rows. Evidence with provenance
+    columns (graph_path) must be sound.
+    """
     bounds = budget or RoundBudget()
     held: DataFrame | None = None
+    asked = facets.select("facet_id", F.lit(0).alias("times")).checkpoint()
     for _ in range(bounds.rounds):
         missing = missing_facets(held, facets) if held is not None else facets.select("facet_id")
         if not missing.limit(1).count():
             return "answered", held
-        found = acquire(planned(facets, missing, bounds.queries))
-        held = found if held is None else held.unionByName(found).dropDuplicates(["evidence_id"])
-        held = held.orderBy("evidence_id").limit(bounds.evidence).checkpoint()
+        plan = planned(facets, missing, bounds.queries, asked).checkpoint()
+        asked = asked.join(plan.select("facet_id", F.lit(1).alias("_more")), "facet_id", "left").select("facet_id", (F.col("times") + F.coalesce("_more", F.lit(0))).alias("times")).checkpoint()
+        found = acquire(plan)
+        held = (found if held is None else held.unionByName(found)).distinct().checkpoint()
+        if held.groupBy("evidence_id").count().where("count > 1").limit(1).count():
+            raise ValueError("an evidence contradicts an earlier one with its id")
+        if "graph_path" in held.columns and held.join(sound_provenance(held), "evidence_id", "left_anti").limit(1).count():
+            raise ValueError("an evidence has no sound provenance")
+        if held.limit(bounds.evidence + 1).count() > bounds.evidence:
+            raise ValueError(f"over {bounds.evidence} pieces of evidence")
     return ("insufficient" if missing_facets(held, facets).limit(1).count() else "answered"), held

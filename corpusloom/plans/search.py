@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.operators import fusion, lexical, vectors
+from corpusloom.plans.segments import SegmentedIndex
 
 QUERY_BYTES, RESPONSE_BYTES, PASSAGE_BYTES, MOST, DEFAULT = 4096, 65_536, 8192, 50, 10
 MODES, DETAILS = ("lexical", "semantic", "hybrid", "auto"), ("compact", "full")
@@ -52,13 +53,15 @@ def capabilities() -> dict:
 
 
 def search(
-    chunks: DataFrame, request: Request, semantic: DataFrame | None = None, neighbours: int = 3, index: str | None = None
+    chunks: DataFrame, request: Request, semantic: DataFrame | None = None, neighbours: int = 3, index: str | SegmentedIndex | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Ranked passages of chunks (chunk_id, document_id, ordinal, text, content_digest, path, revision, repository, …) and warnings.
 
     semantic: hits (chunk_id, rank). Filters come before lexical ranking and after semantic retrieval.
     index: path of lexical.write_index over the chunks (chunk_id, text): then only its postings are read, and scores take
-    their statistics from all of it. Without filters both ways give the same rows. Passages are fetched for the winners only.
+    their statistics from all of it; without filters both ways give the same rows. A SegmentedIndex whose filter columns are those
+    that are filtered by (all but paths and tags) takes them into its scans, and gives the same rows with filters too.
+    Passages are fetched for the winners only.
     """
     warnings: list[str] = []
     if request.mode in ("semantic", "hybrid") and semantic is None:
@@ -67,9 +70,18 @@ def search(
         warnings.append("semantic_unavailable: answered lexically")
     pool = lexical.filtered(chunks, **{k: v for k, v in request.filters.items() if v})
     k = min(max(5 * request.limit, 20), 100)
-    if index:
-        scored = lexical.scored_index(lexical.open_index(chunks.sparkSession, index), "chunk_id", "text", lexical.query_terms(request.query))
-        if any(request.filters.values()):
+    if index is not None:
+        asked = {k: v for k, v in request.filters.items() if v}
+        terms = lexical.query_terms(request.query)
+        if isinstance(index, str):
+            scored = lexical.scored_index(lexical.open_index(chunks.sparkSession, index), "chunk_id", "text", terms)
+            pushed = set()
+        else:
+            pushed, where = {k for k in asked if k in index.filters}, None
+            for k in sorted(pushed):
+                where = F.col(k) == asked[k] if where is None else where & (F.col(k) == asked[k])
+            scored = lexical.scored_index(index.view(where), "chunk_id", "text", terms)
+        if set(asked) - pushed:
             scored = scored.join(pool.select("chunk_id"), "chunk_id", "left_semi")
         found = lexical.passes(scored, "chunk_id", request.query, k)
     else:

@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 from corpusloom.functions import ids
 from corpusloom.functions import text as T
 from corpusloom.operators import budget, chunking, documents, evaluate, fusion, graph, history, investigate, lexical, lookup, vectors
+from corpusloom.operators.ranking import with_place
 from corpusloom.plans import search, store
+from corpusloom.plans.files import delete_path, listed_files
 from corpusloom.sources import catalog
 from corpusloom.streaming import watch
 
@@ -79,17 +81,25 @@ _TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), la
 
 TERMS = ["this", "with", "that"]
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, str], tuple[list, str]] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> str:
     """The path of a written index of the documents' texts: built when first asked for in a session, then read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    return kept_index(spark, sf_dir, "text", lambda path: lexical.write_index(read(spark, sf_dir, "documents"), "doc_id", ["text"], path))
+
+
+def kept_index(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """The path of an index that `build` writes: kept as long as the documents' files are the same, and replaced when they have changed."""
+    place, state = (spark.sparkContext.applicationId, sf_dir, name), listed_files(spark, f"{sf_dir}/documents.parquet")
+    held = _INDEXES.get(place)
+    if held is None or held[0] != state:
         path = f"{store.scratch_dir(spark)}/corpusloom-index/{uuid.uuid4().hex}"
-        lexical.write_index(read(spark, sf_dir, "documents"), "doc_id", ["text"], path)
-        _INDEXES[key] = path
-    return _INDEXES[key]
+        build(path)
+        _INDEXES[place] = (state, path)
+        if held is not None:
+            delete_path(spark, held[1])
+    return _INDEXES[place][1]
 
 
 def by_terms(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
@@ -171,31 +181,31 @@ def _(spark, sf_dir):
     return lexical.query_postings(read(spark, sf_dir, "documents"), "doc_id", "text", terms)
 
 
-NAMES = ("chunk_id, identifiers, body", "('c1', 'write_nvm', 'persist data'), ('c2', 'other_write', 'write nvm data'), ('c3', 'Write_NVM', 'none'), ('c4', 'persistent', 'persistent package lifecycle')")
+_NAMED = "(select p_partkey as chunk_id, replace(p_name, ' ', '_') as name from part)"
 
 
-@register("exact_identifier_rank", "chunk_id:string exact_identifier:boolean", f"select chunk_id, lower(identifiers) = 'write_nvm' as exact_identifier from {duck(NAMES)} order by exact_identifier desc, chunk_id limit 4")
+@register("exact_identifier_rank", "chunk_id:bigint exact_identifier:boolean", f"select chunk_id, name = (select max(name) from {_NAMED}) as exact_identifier from {_NAMED} order by exact_identifier desc, chunk_id limit 100")
 def _(spark, sf_dir):
-    rows = values(spark, NAMES).select("chunk_id", F.array("identifiers").alias("names"), F.lit(0).alias("coverage"), F.lit(0.0).alias("score"))
-    return lexical.final_order(rows, "chunk_id", 4, "write_nvm", identifiers="names")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.array(F.initcap(F.replace("p_name", F.lit(" "), F.lit("_")))).alias("names"), F.lit(0).alias("coverage"), F.lit(0.0).alias("score"))
+    asked = read(spark, sf_dir, "part").agg(F.max(F.replace("p_name", F.lit(" "), F.lit("_")))).first()[0]
+    return lexical.final_order(rows, "chunk_id", 100, asked.upper(), identifiers="names")
 
 
-@register("prose_is_no_symbol", "chunk_id:string exact_identifier:boolean", f"select chunk_id, false as exact_identifier from {duck(NAMES)}")
+@register("prose_is_no_symbol", "chunk_id:bigint exact_identifier:boolean", "select p_partkey as chunk_id, false as exact_identifier from part order by 1 limit 100")
 def _(spark, sf_dir):
-    rows = values(spark, NAMES).select("chunk_id", F.array("identifiers").alias("names"), F.lit(0).alias("coverage"), F.lit(0.0).alias("score"))
-    return lexical.final_order(rows, "chunk_id", 4, "persistent package lifecycle", identifiers="names")
-
-
-TEXTS = ("id, q", "(1, 'Write_NVM and read-only data 42'), (2, '  __ -- '), (3, 'Persistence of évidence Évi'), (4, 'a_b-c CamelCase x1'), (5, 'transport_layer source')")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.array("p_name").alias("names"), F.lit(0).alias("coverage"), F.lit(0.0).alias("score"))
+    asked = read(spark, sf_dir, "part").agg(F.max("p_name")).first()[0]  # words without a symbol's signs equal a name and don't count as one
+    return lexical.final_order(rows, "chunk_id", 100, asked, identifiers="names")
 
 
 @register("query_analysis", "id:bigint raw:string symbols:string expanded:bigint", rf"""select id, array_to_string(raw, '|') as raw, array_to_string(sym, '|') as symbols,
  len(raw) + 0 * len(sym) as expanded from (select id, list_transform(list_filter(parts, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')), lambda t: lower(t)) as raw,
  list_transform(list_filter(parts, lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]') and regexp_matches(t, '[_0-9\p{{Lu}}]')), lambda t: lower(t)) as sym
- from (select id, string_split_regex(q, '[^\p{{L}}\p{{N}}_-]+') as parts from {duck(TEXTS)}))""")
+ from (select id, string_split_regex(q, '[^\p{{L}}\p{{N}}_-]+') as parts from (select doc_id as id, text || ' Write_NVM -- a_b-c x1' as q from documents)))""")
 def _(spark, sf_dir):
     q = F.col("q")
-    return values(spark, TEXTS).select("id", F.array_join(T.raw_terms(q), "|").alias("raw"), F.array_join(T.symbol_terms(q), "|").alias("symbols"), F.size(T.raw_terms(q)).alias("expanded"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" Write_NVM -- a_b-c x1")).alias("q"))
+    return rows.select("id", F.array_join(T.raw_terms(q), "|").alias("raw"), F.array_join(T.symbol_terms(q), "|").alias("symbols"), F.size(T.raw_terms(q)).alias("expanded"))
 
 
 @register("identifier_extraction", "doc_id:bigint names:string", r"""select doc_id, array_to_string(list_sort(list_slice(list_distinct_ordered, 1, 32)), '|') as names from (
@@ -266,33 +276,37 @@ def _(spark, sf_dir):
     return documents.rejection_report(rejected, ["source"], ["doc_id"], 3)
 
 
-PATHS = ("path", "('src/main.CPP'), ('docs/a.md'), ('docs/old/b.md'), ('Makefile'), ('x/y.qml'), ('x/.hidden'), ('a/b/c.yaml'), ('docs/deep/er/z.txt'), ('lib/native.h')")
-
-
 @register("path_policy", "path:string media_type:string selected:boolean", f"""select path, case when regexp_matches(lower(path), '\\.(c|h)$') then 'text/x-c' when lower(path) like '%.cpp' then 'text/x-c++' when path like '%.md' then 'text/markdown'
  when path like '%.qml' then 'text/x-qml' when path like '%.yaml' then 'application/yaml' else 'text/plain' end as media_type,
- regexp_matches(lower(path), '\\.(c|h|cpp)$') or (not regexp_matches(path, '^docs/old(/|$)') and (regexp_matches(path, '^docs/(?:[^/]*/)*[^/]*\\.md$') or regexp_matches(path, '^x/[^/]*\\.qml$') or path like 'a/b/%')) as selected from {duck(PATHS)}""")
+ regexp_matches(lower(path), '\\.(c|h|cpp)$') or (not regexp_matches(path, '^docs/old(/|$)') and (regexp_matches(path, '^docs/(?:[^/]*/)*[^/]*\\.md$') or regexp_matches(path, '^x/[^/]*\\.qml$') or path like 'a/b/%')) as selected from (select ['src/', 'docs/', 'docs/old/', 'x/', 'a/b/', 'docs/deep/er/'][1 + doc_id % 6] || source || '_' || doc_id || ['.CPP', '.md', '.qml', '.yaml', '', '.h', '.txt'][1 + doc_id % 7] as path from documents)""")
 def _(spark, sf_dir):
     policy = documents.PathPolicy(include_prefixes=("a/b",), exclude_prefixes=("docs/old",), include_patterns=("docs/**/*.md", "x/*.qml"))
-    return values(spark, PATHS).select("path", documents.media_type(F.col("path")).alias("media_type"), documents.selected(F.col("path"), policy).alias("selected"))
+    folder = F.element_at(F.array(*map(F.lit, ["src/", "docs/", "docs/old/", "x/", "a/b/", "docs/deep/er/"])), (1 + F.col("doc_id") % 6).cast("int"))
+    suffix = F.element_at(F.array(*map(F.lit, [".CPP", ".md", ".qml", ".yaml", "", ".h", ".txt"])), (1 + F.col("doc_id") % 7).cast("int"))
+    paths = read(spark, sf_dir, "documents").select(F.concat(folder, "source", F.lit("_"), F.col("doc_id").cast("string"), suffix).alias("path"))
+    return paths.select("path", documents.media_type(F.col("path")).alias("media_type"), documents.selected(F.col("path"), policy).alias("selected"))
 
 
-COMMITS = ("commit_id, message", "('c1', 'Fix bug\\n\\nLonger text'), ('c2', '   '), ('c3', '  padded title  '), ('c4', '')")
-_COMMITS_DUCK = "(select * from (values ('c1', 'Fix bug' || chr(10) || chr(10) || 'Longer text'), ('c2', '   '), ('c3', '  padded title  '), ('c4', '')) as v(commit_id, message))"
+_MESSAGES = "(select doc_id, case when doc_id % 9 = 0 then '  ' || chr(10) || ' ' else ' ' || chr(10) || '  ' || source || ' of ' || doc_id || '  ' || chr(10) || chr(10) || text || chr(10) || ' ' end as message from documents)"
 
 
-@register("commit_documents", "path:string title:string content:string", f"select 'commits/' || commit_id as path, trim(string_split(trim(message), chr(10))[1]) as title, trim(message) || chr(10) as content from {_COMMITS_DUCK} where trim(message) <> ''")
+@register("commit_documents", "path:string title:string content:string", f"""select 'commits/' || doc_id as path, trim(regexp_extract(m, '^[^' || chr(10) || ']*')) as title, sha256(m || chr(10)) as content from
+ (select doc_id, regexp_replace(regexp_replace(message, '^\\s+', ''), '\\s+$', '') as m from {_MESSAGES}) where m <> '' and strlen(m) + 1 <= 5000""")
 def _(spark, sf_dir):
-    return documents.commit_messages(values(spark, COMMITS), 1000)
+    d, key = read(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    message = F.when(F.col("doc_id") % 9 == 0, "  \n ").otherwise(F.concat(F.lit(" \n  "), "source", F.lit(" of "), key, F.lit("  \n\n"), "text", F.lit("\n ")))
+    found = documents.commit_messages(d.select(key.alias("commit_id"), message.alias("message")), 5000)
+    return found.withColumn("content", F.sha2("content", 256))
 
 
-@register("catalog_order", "place:bigint id:string", "select row_number() over (order by case r_name when 'ASIA' then 0 when 'EUROPE' then 1 else 2 end, n_name) as place, n_name as id from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')")
+@register("catalog_order", "place:bigint id:string", "select row_number() over (order by case r_name when 'ASIA' then 0 when 'EUROPE' then 1 when 'AMERICA' then 2 when 'AFRICA' then 3 else 4 end, n_name) as place, n_name as id from nation join region on n_regionkey = r_regionkey")
 def _(spark, sf_dir):
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     part = lambda r: n.where(F.col("r_name") == r).select(F.col("n_name").alias("id"), F.col("r_name").alias("category"))
-    rows = catalog.catalog_union([part("EUROPE"), part("ASIA")], {"ASIA": 0, "EUROPE": 1})
-    rank = Window.orderBy(F.when(F.col("category") == "ASIA", 0).otherwise(1), "id")  # two regions' nations: a bounded table
-    return rows.select(F.row_number().over(rank).alias("place"), "id")
+    ranks = {"ASIA": 0, "EUROPE": 1, "AMERICA": 2, "AFRICA": 3, "MIDDLE EAST": 4}
+    rows = catalog.catalog_union([part(r) for r in sorted(ranks)], ranks)
+    order = [F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("category")), F.col("id")]
+    return with_place(rows, order).select("place", "id")
 
 
 # --- chunks -----------------------------------------------------------------
@@ -417,14 +431,22 @@ def _(spark, sf_dir):
 
 # --- fusion -----------------------------------------------------------------
 
-LEX = ("query_id, id, rank", "(1, 'a', 1), (1, 'b', 2), (1, 'c', 3), (2, 'x', 1), (2, 'y', 2)")
-SEM = ("query_id, id, rank", "(1, 'c', 1), (1, 'd', 2), (1, 'a', 3), (2, 'x', 1), (2, 'y', 2)")
+_LISTS = """l as (select o_custkey as query_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders),
+ s as (select o_custkey as query_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rank from orders where o_orderkey % 3 <> 0)"""
+
 
+def lists(spark, sf_dir):
+    """Two ranked lists a customer: the dearest orders, and the newest of those that the second list knows."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate")
+    place = lambda d, by: d.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "id")).alias("rank"))
+    return place(o, "o_totalprice"), place(o.where("id % 3 <> 0"), "o_orderdate")
 
-@register("rrf_fusion", "query_id:bigint id:string place:bigint score:double", f"""select query_id, id, row_number() over (partition by query_id order by score desc, id) as place, round(score, 9) as score from (select coalesce(l.query_id, s.query_id) as query_id, coalesce(l.id, s.id) as id,
- coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) as score from {duck(LEX)} l full join {duck(SEM)} s on l.query_id = s.query_id and l.id = s.id)""")
+
+@register("rrf_fusion", "query_id:bigint id:bigint place:bigint score:double", f"""with {_LISTS} select query_id, id, row_number() over (partition by query_id order by score desc, id) as place, round(score, 9) as score from (select coalesce(l.query_id, s.query_id) as query_id, coalesce(l.id, s.id) as id,
+ coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) as score from (select * from l where rank <= 12) l full join (select * from s where rank <= 12) s on l.query_id = s.query_id and l.id = s.id)""")
 def _(spark, sf_dir):
-    made = fusion.reciprocal_rank(values(spark, LEX), values(spark, SEM), "id")
+    left, right = (d.where("rank <= 12") for d in lists(spark, sf_dir))
+    made = fusion.reciprocal_rank(left, right, "id")
     return made.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.fused_order("id")))).withColumn("score", F.round("score", 9))
 
 
@@ -438,12 +460,16 @@ def _(spark, sf_dir):
     return fusion.reciprocal_rank(left, right, "doc_id").withColumn("score", F.round("score", 9))
 
 
-CAP = ("q, r, d, g", "(1, 1, 'A', 'g1'), (1, 2, 'A', 'g2'), (1, 3, 'A', 'g3'), (1, 4, 'B', 'g3'), (1, 5, 'B', 'g1'), (1, 6, 'B', 'g4')")
-
-
-@register("document_cap_dedup", "q:bigint r:bigint d:string g:string", f"select * from {duck(CAP)} where r in (1, 2, 4, 6)")
+@register("document_cap_dedup", "q:bigint r:bigint d:string g:string", """with recursive c as (select o_custkey as q, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r, o_orderstatus as d, (o_orderkey % 4)::VARCHAR as g from orders),
+ w as (select q, 0::BIGINT as r, []::VARCHAR[] as ds, []::VARCHAR[] as gs, false as kept, null::VARCHAR as d, null::VARCHAR as g from (select distinct q from c) union all
+ select q, r, case when ok then list_append(ds, d) else ds end, case when ok then list_append(gs, g) else gs end, ok, d, g from (select c.q, c.r, c.d, c.g, w.ds, w.gs,
+ len(list_filter(w.ds, lambda x: x = c.d)) < 2 and not list_contains(w.gs, c.g) and len(w.gs) < 3 as ok from w join c on c.q = w.q and c.r = w.r + 1))
+ select q, r, d, g from w where kept""")
 def _(spark, sf_dir):
-    return fusion.capped(values(spark, CAP), "q", "r", "d", "g", 2, 10)
+    o = read(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    rows = o.select(F.col("o_custkey").alias("q"), place.alias("r"), F.col("o_orderstatus").alias("d"), (F.col("o_orderkey") % 4).cast("string").alias("g"))
+    return fusion.capped(rows, "q", "r", "d", "g", 2, 3)
 
 
 PARTS = ("document_id, ordinal, text", "('d', 0, 'zero'), ('d', 1, 'one'), ('d', 2, 'two'), ('d', 3, 'three'), ('d', 4, 'four'), ('e', 0, 'other')")
@@ -456,11 +482,18 @@ def _(spark, sf_dir):
     return fusion.collapsed(d.withColumnRenamed("doc_id", "rank"), ["lang", "digest"], "rank", "source")
 
 
-@register("facet_topk", "facet_id:bigint candidate_id:bigint rank:bigint", """select n_regionkey as facet_id, c_custkey as candidate_id, row_number() over (partition by n_regionkey order by c_acctbal desc, c_custkey) as rank from customer join nation on c_nationkey = n_nationkey where n_regionkey < 3 qualify rank <= 2""")
+@register("history_collapse_preferred", "lang:string digest:string rank:bigint occurrences:bigint last_revision:string representative:string", """select lang, digest, min(doc_id) as rank, count(*) as occurrences, max(source) as last_revision, case when bool_or(source = 'src3') then 'src3' else min_by(source, doc_id) end as representative from
+ (select lang, sha256(replace(text, 'e', '')[1:2]) as digest, doc_id, source from documents) group by all""")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("lang", F.sha2(F.left(F.replace("text", F.lit("e"), F.lit("")), F.lit(2)), 256).alias("digest"), F.col("doc_id").alias("rank"), "source")
+    return fusion.collapsed(d, ["lang", "digest"], "rank", "source", preferred="src3")
+
+
+@register("facet_topk", "facet_id:bigint candidate_id:bigint rank:bigint", """select n_regionkey as facet_id, c_custkey as candidate_id, row_number() over (partition by n_regionkey order by c_acctbal desc, c_custkey) as rank from customer join nation on c_nationkey = n_nationkey qualify rank <= 2""")
 def _(spark, sf_dir):
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = c.select(F.col("c_custkey").alias("candidate_id"), F.col("n_regionkey").alias("repository"), F.lit("s").alias("stage"), F.lit("v1").alias("revision"), F.col("c_acctbal").alias("score"), F.lit(0.0).alias("retrieval_score"))
-    facets = spark.sql("select id as facet_id, id as repository, 's' as stage, cast(null as string) as era from range(3)")
+    facets = spark.sql("select id as facet_id, id as repository, 's' as stage, cast(null as string) as era from range(5)")
     return fusion.facet_top_k(rows, facets, 2)
 
 
@@ -521,12 +554,12 @@ def _(spark, sf_dir):
     return evaluate.stratified(d, ["lang", "b"], ["doc_id"], 40)
 
 
-@register("judged_sample", "doc_id:bigint judged:boolean", """with j as (select doc_id from labels where quality = 1 and doc_id % 10 = 0), n as (select count(*) as held from documents where doc_id in (from j)),
+@register("judged_sample", "doc_id:bigint judged:boolean", """with j as (select doc_id from labels where quality = 1), n as (select count(*) as held from documents where doc_id in (from j)),
  r as (select doc_id, row_number() over (order by doc_id) - 1 as p, count(*) over () as others from documents where doc_id not in (from j)),
  s as (select doc_id, p, greatest(1, others // greatest(1, 100 - held)) as step, held from r, n)
  select doc_id, true as judged from documents where doc_id in (from j) union all select doc_id, false from s where p % step = 0 and p / step < greatest(0, 100 - held)""")
 def _(spark, sf_dir):
-    j = read(spark, sf_dir, "labels").where("quality = 1 and doc_id % 10 = 0")
+    j = read(spark, sf_dir, "labels").where("quality = 1")
     return evaluate.judged_sample(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", j, 100)
 
 
@@ -546,13 +579,14 @@ def _(spark, sf_dir):
     return evaluate.profile_diff(before, after)
 
 
-STACKS = ("frames", "('a;b;a;main'), ('b;main'), ('a;main')")
+_STACK = "(select [o_orderpriority, o_orderstatus, 'f' || o_custkey % 5, o_orderstatus, 'main'] as f from orders)"
 
 
-@register("self_inclusive", "function:string self_samples:bigint inclusive_samples:bigint", f"""with s as (select string_split(frames, ';') as f from {duck(STACKS)}), i as (select x as function, count(*) as n from (select unnest(list_distinct(f)) as x from s) group by 1), l as (select f[1] as function, count(*) as n from s group by 1)
+@register("self_inclusive", "function:string self_samples:bigint inclusive_samples:bigint", f"""with s as {_STACK}, i as (select x as function, count(*) as n from (select unnest(list_distinct(f)) as x from s) group by 1), l as (select f[1] as function, count(*) as n from s group by 1)
  select i.function, coalesce(l.n, 0) as self_samples, i.n as inclusive_samples from i left join l using (function)""")
 def _(spark, sf_dir):
-    return evaluate.self_and_inclusive(values(spark, STACKS).select(F.split("frames", ";").alias("frames")))
+    frames = F.array("o_orderpriority", "o_orderstatus", F.concat(F.lit("f"), (F.col("o_custkey") % 5).cast("string")), "o_orderstatus", F.lit("main"))
+    return evaluate.self_and_inclusive(read(spark, sf_dir, "orders").select(frames.alias("frames")))
 
 
 @register("gold_matching", "gold_id:bigint rank:bigint matched:boolean", """select item_id as gold_id, coalesce(min(doc_id), -1) as rank, min(doc_id) is not null as matched from benchmark left join documents on contains(lower(documents.text), lower(benchmark.text)) and lang = 'en' group by item_id""")
@@ -644,21 +678,50 @@ def _(spark, sf_dir):
 
 # --- investigation and feedback ---------------------------------------------
 
-FACETS = ("facet_id, repository, stage, era, question", "('f1', 'r1', 'build', null, 'how'), ('f2', 'r2', 'load', 'v2', 'where'), ('f3', 'r3', 'run', null, 'when')")
-EVIDENCE = ("evidence_id, facet_id, repository, stage, revision, adjacent", "('e1', 'f1', 'r1', 'build', 'v1', false), ('e2', 'f2', 'r2', 'load', 'v1', false), ('e3', 'f3', 'r9', 'run', 'v1', false), ('e4', 'f3', 'r3', 'run', 'v1', true), ('e5', 'f2', 'r2', 'run', 'v2', false)")
+_FACETS = "(select n_nationkey as facet_id, r_name as repository, case when n_nationkey % 2 = 0 then 'BUILDING' else 'MACHINERY' end as stage, case when n_nationkey % 3 = 0 then 'v1' end as era, n_name as question from nation join region on r_regionkey = n_regionkey)"
+_EVIDENCE = """(select o_orderkey as evidence_id, c_nationkey as facet_id, r_name as repository, c_mktsegment as stage, case when o_orderkey % 4 = 0 then 'v2' else 'v1' end as revision, o_orderkey % 5 = 0 as adjacent
+ from orders join customer on c_custkey = o_custkey join nation on n_nationkey = (c_nationkey + (o_orderkey % 11 = 0)::INT) % 25 join region on r_regionkey = n_regionkey where o_orderkey % 7 <> 0 or c_nationkey > 6)"""
 _VERDICT = f"""(select evidence_id, e.facet_id, case when e.adjacent then 'adjacent' when e.repository <> f.repository then 'wrong_repository' when e.stage <> f.stage then 'wrong_stage'
- when f.era is not null and e.revision <> f.era then 'wrong_era' else 'qualifying' end as verdict from {duck(EVIDENCE)} e join {duck(FACETS)} f on e.facet_id = f.facet_id)"""
+ when f.era is not null and e.revision <> f.era then 'wrong_era' else 'qualifying' end as verdict from {_EVIDENCE} e join {_FACETS} f on e.facet_id = f.facet_id)"""
+
+
+def facets_of(spark, sf_dir):
+    """A facet a nation."""
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey")
+    return n.select(key.alias("facet_id"), F.col("r_name").alias("repository"), F.when(key % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("stage"), F.when(key % 3 == 0, "v1").alias("era"), F.col("n_name").alias("question"))
 
 
-@register("coverage_audit", "evidence_id:string facet_id:string verdict:string", f"select * from {_VERDICT}")
+def evidence_of(spark, sf_dir):
+    """Orders as evidence of their customer's nation; some name the next nation's region."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    key = F.col("o_orderkey")
+    o = o.where((key % 7 != 0) | (F.col("c_nationkey") > 6)).withColumn("n_nationkey", (F.col("c_nationkey") + (key % 11 == 0).cast("int")) % 25)
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    return o.join(n, "n_nationkey").select(
+        key.alias("evidence_id"), F.col("c_nationkey").alias("facet_id"), F.col("r_name").alias("repository"), F.col("c_mktsegment").alias("stage"), F.when(key % 4 == 0, "v2").otherwise("v1").alias("revision"), (key % 5 == 0).alias("adjacent")
+    )
+
+
+@register("coverage_audit", "evidence_id:bigint facet_id:bigint verdict:string", f"select * from {_VERDICT}")
 def _(spark, sf_dir):
-    return investigate.classified(values(spark, EVIDENCE), values(spark, FACETS))
+    return investigate.classified(evidence_of(spark, sf_dir), facets_of(spark, sf_dir))
 
 
-@register("missing_facets", "facet_id:string query:string", f"select facet_id, repository || ' ' || stage || coalesce(' ' || era, '') || ' ' || question as query from {duck(FACETS)} where facet_id not in (select facet_id from {_VERDICT} where verdict = 'qualifying')")
+@register("missing_facets", "facet_id:bigint query:string", f"select facet_id, concat_ws(' ', repository, stage, era, question) as query from {_FACETS} where facet_id not in (select facet_id from {_VERDICT} where verdict = 'qualifying' and evidence_id % 40 = 1) order by facet_id limit 8")
 def _(spark, sf_dir):
-    facets = values(spark, FACETS)
-    return investigate.planned(facets, investigate.missing_facets(values(spark, EVIDENCE), facets))
+    facets = facets_of(spark, sf_dir)
+    few = evidence_of(spark, sf_dir).where("evidence_id % 40 = 1")  # what a first round may have brought
+    return investigate.planned(facets, investigate.missing_facets(few, facets))
+
+
+@register("round_rotation", "facet_id:bigint", f"""with m as (select facet_id, facet_id < 12 as asked from {_FACETS} where facet_id not in (select facet_id from {_VERDICT} where verdict = 'qualifying' and evidence_id % 40 = 1))
+ select facet_id from m order by asked, facet_id limit 8""")
+def _(spark, sf_dir):
+    facets = facets_of(spark, sf_dir)
+    few = evidence_of(spark, sf_dir).where("evidence_id % 40 = 1")
+    asked = facets.where("facet_id < 12").select("facet_id", F.lit(1).alias("times"))
+    return investigate.planned(facets, investigate.missing_facets(few, facets), asked=asked)
 
 
 RECORDS = ("record_id, supersedes, covered", "('n1', null, false), ('n2', 'n1', false), ('n3', null, true), ('n4', null, null)")
@@ -680,13 +743,20 @@ def _(spark, sf_dir):
     return search.search(chunks, search.Request("this with that", limit=10))[0]
 
 
-URIS = ("uri", "('corpus://knowledge/chunk/abc'), ('corpus://knowledge/document/a%20b'), ('corpus://knowledge/other/x'), ('http://x')")
+_URIS = """(select doc_id, case doc_id % 5 when 0 then 'corpus://knowledge/chunk/a%20' || doc_id when 1 then 'corpus://knowledge/snapshots/' || sha256(source) || '/document/' || doc_id
+ when 2 then 'corpus://knowledge/other/' || doc_id when 3 then 'http://knowledge/chunk/' || doc_id else 'corpus://knowledge/feedback/x/' || doc_id end as uri from documents)"""
 
 
-@register("resource_uris", "uri:string kind:string id:string", f"select uri, case when uri like '%/chunk/%' then 'chunk' when uri like '%/document/%' then 'document' end as kind, case when uri like '%/chunk/%' then 'abc' when uri like '%/document/%' then 'a b' end as id from {duck(URIS)}")
+@register("resource_uris", "doc_id:bigint kind:string snapshot:string id:string", f"""select doc_id, case doc_id % 5 when 0 then 'chunk' when 1 then 'document' end as kind, case when doc_id % 5 = 1 then regexp_extract(uri, '[0-9a-f]{{64}}') end as snapshot,
+ case doc_id % 5 when 0 then 'a ' || doc_id when 1 then doc_id::VARCHAR end as id from {_URIS}""")
 def _(spark, sf_dir):
-    rows = values(spark, URIS).select("uri", T.resource_uri(F.col("uri")).alias("u"))
-    return rows.select("uri", "u.kind", F.when(F.col("u.kind").isNotNull(), F.col("u.id")).alias("id"))
+    key, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    uri = (
+        F.when(kind == 0, F.concat(F.lit("corpus://knowledge/chunk/a%20"), key)).when(kind == 1, F.concat(F.lit("corpus://knowledge/snapshots/"), F.sha2("source", 256), F.lit("/document/"), key))
+        .when(kind == 2, F.concat(F.lit("corpus://knowledge/other/"), key)).when(kind == 3, F.concat(F.lit("http://knowledge/chunk/"), key)).otherwise(F.concat(F.lit("corpus://knowledge/feedback/x/"), key))
+    )
+    rows = read(spark, sf_dir, "documents").select("doc_id", T.resource_uri(uri).alias("u"))
+    return rows.select("doc_id", "u.kind", "u.snapshot", F.when(F.col("u.kind").isNotNull(), F.col("u.id")).alias("id"))
 
 
 @register("change_detection", "user_id:bigint event_id:bigint event_type:string change:string", """select user_id, event_id, event_type, case when row_number() over w = 1 then 'baseline' when lag(event_type) over w = event_type then 'same' else 'changed' end as change from events window w as (partition by user_id order by event_id)""")
@@ -711,17 +781,17 @@ def _(spark, sf_dir):
     return lookup.metadata(d, d.where("chunk_id % 50 = 0").select("chunk_id"), repository="src0")
 
 
-@register("content_key_lookup", "content_key:string chunk_id:bigint", "select sha256(text) as content_key, min(doc_id) as chunk_id from documents where sha256(text) in (select sha256(text) from documents where doc_id % 10 = 0) group by 1")
+@register("content_key_lookup", "content_key:string chunk_id:bigint", "select sha256(text) as content_key, min(doc_id) as chunk_id from documents group by 1")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_key"), F.col("doc_id").alias("chunk_id"))
-    return lookup.chunks_of_keys(d, d.where("chunk_id % 10 = 0"))
+    return lookup.chunks_of_keys(d, d)
 
 
-@register("content_key_known", "content_key:string known:boolean", "with w as (select distinct sha256(text) as content_key from documents where doc_id % 10 = 0) select content_key, content_key in (select sha256(text) from documents where doc_id % 10 <> 0 and source <> 'src1') as known from w")
+@register("content_key_known", "content_key:string known:boolean", "with w as (select distinct sha256(text) as content_key from documents) select content_key, content_key in (select sha256(text) from documents where doc_id % 10 <> 0 and source <> 'src1') as known from w")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_key"), "doc_id", F.col("source").alias("document_id"))
     gone = spark.createDataFrame([("src1",)], "document_id string")
-    return lookup.known_keys(d.where("doc_id % 10 = 0").select("content_key").distinct(), d.where("doc_id % 10 <> 0"), gone)
+    return lookup.known_keys(d.select("content_key").distinct(), d.where("doc_id % 10 <> 0"), gone)
 
 
 @register("passage_dedup", "content_key:string revision:string sequence:bigint", "select sha256(text) as content_key, lang as revision, min(doc_id) as sequence from documents group by all")
@@ -735,12 +805,11 @@ def _(spark, sf_dir):
     return history.changed_index(c, c.where("c_custkey % 3 = 0"), c.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(0.0)), "c_custkey")
 
 
-PATH_FACETS = ("facet_id, after", "('f1', null), ('f2', 'f1'), ('f3', 'f2'), ('f4', 'f3')")
-PATH_EVIDENCE = ("evidence_id, facet_id, verdict, content_key", "('e1', 'f1', 'qualifying', 'k1'), ('e2', 'f2', 'wrong_era', 'k2'), ('e3', 'f3', 'qualifying', 'k1'), ('e4', 'f9', 'adjacent', 'k3')")
-
-
-@register("path_metrics", "facet_coverage:double complete:boolean wrong_era_rate:double utilisation:double duplicate_waste:double shortcut_rate:double", "select 0.5 as facet_coverage, false as complete, 0.25 as wrong_era_rate, 0.5 as utilisation, 0.25 as duplicate_waste, 0.25 as shortcut_rate")
+@register("path_metrics", "facet_coverage:double complete:boolean wrong_era_rate:double utilisation:double duplicate_waste:double shortcut_rate:double", f"""with v as (select e.*, v.verdict from {_EVIDENCE} e join {_VERDICT} v using (evidence_id)), f as (select facet_id, case when facet_id > 0 then facet_id - 1 end as after from {_FACETS}),
+ g as (select distinct facet_id from v where verdict = 'qualifying' and evidence_id % 40 = 1), e as (select * from v where evidence_id % 40 = 1)
+ select round((select count(*) from g) / (select count(*) from f), 6) as facet_coverage, (select count(*) from g) = (select count(*) from f) as complete, round(avg((verdict = 'wrong_era')::INT), 6) as wrong_era_rate, round(avg((verdict = 'qualifying')::INT), 6) as utilisation,
+ round((count(*) - count(distinct stage || revision)) / count(*), 6) as duplicate_waste, round((select count(*) from f where facet_id in (from g) and after is not null and after not in (from g)) / (select count(*) from f), 6) as shortcut_rate from e""")
 def _(spark, sf_dir):
-    return evaluate.path_metrics(values(spark, PATH_EVIDENCE), values(spark, PATH_FACETS))
-
-
+    facets, evidence = facets_of(spark, sf_dir), evidence_of(spark, sf_dir).where("evidence_id % 40 = 1")
+    judged = investigate.classified(evidence, facets).join(evidence.select("evidence_id", F.concat("stage", "revision").alias("content_key")), "evidence_id")
+    return evaluate.path_metrics(judged, facets.select("facet_id", F.when(F.col("facet_id") > 0, F.col("facet_id") - 1).alias("after")))

@@ -50,15 +50,15 @@ def markdown_summary(text: Column, fallback: Column) -> Column:
 
 
 def symbol_entries(groups: DataFrame, wanted: list[str], header: DataFrame | None = None) -> DataFrame:
-    """One row for each symbol of the wanted groups (id, symbols), in their order; a missing group is an error; header (text): symbols that it lacks are too."""
+    """One row for each symbol of the wanted groups (id, symbols), in their order; a missing group is an error; header (text, any number of rows): symbols that no row has are too."""
     order = F.array(*map(F.lit, wanted))
     rows = groups.where(F.col("id").isin(wanted)).select(F.array_position(order, F.col("id")).alias("place"), F.col("id").alias("group"), F.explode("symbols").alias("symbol"))
     found = {r[0] for r in groups.where(F.col("id").isin(wanted)).select("id").collect()}  # at most as many as are wanted
     if missing := [w for w in wanted if w not in found]:
         raise ValueError(f"groups are missing: {', '.join(missing)}")
     if header is not None:
-        lost = rows.crossJoin(F.broadcast(header.select(F.col("text").alias("_h")).limit(1))).where(~F.contains("_h", F.col("symbol")))
-        if lost.limit(1).count():
+        words = header.select(F.explode(F.split("text", r"\W+")).alias("symbol")).distinct()
+        if rows.join(words, "symbol", "left_anti").limit(1).count():
             raise ValueError("the header lacks a symbol")
     return rows
 
@@ -78,28 +78,32 @@ def catalog_union(parts: list[DataFrame], ranks: dict[str, int]) -> DataFrame:
 
 
 def yaml_records(files: DataFrame) -> DataFrame:
-    """(path, key, position, record JSON, line): each element of a top-level list, else one record `root`; files: path, text."""
-    schema = "path string, key string, position int, record string, line int"
+    """(path, key, position, record JSON, line, anchor, identifiers): each element of a top-level list, else one record `root`; files: path, text.
+
+    anchor is key[position], or root; identifiers are the anchor and the record's id, name and command where these are
+    texts; line is where the key is first found in the text.
+    """
+    schema = "path string, key string, position int, record string, line int, anchor string, identifiers array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         import yaml
 
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
         for batch in batches:
             rows = []
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = yaml.safe_load(text or "")
-                lists = [(k, v) for k, v in data.items() if isinstance(v, list)] if isinstance(data, dict) else []
-                for key, values in lists:
-                    at = (text or "").find(f"{key}:")
-                    line = text.count("\n", 0, max(at, 0)) + 1
-                    rows += [(path, key, i, json.dumps(v, sort_keys=True, default=str), line) for i, v in enumerate(values)]
-                if not lists:
-                    rows.append((path, "root", 0, json.dumps(data, sort_keys=True, default=str), 1))
+                text = text or ""
+                data = yaml.safe_load(text)
+                lists = [(k, v) for k, v in data.items() if isinstance(k, str) and isinstance(v, list)] if isinstance(data, dict) else []
+                found = [(k, i, f"{k}[{i}]", v) for k, values in lists for i, v in enumerate(values)] or [("root", 0, "root", data)]
+                for key, i, anchor, value in found:
+                    names = [value[n] for n in ("id", "name", "command") if isinstance(value.get(n), str)] if isinstance(value, dict) else []
+                    line = text.count("\n", 0, max(0, text.find(key))) + 1
+                    rows.append((path, key, i, json.dumps(value, sort_keys=True, default=str), line, anchor, sorted({anchor, *names})))
             if rows:
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "key", "position", "record", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "key", "position", "record", "line", "anchor", "identifiers"])
 
     return files.select("path", "text").mapInArrow(run, schema)
 
@@ -111,6 +115,21 @@ def referenced_paths(records: DataFrame) -> DataFrame:
     return found.where(sound).distinct().orderBy("path")
 
 
+def path_references(records: DataFrame) -> DataFrame:
+    """(repository, path, file) of referenced_paths with the repository that their file names; records: repository, path (the file), record. A file without a repository is an error."""
+    held = records.withColumn("repository", F.coalesce("repository", F.raise_error(F.concat(F.lit("no repository is named in "), F.col("path"))).cast("string")))
+    found = held.select("repository", F.col("path").alias("file"), F.explode(F.regexp_extract_all("record", F.lit(r'"path": ?"([^"]+)"'), F.lit(1))).alias("path"))
+    sound = F.contains("path", F.lit("/")) & ~F.col("path").rlike("^(/|catalog/|http)")
+    return found.where(sound).select("repository", "path", "file").distinct().orderBy("repository", "path", "file")
+
+
+def repeated_ids(entries: DataFrame) -> DataFrame:
+    """(id, first, other): ids (id, path) that a later file has again; the first file in order of paths is the one that keeps it."""
+    files = entries.where(F.col("id").isNotNull()).select("id", "path").distinct()
+    first = files.groupBy("id").agg(F.min("path").alias("first"), F.count("*").alias("_n")).where("_n > 1")
+    return files.join(first, "id").where(F.col("path") != F.col("first")).select("id", "first", F.col("path").alias("other")).orderBy("id", "other")
+
+
 def missing_paths(referenced: DataFrame, existing: DataFrame) -> DataFrame:
     return referenced.join(existing.select("path"), "path", "left_anti")
 

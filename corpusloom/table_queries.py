@@ -5,8 +5,6 @@ Rows that these operators need and the driver does not have (descriptors, stacks
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +12,7 @@ from corpusloom.functions import ids
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, documents, fusion, history, investigate, lexical, lookup, vectors
 from corpusloom.plans import search, store
-from corpusloom.queries import _TOKENS, QUERIES, TERMS, bm25_sql, read, register  # noqa: F401
+from corpusloom.queries import _TOKENS, QUERIES, TERMS, bm25_sql, kept_index, read, register  # noqa: F401
 from corpusloom.sources import catalog
 
 # --- text functions -----------------------------------------------------------
@@ -407,19 +405,17 @@ def _(spark, sf_dir):
 
 # --- search over fields, windows, overlay ----------------------------------------
 
-_FIELD_INDEXES: dict[tuple[str, str], str] = {}
 _FIELDS = {"title": "'doc ' || doc_id", "path": "lang || '/' || doc_id || '.txt'", "identifiers": "'id_' || doc_id", "body": "text", "tags": "lang"}
 
 
 def field_index(spark, sf_dir):
     """The path of a written index of five fields of the documents, built when first asked for in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FIELD_INDEXES:
-        path = f"{store.scratch_dir(spark)}/corpusloom-index/{uuid.uuid4().hex}"
+
+    def build(path):
         made = read(spark, sf_dir, "documents").select("doc_id", *[F.expr(x).alias(n) for n, x in _FIELDS.items()])
         lexical.write_index(made, "doc_id", list(_FIELDS), path)
-        _FIELD_INDEXES[key] = path
-    return _FIELD_INDEXES[key]
+
+    return kept_index(spark, sf_dir, "fields", build)
 
 
 def fields_sql(query: str, limit: int, exact: str = "false") -> str:

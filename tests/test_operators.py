@@ -255,3 +255,60 @@ def test_a_large_batch_of_queries_loses_no_term(spark):
     terms = spark.range(100_500).select(F.col("id").alias("query_id"), F.lit("alpha").alias("term"))
     found = lexical.query_postings(docs, "doc_id", "text", terms)
     assert found.select("query_id").distinct().count() == found.count() == 100_500
+
+
+def test_facets_take_turns_and_nothing_is_dropped(spark):
+    facets = spark.createDataFrame([(f"f{i:02d}", f"r{i}", "s", None, "q") for i in range(12)], "facet_id string, repository string, stage string, era string, question string")
+    plans = []
+
+    def acquire(plan):
+        plans.append([r["facet_id"] for r in plan.collect()])
+        last = plan.where("facet_id >= 'f08'")  # the first eight have no answer
+        return last.join(facets, "facet_id").select(F.concat(F.lit("e"), "facet_id").alias("evidence_id"), "facet_id", "repository", "stage", F.lit("v").alias("revision"), F.lit(False).alias("adjacent"))
+
+    state, held = investigate.investigate(facets, acquire, investigate.RoundBudget(rounds=2))
+    assert state == "insufficient" and held.count() == 4
+    assert plans[0] == [f"f{i:02d}" for i in range(8)] and plans[1][:4] == ["f08", "f09", "f10", "f11"]
+    with pytest.raises(ValueError, match="over 3 pieces"):
+        investigate.investigate(facets, acquire, investigate.RoundBudget(rounds=2, evidence=3))
+    turns = []
+
+    def contradict(plan):
+        turns.append(1)
+        return facets.limit(1).select(F.lit("e").alias("evidence_id"), "facet_id", F.lit(f"r{len(turns)}").alias("repository"), "stage", F.lit("v").alias("revision"), F.lit(False).alias("adjacent"))
+
+    with pytest.raises(ValueError, match="contradicts"):
+        investigate.investigate(facets, contradict)
+    long = facets.withColumn("question", F.repeat(F.lit("ü"), 130))
+    with pytest.raises(Exception, match="too long"):
+        investigate.planned(long, facets.select("facet_id")).collect()
+
+
+def test_proposals(spark):
+    facets = spark.createDataFrame([("a", "r", "s", None), ("b", "r", "s", None)], "facet_id string, repository string, stage string, era string")
+    new = spark.createDataFrame([("c", "r", "s", None), ("a", "r", "s", None)], facets.schema)
+    links = spark.createDataFrame([("a", "c", "k")], "from_facet string, to_facet string, kind string")
+    asked = "facet_id string, query string"
+    assert investigate.proposal_problems(facets, new, links, spark.createDataFrame([("c", "x"), ("a", "x")], asked)).count() == 0
+    bad = spark.createDataFrame([("z", "x"), ("a", " "), ("a", "x\ty"), ("b", "y"), ("b", "y"), ("b", "ü" * 129)] + [("b", str(i)) for i in range(5)], asked)
+    clash = spark.createDataFrame([("a", "other", "s", None)], facets.schema)
+    got = {r["problem"]: r["n"] for r in investigate.proposal_problems(facets, clash, links, bad).collect()}
+    assert got == {"limit": 1, "conflict": 1, "unknown_facet": 2, "query": 4}
+
+
+def test_records_have_anchors_and_names(spark):
+    text = "# list\nitems:\n- id: x\n  name: n\n- command: [1]\n- plain\nother: 1\n"
+    rows = catalog.yaml_records(spark.createDataFrame([("f.yaml", text), ("g.json", '{"a": {"id": "q"}}')], "path string, text string")).collect()
+    assert [(r["anchor"], r["identifiers"], r["line"]) for r in rows] == [("items[0]", ["items[0]", "n", "x"], 2), ("items[1]", ["items[1]"], 2), ("items[2]", ["items[2]"], 2), ("root", ["root"], 1)]
+    records = spark.createDataFrame([("r1", "f", '{"path": "a/b", "x": [{"path": "c/d"}]}'), ("r2", "g", '{"path": "a/b"}')], "repository string, path string, record string")
+    assert [tuple(r) for r in catalog.path_references(records).collect()] == [("r1", "a/b", "f"), ("r1", "c/d", "f"), ("r2", "a/b", "g")]
+    with pytest.raises(Exception, match="no repository"):
+        catalog.path_references(records.withColumn("repository", F.lit(None).cast("string"))).collect()
+    ids = spark.createDataFrame([("x", "b.yaml"), ("x", "a.yaml"), ("y", "a.yaml"), ("x", "c.yaml"), (None, "d")], "id string, path string")
+    assert [tuple(r) for r in catalog.repeated_ids(ids).collect()] == [("x", "a.yaml", "b.yaml"), ("x", "a.yaml", "c.yaml")]
+
+
+def test_every_row_of_a_header_counts(spark):
+    groups = spark.createDataFrame([("g1", ["a", "b"])], "id string, symbols array<string>")
+    header = spark.createDataFrame([("int a(void);",), ("int b(void);",)], "text string")
+    assert catalog.symbol_entries(groups, ["g1"], header).count() == 2

@@ -114,3 +114,21 @@ def test_postings_are_not_shuffled(spark):
     made = lexical.postings(docs, "id", ["text", "title"])
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["field"], r["term"], r["id"], r["tf"], r["length"]) for r in made.collect()) == [("text", "a", 1, 2, 3), ("text", "b", 1, 1, 3), ("title", "c", 2, 1, 1)]
+
+
+def test_the_service_takes_filters_into_the_index(spark, tmp_path):
+    from corpusloom.plans import search
+
+    rng = random.Random(8)
+    rows = [(f"c{i:02d}", f"d{i // 2}", i % 2, " ".join(rng.choice(WORDS) for _ in range(12)), f"x{i}", f"p{i // 2}", rng.choice(["v1", "v2"]), rng.choice(["r1", "r2"])) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, ordinal int, text string, content_digest string, path string, revision string, repository string")
+    index = SegmentedIndex(spark, str(tmp_path / "index"), "chunk_id", ("text",), ("repository", "revision"))
+    index.change(chunks.where("ordinal = 0").select("chunk_id", "text", "repository", "revision"))
+    index.change(chunks.where("ordinal = 1").select("chunk_id", "text", "repository", "revision"))
+    for filters in ({}, {"repository": "r1"}, {"repository": "r2", "revision": "v1"}, {"repository": "r1", "paths": ["p1", "p2", "p3"]}):
+        request = search.Request("alpha zeta gamma", limit=8, filters=filters)
+        plain, served = (search.search(chunks, request, index=i)[0].collect() for i in (None, index))
+        if "paths" in filters:  # what the index doesn't know is filtered afterwards: the same rows, with scores by the index's statistics
+            assert {r["chunk_id"] for r in plain} == {r["chunk_id"] for r in served}
+        else:
+            assert plain == served and plain
