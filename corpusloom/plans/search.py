@@ -78,8 +78,8 @@ def search(
             pushed = set()
         else:
             pushed, where = {k for k in asked if k in index.filters}, None
-            for k in sorted(pushed):
-                where = F.col(k) == asked[k] if where is None else where & (F.col(k) == asked[k])
+            for name in sorted(pushed):
+                where = F.col(name) == asked[name] if where is None else where & (F.col(name) == asked[name])
             scored = lexical.scored_index(index.view(where), "chunk_id", "text", terms)
         if set(asked) - pushed:
             scored = scored.join(pool.select("chunk_id"), "chunk_id", "left_semi")
