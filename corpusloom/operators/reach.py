@@ -126,6 +126,7 @@ def reuse_proofs(entries: DataFrame, indexed: DataFrame, history: Labels) -> Dat
     proofs = indexed.where("reusable").join(at, "revision").groupBy("path", "blob", "chain").agg(F.min("place").alias("_proof"))
     reach = reached(history, entries.select("commit")).select(F.col("tip").alias("commit"), "chain", "place")
     keys = entries.select("commit", "path", "blob").distinct()
-    met = keys.join(proofs, ["path", "blob"]).join(reach, ["commit", "chain"]).where(F.col("_proof") <= F.col("place"))
+    # an entry meets its own commit's chains first: one blob may be proved on any number of chains
+    met = keys.join(reach, "commit").join(proofs, ["path", "blob", "chain"]).where(F.col("_proof") <= F.col("place"))
     held = met.select("commit", "path", "blob").distinct().withColumn("_held", F.lit(True))
     return entries.join(held, ["commit", "path", "blob"], "left").select(*entries.columns, F.col("_held").isNotNull().alias("proof"))

@@ -97,3 +97,16 @@ def test_reuse_proofs(spark):
     entries = [(c, f"p{rng.randrange(2)}", f"b{rng.randrange(4)}") for c in names]
     got = reach.reuse_proofs(spark.createDataFrame(entries, "commit string, path string, blob string"), spark.createDataFrame(indexed, "path string, blob string, revision string, reusable boolean"), history)
     assert {tuple(r)[:3]: r["proof"] for r in got.collect()} == {(c, p, b): any(q == p and d == b and ok and v in walk(parents, c) for q, d, v, ok in indexed) for c, p, b in entries}
+
+
+def test_reuse_proofs_meet_entries_on_their_own_chains(spark):
+    """One blob proved on every chain: entries meet the proofs of chains that they reach, not all of the blob's."""
+    names = [f"c{i:03d}" for i in range(300)]
+    commits = spark.createDataFrame([(c,) for c in names], "commit string")
+    history = reach.labelled(commits, spark.createDataFrame([], "commit string, parent string, place int"))
+    entries = spark.createDataFrame([(c, "p", "b") for c in names], "commit string, path string, blob string")
+    indexed = spark.createDataFrame([("p", "b", c, True) for c in names[::2]], "path string, blob string, revision string, reusable boolean")
+    found = reach.reuse_proofs(entries, indexed, history)
+    assert {r["commit"]: r["proof"] for r in found.collect()} == {c: i % 2 == 0 for i, c in enumerate(names)}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line and "blob#" in line]
+    assert joins and all("chain#" in line for line in joins)
