@@ -94,9 +94,10 @@ def file_stem(path: Column) -> Column:
 
 def identifiers(path: Column, content: Column, most: int = 32) -> Column:
     """The path, the file's stem, then symbol-like and after them all valid tokens; the first `most` different ones, sorted."""
-    found = F.filter(F.split(content, "[^A-Za-z0-9_]"), valid_identifier)
-    ordered = F.array_distinct(F.concat(F.array(path, file_stem(path)), F.filter(found, symbol_like), found))
-    return F.array_sort(F.slice(ordered, 1, most))
+    valid = F.regexp_extract_all(content, F.lit("(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{2,127}+(?![A-Za-z0-9_])"), F.lit(0))
+    # within transform the tokens are found once for both of their uses, and each different one is looked at once
+    ordered = F.transform(F.array(F.array_distinct(valid)), lambda found: F.concat(F.array(path, file_stem(path)), F.filter(found, symbol_like), found))
+    return F.array_sort(F.slice(F.array_distinct(F.element_at(ordered, 1)), 1, most))
 
 
 def morphology(text: Column) -> Column:

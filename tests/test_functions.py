@@ -106,3 +106,11 @@ def test_invalid_documents_fail(spark):
 
 def test_crc_is_the_public_one(spark):
     assert one(spark, F.crc32(F.lit(17).cast("string"))) == zlib.crc32(b"17")
+
+
+def test_identifiers_read_a_text_once(spark):
+    rows = spark.createDataFrame([("a/b.txt", "foo Bar_1 xx foo é_é9ab A" + "b" * 127 + " A" + "b" * 128 + " 9ab _ab ab_ Bar_1"), ("c", None)], "path string, content string")
+    found = rows.select(text.identifiers(F.col("path"), F.col("content")).alias("x"))
+    assert [r["x"] for r in found.collect()] == [sorted(["a/b.txt", "b", "foo", "Bar_1", "A" + "b" * 127, "ab_"]), None]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(content") == 1 and "split(content" not in plan
