@@ -88,3 +88,11 @@ def test_profiles(spark):
     assert row["embedding"] == pytest.approx(vectors.fake_embedding(["query: text"], 8)[0])
     with pytest.raises(Exception, match="components"):
         vectors.embedded_by(docs, "text", provider, known["small-long"]).collect()
+
+
+def test_texts_are_cut_in_slices_of_bounded_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 4, None, "b" * 4, "c" * 30, "", "é" * 2])], names=["k", "t"])
+    parts = list(chunking.text_slices(iter([batch, batch.slice(0, 0), batch.slice(3)]), 1, most=8))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5], [3], [4, 5]]
