@@ -12,12 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
-from corpusloom.plans.files import delete_path
 
 K1, B = 1.2, 0.75
 
@@ -105,22 +104,21 @@ def query_postings(docs: DataFrame, key: str, field: str, terms: DataFrame) -> D
 
 def write_index(docs: DataFrame, key: str, fields: list[str], path: str, carry: tuple[str, ...] = ()) -> None:
     """An index of the fields below `path`; write_rows says what it holds. Texts are tokenised once."""
-    occurrences(docs, key, fields, carry).write.parquet(f"{path}/stage", mode="overwrite")
-    write_rows(docs.sparkSession.read.parquet(f"{path}/stage"), key, path, carry)
-    delete_path(docs.sparkSession, f"{path}/stage")
+    occurrences(docs, key, fields, carry).write.parquet(f"{path}/documents", mode="overwrite")
+    write_rows(docs.sparkSession, key, path, carry)
 
 
-def write_rows(rows: DataFrame, key: str, path: str, carry: tuple[str, ...] = ()) -> None:
-    """Tables of an index from its occurrences (a written table).
+def write_rows(spark: SparkSession, key: str, path: str, carry: tuple[str, ...] = ()) -> None:
+    """The other tables of an index whose occurrences are written to {path}/documents, in whatever order; these stay as they are.
 
     postings: in the order of term and key, dealt out by ranges of both, so that a frequent term's list is in many files
-    and a query's terms prune the rest. documents: the same rows by key. terms: the dictionary with document frequencies,
-    in order. fields: documents and tokens of each field for each combination of the carried columns.
+    and a query's terms prune the rest. terms: the dictionary with document frequencies, in order, counted in the postings,
+    where a term's rows stand together: a task sends on about a row for each of its terms. fields: documents and tokens of
+    each field for each combination of the carried columns. Only the postings' sort moves all rows.
     """
-    held = rows.where(F.col("term").isNotNull())
-    held.repartitionByRange("term", key).sortWithinPartitions("term", "field", key).write.parquet(f"{path}/postings", mode="overwrite")
-    rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{path}/documents", mode="overwrite")
-    counts = held.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    rows = spark.read.parquet(f"{path}/documents")
+    rows.where(F.col("term").isNotNull()).repartitionByRange("term", key).sortWithinPartitions("term", "field", key).write.parquet(f"{path}/postings", mode="overwrite")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
     counts.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(f"{path}/terms", mode="overwrite")
     field_totals(rows, carry).write.parquet(f"{path}/fields", mode="overwrite")
 

@@ -73,9 +73,8 @@ class SegmentedIndex:
         if docs is not None:
             lexical.write_index(docs, self.key, self.fields, path, self.filters)
         else:
-            rows.write.parquet(f"{path}/stage")
-            lexical.write_rows(self.spark.read.parquet(f"{path}/stage"), self.key, path, self.filters)
-            delete_path(self.spark, f"{path}/stage")
+            rows.write.parquet(f"{path}/documents")
+            lexical.write_rows(self.spark, self.key, path, self.filters)
         totals = self.spark.read.parquet(f"{path}/fields").where(F.col("field") == self.fields[0])
         return name, totals.agg(F.sum("documents")).first()[0] or 0
 

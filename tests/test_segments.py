@@ -132,3 +132,22 @@ def test_the_service_takes_filters_into_the_index(spark, tmp_path):
             assert {r["chunk_id"] for r in plain} == {r["chunk_id"] for r in served}
         else:
             assert plain == served and plain
+
+
+def test_an_index_sorts_its_rows_once(spark, tmp_path, monkeypatch):
+    """Only postings are dealt out with all rows; what the occurrences were written to is the documents' table itself."""
+    frame, dealt = type(spark.range(1)), []
+    real = frame.repartitionByRange
+
+    def seen(self, *columns):
+        dealt.append((columns, set(self.columns)))
+        return real(self, *columns)
+
+    monkeypatch.setattr(frame, "repartitionByRange", seen)
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(1, "b a b"), (2, "a"), (3, "")], "id bigint, text string")
+    lexical.write_index(docs, "id", ["text"], path)
+    assert [columns for columns, names in dealt if "tf" in names] == [("term", "id")]
+    held = spark.read.parquet(f"{path}/documents")
+    assert sorted((r["id"], r["term"] or "", r["tf"], r["length"]) for r in held.collect()) == [(1, "", 0, 3), (1, "a", 1, 3), (1, "b", 2, 3), (2, "", 0, 1), (2, "a", 1, 1), (3, "", 0, 0)]
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/terms").select("term", "df", "occurrences").orderBy("term").collect()] == [("a", 2, 2), ("b", 1, 2)]
