@@ -351,7 +351,7 @@ def occurrences(spark, sf_dir):
 def stored_blobs(spark, sf_dir):
     """The blobs once, written, and their locators."""
     root = fresh_root(spark, "blobs")
-    views.once(occurrences(spark, sf_dir)).write.parquet(f"{root}/blobs")
+    views.once(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("blob"), F.col("text").alias("content"))).write.parquet(f"{root}/blobs")
     blobs = spark.read.parquet(f"{root}/blobs")
     views.locators(blobs.select("blob", F.lit("a.txt").alias("path"), F.lit("text/plain").alias("media_type"), "content")).write.parquet(f"{root}/locators")
     return blobs, spark.read.parquet(f"{root}/locators")
