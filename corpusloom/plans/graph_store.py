@@ -30,18 +30,20 @@ class GraphStore:
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
         """nodes (node, repository, revision), edges (EDGE_ORDER). A graph that breaks its contract is refused, and nothing is written."""
+        nodes, edges = nodes.select("node", "repository", "revision").checkpoint(), edges.select(*EDGE_ORDER).checkpoint()  # the checks and both sides read them
         if bad := contract_problems(nodes, edges).collect():  # a row a kind
             raise ValueError("; ".join(f"{r['problem']}: {r['n']}" for r in bad))
-        placed = with_place(edges.select(*EDGE_ORDER), [F.asc(c) for c in EDGE_ORDER]).withColumn("place", F.col("place") - 1)
-        counts = nodes.select("node", "repository", "revision")
+        placed = with_place(edges, [F.asc(c) for c in EDGE_ORDER]).withColumn("place", F.col("place") - 1)
+        counts = nodes
         for side, (end, order) in _SIDES.items():
+            # the reverse side is dealt out from what the forward side has stored: places are counted once
             placed.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.root}/{side}", mode="overwrite")
-            held = self.spark.read.parquet(f"{self.root}/{side}")
+            placed = held = self.spark.read.parquet(f"{self.root}/{side}")
             files = held.groupBy(F.input_file_name().alias("file")).agg(F.min(end).alias("first"), F.max(end).alias("last"), F.count("*").alias("rows"))
             files.coalesce(1).write.parquet(f"{self.root}/{side}_bounds", mode="overwrite")
-            counts = counts.join(held.groupBy(F.col(end).alias("node")).agg(F.count("*").alias(f"{side}_edges")), "node", "left").fillna(0, [f"{side}_edges"])
-        first = placed.groupBy(F.col("source").alias("node")).agg(F.min("place").alias("forward_place"))
-        counts.join(first, "node", "left").repartitionByRange("node").sortWithinPartitions("node").write.parquet(f"{self.root}/nodes", mode="overwrite")
+            found = [F.count("*").alias(f"{side}_edges"), *([F.min("place").alias("forward_place")] if side == "forward" else [])]
+            counts = counts.join(held.groupBy(F.col(end).alias("node")).agg(*found), "node", "left").fillna(0, [f"{side}_edges"])
+        counts.select("node", "repository", "revision", "forward_edges", "reverse_edges", "forward_place").repartitionByRange("node").sortWithinPartitions("node").write.parquet(f"{self.root}/nodes", mode="overwrite")
 
     def nodes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/nodes")
