@@ -15,11 +15,15 @@ Cases: repeated edges count once; a parent that has no row of its own in `commit
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.plans.files import delete_path
+from corpusloom.plans.store import scratch_dir, written
+
 
 @dataclass(frozen=True)
 class Labels:
@@ -33,52 +37,54 @@ def labelled(commits: DataFrame, parents: DataFrame, known: Labels | None = None
     """Labels of commits (commit) and parents (commit, parent, place), added to what is known.
 
     With `known`, commits and parents are only the new ones; a new commit's parents are new or known.
+    commits and parents are read several times: a caller who computes them writes them first.
     """
-    edges = parents.select("commit", "parent", "place").distinct()
-    new = commits.select("commit").distinct()
+    edges = parents.select("commit", "parent", "place")
+    new = commits.select("commit")
     if known is None:
-        new = new.unionByName(edges.select(F.col("parent").alias("commit"))).distinct()
+        new = new.unionByName(edges.select(F.col("parent").alias("commit")))
     heirs = edges.where("place = 0").groupBy("parent").agg(F.min("commit").alias("commit"))
-    if known is not None:
-        ends = known.labels.groupBy("chain").agg(F.max("place").alias("place"))
-        inner = known.labels.join(ends, ["chain", "place"], "left_anti").select(F.col("commit").alias("parent"))
-        heirs = heirs.join(inner, "parent", "left_anti")  # a commit inside a chain has its heir already
     # pointer: the commit before in the chain; steps: how far that is
-    rows = new.join(heirs, "commit", "left").select("commit", F.col("parent").alias("pointer"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
-    rows = rows.withColumn("head", F.when(F.col("pointer").isNull(), F.col("commit"))).checkpoint()
+    pointer, steps, head = F.col("parent"), F.when(F.col("parent").isNull(), 0).otherwise(1), F.when(F.col("parent").isNull(), F.col("commit"))
     if known is not None:
-        at = known.labels.select(F.col("commit").alias("pointer"), F.col("chain").alias("_chain"), F.col("place").alias("_place"))
-        rows = rows.join(at, "pointer", "left").select(
-            "commit", F.when(F.col("_chain").isNull(), F.col("pointer")).alias("pointer"), (F.col("steps") + F.coalesce("_place", F.lit(0))).alias("steps"), F.coalesce("head", "_chain").alias("head")
-        )
-        rows = rows.checkpoint()
-    while rows.where("pointer is not null").limit(1).count():
-        to = rows.select(F.col("commit").alias("pointer"), F.col("pointer").alias("_pointer"), F.col("steps").alias("_steps"), F.col("head").alias("_head"))
-        rows = rows.join(to, "pointer", "left").select(
+        at = known.labels.select(F.col("commit").alias("parent"), F.col("chain").alias("_chain"), F.col("place").alias("_place"))
+        heirs = heirs.join(at, "parent", "left")
+        inner = known.labels.select(F.col("chain").alias("_chain"), (F.col("place") - 1).alias("_place"))
+        heirs = heirs.join(inner, ["_chain", "_place"], "left_anti")  # a commit inside a chain has its heir already
+        pointer, steps, head = F.when(F.col("_chain").isNull(), pointer), steps + F.coalesce("_place", F.lit(0)), F.coalesce(head, "_chain")
+    root = f"{scratch_dir(commits.sparkSession)}/corpusloom-chains/{uuid.uuid4().hex}"
+    rows = written(new.distinct().join(heirs, "commit", "left").select("commit", pointer.alias("pointer"), steps.cast("bigint").alias("steps"), head.alias("head")), root)
+    done, front = rows.where("pointer is null"), rows.where("pointer is not null")
+    while front.limit(1).count():
+        # only rows that have not come to their chain's head are moved on and written again
+        to = done.unionByName(front).select(F.col("commit").alias("pointer"), F.col("pointer").alias("_pointer"), F.col("steps").alias("_steps"), F.col("head").alias("_head"))
+        moved = front.join(to, "pointer", "left").select(
             "commit", F.col("_pointer").alias("pointer"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("head", "_head").alias("head")
         )
-        rows = rows.checkpoint()
-    labels = rows.select("commit", F.col("head").alias("chain"), F.col("steps").alias("place"))
+        moved = written(moved, root)
+        done, front = done.unionByName(moved.where("pointer is null")), moved.where("pointer is not null")
+    labels = written(done.select("commit", F.col("head").alias("chain"), F.col("steps").alias("place")))
+    delete_path(commits.sparkSession, root)
     whole = labels if known is None else known.labels.unionByName(labels)
     low = whole.select(F.col("commit").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
-    links = edges.select("commit", "parent").distinct().join(labels, "commit").join(low, "parent").where((F.col("chain") != F.col("to_chain")) | (F.col("place") != F.col("to_place") + 1))
-    links = links.select("chain", "place", "to_chain", "to_place").distinct().checkpoint()
+    links = edges.select("commit", "parent").join(labels, "commit").join(low, "parent").where((F.col("chain") != F.col("to_chain")) | (F.col("place") != F.col("to_place") + 1))
+    links = written(links.select("chain", "place", "to_chain", "to_place").distinct())
     return Labels(whole, links if known is None else known.links.unionByName(links))
 
 
 def reached(history: Labels, tips: DataFrame) -> DataFrame:
     """(tip, chain, place): the largest place on each chain that each of tips (commit) reaches, itself included; unknown tips reach nothing."""
-    seen = tips.select("commit").distinct().join(history.labels, "commit").select(F.col("commit").alias("tip"), "chain", "place").checkpoint()
+    seen = written(tips.select("commit").distinct().join(history.labels, "commit").select(F.col("commit").alias("tip"), "chain", "place"))
     front = seen.withColumn("below", F.lit(-1).cast("bigint"))
+    links = history.links.withColumnRenamed("place", "_at")
     while True:
-        met = front.join(history.links.withColumnRenamed("place", "_at"), "chain").where((F.col("_at") <= F.col("place")) & (F.col("_at") > F.col("below")))
+        met = front.join(links, "chain").where((F.col("_at") <= F.col("place")) & (F.col("_at") > F.col("below")))
         step = met.groupBy("tip", F.col("to_chain").alias("chain")).agg(F.max("to_place").alias("_new"))
-        front = step.join(seen, ["tip", "chain"], "left").where(F.col("place").isNull() | (F.col("_new") > F.col("place")))
-        front = front.select("tip", "chain", F.col("_new").alias("place"), F.coalesce("place", F.lit(-1)).alias("below")).checkpoint()
+        below = F.coalesce("place", F.lit(-1).cast("bigint"))
+        both = written(seen.join(step, ["tip", "chain"], "full").select("tip", "chain", F.greatest("place", "_new").alias("place"), below.alias("below"), (F.col("_new") > below).alias("_fresh")))
+        seen, front = both.select("tip", "chain", "place"), both.where("_fresh").drop("_fresh")
         if not front.limit(1).count():
             return seen
-        seen = seen.join(front.select("tip", "chain", F.col("place").alias("_new")), ["tip", "chain"], "full")
-        seen = seen.select("tip", "chain", F.greatest("place", "_new").alias("place")).checkpoint()
 
 
 def within(rows: DataFrame, commit: str, history: Labels, reach: DataFrame) -> DataFrame:
@@ -99,12 +105,12 @@ def merge_bases(history: Labels, pairs: DataFrame) -> DataFrame:
 
     On each chain only the highest common place can be one, and it is none if a link leads to it from a common place of another chain.
     """
-    pairs = pairs.select("current", "previous").distinct()
+    pairs = written(pairs.select("current", "previous").distinct())
     tips = pairs.select(F.col("current").alias("commit")).unionByName(pairs.select(F.col("previous").alias("commit")))
     reach = reached(history, tips)
     left = reach.select(F.col("tip").alias("current"), "chain", F.col("place").alias("_left"))
     right = reach.select(F.col("tip").alias("previous"), "chain", F.col("place").alias("_right"))
-    common = pairs.join(left, "current").join(right, ["previous", "chain"]).select("current", "previous", "chain", F.least("_left", "_right").alias("place")).checkpoint()
+    common = written(pairs.join(left, "current").join(right, ["previous", "chain"]).select("current", "previous", "chain", F.least("_left", "_right").alias("place")))
     links = history.links.withColumnRenamed("place", "_at")
     stale = common.join(links, "chain").where(F.col("_at") <= F.col("place")).select("current", "previous", F.col("to_chain").alias("chain"), F.col("to_place").alias("place"))
     top = common.join(stale.distinct(), ["current", "previous", "chain", "place"], "left_anti")

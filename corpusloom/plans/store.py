@@ -35,6 +35,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, root: str | None = None) -> DataFrame:
+    """df as a Parquet table below `root`, read again: for what is read several times, which is dear from a checkpoint's serialised rows."""
+    path = f"{root or scratch_dir(df.sparkSession)}/corpusloom-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables of one corpus below `root`: generations/<id>/<table> and active.json, the name of the current one."""
 

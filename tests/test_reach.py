@@ -110,3 +110,30 @@ def test_reuse_proofs_meet_entries_on_their_own_chains(spark):
     assert {r["commit"]: r["proof"] for r in found.collect()} == {c: i % 2 == 0 for i, c in enumerate(names)}
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line and "blob#" in line]
     assert joins and all("chain#" in line for line in joins)
+
+
+def test_rounds_move_only_what_is_not_at_its_chain_s_head(spark, monkeypatch):
+    sizes, write = [], reach.written
+
+    def counted(df, root=None):
+        out = write(df, root)
+        sizes.append((root is not None, out.count()))
+        return out
+
+    monkeypatch.setattr(reach, "written", counted)
+    commits = spark.range(1064).select(F.format_string("%04d", "id").alias("commit"))
+    parents = spark.range(1, 64).select(F.format_string("%04d", "id").alias("commit"), F.format_string("%04d", F.col("id") - 1).alias("parent"), F.lit(0).alias("place"))
+    labels = reach.labelled(commits, parents).labels
+    rounds = [n for inner, n in sizes if inner]
+    assert rounds[0] == 1064 and rounds[1:] == [63, 62, 60, 56, 48, 32]
+    assert {(r["commit"], r["chain"], r["place"]) for r in labels.collect()} == {(f"{i:04d}", "0000" if i < 64 else f"{i:04d}", i if i < 64 else 0) for i in range(1064)}
+
+
+def test_the_history_of_the_orders_is_written_once(spark, tmp_path):
+    from corpusloom.life_queries import commits, parents_of
+
+    rows = [(k, k % 3, f"2020-01-{k:02d}") for k in range(1, 28)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    made = commits(spark, str(tmp_path))
+    assert "Window" not in parents_of(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["commit"]: r["nth"] for r in made.where("repo = 1").collect()} == {k: (25 - k) // 3 + 1 for k in range(1, 28, 3)}
