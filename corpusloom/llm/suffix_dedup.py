@@ -43,6 +43,8 @@ LENGTH, WIDTHS = 100, (50, 90, 97)
 SYMBOL, BLOCK = 12, 1 << 18
 #: Bits of the bitmap of repeated anchors, hashes that one task counts, and half the bytes that are hashed at a time.
 ANCHOR_BITS, ANCHORS, SPAN = 1 << 26, 4_000_000, 1 << 19
+#: Windows whose anchors are found at a time: their arrays stay in a core's cache.
+TILE = 1 << 16
 
 _LAST = (1 << 63) - 1
 
@@ -58,7 +60,15 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `length` bytes: where its anchor starts; and all hashes. data: at most 2 ** 24 bytes."""
+    """For each window of `length` bytes: where its anchor starts; and all hashes. A tile's anchors hang on its own bytes alone."""
+    windows = len(data) - length + 1
+    if windows > TILE:
+        at, h = np.empty(windows, np.int64), np.empty(len(data) - width + 1, np.uint64)
+        for s in range(0, windows, TILE):
+            part, own = anchors(data[s : s + TILE + length - 1], length, width)
+            np.add(part, s, out=at[s : s + len(part)])
+            h[s : s + len(own)] = own
+        return at, h
     h, many = window_hashes(data, width), length - width + 1
     if len(data) < length:
         return np.zeros(0, np.int64), h
@@ -86,11 +96,14 @@ def pieces(data: np.ndarray, ends: np.ndarray, length: int, width: int, wanted:
     at, h = anchors(data, length, width)
     if not len(at):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    ok = np.arange(length, length + len(at)) <= np.repeat(ends, np.diff(ends, prepend=0))[: len(at)]
+    ok = np.ones(len(at), bool)
+    for e in ends.tolist():  # a window that starts less than `length` bytes before its text's end goes beyond it
+        ok[max(0, e - length + 1) : e] = False
     if wanted is not None:
         ok &= wanted[: len(at)]
-    new = np.r_[True, (at[1:] != at[:-1]) | ~ok[:-1]] & ok
-    starts, cuts = np.flatnonzero(new), np.flatnonzero(new | ~ok)
+    out, new = ~ok, ok.copy()
+    new[1:] &= (at[1:] != at[:-1]) | out[:-1]
+    starts, cuts = np.flatnonzero(new), np.flatnonzero(new | out)
     stops = np.append(cuts, len(at))[np.searchsorted(cuts, starts, "right")]
     return np.searchsorted(ends, starts, "right"), starts, stops - starts, at[starts], h[at[starts]]
 
