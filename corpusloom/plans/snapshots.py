@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.vectors import Profile
 from corpusloom.plans.embedding import EmbeddingRun, Provider
 from corpusloom.plans.files import delete_path, exists, listed_folders, read_text, write_text
-from corpusloom.plans.store import snapshot_id
+from corpusloom.plans.store import snapshot_id, written
 
 
 @dataclass(frozen=True)
@@ -68,17 +68,20 @@ class Snapshots:
         documents.write.parquet(f"{path}/documents", mode="overwrite")
         held = self.table(name, "documents")
         fresh = held if base is None else held.join(self.table(base, "documents").select("document_id"), "document_id", "left_anti")
-        chunks = self.chunk(fresh).select("document_id", "chunk_id", "content_key", "text")
+        self.chunk(fresh).select("document_id", "chunk_id", "content_key", "text").write.parquet(f"{path}/chunks", mode="overwrite")
+        # the base has the vectors of all that it has chunks of, so only new documents' contents can be missing
+        missing = self.table(name, "chunks").groupBy("content_key").agg(F.min("text").alias("text"))
         if base is not None:
-            chunks = chunks.unionByName(self.table(base, "chunks").join(held.select("document_id"), "document_id", "left_semi"))
-        chunks.write.parquet(f"{path}/chunks", mode="overwrite")
-        chunks = self.table(name, "chunks")
-        wanted = chunks.groupBy("content_key").agg(F.min("text").alias("text"))
-        have = None if base is None else self.table(base, "vectors").join(wanted.select("content_key"), "content_key", "left_semi")
-        missing = wanted if have is None else wanted.join(have.select("content_key"), "content_key", "left_anti")
+            missing = missing.join(self.table(base, "vectors").select("content_key"), "content_key", "left_anti")
+        missing = written(missing, f"{path}/embedding")  # it is read several times
+        if base is not None:
+            kept = self.table(base, "chunks").join(held.select("document_id"), "document_id", "left_semi")
+            kept.select("document_id", "chunk_id", "content_key", "text").write.parquet(f"{path}/chunks", mode="append")
+        keys = self.table(name, "chunks").select("content_key").distinct()
+        have = None if base is None else self.table(base, "vectors").join(keys, "content_key", "left_semi")
         n, vectors = missing.count(), have
         if n:
-            run = EmbeddingRun(self.spark, f"{path}/embedding", "content_key", self.model, self.profile, missing)
+            run = EmbeddingRun(self.spark, f"{path}/embedding/run", "content_key", self.model, self.profile, missing)
             if left := run.run(self.provider):
                 raise ValueError(f"{left} contents could not be embedded")
             vectors = run.finish() if have is None else have.unionByName(run.finish())

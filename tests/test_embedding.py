@@ -91,3 +91,23 @@ def test_three_requests(spark, tmp_path):
     assert len(vectors) == 5
     other = Snapshots(spark, str(tmp_path / "s"), chunk, lambda t: fake_embedding(t, 4), "m2", Profile("mean", 4, 512))
     assert other.request({"r": "c2"}, two).how == "built"  # another model has nothing to derive from
+
+
+def test_what_is_embedded_is_written_once_before(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import snapshots as module
+
+    plans, run = [], module.EmbeddingRun
+
+    def seen(spark, root, key, model, profile, rows):
+        plans.append((rows._jdf.queryExecution().optimizedPlan().toString(), {r["text"] for r in rows.collect()}))
+        return run(spark, root, key, model, profile, rows)
+
+    monkeypatch.setattr(module, "EmbeddingRun", seen)
+    chunk = lambda docs: docs.select("document_id", F.col("document_id").alias("chunk_id"), F.sha2("text", 256).alias("content_key"), "text")
+    held = Snapshots(spark, str(tmp_path / "s"), chunk, lambda t: fake_embedding(t, 4), "m", Profile("mean", 4, 512))
+    held.request({"r": "c1"}, spark.createDataFrame([("d1", "a"), ("d2", "b")], "document_id string, text string"))
+    on = held.request({"r": "c2"}, spark.createDataFrame([("d1", "a"), ("d3", "b"), ("d4", "c"), ("d5", "c")], "document_id string, text string"))
+    assert not any(word in plan for plan, _ in plans for word in ("Aggregate", "Join"))
+    assert [texts for _, texts in plans] == [{"a", "b"}, {"c"}]
+    assert (on.how, on.chunked, on.embedded) == ("derived", 3, 1)
+    assert held.table(on.name, "chunks").count() == 4 and held.table(on.name, "vectors").count() == 3
