@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as T
 from corpusloom.operators import fusion, lexical, vectors
 from corpusloom.plans.segments import SegmentedIndex
+from corpusloom.plans.store import written
 
 QUERY_BYTES, RESPONSE_BYTES, PASSAGE_BYTES, MOST, DEFAULT = 4096, 65_536, 8192, 50, 10
 MODES, DETAILS = ("lexical", "semantic", "hybrid", "auto"), ("compact", "full")
@@ -61,7 +62,7 @@ def search(
     index: path of lexical.write_index over the chunks (chunk_id, text): then only its postings are read, and scores take
     their statistics from all of it; without filters both ways give the same rows. A SegmentedIndex whose filter columns are those
     that are filtered by (all but paths and tags) takes them into its scans, and gives the same rows with filters too.
-    Passages are fetched for the winners only.
+    Passages are fetched for the winners only. chunks are read several times: a caller who cuts them writes them first.
     """
     warnings: list[str] = []
     if request.mode in ("semantic", "hybrid") and semantic is None:
@@ -85,7 +86,9 @@ def search(
             scored = scored.join(pool.select("chunk_id"), "chunk_id", "left_semi")
         found = lexical.passes(scored, "chunk_id", request.query, k)
     else:
-        found = lexical.candidates(pool.select("chunk_id", "text"), "chunk_id", "text", request.query, k)
+        # the passes read the scores, not the texts again
+        scored = lexical.scored(pool.select("chunk_id", "text"), "chunk_id", "text", lexical.query_terms(request.query))
+        found = lexical.passes(written(scored.where("coverage > 0").select("chunk_id", "coverage", "score")), "chunk_id", request.query, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), "chunk_id")
     ranked = found.select(F.lit(0).alias("query_id"), "chunk_id", "coverage", "score")
     left = ranked.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"))

@@ -739,7 +739,7 @@ def _(spark, sf_dir):
 
 @register("search_service", "rank:bigint path:string occurrences:bigint score:double", None)
 def _(spark, sf_dir):
-    chunks = chunk_table(spark, sf_dir)
+    chunks = store.written(chunk_table(spark, sf_dir))
     return search.search(chunks, search.Request("this with that", limit=10))[0]
 
 

@@ -147,3 +147,12 @@ def test_overlay_holds_corrections_to_score_and_evidence(spark):
     assert [r["record_id"] for r in search.overlay(records, "gear ratio", 5, resources, least=0.1).orderBy("rank").collect()] == ["a", "e"]
     assert [r["record_id"] for r in search.overlay(records, "gear ratio", 5, resources, least=99.0).collect()] == ["e"]
     assert search.overlay(records.limit(0), "gear", 5, resources).count() == 0
+
+
+def test_the_service_s_chunks_are_cut_once(spark, tmp_path):
+    from corpusloom.queries import QUERIES
+
+    rows = [(i, f"this with that {i}", "en", "src0", 16) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["search_service"](spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 5
