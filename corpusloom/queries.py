@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,11 +59,16 @@ def duck(table: tuple[str, str]) -> str:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's documents as normalised ones."""
+    """The driver's documents as normalised ones, all of them: without a first line the path is the title, a null lang or source gets a stand-in."""
     d = read(spark, sf_dir, "documents")
-    first = F.substring_index("text", "\n", 1)
-    path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return documents.document(d.select("doc_id", "lang", "source", F.col("text")), first, F.col("source"), F.lit("v1"), path, F.col("text"))
+    path = F.concat(F.coalesce("lang", F.lit("und")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    title = F.coalesce(F.nullif(F.trim(F.substring_index("text", "\n", 1)), F.lit("")), path)
+    return documents.document(d.select("doc_id", "lang", "source", F.col("text")), title, F.coalesce("source", F.lit("")), F.lit("v1"), path, F.col("text"))
+
+
+def unless_null(value: Column, *columns: str) -> Column:
+    """value, but null where one of the columns that it is made of is null: what SQL gives where corpus() has a stand-in."""
+    return F.when(F.size(F.array_compact(F.array(*columns))) == len(columns), value)
 
 
 _CORPUS = """(select doc_id, lang, source as repository, 'v1' as revision, lang || '/' || doc_id || '.txt' as path, text as content,
@@ -231,7 +236,7 @@ def _(spark, sf_dir):
 
 @register("document_identity", "doc_id:bigint content_digest:string document_id:string", f"select doc_id, content_digest, {_doc_id('repository', 'revision', 'path', 'content_digest')} as document_id from {_CORPUS}")
 def _(spark, sf_dir):
-    return corpus(spark, sf_dir)
+    return corpus(spark, sf_dir).withColumn("document_id", unless_null(F.col("document_id"), "lang", "source"))
 
 
 @register("corpus_inventory", "documents:bigint digests:bigint bytes:bigint", "select count(*) as documents, count(distinct sha256(text)) as digests, sum(strlen(text)) as bytes from documents")
@@ -246,7 +251,8 @@ def _(spark, sf_dir):
 
 @register("content_keys", "doc_id:bigint content_key:string", "select doc_id, sha256(encode(source) || unhex('00') || encode(lang || '/' || doc_id || '.txt') || unhex('00') || encode('sha256:' || sha256(text))) as content_key from documents")
 def _(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", ids.content_key(F.col("repository"), F.col("path"), F.col("content")).alias("content_key"))
+    key = ids.content_key(F.col("repository"), F.col("path"), F.col("content"))
+    return corpus(spark, sf_dir).select("doc_id", unless_null(key, "lang", "source").alias("content_key"))
 
 
 @register("source_census", "source:string lang:string documents:bigint bytes:bigint oversized:bigint", "select source, lang, count(*) as documents, sum(strlen(text)) as bytes, count(*) filter (strlen(text) > 8192) as oversized from documents group by all")
@@ -266,8 +272,8 @@ BUDGET = budget.Budget(8192, 20, 40_000)
  n + (n < 20 and b + o.size <= 40000)::INT, b + case when n < 20 and b + o.size <= 40000 then o.size else 0 end from w join o on o.grp = w.grp and o.rn = w.rn + 1)
  select grp, path, size, verdict from w union all select grp, path, size, 'oversized' from r where size > 8192""")
 def _(spark, sf_dir):
-    rows = corpus(spark, sf_dir).select(F.col("repository").alias("grp"), "path", F.octet_length("content").alias("size"))
-    return budget.admitted(rows, F.col("size"), [F.col("path")], BUDGET, F.col("grp"))
+    rows = corpus(spark, sf_dir).where("content is not null").select(F.col("source").alias("grp"), unless_null(F.col("path"), "lang").alias("path"), F.octet_length("content").alias("size"))
+    return budget.admitted(rows, F.col("size"), [F.asc_nulls_last("path")], BUDGET, F.col("grp"))
 
 
 @register("rejection_sample", "source:string doc_id:bigint place:bigint total:bigint", "select source, doc_id, row_number() over (partition by source order by doc_id) as place, count(*) over (partition by source) as total from documents where strlen(text) > 4096 qualify place <= 3")
