@@ -218,7 +218,9 @@ def _(spark, sf_dir):
  select doc_id, list_concat([lang || '/' || doc_id || '.txt', doc_id::VARCHAR], list_filter(f, lambda t: regexp_matches(t, '[_0-9A-Z]')), f) as allv from (
  select doc_id, lang, list_filter(string_split_regex(text, '[^A-Za-z0-9_]'), lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9_]{2,127}$')) as f from documents)))""")
 def _(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", F.array_join(T.identifiers(F.col("path"), F.col("content")), "|").alias("names"))
+    found = T.identifiers(F.col("path"), F.coalesce("content", F.lit("")))
+    own = F.filter(found, lambda n: F.col("lang").isNotNull() | (n != F.col("path")))  # a stand-in takes its place among the first, but is no name
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(own, "|").alias("names"))
 
 
 @register("morphology_aliases", "doc_id:bigint stems:bigint", "select doc_id, len(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^.{4,}ence$'))) as stems from documents")

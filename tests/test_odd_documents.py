@@ -20,7 +20,7 @@ def odd(spark, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("name", ["chunk_bounded_split", "chunk_spans", "chunk_adjacency", "document_reassembly", "completeness_check", "document_identity", "corpus_inventory", "exact_duplicate_groups", "content_keys"])
+@pytest.mark.parametrize("name", ["chunk_bounded_split", "chunk_spans", "chunk_adjacency", "document_reassembly", "completeness_check", "identifier_extraction", "document_identity", "corpus_inventory", "exact_duplicate_groups", "content_keys"])
 def test_equal_to_sql(spark, odd, name):
     db = duckdb.connect()
     db.sql(f"create view documents as select * from '{odd}/documents.parquet/*.parquet'")
