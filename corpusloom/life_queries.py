@@ -190,10 +190,10 @@ def stored_graph(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(
         name("p", "l_partkey").alias("source"), name("s", "l_suppkey").alias("target"), name("p", "l_partkey").alias("evidence_node"), line.alias("start_line"), (line + 2).alias("end_line"),
         F.lit(0).alias("start_byte"), F.col("l_quantity").cast("int").alias("end_byte"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("extractor"), (line % 3).alias("confidence"), (line > 4).alias("verified"),
-    ).distinct()
+    )
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", F.lit("r").alias("repository"), F.lit("v").alias("revision"))
     graph = GraphStore(spark, fresh_root(spark, "graph"))
-    graph.write(nodes, edges)
+    graph.write(nodes, edges, once=True)
     return graph
 
 

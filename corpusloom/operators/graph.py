@@ -63,25 +63,30 @@ def problems(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
 EDGE_ORDER = ["source", "target", "evidence_node", "start_line", "end_line", "start_byte", "end_byte", "relation", "extractor", "confidence", "verified"]
 
 
-def contract_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def contract_problems(nodes: DataFrame, edges: DataFrame, repeats: int | None = None) -> DataFrame:
     """(problem, n) of nodes (node, repository, revision) and edges (EDGE_ORDER): only those that occur.
 
     dangling: an end, or the evidence, is no node. crossing: source, target and evidence differ in repository or revision.
     span: lines or bytes end before they start. metadata: a blank relation or extractor. repeated_node, repeated_edge.
+    repeats: how many edges are repeated, where that is known already.
     """
-    ends = edges.select(F.explode(F.array("source", "target", "evidence_node")).alias("node")).join(nodes, "node", "left_anti")
+    ends = edges.select(F.explode(F.array("source", "target", "evidence_node")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))  # combined before they move
+    placed = edges.select("source", "target", "evidence_node").distinct()
+    if nodes.select("repository", "revision").distinct().limit(2).count() < 2:  # with one scope nothing can cross
+        placed = placed.limit(0)
     scope = lambda name: nodes.select(F.col("node").alias(name), F.struct("repository", "revision").alias(f"_{name}"))
-    placed = edges.select("source", "target", "evidence_node").distinct().join(scope("source"), "source").join(scope("target"), "target").join(scope("evidence_node"), "evidence_node")
+    placed = placed.join(scope("source"), "source").join(scope("target"), "target").join(scope("evidence_node"), "evidence_node")
     found = {
-        "dangling": ends,
+        "dangling": ends.join(nodes, "node", "left_anti"),
         "crossing": placed.where((F.col("_source") != F.col("_target")) | (F.col("_source") != F.col("_evidence_node"))),
         "span": edges.where((F.col("start_line") > F.col("end_line")) | (F.col("start_byte") > F.col("end_byte"))),
         "metadata": edges.where((F.trim("relation") == "") | (F.trim("extractor") == "") | F.col("relation").isNull() | F.col("extractor").isNull()),
         "repeated_node": nodes.groupBy("node").count().where("count > 1"),
-        "repeated_edge": edges.groupBy(*EDGE_ORDER).count().where("count > 1"),
+        "repeated_edge": edges.groupBy(*EDGE_ORDER).count().where("count > 1") if repeats is None else nodes.sparkSession.range(repeats),
     }
     out = None
     for name, rows in found.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+        number = F.coalesce(F.sum("n"), F.lit(0)) if name == "dangling" else F.count("*")
+        one = rows.agg(number.alias("n")).select(F.lit(name).alias("problem"), "n")
         out = one if out is None else out.unionByName(one)
     return out.where("n > 0")

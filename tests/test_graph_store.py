@@ -1,6 +1,7 @@
 """The stored graph, both ways, and its contract."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,26 @@ def test_neighbours_are_read_from_few_files(spark, tmp_path):
     assert more.count() == sum(e[0] in ("n000", "n031") for e in rows)
 
 
+def test_edges_move_once_a_side(spark, tmp_path):
+    """Repeated edges are stored once where that is asked for, in one order over all parts even with a column that is a constant; nothing is checkpointed."""
+    nodes, edges, rows = made(spark)
+    kept = lambda: set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("*/rdd-*"))
+    store, before = GraphStore(spark, str(tmp_path / "graph")), kept()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        store.write(nodes, edges.unionByName(edges.limit(150)).withColumn("extractor", F.lit("x")), once=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert kept() == before
+    for outgoing in (True, False):
+        found = [tuple(r[c] for c in ["place", *EDGE_ORDER]) for r in store.edges(outgoing).collect()]
+        assert sorted(found) == [(i, *e) for i, e in enumerate(rows)]
+    store.validate()
+    with pytest.raises(ValueError, match="repeated_edge: 150"):
+        GraphStore(spark, str(tmp_path / "g")).write(nodes, edges.unionByName(edges.limit(150)).unionByName(edges.limit(150)))
+    assert not (tmp_path / "g" / "forward").exists()
+
+
 def test_files_out_of_order_are_found(spark, tmp_path):
     nodes, edges, _ = made(spark, 50)
     store = GraphStore(spark, str(tmp_path / "graph"))
