@@ -349,17 +349,16 @@ def occurrences(spark, sf_dir):
 
 
 def stored_blobs(spark, sf_dir):
-    """The blobs once, written, and their locators."""
-    root = fresh_root(spark, "blobs")
-    views.once(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("blob"), F.col("text").alias("content"))).write.parquet(f"{root}/blobs")
-    blobs = spark.read.parquet(f"{root}/blobs")
-    views.locators(blobs.select("blob", F.lit("a.txt").alias("path"), F.lit("text/plain").alias("media_type"), "content")).write.parquet(f"{root}/locators")
-    return blobs, spark.read.parquet(f"{root}/locators")
+    """(blob, content, number): the blobs once, written."""
+    path = f"{fresh_root(spark, 'blobs')}/blobs"
+    views.numbered(views.once(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("blob"), F.col("text").alias("content")))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("virtual_chunks", "doc_id:bigint revision:string ordinal:bigint start_byte:bigint passage:string", f"select p.doc_id, revision, ordinal, strlen(substr(content, 1, pos)) as start_byte, sha256(text) as passage from {_PIECES} p join {_SEEN} s on s.doc_id = p.doc_id")
 def _(spark, sf_dir):
-    blobs, places = stored_blobs(spark, sf_dir)
+    blobs = stored_blobs(spark, sf_dir)
+    places = store.written(views.locators(blobs.select("blob", F.lit("a.txt").alias("path"), F.lit("text/plain").alias("media_type"), "content")))
     cut = views.with_passages(places, blobs)
     chunks = views.virtual_chunks(occurrences(spark, sf_dir).select("doc_id", "revision", "blob"), cut)
     return chunks.withColumn("passage", F.sha2("passage", 256))
@@ -369,10 +368,11 @@ def _(spark, sf_dir):
  r as (select doc_id as blob, coverage, score, row_number() over (order by coverage desc, score desc, doc_id) as rank from {bm25_sql(TERMS).replace("from documents", "from (select blob as doc_id, text from b)")})
  select rank, r.blob, score, (select count(*) from {_SEEN} s where s.blob = r.blob) as occurrences, sha256(substr(b.text, 1, greatest(0, length(b.text) - 1))) as passage from r join b using (blob) where rank <= 10""")
 def _(spark, sf_dir):
-    blobs, _ = stored_blobs(spark, sf_dir)
+    blobs = stored_blobs(spark, sf_dir)
     path = fresh_root(spark, "index")
-    lexical.write_index(blobs.select("blob", F.col("content").alias("text")), "blob", ["text"], path)
-    best = lexical.scored_index(lexical.open_index(spark, path), "blob", "text", TERMS).orderBy(F.desc("coverage"), F.desc("score"), "blob").limit(10)
+    lexical.write_index(blobs.select("number", F.col("content").alias("text")), "number", ["text"], path)
+    scored = lexical.scored_index(lexical.open_index(spark, path), "number", "text", TERMS)
+    best = scored.join(blobs.select("number", "blob"), "number").drop("number").orderBy(F.desc("coverage"), F.desc("score"), "blob").limit(10)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("coverage"), F.desc("score"), "blob"))).checkpoint()  # a result page
     last = blobs.select("blob", F.lit(0).alias("start_byte"), F.octet_length(F.substring("content", 1, F.length("content") - 1)).alias("end_byte"))
     page = views.with_history(ranked, occurrences(spark, sf_dir)).join(last, "blob")

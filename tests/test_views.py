@@ -1,7 +1,10 @@
 """Passages cut from blobs against stored chunks."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from corpusloom.operators import chunking, views
 
 
@@ -28,3 +31,12 @@ def test_winners_get_their_history(spark):
     ranked = spark.createDataFrame([(1, "b"), (2, "c")], "rank int, blob string")
     got = {r["blob"]: (r["occurrences"], r["paths"], [(x["revision"], x["path"]) for x in r["first"]]) for r in views.with_history(ranked, occurrences, most=3).collect()}
     assert got == {"b": (10, 2, [("v0", "p0"), ("v1", "p1"), ("v2", "p0")]), "c": (1, 1, [("v1", "q")])}
+
+
+def test_history_search_indexes_numbers(spark):
+    """The postings' key is a number: a digest on each of them took nine tenths of the index."""
+    place = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "corpusloom-index"
+    before = set(place.glob("*"))
+    assert len(__spark_entry__.queries()["history_search"](spark, "/root/testdata/sf0.001").collect()) == 10
+    (made,) = set(place.glob("*")) - before
+    assert dict(spark.read.parquet(f"{made}/postings").dtypes) == {"field": "string", "term": "string", "number": "bigint", "length": "int", "tf": "bigint"}
