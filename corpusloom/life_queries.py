@@ -348,16 +348,15 @@ def occurrences(spark, sf_dir):
     return d.select("doc_id", F.sha2("text", 256).alias("blob"), F.col("text").alias("content"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), revisions.alias("revision"))
 
 
-def stored_blobs(spark, sf_dir):
-    """(blob, content, number): the blobs once, written."""
-    path = f"{fresh_root(spark, 'blobs')}/blobs"
-    views.numbered(views.once(read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("blob"), F.col("text").alias("content")))).write.parquet(path)
-    return spark.read.parquet(path)
+def blobs_once(spark, sf_dir):
+    """(number, blob, content): each blob once, as the document with the least number has it. An index names blobs by number: in the order of terms digests can't be compressed."""
+    d = read(spark, sf_dir, "documents")
+    return views.firsts(d.select(F.col("doc_id").alias("number"), F.sha2("text", 256).alias("blob"), F.col("text").alias("content")), "number")
 
 
 @register("virtual_chunks", "doc_id:bigint revision:string ordinal:bigint start_byte:bigint passage:string", f"select p.doc_id, revision, ordinal, strlen(substr(content, 1, pos)) as start_byte, sha256(text) as passage from {_PIECES} p join {_SEEN} s on s.doc_id = p.doc_id")
 def _(spark, sf_dir):
-    blobs = stored_blobs(spark, sf_dir)
+    blobs = blobs_once(spark, sf_dir)
     places = store.written(views.locators(blobs.select("blob", F.lit("a.txt").alias("path"), F.lit("text/plain").alias("media_type"), "content")))
     cut = views.with_passages(places, blobs)
     chunks = views.virtual_chunks(occurrences(spark, sf_dir).select("doc_id", "revision", "blob"), cut)
@@ -368,7 +367,7 @@ def _(spark, sf_dir):
  r as (select doc_id as blob, coverage, score, row_number() over (order by coverage desc, score desc, doc_id) as rank from {bm25_sql(TERMS).replace("from documents", "from (select blob as doc_id, text from b)")})
  select rank, r.blob, score, (select count(*) from {_SEEN} s where s.blob = r.blob) as occurrences, sha256(substr(b.text, 1, greatest(0, length(b.text) - 1))) as passage from r join b using (blob) where rank <= 10""")
 def _(spark, sf_dir):
-    blobs = stored_blobs(spark, sf_dir)
+    blobs = blobs_once(spark, sf_dir)
     path = fresh_root(spark, "index")
     lexical.write_index(blobs.select("number", F.col("content").alias("text")), "number", ["text"], path)
     scored = lexical.scored_index(lexical.open_index(spark, path), "number", "text", TERMS)

@@ -40,3 +40,11 @@ def test_history_search_indexes_numbers(spark):
     assert len(__spark_entry__.queries()["history_search"](spark, "/root/testdata/sf0.001").collect()) == 10
     (made,) = set(place.glob("*")) - before
     assert dict(spark.read.parquet(f"{made}/postings").dtypes) == {"field": "string", "term": "string", "number": "bigint", "length": "int", "tf": "bigint"}
+
+
+def test_contents_stay_where_they_are(spark):
+    rows = [(i, f"b{i % 7}" if i < 40 else f"c{i}", f"text {i}") for i in range(60)]
+    for kept, given in ((27, rows), (7, rows[:40])):  # the keys that go are sent, then those that stay
+        found = views.firsts(spark.createDataFrame(given, "n bigint, blob string, content string"), "n")
+        assert sorted(tuple(r) for r in found.select("n", "blob", "content").collect()) == [r for i, r in enumerate(given) if r[1] not in {x[1] for x in given[:i]}]
+        assert found.count() == kept and "content" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in x)
